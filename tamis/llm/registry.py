@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
+from .decontaminate import op7_benchmark_decontamination
+from .licenses import op10_license_scan
 from .packing import op1_best_fit_packing
+from .quality import OP6_SQL, op6_quality_rules
+from .records import op3_token_records
+from .simhash import op4_simhash_near_dedup
+from .substring import op9_substring_dedup
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_token_records": op3_token_records,
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op9_substring_dedup": op9_substring_dedup,
+    "op10_license_scan": op10_license_scan,
+}
+SQL: dict[str, str] = {
+    "op6_quality_rules": OP6_SQL,
 }
-SQL: dict[str, str] = {}
