@@ -84,13 +84,14 @@ def bit_partitions(bits: np.ndarray, m: int) -> list[list[int]]:
     return groups
 
 
-def meeting_shares(bits: np.ndarray, group: list[int], most: int) -> list[float]:
-    """Estimated share of pairs that agree within 0..most bits on the group.
+def meetings(bits: np.ndarray, group: list[int], most: int) -> list[float]:
+    """Estimated number of meetings per pair of fingerprints, for thresholds 0..most on the group.
 
     The share of exact agreement falls by about the same factor with every bit; where a sample is too small to see
-    it on all bits, it is carried on from the bits on which it can be seen.
+    it on all bits, it is carried on from the bits on which it can be seen. A pair that differs in k <= t bits of the
+    group meets on each mask that leaves out those k bits and t - k others.
     """
-    n = len(bits)
+    n, w = len(bits), len(group)
     pairs, logs = max(1, n * (n - 1) / 2), [0.0]
     key = np.zeros(n, np.int64)
     for b in group:
@@ -102,10 +103,10 @@ def meeting_shares(bits: np.ndarray, group: list[int], most: int) -> list[float]
         logs.append(np.log(same / pairs))
     seen = len(logs) - 1
     slope = (logs[-1] - logs[seen // 2]) / max(1, seen - seen // 2) if seen else -0.69
-    exact = logs[-1] + min(slope, -1e-3) * (len(group) - seen)
+    exact = float(np.exp(logs[-1] + min(slope, -1e-3) * (w - seen)))
     agree = np.clip(np.mean([(bits[:, b].mean() ** 2 + (1 - bits[:, b].mean()) ** 2) for b in group]), 0.5, 1)
     odds = (1 - agree) / agree
-    return [min(1.0, float(np.exp(exact)) * sum(comb(len(group), k) * odds**k for k in range(t + 1))) for t in range(most + 1)]
+    return [sum(min(1.0, exact * comb(w, k) * odds**k) * comb(w - k, t - k) for k in range(t + 1)) for t in range(most + 1)]
 
 
 def thresholds(cost: list[list[float]], units: int) -> tuple[float, list[int]]:
@@ -132,8 +133,8 @@ def choose_masks(sample: np.ndarray, n: int, most_bits: int = MOST_BITS, largest
         groups = bit_partitions(bits, m)
         cost = []
         for g in groups:
-            shares = meeting_shares(bits, g, min(largest_threshold, most_bits))
-            cost.append([comb(len(g), t) * n + COMPARE_COST * comb(len(g), t) * share * n * n / 2 for t, share in enumerate(shares)])
+            met = meetings(bits, g, min(largest_threshold, most_bits))
+            cost.append([comb(len(g), t) * n + COMPARE_COST * m * n * n / 2 for t, m in enumerate(met)])
         if sum(len(c) for c in cost) >= most_bits + 1:
             total, chosen = thresholds(cost, most_bits + 1)
             options.append((total, groups, chosen))

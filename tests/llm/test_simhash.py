@@ -63,7 +63,7 @@ def test_masks_lose_no_pair():
     rng = np.random.default_rng(4)
     for n, size in ((100, 50), (10**6, 500), (10**10, 2048)):
         sample = rng.integers(0, 2**63, size, np.int64)
-        sample[:, ] |= sample >> 3  # correlated bits
+        sample |= sample >> 31 & 0xFFFF  # correlated bits
         masks = np.array(simhash.choose_masks(sample, n), np.int64)
         a = rng.integers(-(2**63), 2**63 - 1, 4000, np.int64)
         flips = np.array([sum(1 << int(b) for b in rng.choice(64, k, replace=False)) for k in rng.integers(0, 5, 4000)], np.uint64).view(np.int64)
