@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
+from .classifier import op2_quality_classifier
 from .decontaminate import op7_benchmark_decontamination
+from .katz import op5_katz_scoring
 from .licenses import op10_license_scan
 from .packing import op1_best_fit_packing
 from .quality import OP6_SQL, op6_quality_rules
 from .records import op3_token_records
 from .simhash import op4_simhash_near_dedup
 from .substring import op9_substring_dedup
+from .toolcalls import OP8_SQL, op8_tool_call_linking
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_token_records": op3_token_records,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_katz_scoring": op5_katz_scoring,
     "op6_quality_rules": op6_quality_rules,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_tool_call_linking": op8_tool_call_linking,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_license_scan": op10_license_scan,
 }
 SQL: dict[str, str] = {
     "op6_quality_rules": OP6_SQL,
+    "op8_tool_call_linking": OP8_SQL,
 }
