@@ -193,6 +193,12 @@ def judged(found: DataFrame) -> DataFrame:
     ).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of `docs`, unchanged, that aren't contaminated."""
+    wrapped = docs.select(F.struct("*").alias("doc_id"), "text")
+    return judged(find_contamination(wrapped, benchmark)).filter("NOT contaminated").select("doc_id.*")
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = judged(find_contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")

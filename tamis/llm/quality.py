@@ -120,6 +120,14 @@ def judge_quality(docs: DataFrame, rules: dict[str, Column] | None = None, sampl
     return cascade(featured, rule_order(featured, rules, sample_rows), rules)
 
 
+def passing(docs: DataFrame, rules: dict[str, Column] | None = None) -> DataFrame:
+    """The rows of `docs`, unchanged, that no rule rejects."""
+    judged = judge_quality(docs.select("text", F.struct("*").alias("_row")), rules)
+    # A filter on `kept` alone would be moved below the features, with their expressions put in for their names again
+    # and again. It isn't moved below a column that is not deterministic.
+    return judged.withColumn("_at", F.monotonically_increasing_id()).filter("kept AND _at >= 0").select("_row.*")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_quality(documents(spark, sf_dir).select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -56,15 +56,17 @@ def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id and fp, the fingerprint of each row's text."""
+def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns in `also`, and fp, the fingerprint of each row's text."""
+    kept = ["doc_id", *also]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t, shingle_words) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            found = [fingerprint(t, shingle_words) for t in batch.column(len(kept)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.int64())], [*kept, "fp"])
 
-    return docs.select("doc_id", text_bytes()).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    fields = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept]
+    return docs.select(*kept, text_bytes()).mapInArrow(run, ", ".join([*fields, "fp bigint"]))
 
 
 def bit_partitions(bits: np.ndarray, m: int) -> list[list[int]]:
@@ -221,9 +223,10 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         state = written(small.union(low).distinct(), label)
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, most_bits: int = MOST_BITS, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
-    """Per row: doc_id, fp, component_id (least doc_id among those reachable by links of at most most_bits bits)."""
-    found = written(fingerprints(docs, shingle_words), "simhash")
+def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, most_bits: int = MOST_BITS, sample: int = SAMPLE, block: int = BLOCK, also: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: doc_id, the columns in `also`, fp, centre (a fingerprint that stands for the component) and
+    component_id (least doc_id among those reachable by links of at most most_bits bits)."""
+    found = written(fingerprints(docs, shingle_words, also), "simhash")
     nodes = written(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     some = nodes.orderBy(F.xxhash64("fp"), "fp").limit(sample).select("fp").collect()
     masks = choose_masks(np.array([r.fp for r in some], np.int64), nodes.count(), most_bits)
@@ -231,9 +234,20 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, most_bi
     member = stars.select(F.col("u").alias("fp"), F.col("v").alias("centre")).union(stars.select("v", "v").distinct())
     named = member.join(nodes, "fp")
     names = named.groupBy("centre").agg(F.min("least").alias("component_id"))
-    linked = named.select("fp", "centre").join(names, "centre").select("fp", "component_id")
-    whole = written(nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "simhash-classes")
-    return found.join(whole, "fp").select("doc_id", "fp", "component_id")
+    linked = named.select("fp", "centre").join(names, "centre").select("fp", "centre", "component_id")
+    whole = nodes.join(linked, "fp", "left").select("fp", F.coalesce("centre", "fp").alias("centre"), F.coalesce("component_id", "least").alias("component_id"))
+    return found.join(written(whole, "simhash-classes"), "fp").select("doc_id", *also, "fp", "centre", "component_id")
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of `docs`, unchanged, of which there is one for each component: one with its least doc_id.
+
+    Rows are told apart by their place in the input, which must read the same each time, as stored tables do.
+    """
+    placed = docs.select("doc_id", "text", F.struct("*").alias("_row"), F.monotonically_increasing_id().alias("_place"))
+    found = near_duplicates(placed, also=("_place",), **options)
+    chosen = found.groupBy("centre").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_place")).alias("first")).select("first._place")
+    return placed.join(chosen, "_place", "left_semi").select("_row.*")
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -240,11 +240,11 @@ def window_rows(docs: DataFrame, contexts: DataFrame, window: int) -> DataFrame:
     return with_text.mapInArrow(run, MEET)
 
 
-def removed(docs: DataFrame, repeats: DataFrame, window: int) -> DataFrame:
-    """Per row of docs: doc_id, n_words, spans (of words, merged), kept_words (joined by one blank)."""
+def removed(docs: DataFrame, repeats: DataFrame, window: int, carry: str = "doc_id") -> DataFrame:
+    """Per row of docs: the column `carry`, n_words, spans (of words, merged), kept_words (joined by one blank)."""
     places = repeats.groupBy("doc").agg(F.collect_list("place").alias("places"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    joined = docs.select("doc_id", text_bytes(), F.col("doc_id").cast("long").alias("doc")).join(places, "doc", "left").select("doc_id", "text", "places")
+    kind = docs.schema[carry].dataType.simpleString()
+    joined = docs.select(F.col(carry), text_bytes(), F.col("doc_id").cast("long").alias("doc")).join(places, "doc", "left").select(carry, "text", "places")
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,9 +268,9 @@ def removed(docs: DataFrame, repeats: DataFrame, window: int) -> DataFrame:
                 out[1].append([{"start": a, "end": b} for a, b in found])
                 out[2].append(b" ".join(kept + words[at:]).decode())
             columns = [pa.array(v, t) for v, t in zip(out, (pa.int64(), spans, pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_words", "spans", "kept_words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [carry, "n_words", "spans", "kept_words"])
 
-    return joined.mapInArrow(run, f"doc_id {kind}, n_words bigint, spans array<struct<start:bigint,end:bigint>>, kept_words string")
+    return joined.mapInArrow(run, f"{carry} {kind}, n_words bigint, spans array<struct<start:bigint,end:bigint>>, kept_words string")
 
 
 def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -285,6 +285,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     return removed(docs, find_repeats(docs, window, gram), window)
 
 
+def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """`docs` with the words of repeats taken out of its texts; rows without any are unchanged, rows that have no
+    word left go. A column n_chars follows the text."""
+    wrapped = docs.select("doc_id", "text", F.struct("*").alias("_row"))
+    found = removed(wrapped, find_repeats(docs, window, gram), window, "_row").filter("kept_words <> '' OR size(spans) = 0")
+    changed = F.size("spans") > 0
+    new = {"text": F.when(changed, F.col("kept_words")).otherwise(F.col("_row.text"))}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        new["n_chars"] = F.when(changed, F.length("kept_words").cast(kind)).otherwise(F.col("_row.n_chars"))
+    return found.select(*(new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(documents(spark, sf_dir))
     n_removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])

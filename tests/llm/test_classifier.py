@@ -4,7 +4,9 @@ from tamis.llm import classifier
 from tamis.llm.common import documents
 
 
-def test_label_model_recovers_the_answer():
+def test_label_model_recovers_the_answer(monkeypatch):
+    monkeypatch.setattr(classifier, "BELIEF", (0.4, 0.01))
+    monkeypatch.setattr(classifier, "BELIEF_WEIGHT", 0.2)
     rng = np.random.default_rng(2)
     truth = rng.random(20000) < 0.2
     votes = np.where(rng.random((20000, 6)) < np.where(truth[:, None], [0.5, 0.4, 0.3, 0.4, 0.3, 0.5], [0.001, 0.02, 0.001, 0.005, 0.08, 0.002]), 1, -1)
