@@ -4,10 +4,11 @@ A record file is a sequence of frames, a frame being
 
     length   u64   bytes of the payload
     check    u32   masked checksum of the eight length bytes
-    payload        i64 doc_id, u64 flags (bit 0: the doc_id is null), then the ids as u32
+    payload        i64 doc_id, u64 flags, then the ids
     check    u32   masked checksum of the payload
 
-all little-endian. The checksum is CRC-32 (zlib's; a vectorised CRC-32C isn't among the libraries here), masked as
+all little-endian. Of the flags, bit 0 says that the doc_id is null, bit 1 that the ids are u16, for they all fit;
+else they are u32. The checksum is CRC-32 (zlib's; a vectorised CRC-32C isn't among the libraries here), masked as
 usual for stored checksums: rotated right by 15 bits, plus 0xa282ead8. The index file has 32 bytes for each frame,
 in file order: u64 byte offset of the frame, u64 payload length, i64 doc_id, u64 number of ids, so a reader can seek
 to any record, in any order, without scanning. A manifest row per file (number, rows, ids) gives each file its place
@@ -48,21 +49,25 @@ def masked(data: bytes) -> int:
 
 
 def frame(doc_id: int | None, ids: bytes) -> bytes:
-    payload = _HEAD.pack(doc_id or 0, doc_id is None) + ids
+    """The frame of a document's ids, given as u32."""
+    wide = np.frombuffer(ids, "<u4")
+    small = not len(wide) or wide.max() < 1 << 16
+    payload = _HEAD.pack(doc_id or 0, (doc_id is None) | small << 1) + (wide.astype("<u2").tobytes() if small else ids)
     length = struct.pack("<Q", len(payload))
     return b"".join((length, struct.pack("<I", masked(length)), payload, struct.pack("<I", masked(payload))))
 
 
 def unframe(data: bytes) -> tuple[int | None, bytes]:
-    """doc_id and ids of one whole frame; raises on a broken one."""
+    """doc_id and ids (as u32) of one whole frame; raises on a broken one."""
     (length,), (check,) = struct.unpack_from("<Q", data), struct.unpack_from("<I", data, 8)
     if check != masked(data[:8]) or len(data) != length + 16:
         raise ValueError("broken frame: its length doesn't fit its checksum")
     payload = data[12 : 12 + length]
     if struct.unpack_from("<I", data, 12 + length)[0] != masked(payload):
         raise ValueError("broken frame: its payload doesn't fit its checksum")
-    doc_id, null = _HEAD.unpack_from(payload)
-    return None if null & 1 else doc_id, payload[_HEAD.size :]
+    doc_id, flags = _HEAD.unpack_from(payload)
+    ids = payload[_HEAD.size :]
+    return None if flags & 1 else doc_id, np.frombuffer(ids, "<u2").astype("<u4").tobytes() if flags & 2 else ids
 
 
 def file_system(uri: str):

@@ -46,6 +46,8 @@ def test_empty_table(spark):
 def test_broken_frames_are_found():
     data = records.frame(5, b"\1\0\0\0\2\0\0\0")
     assert records.unframe(data) == (5, b"\1\0\0\0\2\0\0\0")
+    wide = np.array([70_000, 3], "<u4").tobytes()
+    assert records.unframe(records.frame(None, wide)) == (None, wide) and len(records.frame(None, wide)) == len(data) + 4
     for k in range(len(data)):
         broken = data[:k] + bytes([data[k] ^ 4]) + data[k + 1 :]
         with pytest.raises(ValueError):
