@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from .plans import audit, curation, metrics, policy, sequence  # noqa: F401  they register their queries
+from .plans.common import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
