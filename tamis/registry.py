@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import audit, curation, metrics, policy, sequence  # noqa: F401  they register their queries
+from .plans import audit, curation, ingest, metrics, policy, sequence, streaming  # noqa: F401  they register their queries
 from .plans.common import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -39,3 +39,15 @@ def first_column(df: DataFrame, *names: str) -> str:
         if name in df.columns:
             return name
     raise ValueError(f"none of the columns {', '.join(names)}")
+
+
+def shared_dir(spark: SparkSession, label: str) -> str:
+    """A new folder name in spark.checkpoint.dir, which driver and executors share."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = tempfile.mkdtemp(prefix="tamis-")  # unset only in single-machine sessions such as tests
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/tamis-{label}-{uuid.uuid4().hex}"
