@@ -37,8 +37,8 @@ UNION ALL SELECT 'path', count(*) FROM (SELECT path FROM {manifest} WHERE split
 UNION ALL SELECT 'group', count(*) FROM (SELECT group_id FROM {manifest} WHERE split = 'train' INTERSECT SELECT group_id FROM {manifest} WHERE split = 'test')""")
 both("leak_cleaned", "SELECT v.doc_id, v.split FROM {manifest} v WHERE v.split = 'train' OR NOT EXISTS (SELECT 1 FROM {manifest} t WHERE t.split = 'train' AND t.md5 = v.md5)")
 both("missing_classes", "SELECT DISTINCT e.label FROM {features} e WHERE NOT EXISTS (SELECT 1 FROM {features} t WHERE t.split = 'test' AND t.label = e.label)")
-both("class_distribution", "SELECT label, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, label) AS place FROM {embeddings} GROUP BY label")
-both("manifest_stats", "SELECT count(DISTINCT sample_id) AS samples, count(DISTINCT path) AS paths, count(DISTINCT group_id) AS groups, sum(violence) AS positives FROM {manifest}")
+both("class_distribution", "SELECT label, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, label) AS BIGINT) AS place FROM {embeddings} GROUP BY label")
+both("manifest_stats", "SELECT count(DISTINCT sample_id) AS samples, count(DISTINCT path) AS paths, count(DISTINCT group_id) AS groups, CAST(sum(violence) AS BIGINT) AS positives FROM {manifest}")
 both("key_conflicts", "SELECT md5, count(DISTINCT path) AS paths FROM {manifest} GROUP BY md5 HAVING count(DISTINCT path) > 1")
 both("audit_flags", """SELECT doc_id, concat_ws(';', CASE WHEN length(text) < 60 THEN 'short' END, CASE WHEN length(text) > 5000 THEN 'long' END, CASE WHEN text LIKE '%$$$%' THEN 'symbols' END) AS flags FROM {documents}""")
 
@@ -67,7 +67,7 @@ both("stuck_scores", """SELECT video_id, round(p90 - p10, 6) AS spread, n >= 10
   SELECT video_id, count(*) AS n, avg(score) AS m, quantile_cont(score, 0.9) AS p90, quantile_cont(score, 0.1) AS p10 FROM {frames} GROUP BY video_id)""",
      """SELECT video_id, round(p90 - p10, 6) AS spread, n >= 10 AND p90 - p10 < 0.75 AND m > 0.3 AS stuck FROM (
   SELECT video_id, count(*) AS n, avg(score) AS m, percentile(score, 0.9) AS p90, percentile(score, 0.1) AS p10 FROM {frames} GROUP BY video_id)""")
-both("teacher_coverage", "SELECT round(avg(CASE WHEN l.doc_id IS NOT NULL OR e.vec_id IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS coverage FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id LEFT JOIN {embeddings} e ON e.vec_id = d.doc_id")
+both("teacher_coverage", "SELECT round(avg(CASE WHEN l.doc_id IS NOT NULL OR e.vec_id IS NOT NULL THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS coverage FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id LEFT JOIN {embeddings} e ON e.vec_id = d.doc_id")
 both("eligible_media", """SELECT conv_id, msg_id, mime, size FROM {media_items} WHERE status IN ('active', 'pending') AND NOT coalesce(is_moderated, false) AND (mime LIKE 'image/%' OR mime LIKE 'video/%')""")
 both("latest_per_conversation", "SELECT conv_id, msg_id, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY msg_id DESC) AS rn FROM {media_items}) WHERE rn <= 3")
 both("newest_orders", "SELECT o_orderkey, o_orderdate FROM {orders} ORDER BY o_orderdate DESC, o_orderkey LIMIT 100")

@@ -20,8 +20,8 @@ def hash_split_ratio(spark, sf_dir):
 
 both("hash_split_assign", "SELECT doc_id, split FROM {manifest}")
 both("manifest_records", "SELECT doc_id, sample_id, path, group_id, violence, nsfw, 'v' || violence || '_n' || nsfw AS label_signature, 'text' AS media_type FROM {manifest}")
-both("split_counts", "SELECT split, count(*) AS n, sum(violence) AS n_violence, sum(nsfw) AS n_nsfw FROM {manifest} GROUP BY split",
-     "SELECT split, count(*) AS n, sum(violence) AS n_violence, sum(nsfw) AS n_nsfw FROM {manifest} GROUP BY split")
+both("split_counts", "SELECT split, count(*) AS n, CAST(sum(violence) AS BIGINT) AS n_violence, CAST(sum(nsfw) AS BIGINT) AS n_nsfw FROM {manifest} GROUP BY split",
+     "SELECT split, count(*) AS n, CAST(sum(violence) AS BIGINT) AS n_violence, CAST(sum(nsfw) AS BIGINT) AS n_nsfw FROM {manifest} GROUP BY split")
 both("split_rollup", "SELECT source, split, count(*) AS n FROM {manifest} GROUP BY ROLLUP (source, split)")
 both("label_export", "SELECT path, violence AS label, sample_id, source, group_id FROM {manifest} WHERE split = 'train'")
 both("summary_by_source", """SELECT source, count(*) AS n, count(*) FILTER (WHERE split = 'train') AS train, count(*) FILTER (WHERE split = 'val') AS val,
@@ -104,4 +104,4 @@ both("path_norm", r"SELECT page_id, regexp_replace(replace(trim(url), chr(92), '
 both("files_per_folder", "SELECT split_part(path, '/', 1) AS folder, count(*) AS n FROM {manifest} GROUP BY 1")
 both("label_from_path", "SELECT doc_id, CASE WHEN split_part(path, '/', 2) = 'en' THEN 'normal' WHEN split_part(path, '/', 2) IN ('fr', 'de') THEN 'fight' ELSE 'unknown' END AS label FROM {manifest}")
 both("corpus_minimums", """SELECT n >= 10000 AS enough, p >= 1000 AS enough_positives, CAST(n - p AS DOUBLE) / greatest(1, p) < 2 AS balanced FROM (SELECT count(*) AS n, sum(violence) AS p FROM {manifest})""")
-both("master_order", "SELECT source, split, path, row_number() OVER (PARTITION BY source ORDER BY split, path) AS place FROM {manifest}")
+both("master_order", "SELECT source, split, path, CAST(row_number() OVER (PARTITION BY source ORDER BY split, path) AS BIGINT) AS place FROM {manifest}")

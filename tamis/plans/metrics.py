@@ -18,7 +18,7 @@ both("bucket_metrics", _CONFUSION.format(k="bucket, label"))
 both("prf", "SELECT label, round(coalesce(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 0), 6) AS p, round(coalesce(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 0), 6) AS r, round(coalesce(2 * tp / nullif(CAST(2 * tp + fp + fn AS DOUBLE), 0), 0), 6) AS f1, round(coalesce(tn / nullif(CAST(tn + fp AS DOUBLE), 0), 0), 6) AS specificity FROM (" + _CONFUSION.format(k="label") + ")")
 both("macro_micro_f1", "SELECT round(avg(coalesce(2 * tp / nullif(CAST(2 * tp + fp + fn AS DOUBLE), 0), 0)), 6) AS macro, round(sum(2 * tp) / nullif(CAST(sum(2 * tp + fp + fn) AS DOUBLE), 0), 6) AS micro FROM (" + _CONFUSION.format(k="label") + ")")
 both("brier", "SELECT label, round(avg((score - y) * (score - y)), 6) AS brier FROM {predictions} GROUP BY label")
-both("flag_rates", "SELECT label, round(avg(CASE WHEN score >= 0.5 THEN 1.0 ELSE 0.0 END), 6) AS rate, round(avg(score), 6) AS m, round(stddev_pop(score), 6) AS sd FROM {predictions} GROUP BY label")
+both("flag_rates", "SELECT label, round(avg(CASE WHEN score >= 0.5 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS rate, round(avg(score), 6) AS m, round(stddev_pop(score), 6) AS sd FROM {predictions} GROUP BY label")
 both("quantile_threshold", "SELECT label, round(least(0.95, greatest(0.05, quantile_cont(score, 0.9))), 6) AS t FROM {predictions} GROUP BY label", "SELECT label, round(least(0.95D, greatest(0.05D, percentile(score, 0.9))), 6) AS t FROM {predictions} GROUP BY label")
 both("scheme_strict", "SELECT label, count(*) AS n, count(*) FILTER (WHERE (score >= 0.9) = (y = 1)) AS agreed FROM {predictions} GROUP BY label")
 both("scheme_exclude_blur", "SELECT label, count(*) AS n, count(*) FILTER (WHERE (score >= 0.9) = (y = 1)) AS agreed FROM {predictions} WHERE score >= 0.9 OR score < 0.7 GROUP BY label")
@@ -27,10 +27,10 @@ both("level_distribution", "SELECT l.level, coalesce(n, 0) AS n, round(100.0 * c
 both("runtime_stats", "SELECT event_type, round(avg(value), 4) AS m, round(quantile_cont(value, 0.5), 4) AS med, min(value) AS low, max(value) AS high, round(sum(value), 2) AS total FROM {events} GROUP BY event_type",
      "SELECT event_type, round(avg(value), 4) AS m, round(percentile(value, 0.5), 4) AS med, min(value) AS low, max(value) AS high, round(sum(value), 2) AS total FROM {events} GROUP BY event_type")
 both("class_gap", "SELECT label, round(avg(CASE WHEN y = 1 THEN score END) - avg(CASE WHEN y = 0 THEN score END), 6) AS gap FROM {predictions} GROUP BY label")
-both("batch_mean_accuracy", "SELECT label, round(avg(a), 6) AS acc, CASE WHEN avg(a) < 0.52 THEN 'chance' WHEN avg(a) < 0.62 THEN 'weak' ELSE 'good' END AS tier FROM (SELECT label, bucket, avg(CASE WHEN (score >= 0.5) = (y = 1) THEN 1.0 ELSE 0.0 END) AS a FROM {predictions} GROUP BY label, bucket) GROUP BY label")
+both("batch_mean_accuracy", "SELECT label, round(avg(a), 6) AS acc, CASE WHEN avg(a) < 0.52 THEN 'chance' WHEN avg(a) < 0.62 THEN 'weak' ELSE 'good' END AS tier FROM (SELECT label, bucket, avg(CASE WHEN (score >= 0.5) = (y = 1) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS a FROM {predictions} GROUP BY label, bucket) GROUP BY label")
 both("health_rules", "SELECT label, stddev_pop(score) < 0.05 AS collapsed, avg(score) > 0.9 AS saturated, count(*) AS n FROM {predictions} GROUP BY label")
-both("label_smoothing", "SELECT doc_id, label, round(y * 0.9 + 0.05, 6) AS smooth FROM {predictions}")
-both("class_percent", "SELECT label, y, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY label), 4) AS percent FROM {predictions} GROUP BY label, y")
+both("label_smoothing", "SELECT doc_id, label, round(y * CAST(0.9 AS DOUBLE) + CAST(0.05 AS DOUBLE), 6) AS smooth FROM {predictions}")
+both("class_percent", "SELECT label, y, round(CAST(100 AS DOUBLE) * count(*) / sum(count(*)) OVER (PARTITION BY label), 4) AS percent FROM {predictions} GROUP BY label, y")
 
 
 @query(f"WITH {_POINTS} SELECT label, round(sum(pos * (n_neg - fp + neg / 2.0)) / (max(n_pos) * max(n_neg)), 6) AS auc FROM c GROUP BY label", "predictions")

@@ -23,7 +23,7 @@ both("gate_checks", """SELECT label, CASE WHEN brier < 0.25 AND recall >= 0.3 TH
   SELECT label, avg((score - y) * (score - y)) AS brier, CAST(count(*) FILTER (WHERE y = 1 AND score >= 0.5) AS DOUBLE) / nullif(count(*) FILTER (WHERE y = 1), 0) AS recall FROM {predictions} GROUP BY label)""")
 
 both("knn_baselines", """SELECT 'majority' AS baseline, round(max(CAST(n AS DOUBLE)) / sum(n), 6) AS share FROM (SELECT label, count(*) AS n FROM {features} GROUP BY label)
-UNION ALL SELECT 'shuffled', round(avg(CASE WHEN a.label = b.label THEN 1.0 ELSE 0.0 END), 6) FROM (SELECT label, row_number() OVER (PARTITION BY split ORDER BY vec_id) AS k, split FROM {features}) a
+UNION ALL SELECT 'shuffled', round(avg(CASE WHEN a.label = b.label THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) FROM (SELECT label, row_number() OVER (PARTITION BY split ORDER BY vec_id) AS k, split FROM {features}) a
   JOIN (SELECT label, row_number() OVER (PARTITION BY split ORDER BY md5(CAST(vec_id AS VARCHAR(20)))) AS k, split FROM {features}) b ON a.k = b.k AND a.split = b.split""",
      """SELECT 'majority' AS baseline, round(max(CAST(n AS DOUBLE)) / sum(n), 6) AS share FROM (SELECT label, count(*) AS n FROM {features} GROUP BY label)
 UNION ALL SELECT 'shuffled', round(avg(CASE WHEN a.label = b.label THEN 1.0D ELSE 0.0D END), 6) FROM (SELECT label, row_number() OVER (PARTITION BY split ORDER BY vec_id) AS k, split FROM {features}) a
@@ -37,7 +37,7 @@ both("training_diagnosis", f"""SELECT arg_min(loss, epoch) AS first_loss, arg_ma
      f"""SELECT min_by(loss, epoch) AS first_loss, max_by(loss, epoch) AS last_loss, count(*) AS epochs, max_by(loss, epoch) > min_by(loss, epoch) AS diverged FROM {_LOG}""")
 
 both("role_split", """SELECT m.doc_id, r.label, r.weight, m.split FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY draw, doc_id) AS rn FROM {manifest}) m
-JOIN (SELECT 'en' AS lang, 1 AS label, 3.0 AS weight, 50 AS cap UNION ALL SELECT 'fr', 0, 1.0, 20 UNION ALL SELECT 'de', 0, 0.5, 10) r ON r.lang = m.lang WHERE m.rn <= r.cap""",
+JOIN (SELECT 'en' AS lang, 1 AS label, 3.0::DOUBLE AS weight, 50 AS cap UNION ALL SELECT 'fr', 0, 1.0, 20 UNION ALL SELECT 'de', 0, 0.5, 10) r ON r.lang = m.lang WHERE m.rn <= r.cap""",
      """SELECT m.doc_id, r.label, r.weight, m.split FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY draw, doc_id) AS rn FROM {manifest}) m
 JOIN (SELECT 'en' AS lang, 1 AS label, 3.0D AS weight, 50 AS cap UNION ALL SELECT 'fr', 0, 1.0D, 20 UNION ALL SELECT 'de', 0, 0.5D, 10) r ON r.lang = m.lang WHERE m.rn <= r.cap""")
 
