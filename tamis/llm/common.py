@@ -11,10 +11,8 @@ Conventions that hold for every operator here, unless its docstring says otherwi
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,15 +58,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def string_hex(n: int) -> str:
-    return f"{n & 0xFFFFFFFFFFFFFFFF:016x}"
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more.
 
-
-def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
-    """(doc ids, texts as bytes) of each batch of (doc_id, text)."""
-    for batch in batches:
-        if batch.num_rows:
-            yield batch.column(0).to_pylist(), batch.column(1).to_pylist()
+    It does so when the driver collects its garbage, which on a quiet driver may be half an hour after a large shuffle.
+    """
+    spark.sparkContext._jvm.System.gc()
 
 
 def mix(h: np.ndarray) -> np.ndarray:
