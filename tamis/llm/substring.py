@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import U64, documents, mix, text_bytes, written
+from .common import U64, documents, free_shuffles, mix, text_bytes, written
 
 WINDOW, GRAM = 13, 5
 #: Occurrences that a task gathers before it settles and sends them.
@@ -104,9 +104,9 @@ def batch_of(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
 def settle(a: np.ndarray, c: np.ndarray, doc: np.ndarray, place: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
     """Of the rows of one key, those after the smallest document are repeats; these travel under a key of their own."""
     order = np.lexsort((doc, c))
-    a, c, doc, place, kind = a[order], c[order], doc[order], place[order], kind[order]
-    new = np.r_[True, c[1:] != c[:-1]]
-    first = doc[np.maximum.accumulate(np.where(new, np.arange(len(c)), 0))]
+    new = np.r_[True, c[order][1:] != c[order][:-1]]
+    first = np.empty_like(doc)  # in the rows' own order, in which a document's rows follow one another
+    first[order] = doc[order][np.maximum.accumulate(np.where(new, np.arange(len(c)), 0))]
     repeat = doc > first
     a = np.where(repeat, mix(doc.view(U64) * _BASE + place.view(U64)), a)
     return batch_of({"a": a, "c": np.where(repeat, U64(0), c), "doc": doc, "place": place, "kind": np.where(repeat, SETTLED, kind)})
@@ -276,6 +276,7 @@ def removed(docs: DataFrame, repeats: DataFrame, window: int, carry: str = "doc_
 def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc, place) of windows that a smaller document has too."""
     seeds = written(meet(anchor_rows(docs, window, gram)), "substring-seeds")
+    free_shuffles(docs.sparkSession)
     whole = seeds.filter(F.col("kind") == SETTLED)
     partial = meet(window_rows(docs, seeds.filter(F.col("kind") == OPEN), window)).filter(F.col("kind") == SETTLED)
     return whole.union(partial).select("doc", "place")
