@@ -58,6 +58,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few_texts(docs: DataFrame, rows: int, most_bytes: int = 100_000) -> list[str]:
+    """Up to `rows` texts of at most `most_bytes` each, from the first partitions that have them.
+
+    Taken to the driver, for a limit in a plan would read so many rows of every partition and move them to one task.
+    """
+    return [r.text for r in docs.select("text").filter(F.octet_length("text") <= most_bytes).head(rows)]
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that nothing refers to any more.
 

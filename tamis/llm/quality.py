@@ -1,6 +1,6 @@
 """Quality rules as a short-circuit cascade, in DataFrame expressions throughout.
 
-Every rule is an expression that is true for a text to reject. On a bounded sample (`sample_rows` rows) each rule is
+Every rule is an expression that is true for a text to reject. On a bounded sample (`sample_rows` texts) each rule is
 timed and the share of rows it rejects is counted; the cascade then asks the rules by descending rejections per
 cost, inside one CASE, so a row pays only for the rules up to the first that rejects it. The order changes what a run
 costs and which rule is named as the first to reject a row, never which rows are kept.
@@ -19,9 +19,9 @@ import time
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK, documents
+from .common import BLANK, documents, few_texts
 
-WINDOW, SAMPLE_ROWS = 5, 2000
+WINDOW, SAMPLE_ROWS = 5, 1000
 LEAST_WORDS, MOST_REPEATED_PERCENT = 10, 20
 
 
@@ -86,9 +86,9 @@ def features(docs: DataFrame) -> DataFrame:
     return df.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words")))
 
 
-def rule_order(featured: DataFrame, rules: dict[str, Column], sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """Rules by descending rejections per cost, both estimated on at most `sample_rows` rows."""
-    sample = featured.select("text", "n_words", "word_chars", "n_symbols", "n_dup_lines").limit(sample_rows).cache()
+def rule_order(texts: DataFrame, rules: dict[str, Column]) -> list[str]:
+    """Rules by descending rejections per cost, both estimated on a table of sample texts."""
+    sample = features(texts).cache()
     try:
         rejected = sample.agg(F.count("*").alias("_n"), *(F.count_if(rule).alias(name) for name, rule in rules.items())).first()
 
@@ -116,8 +116,8 @@ def cascade(featured: DataFrame, order: list[str], rules: dict[str, Column]) ->
 def judge_quality(docs: DataFrame, rules: dict[str, Column] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """`docs` with the features, base_failed, rejected_by and kept."""
     rules = default_rules() if rules is None else rules
-    featured = features(docs)
-    return cascade(featured, rule_order(featured, rules, sample_rows), rules)
+    texts = docs.sparkSession.createDataFrame([(t,) for t in few_texts(docs, sample_rows)], "text string")
+    return cascade(features(docs), rule_order(texts, rules), rules)
 
 
 def passing(docs: DataFrame, rules: dict[str, Column] | None = None) -> DataFrame:

@@ -55,7 +55,7 @@ def test_order_never_changes_what_is_kept(spark, sf_dir):
     featured = quality.features(documents(spark, sf_dir)).cache()
     want = {r.doc_id: r.kept for r in quality.cascade(featured, sorted(rules), rules).collect()}
     assert want == {r.doc_id: r.kept for r in quality.cascade(featured, sorted(rules)[::-1], rules).collect()}
-    assert sorted(quality.rule_order(featured, rules, 50)) == sorted(rules)
+    assert sorted(quality.rule_order(documents(spark, sf_dir).select("text"), rules)) == sorted(rules)
 
 
 def test_main_path_is_native(spark, sf_dir):
