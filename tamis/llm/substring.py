@@ -26,6 +26,7 @@ words nor take part; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,14 +35,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import U64, documents, free_shuffles, mix, text_bytes, written
+from .common import U64, documents, few_texts, free_shuffles, mix, text_bytes, written
 
 WINDOW, GRAM = 13, 5
 #: Occurrences that a task gathers before it settles and sends them.
 BATCH_ROWS = 1_000_000
 #: Documents read to find anchors with ever new contexts, the share of documents that makes one hot, and how many
 #: partitions such an anchor is dealt to.
-SAMPLE_DOCS, HOT_SHARE, HOT_PARTS = 5000, 1 / 500, 64
+SAMPLE_DOCS, HOT_SHARE, HOT_PARTS = 2000, 1 / 200, 64
 
 _BASE = U64(0x9E3779B97F4A7C15)
 _INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -181,25 +182,16 @@ def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
         yield from ((d, t) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if d is not None)
 
 
-def hot_anchors(docs: DataFrame, window: int, gram: int) -> list[int]:
-    """Anchors with many contexts, in a bounded sample of documents: at most 1 / HOT_SHARE per anchor of a text."""
-    from collections import Counter
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for _, text in texts_of(batches):
-            a, c, _, _ = Hashed(text).contexts(window, gram)
-            counts.update({x: 1 for x in np.unique(a).view(np.int64).tolist()})
-        common = [(x, n) for x, n in counts.items() if n > 1]
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in common], pa.int64()) for k in (0, 1)], ["a", "n"])
-
-    sample = docs.select(F.col("doc_id").cast("long"), text_bytes()).limit(SAMPLE_DOCS)
-    common = sample.mapInArrow(run, "a bigint, n bigint").groupBy("a").agg(F.sum("n").alias("n"))
-    return [r.a for r in common.filter(F.col("n") >= max(8, int(SAMPLE_DOCS * HOT_SHARE))).orderBy(F.desc("n"), "a").limit(10_000).collect()]
+def hot_anchors(docs: DataFrame, window: int, gram: int) -> np.ndarray:
+    """Anchors of many documents in a bounded sample; no more than its texts have anchors."""
+    texts = few_texts(docs.filter(F.col("doc_id").isNotNull()), SAMPLE_DOCS)
+    counts = Counter(x for t in texts for x in np.unique(Hashed(t.encode()).contexts(window, gram)[0]).tolist())
+    least = max(8, int(SAMPLE_DOCS * HOT_SHARE))
+    return np.sort(np.array([x for x, n in counts.items() if n >= least], U64))
 
 
 def anchor_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    hot = docs.sparkSession.sparkContext.broadcast(np.sort(np.array(hot_anchors(docs, window, gram), np.int64).view(U64)))
+    hot = docs.sparkSession.sparkContext.broadcast(hot_anchors(docs, window, gram))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = hot.value
