@@ -61,7 +61,7 @@ def inverse_sqrt_weights(rows: DataFrame, by: list[str], least: float, most: flo
     joined back, so no window holds a group or the table."""
     sizes = rows.groupBy(*by).agg(F.count("*").alias("_n"))
     mean = sizes.agg((F.sum(F.sqrt("_n")) / F.sum("_n")).alias("_mean"))
-    weighted = rows.join(F.broadcast(sizes.crossJoin(F.broadcast(mean))), by)  # a row per signature
+    weighted = rows.join(sizes.join(F.broadcast(mean)), by)  # the mean is one row
     return weighted.withColumn("weight", F.least(F.lit(most), F.greatest(F.lit(least), 1 / F.sqrt("_n") / F.col("_mean")))).drop("_n", "_mean")
 
 

@@ -54,18 +54,19 @@ def calibration_error(rows: DataFrame, bins: int, *by: str) -> DataFrame:
     return binned.groupBy(*by).agg((F.sum(F.col("n") * F.abs(F.col("s") - F.col("y"))) / F.sum("n")).alias("ece"))
 
 
-def knn_vote(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
+def knn_vote(queries: DataFrame, base: DataFrame, k: int, blocks: int = 16) -> DataFrame:
     """Majority label of the k nearest by cosine (rows: vec_id, v, label); the nearest of equally frequent labels.
 
-    Each query is compared with all of `base`; ranks are cut per block of `base` before blocks meet, so no more than
-    k rows of a query and block are shuffled.
+    The stated queries are compared with all of `base`, in blocks: each block of `base` meets every query, and ranks
+    are cut per block before blocks meet, so no more than k rows of a query and block are shuffled. Nothing is
+    broadcast.
     """
     from ..functions import sequences as seq
 
-    a = queries.select(F.col("vec_id").alias("q"), F.col("v").alias("qv"), F.col("label").alias("truth"))
-    pairs = base.crossJoin(F.broadcast(a)).filter("q <> vec_id")
-    sim = pairs.select("q", "truth", "vec_id", "label", F.round(seq.cosine(F.col("qv"), F.col("v")), 9).alias("s"))
-    near = sim.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(16)))
+    a = queries.select(F.col("vec_id").alias("q"), F.col("v").alias("qv"), F.col("label").alias("truth"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    dealt = base.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    pairs = dealt.join(a, "block").filter("q <> vec_id")
+    near = pairs.select("block", "q", "truth", "vec_id", "label", F.round(seq.cosine(F.col("qv"), F.col("v")), 9).alias("s"))
     order = [F.desc("s"), "vec_id"]
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy("q", "block").orderBy(*order))).filter(F.col("rank") <= k)
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(*order))).filter(F.col("rank") <= k)
