@@ -271,7 +271,9 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     free_shuffles(docs.sparkSession)
     whole = seeds.filter(F.col("kind") == SETTLED)
     partial = meet(window_rows(docs, seeds.filter(F.col("kind") == OPEN), window)).filter(F.col("kind") == SETTLED)
-    return whole.union(partial).select("doc", "place")
+    partial = written(partial.select("doc", "place"), "substring-windows")
+    free_shuffles(docs.sparkSession)
+    return whole.select("doc", "place").union(partial)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
