@@ -156,17 +156,22 @@ def linked_stars(fps: np.ndarray, blocks: np.ndarray, most_bits: int) -> list[tu
         near[i : i + 256] = np.bitwise_count(values[i : i + 256, None] ^ values) <= most_bits
     if len(set(blocks.tolist())) > 1:
         near &= blocks[:, None] != blocks
+    return stars(near, fps)
+
+
+def stars(near: np.ndarray, nodes: np.ndarray) -> list[tuple[int, int]]:
+    """(member, centre) for the groups that a square matrix of links connects."""
     np.fill_diagonal(near, False)
     todo, out = near.any(1), []
     while todo.any():
-        reach = np.zeros(len(fps), bool)
-        front = np.zeros(len(fps), bool)
+        reach = np.zeros(len(nodes), bool)
+        front = np.zeros(len(nodes), bool)
         front[np.flatnonzero(todo)[0]] = True
         while front.any():
             reach |= front
             front = near[front].any(0) & ~reach
         todo &= ~reach
-        group = np.sort(fps[reach]).tolist()
+        group = np.sort(nodes[reach]).tolist()
         out += [(x, group[0]) for x in group[1:]]
     return out
 
@@ -239,17 +244,6 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, most_bi
     return found.join(written(whole, "simhash-classes"), "fp").select("doc_id", *also, "fp", "centre", "component_id")
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs`, unchanged, of which there is one for each component: one with its least doc_id.
-
-    Rows are told apart by their place in the input, which must read the same each time, as stored tables do.
-    """
-    placed = docs.select("doc_id", "text", F.struct("*").alias("_row"), F.monotonically_increasing_id().alias("_place"))
-    found = near_duplicates(placed, also=("_place",), **options)
-    chosen = found.groupBy("centre").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_place")).alias("first")).select("first._place")
-    return placed.join(chosen, "_place", "left_semi").select("_row.*")
-
-
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
