@@ -15,6 +15,7 @@ itself; an empty table gives no rows.
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,8 @@ from .common import BLANK, documents, few_texts
 
 WINDOW, SAMPLE_ROWS = 5, 1000
 LEAST_WORDS, MOST_REPEATED_PERCENT = 10, 20
-
+#: Letters of scripts that are written without blanks between words.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]"
 
 
 def _count(pattern: str) -> Column:
@@ -52,6 +54,20 @@ def default_rules() -> dict[str, Column]:
     }
 
 
+def pipeline_rules() -> dict[str, Column]:
+    """The default rules without one against long texts, and with a word for each letter of UNSPACED where they ask
+    for words that blanks should part. op6 keeps the default rules, which its SQL fixes."""
+    n, rules = F.col("n_units"), default_rules()
+    del rules["too_many_words"]
+    return rules | {"long_words": F.col("word_chars") > 15 * n, "symbols": 10 * F.col("n_symbols") > 3 * n, "exclamations": 10 * _count("!") > 3 * n}
+
+
+def with_units(featured: DataFrame) -> DataFrame:
+    """Adds n_units, n_words and the letters of UNSPACED, and asks the base rule's least number of it."""
+    base = (F.col("n_units") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
+    return featured.withColumn("n_units", F.col("n_words") + _count(UNSPACED)).withColumn("base_failed", base)
+
+
 def features(docs: DataFrame) -> DataFrame:
     """`docs` with text made non-null, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
 
@@ -86,9 +102,9 @@ def features(docs: DataFrame) -> DataFrame:
     return df.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words")))
 
 
-def rule_order(texts: DataFrame, rules: dict[str, Column]) -> list[str]:
+def rule_order(texts: DataFrame, rules: dict[str, Column], featured: Callable[[DataFrame], DataFrame] = features) -> list[str]:
     """Rules by descending rejections per cost, both estimated on a table of sample texts."""
-    sample = features(texts).cache()
+    sample = featured(texts).cache()
     try:
         rejected = sample.agg(F.count("*").alias("_n"), *(F.count_if(rule).alias(name) for name, rule in rules.items())).first()
 
@@ -113,16 +129,20 @@ def cascade(featured: DataFrame, order: list[str], rules: dict[str, Column]) ->
     return featured.withColumn("rejected_by", case).withColumn("kept", F.col("rejected_by").isNull())
 
 
-def judge_quality(docs: DataFrame, rules: dict[str, Column] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def judge_quality(docs: DataFrame, rules: dict[str, Column] | None = None, sample_rows: int = SAMPLE_ROWS, featured: Callable[[DataFrame], DataFrame] = features) -> DataFrame:
     """`docs` with the features, base_failed, rejected_by and kept."""
     rules = default_rules() if rules is None else rules
     texts = docs.sparkSession.createDataFrame([(t,) for t in few_texts(docs, sample_rows)], "text string")
-    return cascade(features(docs), rule_order(texts, rules), rules)
+    return cascade(featured(docs), rule_order(texts, rules, featured), rules)
 
 
 def passing(docs: DataFrame, rules: dict[str, Column] | None = None) -> DataFrame:
-    """The rows of `docs`, unchanged, that no rule rejects."""
-    judged = judge_quality(docs.select("text", F.struct("*").alias("_row")), rules)
+    """The rows of `docs`, unchanged, that no rule rejects; the rules are those of the pipeline unless given."""
+    rows = docs.select("text", F.struct("*").alias("_row"))
+    if rules is None:
+        judged = judge_quality(rows, pipeline_rules(), featured=lambda df: with_units(features(df)))
+    else:
+        judged = judge_quality(rows, rules)
     # A filter on `kept` alone would be moved below the features, with their expressions put in for their names again
     # and again. It isn't moved below a column that is not deterministic.
     return judged.withColumn("_at", F.monotonically_increasing_id()).filter("kept AND _at >= 0").select("_row.*")

@@ -26,7 +26,6 @@ words nor take part; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import U64, documents, few_texts, free_shuffles, mix, text_bytes, written
+from .common import U64, documents, free_shuffles, mix, text_bytes, written
 
 WINDOW, GRAM = 13, 5
 #: Occurrences that a task gathers before it settles and sends them.
@@ -183,11 +182,21 @@ def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
 
 
 def hot_anchors(docs: DataFrame, window: int, gram: int) -> np.ndarray:
-    """Anchors of many documents in a bounded sample; no more than its texts have anchors."""
-    texts = few_texts(docs.filter(F.col("doc_id").isNotNull()), SAMPLE_DOCS)
-    counts = Counter(x for t in texts for x in np.unique(Hashed(t.encode()).contexts(window, gram)[0]).tolist())
+    """Anchors of many documents in a sample by hash of all rows, long texts too; counted by Spark.
+
+    No more than its texts have anchors, divided by the documents that make one hot.
+    """
+    rows = docs.filter(F.col("doc_id").isNotNull())
+    one_in = max(1, rows.count() // SAMPLE_DOCS)
+    sample = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(one_in)) == 0).select("doc_id", text_bytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, text in texts_of(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(Hashed(text).contexts(window, gram)[0]).view(np.int64))], ["a"])
+
     least = max(8, int(SAMPLE_DOCS * HOT_SHARE))
-    return np.sort(np.array([x for x, n in counts.items() if n >= least], U64))
+    found = sample.mapInArrow(run, "a bigint").groupBy("a").count().filter(F.col("count") >= least).select("a").collect()
+    return np.sort(np.array([r.a for r in found], np.int64).view(U64))
 
 
 def anchor_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:

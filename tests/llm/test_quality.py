@@ -61,3 +61,17 @@ def test_order_never_changes_what_is_kept(spark, sf_dir):
 def test_main_path_is_native(spark, sf_dir):
     plan = quality.op6_quality_rules(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_pipeline_keeps_long_and_unspaced_texts(spark):
+    letters = str.maketrans("0123456789", "abcdefghij")
+    long = " ".join(f"v{i}".translate(letters) for i in range(1_000_001))
+    clean = {
+        1: "".join(chr(0x4E00 + i * 37 % 5000) for i in range(120)) + "。\n" + "".join(chr(0x4E00 + i * 41 % 5000) for i in range(150)) + "。",
+        2: "ひらがなとカタカナのことば、" * 3 + "あいうえおかきくけこさしすせそたちつてと。",
+        3: "".join(chr(0x0E01 + i * 7 % 46) for i in range(200)),
+        4: long,
+    }
+    bad = {5: " ".join(("xyz" * 9 + c) for c in "abcdefghijklmnop"), 6: "一二三"}
+    docs = spark.createDataFrame([*clean.items(), *bad.items()], "doc_id long, text string")
+    assert sorted(r.doc_id for r in quality.passing(docs).collect()) == [1, 2, 3, 4]

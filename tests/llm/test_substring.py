@@ -66,3 +66,13 @@ def test_odd_rows(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as doc", "2 as place", "'k' as kind")
     assert result(substring.remove_repeats(df)) == brute(docs)
     assert substring.remove_repeats(df.limit(0)).collect() == []
+
+
+def test_hot_anchors_of_later_rows_and_long_texts(spark):
+    passage = " ".join(f"p{i}" for i in range(13))
+    rows = [(i, f"alone {i} " * 10) for i in range(2500)]
+    rows += [(i, f"a{i} {passage} b{i} " + (f"c{i} " * 15000 if i % 100 == 0 else "")) for i in range(2500, 4000)]
+    late = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    anchors = set(substring.Hashed(passage.encode()).contexts(13, substring.GRAM)[0].tolist())
+    assert anchors <= set(substring.hot_anchors(late, 13, substring.GRAM).tolist())
+    assert anchors <= set(substring.hot_anchors(late.filter("length(text) > 50000").union(late.filter("doc_id < 5")), 13, substring.GRAM).tolist())
