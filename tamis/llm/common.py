@@ -40,24 +40,59 @@ def text_bytes(text: str = "text") -> Column:
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A new folder name below spark.checkpoint.dir, the folder that driver and executors share."""
+    """A new folder name below spark.checkpoint.dir, the folder that driver and executors share.
+
+    Where that is unset, a local session gets a temporary folder of its own; on a cluster it's an error, for each
+    machine would write to its own disk.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
-        root = tempfile.mkdtemp(prefix="tamis-")  # unset only in single-machine sessions such as tests
+        root = tempfile.mkdtemp(prefix="tamis-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/tamis-{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df, computed once into a shared Parquet table: cuts the lineage and survives lost executors."""
+#: Has Spark delete an execution's shuffle files at its end rather than when the driver happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """df, computed once into a Parquet table at `path`: cuts the lineage and survives lost executors.
+
+    What its plan shuffled is deleted when the table is written, so df isn't to be used again.
+    """
     spark = df.sparkSession
-    path = scratch_dir(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df, stored in a new folder of the shared one."""
+    return stored(df, scratch_dir(df.sparkSession, label))
+
+
+def file_system(uri: str):
+    """(file system, path) of a folder; the scheme decides (file, hdfs, s3, ...)."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+
+
+def deleted(path: str) -> None:
+    """Deletes a stored table that nothing reads any more."""
+    files, root = file_system(path)
+    files.delete_dir(root)
+
+
 def few_texts(docs: DataFrame, rows: int, most_bytes: int = 100_000) -> list[str]:
     """Up to `rows` texts of at most `most_bytes` each, from the first partitions that have them.
 

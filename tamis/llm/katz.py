@@ -1,27 +1,28 @@
 """Katz backoff language model: Good-Turing discounted counts, exactly normalised backoff weights.
 
-The model. Tokens are a text's lower-cased words and one end. A word with at least VOCABULARY_SHARE of all training
-tokens is a type of its own, of which there can be no more than 1 / VOCABULARY_SHARE; all other words, and words never
-seen, are members of one further type, `rare`. A rare word's probability is that of the type `rare` in its place
-times its own share of it. For types, with c their counts, d Good-Turing discounts and P1 the unigram model:
+The model. Tokens are a text's lower-cased words and one end; the first ones follow order - 1 begins. With c their
+counts, d Good-Turing discounts by order, h a history of n - 1 tokens and h' the same without its first:
 
-    P(w | h) = d(c(h, w)) * c(h, w) / c(h)    if h w was seen, else    a(h) * P1(w)
-    a(h)     = (1 - sum of the discounted shares after h) / (1 - sum of P1 over what was seen after h)
+    Pn(w | h) = d(c(h, w)) * c(h, w) / c(h)    if h w was seen, else    a(h) * Pn-1(w | h')
+    a(h)      = (1 - sum of the discounted shares after h) / (1 - sum of Pn-1 over what was seen after h)
 
-which sums to 1 over all types for every h, and P1 sums to 1 over all words and one never-seen word. Where counts are
-too few for Good-Turing estimates, absolute discounts take their place; where every count after h is beyond
-discounting, one more count is set aside for the unseen.
+so that Pn(. | h) sums to 1 for every h; an unseen h has a(h) = 1. P1 sums to 1 over all training words, the end and
+one never-seen word, which gets what the discounts leave. Where counts are too few for Good-Turing estimates, absolute
+discounts take their place; where every count after h is beyond discounting, one more count is set aside for the
+unseen. Every word is a type of its own and every n-gram is counted, whatever the input's size.
 
-The tables. Word counts and type-pair counts of all training texts are aggregated in Spark, after each task has
-counted what it reads, and written partitioned by order. A row also says by how much the logarithm of the
-probability is above what the backoff alone gives. Scoring gives every token its backoff value from the tables of
-types (bounded, broadcast); what the text's pairs and rare words gain on it is looked up: pairs with at least
-FREQUENT_SHARE of all tokens in a broadcast table, of which there can be no more than 1 / FREQUENT_SHARE, all others
-by a shuffled join in which, for that reason, no key is hot.
+The tables, all written to the shared folder by order and hashed by n-gram: probabilities (w1 .. wn, p) and backoff
+weights (w1 .. wn-1, log_backoff). Counts of the highest order are added up in each task before they travel; lower
+orders are their marginal sums. A word is a number: its place among the frequent words (at least FREQUENT_SHARE of all
+tokens, so there are at most 1 / FREQUENT_SHARE, known to every task), else a 64-bit hash, which only codes it.
+
+Scoring recurses by joins: all n-grams of the texts meet the table of the highest order; those not found take up their
+history's weight and meet the next lower order without their first word. An n-gram in very many texts is one row per
+text on one side of such a join and one row on the other, which adaptive execution splits.
 
 Cases: a null or empty text is one end; without training texts every token is a never-seen word; repeated rows are
-counted and scored each for itself; a null doc_id counts as the empty string when texts are dealt to training; an
-empty table gives no rows.
+counted and scored each for itself; a null doc_id counts as the empty string when texts are dealt to training; very
+long texts are scored whole; extra columns of any name are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,14 +37,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import LOWER_BYTES, documents, free_shuffles, scratch_dir, text_bytes
+from .common import LOWER_BYTES, deleted, documents, scratch_dir, stored, text_bytes
 
-VOCABULARY_SHARE, FREQUENT_SHARE = 1 / 500_000, 1 / 8_000_000  # so at most 128 MB of frequent pairs
+ORDER, FREQUENT_SHARE = 3, 1 / 500_000
 DISCOUNTED = 5  # counts up to this one are discounted
-BATCH_TOKENS = 3_000_000
-#: Types that are not words, before the words' own numbers.
-BEGIN, END, RARE, FIRST_WORD = 0, 1, 2, 3
-SHIFT = 20  # a pair's key: history << SHIFT | type
+BATCH_TOKENS = 2_000_000
+#: Tokens that are not words, before the frequent words' own numbers. NONE fills up the key of what is no n-gram.
+NONE, BEGIN, END, FIRST_WORD = -1, 0, 1, 2
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -51,12 +51,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def word_key(word: bytes) -> int:
-    """Key of a word: negative, so that it's never a pair's key. As `key_of_word` in Spark."""
-    return -1 - (xxh64_intdigest(word, 42) >> 1)
+    """Number of a word that is not frequent: below NONE. As `key_of_word` in Spark."""
+    return -2 - (xxh64_intdigest(word, 42) >> 1)
 
 
 def key_of_word(word: str) -> Column:
-    return -1 - F.shiftrightunsigned(F.xxhash64(word), 1)
+    return -2 - F.shiftrightunsigned(F.xxhash64(word), 1)
 
 
 def discounts(n: dict[int, int], k: int = DISCOUNTED) -> list[float]:
@@ -76,44 +76,58 @@ def discounted(count: Column, d: list[float]) -> Column:
     return F.element_at(F.array(*map(F.lit, [*d[1:], 1.0])), F.least(count, F.lit(len(d))).cast("int")) * count
 
 
+def count_of_counts(table: DataFrame) -> dict[int, int]:
+    return {r.c: r.n for r in table.filter(F.col("c") <= DISCOUNTED + 1).groupBy("c").agg(F.count("*").alias("n")).collect()}
+
+
+def names(n: int) -> list[str]:
+    return [f"w{i}" for i in range(1, n + 1)]
+
+
 @dataclass
-class Types:
-    """What every task knows: the types and the unigram and backoff logarithms."""
+class Vocabulary:
+    """What every task knows: the frequent words' numbers and counts."""
 
     number: dict[bytes, int]
-    count: np.ndarray  # by type
-    log_p1: np.ndarray  # of a type; for RARE, of a word never seen, before anything is known about the word
-    log_backoff: np.ndarray | None = None  # by history
-    frequent: np.ndarray | None = None  # sorted keys of frequent pairs
-    gain: np.ndarray | None = None
-    never: float = 0.0  # what a token of type RARE is worth more than its type, if the word was never seen
-
-    def ids(self, text: bytes) -> tuple[np.ndarray, list[bytes]]:
-        """Types of a text's tokens, and its words."""
+    count: np.ndarray  # by number; 0 for BEGIN
+
+    def tokens(self, text: bytes) -> np.ndarray:
         words = text.translate(LOWER_BYTES).split()
         get = self.number.get
-        return np.array([*(get(w, RARE) for w in words), END], np.int64), words
+        return np.array([*(get(w) or word_key(w) for w in words), END], np.int64)
+
 
+def grams(tokens: np.ndarray, order: int) -> list[np.ndarray]:
+    """The columns w1 .. wn of the n-grams that end at each token."""
+    padded = np.r_[np.full(order - 1, BEGIN), tokens]
+    return [padded[k : k + len(tokens)] for k in range(order)]
 
-def pairs(ids: np.ndarray) -> np.ndarray:
-    return np.r_[BEGIN, ids[:-1]] << SHIFT | ids
 
+def counted(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of the columns, in order, and how often each occurs."""
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    new = np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns])] if len(order) else np.empty(0, bool)
+    at = np.flatnonzero(new)
+    return [c[at] for c in columns], np.diff(np.r_[at, len(order)])
 
-def added_up(docs: DataFrame, tokens_of, kind: pa.DataType, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
-    """(token, c): counts of what `tokens_of` finds in texts, each task's own counts added up before they travel."""
+
+def word_counts(docs: DataFrame, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
+    """(token, c): counts of words and, as the empty word, of ends; each task adds up its own before they travel."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         size = 0
 
         def added() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(counts.keys(), kind, size=len(counts)), pa.array(counts.values(), pa.int64(), size=len(counts))], ["token", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary(), size=len(counts)), pa.array(counts.values(), pa.int64(), size=len(counts))], ["token", "c"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                found = tokens_of(text)
-                counts.update(found)
-                size += len(found)
+                words = text.translate(LOWER_BYTES).split()
+                counts.update(words)
+                counts[b""] += 1
+                size += len(words) + 1
                 if size >= batch_tokens:
                     yield added()
                     counts.clear()
@@ -121,151 +135,174 @@ def added_up(docs: DataFrame, tokens_of, kind: pa.DataType, batch_tokens: int =
         if counts:
             yield added()
 
-    schema = f"token {'binary' if kind == pa.binary() else 'bigint'}, c bigint"
-    return docs.select(text_bytes()).mapInArrow(run, schema).groupBy("token").agg(F.sum("c").alias("c"))
+    return docs.select(text_bytes()).mapInArrow(run, "token binary, c bigint").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-def count_of_counts(table: DataFrame) -> dict[int, int]:
-    return {r.c: r.n for r in table.filter(F.col("c") <= DISCOUNTED + 1).groupBy("c").agg(F.count("*").alias("n")).collect()}
+def gram_counts(docs: DataFrame, vocabulary, order: int, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
+    """(w1 .. wn, c) of all n-grams; each task adds up its own before they travel."""
+    fields = names(order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        size = 0
+
+        def added() -> pa.RecordBatch:
+            columns, c = counted([np.concatenate(x) for x in zip(*held)])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (*columns, c)], [*fields, "c"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                held.append(grams(vocabulary.value.tokens(text), order))
+                size += len(held[-1][0])
+                if size >= batch_tokens:
+                    yield added()
+                    held, size = [], 0
+        if held:
+            yield added()
+
+    found = docs.select(text_bytes()).mapInArrow(run, ", ".join(f"{w} bigint" for w in [*fields, "c"]))
+    return found.groupBy(*fields).agg(F.sum("c").alias("c"))
 
 
 @dataclass
 class Model:
-    types: Types
-    tables: DataFrame  # key, gain, base_gain: what a pair or rare word adds to the backoff value
+    order: int
+    vocabulary: Vocabulary
+    words: DataFrame  # w1, c, p
+    probabilities: dict[int, DataFrame]  # n -> w1 .. wn, p
+    backoff: dict[int, DataFrame]  # n -> w1 .. wn-1, log_backoff
+    never: float  # P1 of a never-seen word
     tokens: int
-    vocabulary: int  # distinct training tokens
+    types: int  # distinct training tokens
     path: str
 
 
-def train(docs: DataFrame, vocabulary_share: float = VOCABULARY_SHARE, frequent_share: float = FREQUENT_SHARE) -> Model:
+def train(docs: DataFrame, order: int = ORDER, frequent_share: float = FREQUENT_SHARE) -> Model:
     """Counts all texts of `docs` and writes the model's tables to the shared folder."""
+    if order < 2:
+        raise ValueError("the order must be 2 at least")
     spark: SparkSession = docs.sparkSession
     path = scratch_dir(spark, "katz")
-    end = b""  # no word is empty
-    added_up(docs, lambda text: [*text.translate(LOWER_BYTES).split(), end], pa.binary()).write.parquet(f"{path}/counts/order=1")
-    free_shuffles(spark)
-    words = spark.read.schema("token binary, c long").parquet(f"{path}/counts/order=1")
-    total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    n, d1 = total.n, discounts(count_of_counts(words))
-    least = n * vocabulary_share
-    is_end = F.octet_length("token") == 0
-    frequent = words.filter((F.col("c") >= least) & ~is_end).collect()  # at most 1 / vocabulary_share
-    order = sorted((-r.c, bytes(r.token)) for r in frequent)
-    number = {w: FIRST_WORD + i for i, (_, w) in enumerate(order)}
-    end_count = words.filter(is_end).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    count = np.zeros(FIRST_WORD + len(order), np.int64)
-    count[END], count[FIRST_WORD:] = end_count, [-c for c, _ in order]
+    counts = stored(word_counts(docs), f"{path}/word-counts")
+    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    n, d1 = total.n, discounts(count_of_counts(counts))
+    is_frequent, is_end = F.col("c") >= n * frequent_share, F.octet_length("token") == 0
+    frequent = sorted((-r.c, bytes(r.token)) for r in counts.filter(is_frequent & ~is_end).collect())  # at most 1 / frequent_share
+    ends = counts.filter(is_end).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    count = np.array([0, ends, *(-c for c, _ in frequent)], np.int64)
+    vocabulary = Vocabulary({w: FIRST_WORD + i for i, (_, w) in enumerate(frequent)}, count)
 
     # Unigrams: the mass that discounts leave is a never-seen word's; one more count if they leave none.
-    seen = words.agg(F.coalesce(F.sum(discounted(F.col("c"), d1)), F.lit(0.0))).first()[0]
-    scale = n if seen < n else n + 1
-    d_by_count = np.array([*d1, 1.0])
-    p1 = d_by_count[np.minimum(count, DISCOUNTED + 1)] * count / max(1, scale)
-    p1[RARE] = max(0.0, 1 - p1.sum())  # rare words and never-seen ones together
-    never = (scale - seen) / scale if n else 1.0
-    with np.errstate(divide="ignore"):
-        types = Types(number, count, np.log10(p1))
-    if not n:
-        types.log_p1[END] = 0.0
-
-    shared = spark.sparkContext.broadcast(types)
-    added_up(docs, lambda text: pairs(shared.value.ids(text)[0]).tolist(), pa.int64()).write.parquet(f"{path}/counts/order=2")
-    free_shuffles(spark)
-    two = spark.read.schema("token long, c long").parquet(f"{path}/counts/order=2").withColumnRenamed("token", "key")
-    d2 = discounts(count_of_counts(two))
-    p1_of = spark.createDataFrame([(i, float(p)) for i, p in enumerate(p1)], "w int, p1 double")  # bounded as the types are
-    split = two.withColumn("h", F.shiftright("key", SHIFT).cast("int")).withColumn("w", F.col("key").bitwiseAND((1 << SHIFT) - 1).cast("int"))
-    valued = split.join(F.broadcast(p1_of), "w").withColumn("dc", discounted(F.col("c"), d2))
-    after = valued.groupBy("h").agg(F.sum("c").alias("n"), F.sum("dc").alias("dc"), F.sum("p1").alias("p1")).collect()  # a row per type
-    whole, log_backoff = np.zeros(len(count)), np.zeros(len(count))
-    for r in after:
-        whole[r.h] = r.n if r.dc < r.n * (1 - 1e-12) else r.n + 1
-        unseen = 1 - r.p1
-        if unseen > 1e-12:
-            log_backoff[r.h] = np.log10((1 - r.dc / whole[r.h]) / unseen)
-        else:  # nothing is unseen after h: its shares alone make up 1
-            whole[r.h] = r.dc
-    types.log_backoff = log_backoff
-
-    # Gains over backoff: of pairs, and of rare words over never-seen ones.
-    of = spark.createDataFrame([(i, float(w), float(b)) for i, (w, b) in enumerate(zip(whole, log_backoff))], "h int, whole double, backoff double")
-    gains = valued.join(F.broadcast(of), "h").select(
-        "key", "c", (F.log10(F.col("dc") / F.col("whole")) - F.col("backoff") - F.log10("p1")).alias("gain"), F.lit(0.0).alias("base_gain")
-    )
-    rare = words.filter((F.col("c") < least) & ~is_end)
-    rare = rare.select(key_of_word("token").alias("key"), "c", F.log10(discounted(F.col("c"), d1) / F.lit(max(1, scale) * never)).alias("gain"), F.log10((F.col("c") + 0.5) / 0.5).alias("base_gain"))
-    gains.write.parquet(f"{path}/gains/order=2")
-    rare.write.parquet(f"{path}/gains/order=1")
-    tables = spark.read.schema("key long, c long, gain double, base_gain double, order int").parquet(f"{path}/gains")
-    common = tables.filter((F.col("order") == 2) & (F.col("c") >= n * frequent_share)).select("key", "gain").toArrow().sort_by("key")  # at most 1 / frequent_share
-    types.frequent, types.gain = common["key"].to_numpy(), common["gain"].to_numpy()
-    # A rare token is worth log P(rare | h) + log P1(word) - log P1(rare); here for a never-seen word.
-    types.never = float(np.log10(never) - types.log_p1[RARE])
-    looked_up = tables.filter((F.col("order") == 1) | (F.col("c") < n * frequent_share)).select("key", "gain", "base_gain")
-    return Model(types, looked_up, n, total.v, path)
+    seen = counts.agg(F.coalesce(F.sum(discounted(F.col("c"), d1)), F.lit(0.0))).first()[0]
+    scale = n if seen < n * (1 - 1e-12) else n + 1
+    never = (scale - seen) / scale
+    coded = spark.createDataFrame([(i, int(c)) for i, c in enumerate(count) if c], "w1 long, c long")
+    words = counts.filter(~is_frequent & ~is_end).select(key_of_word("token").alias("w1"), "c").unionByName(coded)
+    words = stored(words.withColumn("p", discounted(F.col("c"), d1) / F.lit(float(scale))), f"{path}/probabilities/order=1")
+    deleted(f"{path}/word-counts")
+
+    shared = spark.sparkContext.broadcast(vocabulary)
+    by_order = {order: stored(gram_counts(docs, shared, order), f"{path}/counts/order={order}")}
+    for k in range(order - 1, 1, -1):  # the n-grams that end at each token, without their first words
+        lower = by_order[k + 1].groupBy(*(F.col(f"w{i + 1}").alias(f"w{i}") for i in range(1, k + 1))).agg(F.sum("c").alias("c"))
+        by_order[k] = stored(lower, f"{path}/counts/order={k}")
+    probabilities, backoff = {1: words.drop("c")}, {}
+    for k in range(2, order + 1):
+        history, suffix = names(k - 1), [f"w{i}" for i in range(2, k + 1)]
+        valued = by_order[k].withColumn("dc", discounted(F.col("c"), discounts(count_of_counts(by_order[k]))))
+        lower = probabilities[k - 1].select(*(F.col(f"w{i - 1}").alias(f"w{i}") for i in range(2, k + 1)), "p")
+        after = valued.join(lower, suffix).groupBy(*history)
+        sums = after.agg(F.sum("c").alias("c"), F.sum("dc").alias("dc"), F.sum("p").alias("p"))
+        whole = F.when(F.col("dc") < F.col("c") * (1 - 1e-12), F.col("c")).otherwise(F.col("c") + 1)
+        weights = sums.select(*history, whole.alias("whole"), F.log10((1 - F.col("dc") / whole) / (1 - F.col("p"))).alias("log_backoff"))
+        backoff[k] = stored(weights, f"{path}/backoff/order={k}")
+        p = valued.join(backoff[k], history).select(*names(k), (F.col("dc") / F.col("whole")).alias("p"))
+        probabilities[k] = stored(p, f"{path}/probabilities/order={k}")
+        deleted(f"{path}/counts/order={k}")
+    return Model(order, vocabulary, words, probabilities, backoff, never, n, total.v, path)
+
+
+def asked(docs: DataFrame, model: Model) -> DataFrame:
+    """Per text and n-gram of it: w1 .. wn, row, times; per word that isn't frequent the same with NONE after w1; and
+    per text one row with what is known of it already (`about`), its number in place of words.
+
+    The rows of one text have its number, which holds for the one run that this plan is part of.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model.vocabulary)
+    n, v, order = model.tokens, model.types, model.order
+    kind = docs.schema["doc_id"].dataType
+    about = f"struct<doc_id:{kind.simpleString()},n_tokens:bigint,n_known:bigint,base_score:double>"
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = shared.value
+        base = np.log10((vocabulary.count + 0.5) / (n + 0.5 * (v + 1)))
+        unknown = np.log10(0.5 / (n + 0.5 * (v + 1)))
+
+        def rows(held: list, known: list, doc_ids: list, key: pa.DataType) -> pa.RecordBatch:
+            columns, times = counted([np.concatenate(x) for x in zip(*held)])
+            at, n_tokens, n_known, score = map(np.array, zip(*known))
+            fill = [np.full(len(at), NONE)] * (order - 1)
+            facts = pa.StructArray.from_arrays([pa.array(doc_ids, key), pa.array(n_tokens), pa.array(n_known), pa.array(score)], ["doc_id", "n_tokens", "n_known", "base_score"])
+            facts = pa.concat_arrays([pa.nulls(len(times), facts.type), facts])
+            numbers = [np.r_[a, b] for a, b in zip((*columns, times), (at, *fill, at, np.zeros(len(at), np.int64)))]
+            return pa.RecordBatch.from_arrays([*map(pa.array, numbers), facts], [*names(order), "row", "times", "about"])
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Per row: doc_id, n_tokens, n_known, base_score, score (log10 probability of the text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model.types)
-    n, v = model.tokens, model.vocabulary
-    rows = docs.select("doc_id", text_bytes(), F.monotonically_increasing_id().alias("row"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["row", "doc_id", "n_tokens", "n_known", "base_score", "score"]
-
-    def backed_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Values from what every task knows: all tokens by backoff, frequent pairs by their gain."""
-        t = shared.value
-        base = np.log10((t.count + 0.5) / (n + 0.5 * (v + 1)))
-        for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for text in batch.column(1).to_pylist():
-                ids, _ = t.ids(text)
-                key = pairs(ids)
-                value = (t.log_p1[ids] + t.log_backoff[key >> SHIFT]).sum() + t.never * (ids == RARE).sum()
-                if len(t.frequent):
-                    at = np.minimum(np.searchsorted(t.frequent, key), len(t.frequent) - 1)
-                    value += t.gain[at[t.frequent[at] == key]].sum()
-                for column, x in zip(out, (len(ids), int((t.count[ids] > 0).sum()), float(base[ids].sum()), float(value))):
-                    column.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), *(pa.array(x, k) for x, k in zip(out, kinds))], names)
-
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key, row, times) of the pairs and rare words that have to be looked up."""
-        t = shared.value
         for batch in batches:
-            held: list[tuple] = []
-            for text, row in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                ids, words = t.ids(text)
-                key = pairs(ids)
-                if len(t.frequent):
-                    at = np.minimum(np.searchsorted(t.frequent, key), len(t.frequent) - 1)
-                    key = key[t.frequent[at] != key]
-                rare = np.array([word_key(words[i]) for i in np.flatnonzero(ids == RARE).tolist()], np.int64)
-                key, times = np.unique(np.r_[key, rare], return_counts=True)
-                held.append((key, np.full(len(key), row), times.astype(np.int32)))
-                if len(held) >= 200:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], ["key", "row", "times"])
-                    held = []
+            held, known, doc_ids, size = [], [], [], 0
+            for doc_id, text, row in zip(*(c.to_pylist() for c in batch.columns)):
+                tokens = vocabulary.tokens(text)
+                rare = tokens[tokens < NONE]
+                often = tokens[tokens > NONE]
+                known.append((row, len(tokens), int((vocabulary.count[often] > 0).sum()), float(base[often].sum() + unknown * len(rare))))
+                doc_ids.append(doc_id)
+                held.append([*grams(tokens, order), np.full(len(tokens), row)])
+                held.append([rare, *[np.full(len(rare), NONE)] * (order - 1), np.full(len(rare), row)])
+                size += len(tokens)
+                if size >= BATCH_TOKENS:
+                    yield rows(held, known, doc_ids, batch.column(0).type)
+                    held, known, doc_ids, size = [], [], [], 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], ["key", "row", "times"])
-
-    known = rows.mapInArrow(backed_off, f"row bigint, doc_id {kind}, n_tokens bigint, n_known bigint, base_score double, score double")
-    found = rows.mapInArrow(asked, "key bigint, row bigint, times int").join(model.tables, "key")
-    gained = found.groupBy("row").agg(
-        F.sum(F.col("times") * F.col("gain")).alias("gain"),
-        F.sum(F.col("times") * F.col("base_gain")).alias("base_gain"),
-        F.sum(F.when(F.col("key") < 0, F.col("times")).otherwise(0)).alias("rare_known"),
-    )
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return known.join(gained, "row", "left").select(
+                yield rows(held, known, doc_ids, batch.column(0).type)
+
+    numbered = docs.select("doc_id", text_bytes(), F.monotonically_increasing_id().alias("row"))
+    return numbered.mapInArrow(run, ", ".join(f"{w} bigint" for w in [*names(order), "row", "times"]) + f", about {about}")
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """Per row: doc_id, n_tokens, n_known, base_score, score (log10 probability of the text)."""
+    path = scratch_dir(docs.sparkSession, "katz-scores")
+    pending, parts = asked(docs, model).withColumn("value", F.lit(0.0)), []
+    for k in range(model.order, 0, -1):
+        words = names(k)
+        met = pending.join(model.probabilities[k], words, "left")
+        found = F.col("p").isNotNull()
+        value = F.col("value") + F.when(found, F.col("times") * F.log10("p")).otherwise(0.0 if k > 1 else F.col("times") * F.lit(float(np.log10(model.never))))
+        sums = [F.sum(value).alias("value"), F.sum("times").alias("times")] + [F.max("about").alias("about")] * (k == model.order)
+        if k == 1:
+            parts.append(met.groupBy("row").agg(*sums).select("row", "value"))
+            break
+        # What is found adds up to a row per text, the rest goes on.
+        table = stored(met.groupBy("row", *(F.when(~found, F.col(w)).alias(w) for w in words)).agg(*sums), f"{path}/order={k}")
+        if k == model.order:
+            about = table.filter("about IS NOT NULL").select("row", "about.*")
+            rare = table.filter(f"w2 = {NONE} AND about IS NULL").select("w1", "row", "times").join(model.words, "w1")
+            n, half = F.sum("times").alias("known"), F.sum(F.col("times") * F.log10((F.col("c") + 0.5) / 0.5)).alias("gain")
+            rare = rare.groupBy("row").agg(n, half)
+            table = table.filter(f"w2 IS NULL OR w2 <> {NONE}")
+        parts.append(table.filter("w1 IS NULL").select("row", "value"))
+        left = table.filter("w1 IS NOT NULL").join(model.backoff[k].drop("whole"), names(k - 1), "left")
+        value = (F.col("value") + F.col("times") * F.coalesce("log_backoff", F.lit(0.0))).alias("value")
+        pending = left.select(*(F.col(f"w{i}").alias(f"w{i - 1}") for i in range(2, k + 1)), "row", "times", value)
+    values = parts[0]
+    for part in parts[1:]:
+        values = values.unionByName(part)
+    values = values.groupBy("row").agg(F.sum("value").alias("score"))
+    return about.join(values, "row").join(rare, "row", "left").select(
         "doc_id",
         "n_tokens",
-        (F.col("n_known") + zero("rare_known")).alias("n_known"),
-        (F.col("base_score") + zero("base_gain")).alias("base_score"),
-        (F.col("score") + zero("gain")).alias("score"),
+        (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
+        (F.col("base_score") + F.coalesce("gain", F.lit(0.0))).alias("base_score"),
+        "score",
     )
 
 

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, scratch_dir, written
+from .common import documents, file_system, scratch_dir, written
 from .tokens import WORD_BPE, encoder, in_groups
 
 END_ID = 1
@@ -70,13 +70,6 @@ def unframe(data: bytes) -> tuple[int | None, bytes]:
     return None if flags & 1 else doc_id, np.frombuffer(ids, "<u2").astype("<u4").tobytes() if flags & 2 else ids
 
 
-def file_system(uri: str):
-    """(file system, path) of a folder; the scheme decides (file, hdfs, s3, ...)."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-
-
 def write_records(docs: DataFrame, path: str, tokenizer: str = WORD_BPE, end_id: int = END_ID) -> DataFrame:
     """Writes `docs` (doc_id, text) to record files below `path`; returns their manifest, one row per file."""
     end = np.array([end_id], "<u4").tobytes()

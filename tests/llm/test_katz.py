@@ -14,68 +14,55 @@ def words(text):
 
 
 class Plain:
-    """The same model from dictionaries; p(w, h) recurses to the unigrams as written in the module's text."""
+    """The same model from dictionaries; p(h, w) recurses as written in the module's text."""
 
-    def __init__(self, texts, share):
+    def __init__(self, texts, order):
+        self.order = order
         tokens = [[*words(t), None] for t in texts]
         self.c = Counter(w for t in tokens for w in t)
         self.n = sum(self.c.values())
-        self.types = {w for w, c in self.c.items() if w is not None and c >= self.n * share} | {None}
+        dc = lambda c, d: (d[c] if c < len(d) else 1.0) * c
         d1 = katz.discounts(Counter(self.c.values()))
-        self.dc = lambda c, d: (d[c] if c < len(d) else 1.0) * c
-        seen = sum(self.dc(c, d1) for c in self.c.values())
-        scale = self.n if seen < self.n else self.n + 1
-        self.word = {w: self.dc(c, d1) / scale for w, c in self.c.items()}
+        seen = sum(dc(c, d1) for c in self.c.values())
+        scale = self.n if seen < self.n * (1 - 1e-12) else self.n + 1
+        self.p1 = {w: dc(c, d1) / scale for w, c in self.c.items()}
         self.never = (scale - seen) / scale
-        self.p1 = {w: self.word[w] for w in self.types}
-        self.p1["<rare>"] = 1 - sum(self.p1.values())
-        pairs = Counter((h, w) for t in tokens for h, w in zip(["<s>", *map(self.type, t)], map(self.type, t)))
-        d2 = katz.discounts(Counter(pairs.values()))
-        after = defaultdict(dict)
-        for (h, w), c in pairs.items():
-            after[h][w] = c
         self.share, self.back = {}, {}
-        for h, found in after.items():
-            n, dc = sum(found.values()), {w: self.dc(c, d2) for w, c in found.items()}
-            whole = n if sum(dc.values()) < n * (1 - 1e-12) else n + 1
-            unseen = 1 - sum(self.p1[w] for w in found)
-            if unseen <= 1e-12:
-                whole = sum(dc.values())
-            self.share[h] = {w: x / whole for w, x in dc.items()}
-            self.back[h] = (1 - sum(self.share[h].values())) / unseen if unseen > 1e-12 else 0
-
-    def type(self, w):
-        return w if w in self.types else "<rare>"
-
-    def p(self, w, h):
+        for k in range(2, order + 1):
+            counts = Counter(g for t in tokens for g in self.grams(t, k))
+            d = katz.discounts(Counter(counts.values()))
+            after = defaultdict(dict)
+            for g, c in counts.items():
+                after[g[:-1]][g[-1]] = c
+            for h, found in after.items():
+                n, total = sum(found.values()), sum(dc(c, d) for c in found.values())
+                whole = n if total < n * (1 - 1e-12) else n + 1
+                unseen = 1 - sum(self.p(h[1:], w) for w in found)
+                self.share[h] = {w: dc(c, d) / whole for w, c in found.items()}
+                self.back[h] = (1 - total / whole) / unseen
+
+    @staticmethod
+    def grams(tokens, k):
+        padded = ["<s>"] * (k - 1) + tokens
+        return [tuple(padded[i : i + k]) for i in range(len(tokens))]
+
+    def p(self, h, w):
+        if not h:
+            return self.p1.get(w, self.never)
         if w in self.share.get(h, {}):
             return self.share[h][w]
-        return self.back.get(h, 1.0) * self.p1[w]
+        return self.back.get(h, 1.0) * self.p(h[1:], w)
 
     def score(self, text):
-        total, h = 0.0, "<s>"
-        for w in [*words(text), None]:
-            t = self.type(w)
-            total += math.log10(self.p(t, h) * (self.word.get(w, self.never) / self.p1["<rare>"] if t == "<rare>" else 1))
-            h = t
-        return total
+        return sum(math.log10(self.p(g[:-1], g[-1])) for g in self.grams([*words(text), None], self.order))
 
     def base(self, text):
         return sum(math.log10((self.c.get(w, 0) + 0.5) / (self.n + 0.5 * (len(self.c) + 1))) for w in [*words(text), None])
 
 
-@pytest.mark.parametrize("share, frequent", [(1 / 500_000, 1 / 1_000_000), (1 / 2000, 1 / 1000), (0.9, 0.5)])
-def test_same_as_the_plain_model(spark, sf_dir, share, frequent):
-    docs = documents(spark, sf_dir)
-    rows = [(r.doc_id, r.text) for r in docs.collect()]
-    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
-    plain = Plain(train, share)
-    for h in [*list(plain.share)[:40], "never a history"]:
-        assert abs(sum(plain.p(w, h) for w in plain.p1) - 1) < 1e-9
-    assert abs(sum(plain.word.values()) + plain.never - 1) < 1e-9
-    model = katz.train(docs.filter(~katz.held_out()), share, frequent)
-    assert (model.tokens, model.vocabulary) == (plain.n, len(plain.c))
-    got = {r.doc_id: r for r in katz.score(docs, model).collect()}
+def check(plain, rows, found):
+    got = {r.doc_id: r for r in found}
+    assert len(got) == len(found) == len(rows)
     for i, text in rows:
         w = [*words(text), None]
         assert (got[i].n_tokens, got[i].n_known) == (len(w), sum(x in plain.c for x in w))
@@ -83,19 +70,44 @@ def test_same_as_the_plain_model(spark, sf_dir, share, frequent):
         assert math.isclose(got[i].score, plain.score(text), rel_tol=1e-9)
 
 
-def test_better_than_unigrams_on_held_out_texts(spark, sf_dir):
-    rows = [r for r in katz.op5_katz_scoring(spark, sf_dir).collect() if r.held_out]
-    assert rows and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 1) for r in rows)
-    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+@pytest.mark.parametrize("order, frequent", [(3, katz.FREQUENT_SHARE), (2, 1 / 300), (4, 0.9)])
+def test_same_as_the_plain_model(spark, sf_dir, order, frequent):
+    docs = documents(spark, sf_dir)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    plain = Plain([t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1], order)
+    for h in [*list(plain.share)[:: len(plain.share) // 40], ("never", "a history")[: order - 1]]:
+        assert abs(sum(plain.p(h, w) for w in plain.p1) + plain.p(h, "never seen") - 1) < 1e-9
+    model = katz.train(docs.filter(~katz.held_out()), order, frequent)
+    assert (model.tokens, model.types) == (plain.n, len(plain.c))
+    check(plain, rows, katz.score(docs, model).collect())
+
+
+def test_order_three_on_more_texts(spark):
+    """All of sf0.01 trains, where frequent words are a small part of all; every word is a type of its own."""
+    docs = documents(spark, "/root/testdata/sf0.01")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    plain = Plain([t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1], 3)
+    found = katz.score(docs, katz.train(docs.filter(~katz.held_out()), 3, 1 / 5000)).collect()
+    check(plain, rows, found)
+    unseen = [r for r in found if zlib.crc32(str(r.doc_id).encode()) % 5 == 1]
+    assert sum(r.score for r in unseen) > sum(r.base_score for r in unseen)
+
+
+def test_query(spark, sf_dir):
+    rows = katz.op5_katz_scoring(spark, sf_dir).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 1) for r in rows)
+    assert len(rows) == documents(spark, sf_dir).count() and {r.held_out for r in rows} == {True, False}
 
 
 def test_odd_rows(spark):
     rows = [(1, None), (None, "a b"), (2, ""), (2, "A b\x0bc"), (2, "A b\x0bc"), (3, "zz " * 20000)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as row", "'x' as key", "2 as c")
-    plain = Plain([t for _, t in rows], 1 / 500_000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as row", "'x' as key", "2 as c", "3 as w1", "4 as about")
+    plain = Plain([t for _, t in rows], 3)
     got = katz.score(docs, katz.train(docs)).collect()
     want = [(i, len(words(t)) + 1, round(plain.base(t), 6), round(plain.score(t), 6)) for i, t in rows]
     assert sorted(((r.doc_id, r.n_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got), key=str) == sorted(want, key=str)
     assert katz.score(docs.limit(0), katz.train(docs)).collect() == []
     untrained = katz.score(docs, katz.train(docs.limit(0))).collect()
     assert [r.score for r in untrained] == [0.0] * len(rows) and all(r.n_known == 0 for r in untrained)
+    with pytest.raises(ValueError):
+        katz.train(docs, 1)
