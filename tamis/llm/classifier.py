@@ -1,19 +1,30 @@
 """Quality classifier: heuristic labellers, a label model by expectation-maximisation, a hashed linear scorer.
 
 Two questions are asked of each text, each by its own set of overlapping labellers: is it of low quality, and is it
-toxic? A labeller votes +1 (yes), -1 (no) or 0 (abstains). The label model takes the labellers as independent given
-the unknown answer; expectation-maximisation estimates each one's accuracies and the share of yes. It needs only how
-often each pattern of votes occurs, which Spark counts over all texts. The posterior of each text's pattern then
-labels a bounded sample of texts (TRAIN_DOCS, chosen by hash), on which a logistic scorer over hashed words is
-trained; every whole text is scored. A text is kept unless the label model or the scorer finds either fault.
-
-Cases: a null or empty text is of low quality by its labellers; repeated rows are judged each for itself, and the
-sample takes all rows of a doc_id; an empty table gives no rows; null doc_ids are scored but never train.
+toxic? A labeller votes yes, no, or abstains. The label model takes the labellers as independent given the unknown
+answer; expectation-maximisation estimates how often each one gives each of the three votes on both kinds of text, and
+the share of yes, starting from the majority of votes. It needs only how often each pattern of votes occurs, which
+Spark counts over all texts; what is believed beforehand has the weight of PSEUDO texts. The posterior of each text's
+pattern then labels a bounded sample of texts (TRAIN_DOCS, chosen by hash), on which a logistic scorer over hashed
+words and beginnings of words is trained; every whole text is scored. A text is kept unless the label model or the
+scorer finds either fault.
+
+Labelled rows, if there are any, do two things, from a bounded sample of them (LABELLED_DOCS rows, chosen by hash from
+those whose crc32(doc_id as text) is even; the others are kept apart for tests). Words and beginnings of words that are far more frequent in toxic texts make up a
+lexicon, in whatever language, with their log odds; the sums of a text's entries, by kind and in all, are labellers of
+their own. And the labellers' rates on the sample have the weight LABELLED_SHARE against those inferred on all texts.
+
+Cases: a null or empty text is of low quality by its labellers; ties (a posterior of one half) count as a fault, equal
+hashes in a sample are told apart by nothing but the cap; repeated rows are judged each for itself; of very long texts
+every word is read; null doc_ids are judged but match no label; extra columns of any name are ignored; an empty table
+gives no rows; without labels, or with labels of one kind only, the lexicon is empty and the rates are inferred alone.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -23,16 +34,28 @@ from xxhash import xxh32_intdigest
 
 from .common import ALNUM_BYTES, documents, text_bytes
 
-DIMENSIONS, TRAIN_DOCS, ROUNDS = 1 << 18, 6000, 40
+DIMENSIONS, TRAIN_DOCS, LABELLED_DOCS, ROUNDS = 1 << 19, 6000, 4000, 40
 #: A text goes if the label model finds a fault more likely than not, or the scorer is this sure of one.
 SURE = 0.9
+#: Texts that the prior of a labeller's rates weighs as much as, and what it says of yes, abstain and no on texts that
+#: have the fault and on texts that don't.
+PSEUDO, PRIOR = 3.0, ((0.2, 0.4, 0.4), (0.4, 0.4, 0.2))
+#: Share of the labelled sample in the rates, where there is one.
+LABELLED_SHARE = 0.9
+#: The lexicon: labelled toxic texts with an entry at least, and its least log odds.
+LEXICON_TEXTS, LEXICON_ODDS = 3, 2.0
+#: Shares of labelled texts that aren't toxic below which a lexicon labeller says no, and above which it says yes.
+QUANTILES = 0.9, 0.99
+#: Bytes of a word's beginnings that are features besides the word.
+BEGINNINGS = (4, 7)
 
 #: Frequent function words of four languages.
 FUNCTION_WORDS = frozenset(
     "the of and to in a is that it for on with as was by this be are from or an at les des la le et un une du que qui dans est pour par sur au"
     " der die das und den von zu mit ist im dem nicht ein eine auf el los las y en que por con para su del".encode().split()
 )
-#: Common insults, in three lists that vote on their own.
+ENGLISH = frozenset(b"the of and to in a is that it for on with as was by this be are from or an at".split())
+#: Common English insults, in three lists that vote on their own.
 INSULTS = [
     frozenset(b"idiot moron imbecile fool dumb stupid dimwit cretin brainless halfwit".split()),
     frozenset(b"trash scum filth garbage vermin clown loser pig rat maggot".split()),
@@ -44,7 +67,7 @@ def _vote(yes: bool, no: bool) -> int:
     return 1 if yes else -1 if no else 0
 
 
-def low_quality_votes(text: bytes, words: list[bytes]) -> tuple[int, ...]:
+def low_quality_votes(text: bytes, words: list[bytes], evidence: np.ndarray) -> tuple[int, ...]:
     n, size = len(words), max(1, len(text))
     symbols = size - len(text.translate(None, b"#*$%&|<>{}\\~^=")) if text else 0
     capitals = len(text) - len(text.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
@@ -66,45 +89,83 @@ def low_quality_votes(text: bytes, words: list[bytes]) -> tuple[int, ...]:
     )
 
 
-def toxic_votes(text: bytes, words: list[bytes]) -> tuple[int, ...]:
-    hits = [sum(map(s.__contains__, words)) for s in INSULTS]
-    total, share = sum(hits), sum(hits) / max(1, len(words))
-    return (*(_vote(h > 0, True) for h in hits), _vote(total >= 2, True), _vote(share > 0.003, share < 0.001))
+def toxic_votes(text: bytes, words: list[bytes], evidence: np.ndarray) -> tuple[int, ...]:
+    """`evidence`: what the lexicon's labellers vote. The insults are English, so on texts without English function
+    words their absence says nothing."""
+    found = [sum(map(s.__contains__, words)) for s in INSULTS]
+    total, share = sum(found), sum(found) / max(1, len(words))
+    english = 20 * sum(map(ENGLISH.__contains__, words)) > len(words)
+    return (*(_vote(h > 0, english) for h in found), _vote(total >= 2, english and not total), _vote(share > 0.003, english and share < 0.001), *evidence)
 
 
 QUESTIONS: dict[str, Callable] = {"low_quality": low_quality_votes, "toxic": toxic_votes}
+LEXICON_QUESTION = "toxic"
+VOTES = "-0+"  # no, abstains, yes
 
 
-#: What is believed of a labeller before any text is seen: how often it votes yes on texts that are, and that aren't;
-#: and the weight of that belief against the texts seen. Labellers of different faults hardly ever agree, so a model
-#: without it takes the most frequent kind of fault for the only one.
-BELIEF, BELIEF_WEIGHT = (0.12, 0.001), 5.0
+def coded(votes: tuple[int, ...]) -> str:
+    return "".join(VOTES[v + 1] for v in votes)
 
 
-def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """P(yes) of each pattern of votes (rows of -1, 0, 1), by expectation-maximisation over the counted patterns.
+def one_hot(patterns: list[str]) -> np.ndarray:
+    """patterns x labellers x (yes, abstains, no)."""
+    at = np.array([[VOTES[::-1].index(v) for v in p] for p in patterns])
+    return np.eye(3)[at]
 
-    Estimates each labeller's rates of voting yes on both kinds of text (so its accuracies), with BELIEF as their
-    prior, and the share of yes. It starts from 'any labeller says yes', so that 'yes' keeps its meaning.
+
+@dataclass
+class LabelModel:
+    """log_odds: labellers x (yes, abstains, no), what a vote adds to the logarithm of the odds `prior` of yes."""
+
+    prior: float
+    log_odds: np.ndarray
+    known: dict[str, float] = field(default_factory=dict)
+
+    def p(self, pattern: str) -> float:
+        if pattern not in self.known:
+            z = self.prior + (one_hot([pattern])[0] * self.log_odds).sum()
+            self.known[pattern] = float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        return self.known[pattern]
+
+
+def label_model(counts: dict[str, float], labelled: tuple[dict[str, float], dict[str, float]] = ({}, {}), rounds: int = 300) -> LabelModel:
+    """Expectation-maximisation over counted patterns of votes.
+
+    `labelled` has the counts of patterns on texts known to be yes and known to be no. It starts from the majority of
+    each pattern's votes, so that 'yes' keeps its meaning.
     """
-    fires = patterns == 1
-    yes = np.where(fires.any(1), 0.9, 0.1)
+    patterns = sorted(counts)
+    if not patterns:
+        return LabelModel(0.0, np.zeros((0, 3)))
+    votes, n = one_hot(patterns), np.array([counts[p] for p in patterns], float)
+    lean = votes[:, :, 0].sum(1) - votes[:, :, 2].sum(1)
+    yes = np.select([lean > 0, lean < 0], [0.9, 0.1], 0.5)
+    seen = [np.tensordot(list(c.values()), one_hot(list(c)), 1) if c else None for c in labelled]
+    both = all(s is not None for s in seen)
     for _ in range(rounds):
-        log_p = []
-        for p, belief in zip((yes, 1 - yes), BELIEF):
-            weight = counts * p
-            total = weight.sum() + 1e-9
-            rate = ((weight[:, None] * fires).sum(0) / total + BELIEF_WEIGHT * belief) / (1 + BELIEF_WEIGHT)
-            log_p.append(np.log(total / counts.sum()) + np.where(fires, np.log(rate), np.log(1 - rate)).sum(1))
-        new = 1 / (1 + np.exp(-np.clip(log_p[0] - log_p[1], -30, 30)))
-        if np.abs(new - yes).max() < 1e-6:
-            return new
+        log_rates, share = [], []
+        for weight, prior, known in zip((n * yes, n * (1 - yes)), PRIOR, seen):
+            rates = (np.tensordot(weight, votes, 1) + PSEUDO * np.array(prior)) / (weight.sum() + PSEUDO)
+            if both:
+                rates = (1 - LABELLED_SHARE) * rates + LABELLED_SHARE * (known + PSEUDO * np.array(prior)) / (known[0].sum() + PSEUDO)
+            log_rates.append(np.log(rates))
+            share.append((weight.sum() + 1) / (n.sum() + 2))
+        model = LabelModel(float(np.log(share[0] / share[1])), log_rates[0] - log_rates[1])
+        new = 1 / (1 + np.exp(-np.clip(model.prior + np.tensordot(votes, model.log_odds, 2), -30, 30)))
+        done = np.abs(new - yes).max() < 1e-9
         yes = new
-    return yes
+        if done:
+            break
+    return model
 
 
 def hashed(words: list[bytes], dimensions: int = DIMENSIONS) -> np.ndarray:
-    return np.unique(np.array([xxh32_intdigest(w) for w in set(words)], np.uint32) % dimensions).astype(np.int32)
+    """Ascending features of a text's distinct words and their beginnings; modulo 3 the kind of feature."""
+    distinct = set(words)
+    found = [xxh32_intdigest(w) % (dimensions // 3) * 3 for w in distinct]
+    for kind, size in enumerate(BEGINNINGS, 1):
+        found += [xxh32_intdigest(w) % (dimensions // 3) * 3 + kind for w in {w[:size] for w in distinct if len(w) > size}]
+    return np.unique(np.array(found, np.int32))
 
 
 def train_scorer(rows: list[np.ndarray], targets: np.ndarray, dimensions: int = DIMENSIONS, rounds: int = ROUNDS, rate: float = 0.5, decay: float = 1e-4) -> np.ndarray:
@@ -131,78 +192,171 @@ def linear(features: np.ndarray, weights: np.ndarray) -> float:
     return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def patterns_of(docs: DataFrame, questions: dict[str, Callable]) -> DataFrame:
+@dataclass
+class Lexicon:
+    """Ascending features with their log odds, and the bounds of no and yes for each of four sums of them."""
+
+    features: np.ndarray
+    odds: np.ndarray
+    bounds: np.ndarray
+
+    @staticmethod
+    def empty() -> Lexicon:
+        return Lexicon(np.empty(0, np.int32), np.empty(0), np.full((2, 4), np.nan))
+
+    @staticmethod
+    def sums(features: np.ndarray, odds: np.ndarray, size: int) -> np.ndarray:
+        """Log odds of words, of both kinds of beginnings, and of all, against the square root of the text's size."""
+        by_kind = np.bincount(features % 3, odds, 3)
+        return np.r_[by_kind, by_kind.sum()] / np.sqrt(size + 20)
+
+    def votes(self, features: np.ndarray) -> tuple[int, ...]:
+        if not len(self.features):
+            return (0,) * 4
+        at = np.minimum(np.searchsorted(self.features, features), len(self.features) - 1)
+        hit = self.features[at] == features
+        z = self.sums(features[hit], self.odds[at[hit]], len(features))
+        return tuple(((z > self.bounds[1]).astype(int) - (z <= self.bounds[0])).tolist())
+
+
+def lexicon_of(texts: list[np.ndarray], toxic: np.ndarray) -> Lexicon:
+    """The lexicon of labelled texts. Bounds are taken on the texts that aren't toxic, each with the log odds that the
+    other texts give."""
+    if not toxic.any() or toxic.all():
+        return Lexicon.empty()
+    yes, no = (np.bincount(np.concatenate([t for t, y in zip(texts, toxic) if y == side]), minlength=DIMENSIONS) for side in (True, False))
+
+    def odds(f: np.ndarray, less: int) -> np.ndarray:
+        x = np.log((yes[f] + 0.3) / (toxic.sum() + 1)) - np.log((no[f] - less + 0.3) / ((~toxic).sum() - less + 1))
+        return np.where((yes[f] >= LEXICON_TEXTS) & (x >= LEXICON_ODDS), x, 0.0)
+
+    sums = np.array([Lexicon.sums(t, odds(t, 1), len(t)) for t, y in zip(texts, toxic) if not y])
+    every = np.arange(DIMENSIONS)
+    value = odds(every, 0)
+    return Lexicon(every[value > 0].astype(np.int32), value[value > 0], np.quantile(sums, QUANTILES, axis=0))
+
+
+class Reader:
+    """Reads a text's features and, by question, its pattern of votes."""
+
+    def __init__(self, questions: dict[str, Callable], lexicon: Lexicon):
+        self.questions, self.lexicon = questions, lexicon
+
+    def __call__(self, text: bytes) -> tuple[np.ndarray, list[str]]:
+        words = text.translate(ALNUM_BYTES).split()
+        features = hashed(words)
+        evidence = self.lexicon.votes(features)
+        return features, [coded(votes(text, words, evidence)) for votes in self.questions.values()]
+
+
+def counted_patterns(texts: DataFrame, shared) -> DataFrame:
+    """(question, pattern, n); each task adds up its own."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read, counts = shared.value, Counter()
         for batch in batches:
-            out: list[list] = [[] for _ in questions]
             for text in batch.column(0).to_pylist():
-                words = text.translate(ALNUM_BYTES).split()
-                for column, votes in zip(out, questions.values()):
-                    column.append("".join("-0+"[v + 1] for v in votes(text, words)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in out], list(questions))
+                counts.update(zip(read.questions, read(text)[1]))
+        if counts:
+            q, p = zip(*counts)
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(p), pa.array(list(counts.values()), pa.int64())], ["question", "pattern", "n"])
 
-    return docs.select(text_bytes()).mapInArrow(run, ", ".join(f"{q} string" for q in questions))
+    found = texts.select("text").mapInArrow(run, "question string, pattern string, n bigint")
+    return found.groupBy("question", "pattern").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, questions: dict[str, Callable] | None = None, train_docs: int = TRAIN_DOCS) -> dict[str, tuple[dict[str, float], np.ndarray]]:
-    """Question -> (P(yes) by pattern, scorer weights)."""
-    questions = questions or QUESTIONS
-    counted = patterns_of(docs, questions).groupBy(*questions).count().collect()  # at most 3 ** (number of labellers) rows
-    rows = sum(r["count"] for r in counted)
-    posterior: dict[str, dict[str, float]] = {}
-    for q in questions:
-        n: dict[str, int] = {}
-        for r in counted:
-            n[r[q]] = n.get(r[q], 0) + r["count"]
-        keys = sorted(n)
-        votes = np.array([["-0+".index(x) - 1 for x in k] for k in keys])
-        posterior[q] = dict(zip(keys, label_model(votes, np.array([n[k] for k in keys], float)).tolist())) if keys else {}
-
-    share = min(1.0, train_docs / max(1, rows))
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1_000_000)) < int(share * 1_000_000) + 1).filter(F.col("doc_id").isNotNull())
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def read_texts(texts: DataFrame, shared, also: list[str]) -> DataFrame:
+    """Features f, the pattern of each question, and the columns `also`."""
+    names, kinds = list(shared.value.questions), dict(texts.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = shared.value
         for batch in batches:
-            out: list[list] = [[] for _ in range(len(questions) + 1)]
-            for text in batch.column(0).to_pylist():
-                words = text.translate(ALNUM_BYTES).split()
-                out[0].append(hashed(words))
-                for column, (q, votes) in zip(out[1:], questions.items()):
-                    column.append(posterior[q]["".join("-0+"[v + 1] for v in votes(text, words))])
-            columns = [pa.array(out[0], pa.list_(pa.int32())), *(pa.array(c, pa.float64()) for c in out[1:])]
-            yield pa.RecordBatch.from_arrays(columns, ["f", *questions])
+            got = [read(t) for t in batch.column(0).to_pylist()]
+            columns = [pa.array([f for f, _ in got], pa.list_(pa.int32())), *(pa.array([p[k] for _, p in got], pa.string()) for k in range(len(names)))]
+            yield pa.RecordBatch.from_arrays([*columns, *batch.columns[1:]], ["f", *names, *also])
 
-    got = sample.select(text_bytes()).mapInArrow(features, "f array<int>, " + ", ".join(f"{q} double" for q in questions)).toArrow()
-    x = [np.array(r, np.int32) for r in got["f"].to_pylist()]
-    return {q: (posterior[q], train_scorer(x, got[q].to_numpy() if x else np.empty(0))) for q in questions}
+    fields = ["f array<int>", *(f"{q} string" for q in names), *(f"{c} {kinds[c]}" for c in also)]
+    return texts.select("text", *also).mapInArrow(run, ", ".join(fields))
 
 
-def classify(docs: DataFrame, models: dict[str, tuple[dict[str, float], np.ndarray]], questions: dict[str, Callable] | None = None) -> DataFrame:
-    """Per row: doc_id; for each question the scorer's and the label model's probability; kept."""
+def sampled(rows: DataFrame, on: list[str], n: int, size: int) -> DataFrame:
+    """About `size` of the n rows, by a hash of the columns `on`; repeated rows go together, so cap what is taken."""
+    share = min(1.0, 0.95 * size / max(1, n))
+    return rows.filter(F.pmod(F.xxhash64(*on, F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
+@dataclass
+class Classifier:
+    questions: dict[str, Callable]
+    lexicon: Lexicon
+    labels: dict[str, LabelModel]
+    weights: dict[str, np.ndarray]
+
+
+def fit(docs: DataFrame, labels: DataFrame | None = None, questions: dict[str, Callable] | None = None, train_docs: int = TRAIN_DOCS, labelled_docs: int = LABELLED_DOCS) -> Classifier:
+    """`labels` (doc_id, and per question a column of its name, 1 for yes and 0 for no) may be absent."""
     questions = questions or QUESTIONS
-    shared = docs.sparkSession.sparkContext.broadcast({q: (p, w.astype(np.float32)) for q, (p, w) in models.items()})
-    names = [n for q in questions for n in (f"{q}_score", f"{q}_label")]
+    broadcast = docs.sparkSession.sparkContext.broadcast
+    texts = docs.select("doc_id", text_bytes())
+    lexicon, known, answered = Lexicon.empty(), {q: ({}, {}) for q in questions}, None
+    if labels is not None:
+        answers = [q for q in questions if q in labels.columns]
+        some = labels.filter(F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0))
+        some = some.select("doc_id", *(F.col(q).cast("int").alias(f"{q}_answer") for q in answers))
+        some = sampled(some, ["doc_id"], some.count(), labelled_docs).limit(labelled_docs)
+        chosen = texts.join(F.broadcast(some), "doc_id").limit(labelled_docs)  # `some` has labelled_docs rows at most
+        also = [f"{q}_answer" for q in answers]
+        if LEXICON_QUESTION in answers:
+            got = read_texts(chosen, broadcast(Reader(questions, lexicon)), also).filter(f"{LEXICON_QUESTION}_answer IS NOT NULL").toArrow()
+            lexicon = lexicon_of([np.array(f, np.int32) for f in got["f"].to_pylist()], got[f"{LEXICON_QUESTION}_answer"].to_numpy() == 1)
+        answered = read_texts(chosen, broadcast(Reader(questions, lexicon)), also).toArrow()
+        for q in answers:
+            pairs = list(zip(answered[q].to_pylist(), answered[f"{q}_answer"].to_pylist()))
+            known[q] = tuple(dict(Counter(p for p, y in pairs if y == side)) for side in (1, 0))
+
+    shared = broadcast(Reader(questions, lexicon))
+    counts: dict[str, dict[str, float]] = {q: {} for q in questions}
+    for r in counted_patterns(texts, shared).collect():  # at most 3 ** (number of labellers) rows a question
+        counts[r.question][r.pattern] = r.n
+    models = {q: label_model(counts[q], known[q]) for q in questions}
+    n = max((sum(c.values()) for c in counts.values()), default=0)
+    got = read_texts(sampled(texts, ["doc_id", "text"], n, train_docs), shared, []).limit(train_docs).toArrow()
+    weights = {}
+    for q in questions:  # posteriors of the sample, and what is known of the labelled texts
+        x, y = got["f"].to_pylist(), [models[q].p(p) for p in got[q].to_pylist()]
+        if answered and f"{q}_answer" in answered.column_names:
+            some = [(f, a) for f, a in zip(answered["f"].to_pylist(), answered[f"{q}_answer"].to_pylist()) if a is not None]
+            x, y = x + [f for f, _ in some], y + [float(a) for _, a in some]
+        weights[q] = train_scorer([np.array(f, np.int32) for f in x], np.array(y))
+    return Classifier(questions, lexicon, models, weights)
+
+
+def classify(docs: DataFrame, model: Classifier) -> DataFrame:
+    """Per row: doc_id; for each question the scorer's and the label model's probability; kept."""
+    read = Reader(model.questions, model.lexicon)
+    shared = docs.sparkSession.sparkContext.broadcast((read, model.labels, {q: w.astype(np.float32) for q, w in model.weights.items()}))
+    names = [n for q in model.questions for n in (f"{q}_score", f"{q}_label")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        read, labels, weights = shared.value
         for batch in batches:
             out: list[list] = [[] for _ in names]
             for text in batch.column(1).to_pylist():
-                words = text.translate(ALNUM_BYTES).split()
-                features = hashed(words)
-                for k, (q, votes) in enumerate(questions.items()):
-                    labels, weights = known[q]
-                    out[2 * k].append(linear(features, weights))
-                    out[2 * k + 1].append(labels.get("".join("-0+"[v + 1] for v in votes(text, words)), 0.5))
+                features, patterns = read(text)
+                for k, (q, pattern) in enumerate(zip(read.questions, patterns)):
+                    out[2 * k].append(linear(features, weights[q]))
+                    out[2 * k + 1].append(labels[q].p(pattern))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.float64()) for c in out)], ["doc_id", *names])
 
     found = docs.select("doc_id", text_bytes()).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in names))
     kept = F.lit(True)
-    for q in questions:
+    for q in model.questions:
         kept = kept & (F.col(f"{q}_label") < 0.5) & (F.col(f"{q}_score") < SURE)
     return found.withColumn("kept", kept)
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return classify(docs, fit(docs))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    return classify(docs, fit(docs, labels))
