@@ -93,22 +93,6 @@ def deleted(path: str) -> None:
     files.delete_dir(root)
 
 
-def few_texts(docs: DataFrame, rows: int, most_bytes: int = 100_000) -> list[str]:
-    """Up to `rows` texts of at most `most_bytes` each, from the first partitions that have them.
-
-    Taken to the driver, for a limit in a plan would read so many rows of every partition and move them to one task.
-    """
-    return [r.text for r in docs.select("text").filter(F.octet_length("text") <= most_bytes).head(rows)]
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more.
-
-    It does so when the driver collects its garbage, which on a quiet driver may be half an hour after a large shuffle.
-    """
-    spark.sparkContext._jvm.System.gc()
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser: spreads every input bit over the result."""
     h = (h ^ (h >> U64(30))) * U64(0xBF58476D1CE4E5B9)

@@ -1,30 +1,35 @@
 """Quality rules as a short-circuit cascade, in DataFrame expressions throughout.
 
-Every rule is an expression that is true for a text to reject. On a bounded sample (`sample_rows` texts) each rule is
-timed and the share of rows it rejects is counted; the cascade then asks the rules by descending rejections per
-cost, inside one CASE, so a row pays only for the rules up to the first that rejects it. The order changes what a run
-costs and which rule is named as the first to reject a row, never which rows are kept.
+Every rule is an expression that is true for a text to reject. On a bounded sample (about `sample_rows` texts, by a
+hash over all rows) each rule is timed on the texts again and again until it has seen about TIMED_CHARS characters, less
+what that takes without a rule, and the share of rows it rejects is counted; the cascade then asks the rules by descending rejections per cost, inside one CASE, so a
+row pays only for the rules up to the first that rejects it. The order changes what a run costs and which rule is named
+as the first to reject a row, never which rows are kept.
 
-Repeated 5-word windows are compared by 64-bit hashes within one text. Only texts with a repeated window are sorted
-to find where it stands.
+The base rule has a cheap part, too few words, and a dear one, repeated 5-word windows. `passing`, which returns no
+features, asks the cheap part first, then the ranked rules, and looks for windows only in the rows that are left;
+`judge_quality` returns the features of every row, so it has to find them all. Windows are compared by 64-bit hashes
+within one text, and only texts with a repeated one are sorted to find where it stands.
 
 Cases: a null text has no words and fails the base rule; so does an empty one; repeated rows are judged each for
-itself; an empty table gives no rows.
+itself; no text is rejected for its length alone, and a very long one is read whole; ties among rules go by name; a rule
+that is null for a row doesn't reject it; columns named like features are replaced by them, others are kept; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK, documents, few_texts
+from .common import BLANK, documents, written
 
-WINDOW, SAMPLE_ROWS = 5, 1000
+WINDOW, SAMPLE_ROWS, TIMED_CHARS = 5, 1000, 10_000_000
 LEAST_WORDS, MOST_REPEATED_PERCENT = 10, 20
-#: Letters of scripts that are written without blanks between words.
+#: Letters of scripts that are written without blanks between words: each counts as a word where rules ask for such
+#: words as blanks should part.
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]"
 
 
@@ -38,42 +43,23 @@ def _text_lines() -> Column:
 
 def default_rules() -> dict[str, Column]:
     """Rule -> what it rejects. Thresholds leave a wide margin around prose, lists and tables of ordinary shape."""
-    n, chars, lines = F.col("n_words"), F.col("word_chars"), _text_lines()
+    n, units, chars, lines = F.col("n_words"), F.col("n_units"), F.col("word_chars"), _text_lines()
     return {
-        "too_many_words": n > 1_000_000,
         "short_words": chars < 2 * n,
-        "long_words": chars > 15 * n,
-        "symbols": 10 * F.col("n_symbols") > 3 * n,
+        "long_words": chars > 15 * units,
+        "symbols": 10 * F.col("n_symbols") > 3 * units,
         "repeated_lines": 10 * F.col("n_dup_lines") > 3 * F.size(lines),
         "capitals": 10 * _count(r"\p{Lu}") > 5 * chars,
         "digits": 10 * _count(r"[0-9]") > 4 * chars,
         "few_letters": 10 * _count(r"\p{L}") < 5 * chars,
-        "exclamations": 10 * _count("!") > 3 * n,
+        "exclamations": 10 * _count("!") > 3 * units,
         "ellipses": 10 * F.size(F.filter(lines, lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…"))) > 4 * F.size(lines),
         "bullets": 10 * F.size(F.filter(lines, lambda x: F.ltrim(x).rlike("^[-*•]"))) > 9 * F.size(lines),
     }
 
 
-def pipeline_rules() -> dict[str, Column]:
-    """The default rules without one against long texts, and with a word for each letter of UNSPACED where they ask
-    for words that blanks should part. op6 keeps the default rules, which its SQL fixes."""
-    n, rules = F.col("n_units"), default_rules()
-    del rules["too_many_words"]
-    return rules | {"long_words": F.col("word_chars") > 15 * n, "symbols": 10 * F.col("n_symbols") > 3 * n, "exclamations": 10 * _count("!") > 3 * n}
-
-
-def with_units(featured: DataFrame) -> DataFrame:
-    """Adds n_units, n_words and the letters of UNSPACED, and asks the base rule's least number of it."""
-    base = (F.col("n_units") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
-    return featured.withColumn("n_units", F.col("n_words") + _count(UNSPACED)).withColumn("base_failed", base)
-
-
-def features(docs: DataFrame) -> DataFrame:
-    """`docs` with text made non-null, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
-
-    Features replace columns of the same names.
-    """
-    n = WINDOW
+def counts(docs: DataFrame) -> DataFrame:
+    """`docs` with text made non-null, n_words, n_units, word_chars, n_symbols, n_dup_lines, and the words as _words."""
     df = docs.withColumn("text", F.coalesce("text", F.lit("")))
     df = df.withColumn("_words", F.array_remove(F.split("text", f"[{BLANK}]+"), "")).withColumn("_lines", F.filter(_text_lines(), lambda x: x.rlike(f"[^{BLANK}]")))
     df = df.withColumns(
@@ -82,9 +68,15 @@ def features(docs: DataFrame) -> DataFrame:
             "word_chars": (F.length("text") - _count(f"[{BLANK}]")).cast("long"),
             "n_symbols": _count("[#*$%&|<>]").cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "_hashes": F.transform("_words", lambda w: F.xxhash64(w)),
         }
-    ).drop("_words", "_lines")
+    ).drop("_lines")
+    return df.withColumn("n_units", F.col("n_words") + _count(UNSPACED))
+
+
+def with_repeats(df: DataFrame) -> DataFrame:
+    """Adds n_repeat_words in place of _words; 0 where _words is null, at next to no cost."""
+    n = WINDOW
+    df = df.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w))).drop("_words")
     at = lambda i, k: F.get("_hashes", i + k)
     windows = F.transform(F.sequence(F.lit(0), F.size("_hashes") - n), lambda i: F.xxhash64(*(at(i, k) for k in range(n))))
     df = df.withColumn("_windows", F.when(F.size("_hashes") >= n, windows).otherwise(F.array().cast("array<bigint>"))).drop("_hashes")
@@ -98,54 +90,75 @@ def features(docs: DataFrame) -> DataFrame:
     # Each window adds what the next one doesn't cover, the last one all of its words.
     gaps = F.zip_with("_places", F.slice("_places", 2, F.greatest(F.size("_places"), F.lit(1))), lambda a, b: F.least(F.coalesce(b - a, F.lit(n)), F.lit(n)))
     covered = F.coalesce(F.aggregate(gaps, F.lit(0), lambda total, gap: total + gap), F.lit(0))
-    df = df.withColumn("n_repeat_words", covered.cast("long")).drop("_places")
-    return df.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words")))
+    return df.withColumn("n_repeat_words", covered.cast("long")).drop("_places")
 
 
-def rule_order(texts: DataFrame, rules: dict[str, Column], featured: Callable[[DataFrame], DataFrame] = features) -> list[str]:
+def features(docs: DataFrame) -> DataFrame:
+    """`docs` with text made non-null, all features of every row, and base_failed."""
+    repeated = 100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words")
+    return with_repeats(counts(docs)).withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | repeated)
+
+
+def rule_sample(docs: DataFrame, rows: int) -> DataFrame:
+    """About `rows` texts (no more), by a hash over all rows, stored so that no timing reads the documents again."""
+    one_in = max(1, docs.count() // rows)
+    picked = docs.select("text").filter(F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(one_in)) == 0)
+    return written(picked.limit(rows), "rule-sample")
+
+
+def rule_order(texts: DataFrame, rules: dict[str, Column], timed_chars: int = TIMED_CHARS) -> list[str]:
     """Rules by descending rejections per cost, both estimated on a table of sample texts."""
-    sample = featured(texts).cache()
+    sample = counts(texts).drop("_words").cache()
     try:
-        rejected = sample.agg(F.count("*").alias("_n"), *(F.count_if(rule).alias(name) for name, rule in rules.items())).first()
+        rejected = sample.agg(F.count("*").alias("_n"), F.sum(F.length("text")).alias("_chars"), *(F.count_if(rule).alias(name) for name, rule in rules.items())).first()
+        times = max(1, timed_chars // max(1000, rejected["_chars"] or 0))
+        often = sample.withColumn("_again", F.explode(F.sequence(F.lit(1), F.lit(times))))
 
         def seconds(column: Column) -> float:
             began = time.perf_counter()
-            sample.agg(F.count_if(column)).collect()
+            often.agg(F.count_if(column & (F.col("_again") > 0))).collect()
             return time.perf_counter() - began
 
-        idle = min(seconds(F.lit(False)) for _ in range(2))
-        cost = {name: max(1e-3, seconds(rule) - idle) for name, rule in rules.items()}
+        seconds(F.lit(True))
+        idle = min(seconds(F.lit(True)) for _ in range(3))
+        cost = {name: max(0.02 * idle, min(seconds(rule) for _ in range(2)) - idle) for name, rule in rules.items()}
     finally:
         sample.unpersist()
     share = {name: (rejected[name] + 0.5) / (rejected["_n"] + 1) for name in rules}
     return sorted(rules, key=lambda name: (-share[name] / cost[name], name))
 
 
-def cascade(featured: DataFrame, order: list[str], rules: dict[str, Column]) -> DataFrame:
-    """Adds rejected_by, the first rule in `order` that rejects the row ('base' before all others), and kept."""
-    case = F.when(F.col("base_failed"), F.lit("base"))
+def first_rejecting(order: list[str], rules: dict[str, Column], base: Column) -> Column:
+    """The first rule in `order` that rejects the row, 'base' before all others; null if none does."""
+    case = F.when(base, F.lit("base"))
     for name in order:
         case = case.when(F.coalesce(rules[name], F.lit(False)), F.lit(name))
-    return featured.withColumn("rejected_by", case).withColumn("kept", F.col("rejected_by").isNull())
+    return case
+
 
+def cascade(featured: DataFrame, order: list[str], rules: dict[str, Column]) -> DataFrame:
+    """Adds rejected_by and kept."""
+    judged = featured.withColumn("rejected_by", first_rejecting(order, rules, F.col("base_failed")))
+    return judged.withColumn("kept", F.col("rejected_by").isNull())
 
-def judge_quality(docs: DataFrame, rules: dict[str, Column] | None = None, sample_rows: int = SAMPLE_ROWS, featured: Callable[[DataFrame], DataFrame] = features) -> DataFrame:
+
+def judge_quality(docs: DataFrame, rules: dict[str, Column] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """`docs` with the features, base_failed, rejected_by and kept."""
     rules = default_rules() if rules is None else rules
-    texts = docs.sparkSession.createDataFrame([(t,) for t in few_texts(docs, sample_rows)], "text string")
-    return cascade(featured(docs), rule_order(texts, rules, featured), rules)
+    return cascade(features(docs), rule_order(rule_sample(docs, sample_rows), rules), rules)
 
 
-def passing(docs: DataFrame, rules: dict[str, Column] | None = None) -> DataFrame:
-    """The rows of `docs`, unchanged, that no rule rejects; the rules are those of the pipeline unless given."""
-    rows = docs.select("text", F.struct("*").alias("_row"))
-    if rules is None:
-        judged = judge_quality(rows, pipeline_rules(), featured=lambda df: with_units(features(df)))
-    else:
-        judged = judge_quality(rows, rules)
+def passing(docs: DataFrame, rules: dict[str, Column] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of `docs`, unchanged, that no rule rejects. Letters of UNSPACED count as words in the base rule too."""
+    rules = default_rules() if rules is None else rules
+    order = rule_order(rule_sample(docs, sample_rows), rules)
+    rows = counts(docs.select("text", F.struct("*").alias("_row")))
+    rows = rows.withColumn("rejected_by", first_rejecting(order, rules, F.col("n_units") < LEAST_WORDS))
+    rows = with_repeats(rows.withColumn("_words", F.when(F.col("rejected_by").isNull(), F.col("_words"))))
+    kept = F.col("rejected_by").isNull() & (100 * F.col("n_repeat_words") <= MOST_REPEATED_PERCENT * F.col("n_words"))
     # A filter on `kept` alone would be moved below the features, with their expressions put in for their names again
     # and again. It isn't moved below a column that is not deterministic.
-    return judged.withColumn("_at", F.monotonically_increasing_id()).filter("kept AND _at >= 0").select("_row.*")
+    return rows.withColumn("_kept", kept).withColumn("_at", F.monotonically_increasing_id()).filter("_kept AND _at >= 0").select("_row.*")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,14 +178,15 @@ f AS (
          length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
          (len(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
           - len(list_distinct(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
-         coalesce(p.n, 0)::BIGINT AS n_repeat_words
+         coalesce(p.n, 0)::BIGINT AS n_repeat_words,
+         len(w) + length(regexp_replace(t, '[^\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]', '', 'g')) AS n_units
   FROM d LEFT JOIN p USING (r)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR n_words > 1000000 OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_symbols > 3 * n_words
+  NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 15 * n_units OR 10 * n_symbols > 3 * n_units
     OR 10 * n_dup_lines > 3 * len(ls) OR 10 * length(regexp_replace(t, '\P{Lu}', '', 'g')) > 5 * word_chars
     OR 10 * length(regexp_replace(t, '[^0-9]', '', 'g')) > 4 * word_chars OR 10 * length(regexp_replace(t, '\P{L}', '', 'g')) < 5 * word_chars
-    OR 10 * length(regexp_replace(t, '[^!]', '', 'g')) > 3 * n_words
+    OR 10 * length(regexp_replace(t, '[^!]', '', 'g')) > 3 * n_units
     OR 10 * len(list_filter(ls, lambda x: rtrim(x) LIKE '%...' OR rtrim(x) LIKE '%…')) > 4 * len(ls)
     OR 10 * len(list_filter(ls, lambda x: regexp_matches(ltrim(x), '^[-*•]'))) > 9 * len(ls)) AS kept
 FROM b
