@@ -6,12 +6,14 @@ shorter than the shortest test phrase are left out. Every test phrase (13 consec
 a shorter item) goes through backward search; the occurrences found are located by sampled suffix positions, mapped
 back to documents, and merged to removal spans.
 
-The phrases are read by every task. They are broadcast in blocks of at most BLOCK_BYTES of benchmark text; a
-benchmark of more bytes goes through in several blocks, and the spans of a document's blocks are merged after.
+The phrases of up to BLOCK_BYTES of benchmark text are broadcast. A longer benchmark is written to the shared folder in
+blocks of about that size; each task then reads block after block for a shard it holds, and merges their spans, so
+documents are read once and never shuffled, and neither driver nor task holds more than a block.
 
 Cases: a null or empty text has no words and is not contaminated; an item without words has no phrase; an item with
 a null item_id marks words but is not counted or named as an item; repeated documents and items are treated each
-for itself; an empty benchmark marks nothing; an empty table of documents gives no rows.
+for itself; an empty benchmark marks nothing; a document of more words than a shard is a shard of its own; extra columns of any
+name are ignored or carried along; an empty table of documents gives no rows.
 """
 
 from __future__ import annotations
@@ -25,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_BYTES, LOWER_BYTES, documents, text_bytes
+from .common import ALNUM_BYTES, LOWER_BYTES, documents, file_system, scratch_dir, text_bytes
 from .fmindex import FMIndex
 
-PHRASE_WORDS, SHARD_WORDS, BLOCK_BYTES = 13, 1_000_000, 16_000_000
+PHRASE_WORDS, SHARD_WORDS, BLOCK_BYTES = 13, 1_000_000, 4_000_000
 _word = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -108,26 +110,70 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-FOUND = "n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>, clean_text string"
+FOUND = "n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>"
 
 
-def _rows(ids: list, key: pa.DataType, hits: list, texts: list[bytes]) -> pa.RecordBatch:
-    clean = [without(t, h[1]).decode() if h[1] else None for t, h in zip(texts, hits)]
+class Blocks:
+    """The phrases of a benchmark, block by block; the last one read is kept."""
+
+    def __init__(self, phrase_words: int, items: list[tuple] | None = None, path: str = "", n: int = 1):
+        self.phrase_words, self.path, self.n = phrase_words, path, n
+        self.held = (0, Phrases(items, phrase_words)) if items is not None else (None, None)
+
+    def __iter__(self) -> Iterator[Phrases]:
+        for k in range(self.n):
+            if self.held[0] != k:
+                self.held = (k, Phrases(self.read(k), self.phrase_words))
+            yield self.held[1]
+
+    def read(self, k: int) -> list[tuple]:
+        import pyarrow.dataset as ds
+        from pyarrow.fs import FileType
+
+        files, root = file_system(f"{self.path}/block={k}")
+        if files.get_file_info(root).type == FileType.NotFound:  # no item fell to this block
+            return []
+        table = ds.dataset(root, filesystem=files, format="parquet").to_table(["item_id", "text"])
+        return list(zip(table["item_id"].to_pylist(), table["text"].to_pylist()))
+
+
+def shard_rows(ids: list, key: pa.DataType, texts: list[bytes], blocks: Blocks, clean: bool) -> pa.RecordBatch:
+    hits = None
+    for phrases in blocks:
+        found = shard_hits(texts, phrases)
+        hits = found if hits is None else [(n, a + b, x | y) for (n, a, x), (_, b, y) in zip(hits, found)]
+    spans = [merge(h[1]) for h in hits]
     columns = [
         pa.array(ids, key),
         pa.array([h[0] for h in hits], pa.int64()),
-        pa.array([[{"start": a, "end": b} for a, b in h[1]] for h in hits], SPANS),
+        pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], SPANS),
         pa.array([sorted(h[2]) for h in hits], pa.list_(pa.string())),
-        pa.array(clean, pa.string()),
     ]
-    return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "spans", "items", "clean_text"])
+    names = ["doc_id", "n_words", "spans", "items"]
+    if clean:
+        columns.append(pa.array([without(t, s).decode() if s else None for t, s in zip(texts, spans)], pa.string()))
+        names.append("clean_text")
+    return pa.RecordBatch.from_arrays(columns, names)
+
 
+def blocks_of(benchmark: DataFrame, phrase_words: int, block_bytes: int) -> Blocks:
+    sized = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
+    n = max(1, math.ceil((sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / block_bytes))
+    if n == 1:
+        return Blocks(phrase_words, [tuple(r) for r in sized.collect()])
+    path = scratch_dir(benchmark.sparkSession, "benchmark")
+    dealt = sized.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int"))
+    dealt.repartition("block").write.partitionBy("block").parquet(path)
+    return Blocks(phrase_words, path=path, n=n)
 
-def _search(docs: DataFrame, items: list[tuple], phrase_words: int, shard_words: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(Phrases(items, phrase_words))
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, phrase_words: int = PHRASE_WORDS, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES, clean: bool = False) -> DataFrame:
+    """Per document: doc_id, n_words, spans (of words, merged), items (found in it); and, if `clean`, clean_text: what
+    is left without the spans (null if there are none)."""
+    shared = docs.sparkSession.sparkContext.broadcast(blocks_of(benchmark, phrase_words, block_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = shared.value
+        blocks = shared.value
         ids, texts, size, key = [], [], 0, pa.int64()
         for batch in batches:
             key = batch.schema.field(0).type
@@ -136,49 +182,12 @@ def _search(docs: DataFrame, items: list[tuple], phrase_words: int, shard_words:
                 texts.append(text)
                 size += len(text) // 6 + 1
                 if size >= shard_words:
-                    yield _rows(ids, key, shard_hits(texts, phrases), texts)
+                    yield shard_rows(ids, key, texts, blocks, clean)
                     ids, texts, size = [], [], 0
         if ids:
-            yield _rows(ids, key, shard_hits(texts, phrases), texts)
-
-    return docs.select("doc_id", text_bytes()).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {FOUND}")
-
+            yield shard_rows(ids, key, texts, blocks, clean)
 
-def _joined(parts: DataFrame, blocks: int) -> DataFrame:
-    """One row per document again, from a row per document and block of phrases."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            d = batch.to_pydict()
-            hits = [(n, merge([(s["start"], s["end"]) for s in spans]), set(items)) for n, spans, items in zip(d["n_words"], d["spans"], d["items"])]
-            rows = [(i, h, t) for i, h, t, n in zip(d["doc_id"], hits, d["text"], d["copies"]) for _ in range(n)]
-            if rows:
-                ids, hits, texts = map(list, zip(*rows))
-                yield _rows(ids, batch.schema.field("doc_id").type, hits, texts)
-
-    found = parts.groupBy("doc_id.doc_id", "doc_id.text").agg(
-        F.first("n_words").alias("n_words"),
-        F.flatten(F.collect_list("spans")).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-        (F.count("*") / blocks).cast("int").alias("copies"),
-    )
-    return found.mapInArrow(run, f"doc_id {found.schema['doc_id'].dataType.simpleString()}, {FOUND}")
-
-
-def find_contamination(docs: DataFrame, benchmark: DataFrame, phrase_words: int = PHRASE_WORDS, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document: doc_id, n_words, spans (of words, merged), items (found in it), clean_text (null if no span)."""
-    sized = benchmark.select("item_id", "text")
-    total = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_bytes))
-    if blocks == 1:
-        return _search(docs, [tuple(r) for r in sized.collect()], phrase_words, shard_words)
-    keyed = docs.select(F.struct("doc_id", text_bytes()).alias("doc_id"), "text")
-    found = None
-    for k in range(blocks):  # each block's phrases are searched in all documents
-        part = sized.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        one = _search(keyed, [tuple(r) for r in part.collect()], phrase_words, shard_words)
-        found = one if found is None else found.unionByName(one)
-    return _joined(found, blocks)
+    return docs.select("doc_id", text_bytes()).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {FOUND}" + ", clean_text string" * clean)
 
 
 def judged(found: DataFrame) -> DataFrame:

@@ -6,12 +6,15 @@ piece at least must stand there unchanged (pigeonhole), so one pass of an Aho-Co
 gives every candidate place; there the regex library's bounded-error matching decides and reports the span. Nothing
 is shuffled: each document is searched where it is read.
 
-Cases: a null or empty text has no words, no labels and a score of 0; repeated rows are scanned each for itself; an
-empty table gives no rows.
+Cases: a null or empty text has no words, no labels and a score of 0; repeated rows are scanned each for itself; of
+matches that begin at one character the one with fewest errors stays; a very long text is scanned whole, in time that
+grows with its length and its hits; extra columns of any name are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,12 +40,28 @@ NOTICES = {
     "licensed under a creative commons attribution": "cc",
     "licensed under cc by": "cc-by",
     "free and unencumbered software released into the public domain": "unlicense",
+    "this work is dedicated to the public domain": "public-domain",
+    "cc0 1 0 universal": "cc0-1.0",
+    "licensed under the isc license": "isc",
+    "permission to use copy modify and or distribute this software for any purpose": "isc",
+    "distributed under the boost software license version 1 0": "bsl-1.0",
+    "licensed under the eclipse public license": "epl",
+    "licensed under the european union public licence": "eupl",
+    "licensed under the zlib license": "zlib",
+    "licensed under the artistic license": "artistic",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "open data commons open database license": "odbl",
+    "do what the fuck you want to public license": "wtfpl",
     "all rights reserved": "reserved",
 }
 #: One edit for so many characters of a notice, up to MOST_ERRORS.
 CHARS_PER_ERROR, MOST_ERRORS = 10, 3
 
 
+_blank = re.compile(" ")
+
+
 @dataclass(frozen=True)
 class Notice:
     label: str
@@ -121,9 +140,10 @@ def scan_licenses(docs: DataFrame, notices: dict[str, str] | None = None, base:
             for raw in batch.column(1).to_pylist():
                 words = raw.translate(ALNUM_BYTES).split()
                 text = f" {b' '.join(words).decode()} "
-                word_at = lambda i: text.count(" ", 0, i + 1) - 1  # noqa: B023, E731  index of the word that begins after blank i
-                exact = [(label, word_at(i)) for label, i in scanner.exact(text)]
-                fuzzy = scanner.fuzzy(text)
+                exact, fuzzy = scanner.exact(text), scanner.fuzzy(text)
+                blanks = [m.start() for m in _blank.finditer(text)] if exact or fuzzy else []
+                word_at = lambda i: bisect_right(blanks, i) - 1  # noqa: B023, E731  index of the word that begins after blank i
+                exact = [(label, word_at(i)) for label, i in exact]
                 places = [w for _, w in exact]
                 out["n_words"].append(len(words))
                 out["n_base"].append(len(places))
@@ -140,4 +160,4 @@ def scan_licenses(docs: DataFrame, notices: dict[str, str] | None = None, base:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(documents(spark, sf_dir)).drop("spans")
+    return scan_licenses(documents(spark, sf_dir))

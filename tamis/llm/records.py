@@ -19,7 +19,8 @@ task that is run again replaces its files and leaves nothing half-written. Files
 so are the rows in each.
 
 Cases: a null text is empty; an empty text is the end id alone; null doc_ids come first; repeated rows are written
-once per row (rows of one doc_id ordered by their text); an empty table writes no frames.
+once per row (rows of one doc_id ordered by a hash of their text); a very long text is one frame; extra columns are
+ignored; an empty table writes no frames.
 """
 
 from __future__ import annotations
@@ -98,7 +99,9 @@ def write_records(docs: DataFrame, path: str, tokenizer: str = WORD_BPE, end_id:
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), kinds)], list(row))
 
     chosen = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    ordered = chosen.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows of one doc_id, however many and however alike, may be split by their texts' hashes and their own numbers.
+    ties = {"_tie": F.xxhash64("text"), "_row": F.monotonically_increasing_id()}
+    ordered = chosen.withColumns(ties).repartitionByRange("doc_id", *ties).sortWithinPartitions("doc_id", "_tie", "text").select("doc_id", "text")
     return written(ordered.mapInArrow(run, MANIFEST), "record-manifest")
 
 

@@ -17,11 +17,14 @@ only those of the smallest document travel, the others are repeats already. So a
 sends a row per task. Anchors that stand between ever new words (the ends of a common line) are found on a bounded
 sample of documents and are dealt out by context as well.
 
-Hashes are 64 bits of well-mixed word hashes; texts themselves are compared nowhere.
+Equality. Contexts are equal if their anchors' and their own 64-bit hashes are, windows if two independent 64-bit
+hashes are: 128 bits in all, so that no two of even 10^15 different ones are expected to meet. Words themselves aren't
+carried along.
 
 Cases: a null or empty text has no words; texts shorter than a window keep all words; rows that share a doc_id are
-told apart by 16 bits of their text's hash and never remove each other's words; rows with a null doc_id neither lose
-words nor take part; an empty table gives no rows.
+told apart by the 64-bit hash of their text and never remove each other's words (repeated rows are treated alike); rows
+with a null doc_id neither lose words nor take part; a very long text is read whole; extra columns of any name are
+ignored or carried along; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -61,13 +64,18 @@ class Hashed:
     def __init__(self, text: bytes):
         words = text.split()
         self.n = len(words)
-        w = np.array([xxh64_intdigest(x) for x in words], U64)
+        self.words = np.array([xxh64_intdigest(x) for x in words], U64)
         up, self.down = powers(self.n + 1)
-        self.sums = np.r_[U64(0), np.cumsum(w * up[:-1], dtype=U64)]
+        self.sums = np.r_[U64(0), np.cumsum(self.words * up[:-1], dtype=U64)]
 
     def runs(self, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
         return mix((self.sums[start + size] - self.sums[start]) * self.down[start] + np.asarray(size).astype(U64))
 
+    def second_runs(self, start: np.ndarray, size: int) -> np.ndarray:
+        """Another hash of runs, from other hashes of the words."""
+        sums = np.r_[U64(0), np.cumsum(mix(self.words ^ _BASE) * powers(self.n + 1)[0][:-1], dtype=U64)]
+        return mix((sums[start + size] - sums[start]) * self.down[start] ^ _BASE)
+
     def contexts(self, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each anchor: its hash, its context's hash, and its first and last window."""
         if self.n < window:
@@ -81,19 +89,21 @@ class Hashed:
         return grams[anchor], mix(whole + (anchor - edge).astype(U64)), edge, last
 
 
-def pack(first: np.ndarray, last: np.ndarray, tag: int) -> np.ndarray:
-    """first window, 16 bits of the text's hash, and the number of windows less one."""
-    return first << 24 | tag << 8 | (last - first)
+def pack(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """First window, and the number of windows less one (which is less than the words of a window)."""
+    return first << 8 | (last - first)
 
 
 def tag_of(text: bytes) -> int:
-    return xxh64_intdigest(text) & 0xFFFF
+    """A signed hash of the text, which tells rows of one doc_id apart; Spark's xxhash64."""
+    h = xxh64_intdigest(text, 42)
+    return h - (1 << 64) if h >> 63 else h
 
 
 #: Rows on their way: a key to meet by, a finer key, the document, its place, and what it is.
-MEET = "a bigint, c bigint, doc bigint, place bigint, kind tinyint"
+MEET = "a bigint, c bigint, doc bigint, tag bigint, place bigint, kind tinyint"
 OPEN, SETTLED, HOT = 0, 1, 2  # to be compared, a repeat already, to be compared and of a hot anchor
-FOUND = "doc bigint, place bigint, kind tinyint"  # SETTLED: a repeat; OPEN: a context to be taken back to its text
+FOUND = "doc bigint, tag bigint, place bigint, kind tinyint"  # SETTLED: a repeat; OPEN: a context to be taken back to its text
 
 
 def batch_of(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -101,15 +111,15 @@ def batch_of(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v.astype(np.int8) if k in kinds else v.view(np.int64)) for k, v in columns.items()], list(columns))
 
 
-def settle(a: np.ndarray, c: np.ndarray, doc: np.ndarray, place: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+def settle(a: np.ndarray, c: np.ndarray, doc: np.ndarray, tag: np.ndarray, place: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
     """Of the rows of one key, those after the smallest document are repeats; these travel under a key of their own."""
-    order = np.lexsort((doc, c))
-    new = np.r_[True, c[order][1:] != c[order][:-1]]
+    order = np.lexsort((doc, c, a))
+    new = np.r_[True, (c[order][1:] != c[order][:-1]) | (a[order][1:] != a[order][:-1])]
     first = np.empty_like(doc)  # in the rows' own order, in which a document's rows follow one another
     first[order] = doc[order][np.maximum.accumulate(np.where(new, np.arange(len(c)), 0))]
     repeat = doc > first
     a = np.where(repeat, mix(doc.view(U64) * _BASE + place.view(U64)), a)
-    return batch_of({"a": a, "c": np.where(repeat, U64(0), c), "doc": doc, "place": place, "kind": np.where(repeat, SETTLED, kind)})
+    return batch_of({"a": a, "c": np.where(repeat, U64(0), c), "doc": doc, "tag": tag, "place": place, "kind": np.where(repeat, SETTLED, kind)})
 
 
 def gathered(parts: Iterator[tuple], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
@@ -135,14 +145,14 @@ def meet(rows: DataFrame) -> DataFrame:
         last_a = last_c = first_doc = None
         seen, held = 0, []
 
-        def found(doc: np.ndarray, place: np.ndarray, kind: int) -> pa.RecordBatch:
-            return batch_of({"doc": doc, "place": place, "kind": np.full(len(doc), kind)})
+        def found(doc: np.ndarray, tag: np.ndarray, place: np.ndarray, kind: int) -> pa.RecordBatch:
+            return batch_of({"doc": doc, "tag": tag, "place": place, "kind": np.full(len(doc), kind)})
 
         for batch in batches:
-            a, c, doc, place, kind = (x.to_numpy() for x in batch.columns)
+            a, c, doc, tag, place, kind = (x.to_numpy() for x in batch.columns)
             if (done := kind == SETTLED).any():
-                yield found(doc[done], place[done], SETTLED)
-                a, c, doc, place, kind = (x[~done] for x in (a, c, doc, place, kind))
+                yield found(doc[done], tag[done], place[done], SETTLED)
+                a, c, doc, tag, place, kind = (x[~done] for x in (a, c, doc, tag, place, kind))
             if not len(a):
                 continue
             i = np.arange(len(a))
@@ -152,7 +162,7 @@ def meet(rows: DataFrame) -> DataFrame:
             first = np.where(start >= 0, doc[start], first_doc if first_doc is not None else 0)
             repeat = doc > first
             if repeat.any():
-                yield found(doc[repeat], place[repeat], SETTLED)
+                yield found(doc[repeat], tag[repeat], place[repeat], SETTLED)
             group = np.cumsum(new_a)  # 0: goes on from the batch before
             contexts = np.cumsum(new_c)
             before = np.r_[-seen, contexts[new_a] - 1][group]
@@ -167,13 +177,13 @@ def meet(rows: DataFrame) -> DataFrame:
             if group[-1] > 0:
                 held = []
             if take.any():
-                yield found(doc[take], place[take], OPEN)
+                yield found(doc[take], tag[take], place[take], OPEN)
             wait = ~several & ~repeat & (group == group[-1])
             if wait.any():
-                held.append((doc[wait], place[wait]))
+                held.append((doc[wait], tag[wait], place[wait]))
             last_a, last_c, first_doc, seen = a[-1], c[-1], first[-1], int(ordinal[-1])
 
-    return rows.repartition("a").sortWithinPartitions("a", "c", "doc", "place").mapInArrow(run, FOUND)
+    return rows.repartition("a").sortWithinPartitions("a", "c", "doc", "tag", "place").mapInArrow(run, FOUND)
 
 
 def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
@@ -211,7 +221,7 @@ def anchor_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 if len(a):
                     is_hot = known[np.minimum(np.searchsorted(known, a), len(known) - 1)] == a if len(known) else np.zeros(len(a), bool)
                     a = np.where(is_hot, mix(a + c % U64(HOT_PARTS)), a)
-                    yield a, c, np.full(len(a), doc), pack(first, last, tag_of(text)), np.where(is_hot, HOT, OPEN)
+                    yield a, c, np.full(len(a), doc), np.full(len(a), tag_of(text)), pack(first, last), np.where(is_hot, HOT, OPEN)
 
         yield from gathered(parts())
 
@@ -219,22 +229,21 @@ def anchor_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def window_rows(docs: DataFrame, contexts: DataFrame, window: int) -> DataFrame:
-    """The windows of contexts (doc, place), from the documents' texts."""
-    places = contexts.groupBy("doc").agg(F.collect_list("place").alias("places"))
-    with_text = docs.select(F.col("doc_id").cast("long").alias("doc"), text_bytes()).join(places, "doc").select("doc", "text", "places")
+    """The windows of contexts (doc, tag, place), from the documents' texts."""
+    places = contexts.groupBy("doc", "tag").agg(F.collect_list("place").alias("places"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), text_bytes()).withColumn("tag", F.xxhash64("text"))
+    with_text = texts.join(places, ["doc", "tag"]).select("doc", "tag", "text", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts() -> Iterator[tuple]:
             for batch in batches:
-                for doc, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                    tag = tag_of(text)
+                for doc, tag, text, places in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3)):
                     p = places.values.to_numpy()
-                    p = p[(p >> 8 & 0xFFFF) == tag]
                     size = (p & 0xFF) + 1
-                    at = np.unique(np.repeat(p >> 24, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
+                    at = np.unique(np.repeat(p >> 8, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
                     if len(at):
-                        w = Hashed(text).runs(at, window)
-                        yield w, w, np.full(len(w), doc), pack(at, at, tag), np.zeros(len(w), np.int64)
+                        hashed = Hashed(text)
+                        yield hashed.runs(at, window), hashed.second_runs(at, window), np.full(len(at), doc), np.full(len(at), tag), pack(at, at), np.zeros(len(at), np.int64)
 
         yield from gathered(parts())
 
@@ -243,9 +252,10 @@ def window_rows(docs: DataFrame, contexts: DataFrame, window: int) -> DataFrame:
 
 def removed(docs: DataFrame, repeats: DataFrame, window: int, carry: str = "doc_id") -> DataFrame:
     """Per row of docs: the column `carry`, n_words, spans (of words, merged), kept_words (joined by one blank)."""
-    places = repeats.groupBy("doc").agg(F.collect_list("place").alias("places"))
+    places = repeats.groupBy("doc", "tag").agg(F.collect_list("place").alias("places"))
     kind = docs.schema[carry].dataType.simpleString()
-    joined = docs.select(F.col(carry), text_bytes(), F.col("doc_id").cast("long").alias("doc")).join(places, "doc", "left").select(carry, "text", "places")
+    texts = docs.select(F.col(carry), text_bytes(), F.col("doc_id").cast("long").alias("doc")).withColumn("tag", F.xxhash64("text"))
+    joined = texts.join(places, ["doc", "tag"], "left").select(carry, "text", "places")
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,14 +263,12 @@ def removed(docs: DataFrame, repeats: DataFrame, window: int, carry: str = "doc_
             out: list[list] = [[], [], []]
             for text, places in zip(batch.column(1).to_pylist(), batch.column(2)):
                 words, found = text.split(), []
-                if places.is_valid:
-                    p = places.values.to_numpy()
-                    p = np.sort(p[(p >> 8 & 0xFFFF) == tag_of(text)])
-                    if len(p):
-                        first, end = p >> 24, (p >> 24) + (p & 0xFF) + window
-                        reach = np.maximum.accumulate(end)
-                        cut = np.flatnonzero(np.r_[True, first[1:] > reach[:-1]])
-                        found = list(zip(first[cut].tolist(), reach[np.r_[cut[1:], len(p)] - 1].tolist()))
+                p = np.sort(places.values.to_numpy()) if places.is_valid else ()
+                if len(p):
+                    first, end = p >> 8, (p >> 8) + (p & 0xFF) + window
+                    reach = np.maximum.accumulate(end)
+                    cut = np.flatnonzero(np.r_[True, first[1:] > reach[:-1]])
+                    found = list(zip(first[cut].tolist(), reach[np.r_[cut[1:], len(p)] - 1].tolist()))
                 kept, at = [], 0
                 for a, b in found:
                     kept += words[at:a]
@@ -275,12 +283,12 @@ def removed(docs: DataFrame, repeats: DataFrame, window: int, carry: str = "doc_
 
 
 def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc, place) of windows that a smaller document has too."""
+    """(doc, tag, place) of windows that a smaller document has too."""
     seeds = written(meet(anchor_rows(docs, window, gram)), "substring-seeds")
     whole = seeds.filter(F.col("kind") == SETTLED)
     partial = meet(window_rows(docs, seeds.filter(F.col("kind") == OPEN), window)).filter(F.col("kind") == SETTLED)
-    partial = written(partial.select("doc", "place"), "substring-windows")
-    return whole.select("doc", "place").union(partial)
+    partial = written(partial.select("doc", "tag", "place"), "substring-windows")
+    return whole.select("doc", "tag", "place").union(partial)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:

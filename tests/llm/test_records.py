@@ -5,6 +5,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from xxhash import xxh64_intdigest
 
 from tamis.llm import records
 from tamis.llm.common import documents, scratch_dir
@@ -13,7 +14,8 @@ from tamis.llm.common import documents, scratch_dir
 def want(docs):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(records.WORD_BPE))
     out, start = [], 0
-    for doc_id, text in sorted(docs, key=lambda r: (r[0] is not None, r[0], r[1] or "")):
+    tie = lambda t: int(np.uint64(xxh64_intdigest(t or "", 42)).astype(np.int64))
+    for doc_id, text in sorted(docs, key=lambda r: (r[0] is not None, r[0], tie(r[1]))):
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
         out.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)

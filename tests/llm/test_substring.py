@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+
 from tamis.llm import substring
 from tamis.llm.common import documents
 
@@ -76,3 +78,26 @@ def test_hot_anchors_of_later_rows_and_long_texts(spark):
     anchors = set(substring.Hashed(passage.encode()).contexts(13, substring.GRAM)[0].tolist())
     assert anchors <= set(substring.hot_anchors(late, 13, substring.GRAM).tolist())
     assert anchors <= set(substring.hot_anchors(late.filter("length(text) > 50000").union(late.filter("doc_id < 5")), 13, substring.GRAM).tolist())
+
+
+def test_rows_of_one_doc_id_are_told_apart_by_their_whole_hash(spark):
+    """Many texts of one doc_id, of which half hold a passage that a smaller document has too."""
+    passage = " ".join(f"w{i}" for i in range(20))
+    docs = [(0, passage)] + [(1, f"{k} {passage if k % 2 else ' '.join(f'x{k}y{i}' for i in range(20))} end") for k in range(1500)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert result(substring.remove_repeats(df)) == brute(docs)
+
+
+def test_second_hash_tells_windows_apart(spark, monkeypatch):
+    """With first hashes that all collide, the second one still decides."""
+    text = " ".join(f"w{i % 31} v{i % 17}" for i in range(400)).encode()
+    hashed, at = substring.Hashed(text), np.arange(780)
+    words = text.split()
+    by = {}
+    for i, h in zip(at.tolist(), hashed.second_runs(at, 13).tolist()):
+        by.setdefault(h, set()).add(tuple(words[i : i + 13]))
+    assert all(len(x) == 1 for x in by.values()) and len(by) == len({tuple(words[i : i + 13]) for i in range(780)})
+    a, c = np.zeros(4, np.uint64), np.array([1, 2, 1, 2], np.uint64)
+    doc = np.array([5, 6, 7, 6])
+    out = substring.settle(a, c, doc, doc, doc, np.zeros(4, np.int64)).to_pydict()
+    assert out["kind"] == [substring.OPEN, substring.OPEN, substring.SETTLED, substring.OPEN]
