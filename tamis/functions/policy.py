@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the rules.
@@ -65,3 +65,91 @@ def ensemble_self_harm(vit: Column, clip: Column, yolo: Column, cnn: Column) ->
 def fbeta(tp: Column, fp: Column, fn: Column, beta: float) -> Column:
     b = beta * beta
     return F.coalesce(F.try_divide((1 + b) * tp, (1 + b) * tp + b * fn + fp), F.lit(0.0))
+
+
+# Fixed values of the detector and context rules.
+DETECTOR_SCORE, BREAST_SCORE = 0.90, 0.80
+BREAST_CLASSES = ("FEMALE_BREAST_EXPOSED", "MALE_BREAST_EXPOSED")
+BAN_CLASSES = ("FEMALE_GENITALIA_EXPOSED", "MALE_GENITALIA_EXPOSED", "ANUS_EXPOSED")
+BAN_TERMS = ("pussy", "vagina", "genitalia")
+SPORTS_CUT, ANIME_CUT, GORE_CUT, BRAWL_CUT, LEAST_FACTOR = 0.55, 0.55, 0.60, 0.22, 0.15
+SPORTS_SHARPNESS, GORE_SHARPNESS = 20, 25
+REASONS = {"nsfw": ("nhạy cảm / sexy / bikini", "khỏa thân / khiêu dâm"), "violence": ("bạo lực nhẹ", "bạo lực")}
+REASON_HEADS = ("Nội dung có yếu tố: ", "Phát hiện nội dung: ")
+
+
+def body_trigger(boxes: Column, exact: bool = False) -> Column:
+    """Whether a box (cls, conf) calls for a ban: by parts of the class name in any case, or by exact class names."""
+    if exact:
+        hit = lambda b: b["cls"].isin(*BAN_CLASSES) | (b["cls"].isin(*BREAST_CLASSES) & (b["conf"] >= BREAST_SCORE))
+    else:
+        hit = lambda b: F.lower(b["cls"]).rlike("|".join(BAN_TERMS)) | (F.contains(F.lower(b["cls"]), F.lit("breast")) & (b["conf"] >= BREAST_SCORE))
+    return F.coalesce(F.exists(boxes, hit), F.lit(False))
+
+
+def detector_override(score: Column, base: Column, trigger: Column) -> Column:
+    """For scores that call the detector, its boxes alone decide between ban and blur."""
+    return F.when(score >= DETECTOR_SCORE, F.when(trigger, "ban").otherwise("blur")).otherwise(base)
+
+
+def class_confidence(boxes: Column, cls: Column) -> Column:
+    """The highest confidence among the boxes of a class; 0 without any."""
+    return F.coalesce(F.array_max(F.transform(F.filter(boxes, lambda b: b["cls"] == cls), lambda b: b["conf"])), F.lit(0.0))
+
+
+def of_two(a: Column, b: Column, sharpness: float) -> Column:
+    """Softmax share of the first of two similarities."""
+    return 1 / (1 + F.exp((b - a) * sharpness))
+
+
+def sports_probability(sports: Column, violence: Column) -> Column:
+    return of_two(sports, violence, SPORTS_SHARPNESS)
+
+
+def suppress_factor(p_sports: Column) -> Column:
+    return F.when(p_sports > SPORTS_CUT, F.greatest(F.lit(LEAST_FACTOR), 1 - p_sports)).otherwise(1.0)
+
+
+def context_flags(sports: Column, violence: Column, anime: Column, gore: Column, brawl: Column) -> dict[str, Column]:
+    """Flags from mean similarities to the prompt groups, and the factor for violence scores."""
+    p = sports_probability(sports, violence)
+    return {
+        "is_sports": p > SPORTS_CUT,
+        "is_anime": of_two(anime, (sports + violence) / 2, SPORTS_SHARPNESS) > ANIME_CUT,
+        "is_gore": of_two(gore, brawl, GORE_SHARPNESS) > GORE_CUT,
+        "is_brawl": brawl > BRAWL_CUT,
+        "factor": suppress_factor(p),
+    }
+
+
+def nsfw_after_sport(score: Column, p_sports: Column) -> Column:
+    """Less what sport suppresses, to two digits; never below 0."""
+    return F.greatest(F.lit(0.0), score - F.round(1 - suppress_factor(p_sports), 2))
+
+
+def image_reason(nsfw: Column, violence: Column) -> Column:
+    """The text for an image's levels; empty at level 0."""
+    parts = [F.when(lv == 2, REASONS[k][1]).when(lv == 1, REASONS[k][0]) for k, lv in (("nsfw", nsfw), ("violence", violence))]
+    top = F.greatest(nsfw, violence)
+    head = F.when(top == 2, REASON_HEADS[1]).when(top == 1, REASON_HEADS[0])
+    return F.when(top > 0, F.concat(head, F.concat_ws(", ", *parts))).otherwise("")
+
+
+def ensemble_weapon(yolo: Column, gore: Column) -> Column:
+    return F.greatest(yolo, 0.5 * gore)
+
+
+def with_classes(rows: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """Adds class, category, priority, blur and ban by class_id; classes the taxonomy lacks are named after their id
+    and have no thresholds. The taxonomy is a short table by its nature; the optimiser sees its size."""
+    joined = rows.join(taxonomy, "class_id", "left")
+    return joined.withColumns({"class": F.coalesce("class", F.concat(F.lit("unknown_"), F.col("class_id").cast("string"))), "category": F.coalesce("category", F.lit("unknown")), "priority": F.coalesce("priority", F.lit(0))})
+
+
+def rolled_up(found: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """Per item and policy category: the highest score, whether any scene is over its class's blur threshold, the
+    action, and the highest priority. `found`: item, class_id, p."""
+    rows = with_classes(found, taxonomy)
+    over = lambda c: F.coalesce(F.bool_or(F.col("p") >= F.col(c)), F.lit(False))
+    out = rows.groupBy("item", "category").agg(F.max("p").alias("p"), over("blur").alias("any_blur"), over("ban").alias("_ban"), F.max("priority").alias("priority"))
+    return out.withColumn("action", F.when(F.col("_ban"), "ban").when(F.col("any_blur"), "blur").otherwise("safe")).drop("_ban")
