@@ -25,6 +25,11 @@ def stable_id(prefix: Column, path: Column) -> Column:
     return F.concat(prefix, F.lit("_"), F.substring(F.sha1(path), 1, 12))
 
 
+def output_name(path: Column) -> Column:
+    """A file's stem and eight characters of its path's md5: distinct for equal stems in different folders."""
+    return F.concat(F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1), F.lit("_"), F.substring(F.md5(path), 1, 8))
+
+
 def sample_order(seed: int, key: Column) -> Column:
     """Sort key of a seeded shuffle."""
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))

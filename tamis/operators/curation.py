@@ -2,19 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import sample_order
 
 
+#: Characters of a draw (a hex hash) that deal rows of one group to buckets: 4096 of them.
+DRAW_CHARS = 3
+
+
+def ranked(rows: DataFrame, by: list[str], draw: str, *ties: str, name: str = "rank", size: str | None = None) -> DataFrame:
+    """Adds the row's place (from 1) within its group, in order of `draw`, a hex hash, and of `ties`; and the group's size.
+
+    A group is dealt to buckets by the draw's first characters. Bucket counts, 4096 a group at most, say how many rows
+    come before a bucket; only rows of one bucket are sorted together, so a group of any size is split.
+    """
+    dealt = rows.withColumn("_bucket", F.substring(draw, 1, DRAW_CHARS))
+    counts = dealt.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"))
+    group = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("_n").over(group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*(F.col(c).alias(f"_by_{i}") for i, c in enumerate(by)), F.col("_bucket").alias("_b"), before.alias("_before"), F.sum("_n").over(group).alias("_size"))
+    same = F.col("_bucket").eqNullSafe(F.col("_b"))
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{i}"))
+    met = dealt.join(counts, same)
+    place = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(draw, *ties)) + F.col("_before")
+    out = met.withColumn(name, place)
+    if size:
+        out = out.withColumn(size, F.col("_size"))
+    return out.drop("_bucket", "_b", "_before", "_size", *(f"_by_{i}" for i in range(len(by))))
+
+
 def capped(rows: DataFrame, by: list[str], most: int, draw: str, key: str) -> DataFrame:
     """Up to `most` open rows of each group, in order of their draw; locked rows always stay. No cap if most <= 0."""
     if most <= 0:
         return rows
     is_open = F.col("locked_split") == ""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.when(is_open, 0).otherwise(1), draw, key))
-    return rows.withColumn("_rank", rank).filter(~is_open | (F.col("_rank") <= most)).drop("_rank")
+    kept = ranked(rows.filter(is_open), by, draw, key, name="_rank").filter(F.col("_rank") <= most).drop("_rank")
+    return kept.unionByName(rows.filter(~is_open))
 
 
 def group_split(rows: DataFrame, test: float, val: float, seed: int) -> DataFrame:
@@ -45,15 +71,60 @@ def holdout(rows: DataFrame, groups: int) -> DataFrame:
     return joined.withColumn("split", F.when(F.col("_held"), "challenge").otherwise(F.col("split_before"))).drop("_held")
 
 
-def floor_split(rows: DataFrame, by: list[str], draw: str, key: str) -> DataFrame:
-    """Test and val shares per class with floors: a fifth (10 at least) of small classes, 15 and 10 percent of others."""
-    group = Window.partitionBy(*by)
-    n, rank = F.count("*").over(group), F.row_number().over(group.orderBy(draw, key))
-    rows = rows.withColumns({"_n": n, "_rank": rank})
-    small, n = F.greatest(F.lit(10), F.expr("_n div 5")), F.col("_n")
-    test = F.when(n < 100, small).otherwise(F.greatest(F.lit(30), F.floor(n * F.lit(0.15))))
-    val = F.when(n < 100, small).otherwise(F.greatest(F.lit(30), F.floor(n * F.lit(0.10))))
-    return rows.withColumn("split", F.when(F.col("_rank") <= test, "test").when(F.col("_rank") <= test + val, "val").otherwise("train")).drop("_n", "_rank")
+# Fixed values of the class-floor split: shares and floors of large classes, share and floor of classes under SMALL.
+TEST_SHARE, VAL_SHARE, LEAST_ROWS, SMALL, SMALL_PART, SMALL_LEAST = 0.10, 0.15, 30, 100, 5, 10
+
+
+def floor_split(rows: DataFrame, by: list[str], draw: str, key: str, train_cap: Column | None = None) -> DataFrame:
+    """Test and val rows per class by share, with floors; the rest is train, of which `train_cap` rows at most stay
+    (null: all)."""
+    placed = ranked(rows, by, draw, key, name="_rank", size="_n")
+    n, rank = F.col("_n"), F.col("_rank")
+    small = F.greatest(F.lit(SMALL_LEAST), F.expr(f"_n div {SMALL_PART}"))
+    test = F.when(n < SMALL, small).otherwise(F.greatest(F.lit(LEAST_ROWS), F.floor(n * F.lit(TEST_SHARE))))
+    val = F.when(n < SMALL, small).otherwise(F.greatest(F.lit(LEAST_ROWS), F.floor(n * F.lit(VAL_SHARE))))
+    split = F.when(rank <= test, "test").when(rank <= test + val, "val").otherwise("train")
+    placed = placed.withColumn("split", split)
+    if train_cap is not None:
+        placed = placed.filter((F.col("split") != "train") | train_cap.isNull() | (rank <= test + val + train_cap))
+    return placed.drop("_n", "_rank")
+
+
+def locked_aware_split(rows: DataFrame, by: str, test: float, val: float, draw: str, second_draw: str, key: str) -> DataFrame:
+    """Locked rows keep their split. Of a source's open rows a share is drawn for test if there are three at least, then
+    of the rest (by a draw of its own) one for val, again if there are three; sizes are rounded up."""
+    is_open = F.col("locked_split") == ""
+    placed = ranked(rows.filter(is_open), [by], draw, key, name="_rank", size="_n")
+    n_test = F.when((F.col("_n") >= 3) & F.lit(test > 0), F.ceil(F.col("_n") * F.lit(test))).otherwise(0)
+    placed = placed.withColumn("_test", F.col("_rank") <= n_test).drop("_rank", "_n")
+    rest = ranked(placed.filter("NOT _test"), [by], second_draw, key, name="_rank", size="_n")
+    relative = min(val / max(1 - test, 1e-6), 0.5)
+    n_val = F.when((F.col("_n") >= 3) & F.lit(val > 0), F.ceil(F.col("_n") * F.lit(relative))).otherwise(0)
+    rest = rest.withColumn("split", F.when(F.col("_rank") <= n_val, "val").otherwise("train")).drop("_rank", "_n", "_test")
+    tested = placed.filter("_test").withColumn("split", F.lit("test")).drop("_test")
+    return rest.unionByName(tested).unionByName(rows.filter(~is_open).withColumn("split", F.col("locked_split")))
+
+
+def cut_split(rows: DataFrame, by: list[str], draw: str, key: str, first: float = 0.70, second: float = 0.85) -> DataFrame:
+    """Train, val and test by the row's place in its stratum, e.g. its vector of labels."""
+    placed = ranked(rows, by, draw, key, name="_rank", size="_n")
+    split = F.when(F.col("_rank") <= F.floor(F.col("_n") * F.lit(first)), "train").when(F.col("_rank") <= F.floor(F.col("_n") * F.lit(second)), "val").otherwise("test")
+    return placed.withColumn("split", split).drop("_rank", "_n")
+
+
+def with_quotas(rows: DataFrame, positive: Column, quotas: dict[str, int], draw: str, key: str) -> DataFrame:
+    """All positives, and of the negatives of each split as many as its quota allows, drawn by hash."""
+    quota = F.element_at(F.create_map(*(F.lit(x) for pair in quotas.items() for x in pair)), F.col("split"))
+    drawn = ranked(rows.filter(~positive), ["split"], draw, key, name="_rank").filter(F.col("_rank") <= F.coalesce(quota, F.lit(0))).drop("_rank")
+    return rows.filter(positive).unionByName(drawn)
+
+
+def pool_bounded(rows: DataFrame, positive: Column, draw: str, key: str, times: int = 6, least: int = 300) -> DataFrame:
+    """All positives and max(times x positives, least) negatives at most, drawn by hash."""
+    bound = max(times * rows.filter(positive).count(), least)
+    drawn = ranked(rows.filter(~positive).withColumn("_all", F.lit(1)), ["_all"], draw, key, name="_rank").drop("_all")
+    drawn = drawn.filter(F.col("_rank") <= bound).drop("_rank")
+    return rows.filter(positive).unionByName(drawn)
 
 
 def inverse_sqrt_weights(rows: DataFrame, by: list[str], least: float, most: float) -> DataFrame:
@@ -66,7 +137,8 @@ def inverse_sqrt_weights(rows: DataFrame, by: list[str], least: float, most: flo
 
 
 def fingerprints(rows: DataFrame, by: str, key: str) -> DataFrame:
-    """Size, share and an order-free hash of the keys of each split: equal keys give equal hashes on any cluster."""
-    hashed = F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("long")
-    found = rows.groupBy(by).agg(F.count("*").alias("n"), F.bit_xor(hashed).alias("hash"))
-    return found.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 6))
+    """Size, share and an order-free hash of the keys of each split: the sum of 48-bit hashes modulo 2**60, so that
+    equal keys give equal hashes on any cluster and repeated keys count."""
+    hashed = F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("decimal(38,0)")
+    found = rows.groupBy(by).agg(F.count("*").alias("n"), F.pmod(F.sum(hashed), F.lit(1 << 60)).cast("long").alias("hash"))
+    return found.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 6))  # a row per split

@@ -6,15 +6,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.policy import fbeta
+
+SCORE_BUCKETS = 1024
 
 
 def by_score(rows: DataFrame, *by: str) -> DataFrame:
-    """Positives and negatives per distinct score, and how many of both score at least as much (tp, fp)."""
+    """Positives and negatives per distinct score, and how many of both score at least as much (tp, fp).
+
+    Scores (0 to 1) fall into buckets; sums over whole buckets, a bounded number of rows, give each bucket what lies
+    above it, and only scores of one bucket are sorted together.
+    """
     points = rows.groupBy(*by, "score").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    down = Window.partitionBy(*by).orderBy(F.desc("score"))
-    every = Window.partitionBy(*by)
-    return points.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "n_pos": F.sum("pos").over(every), "n_neg": F.sum("neg").over(every)})
+    points = points.withColumn("_bucket", F.floor(F.col("score") * SCORE_BUCKETS))
+    sums = points.groupBy(*by, "_bucket").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    above, every = Window.partitionBy(*by).orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    sums = sums.select(*by, "_bucket", zero(F.sum("_p").over(above)).alias("_tp"), zero(F.sum("_n").over(above)).alias("_fp"), F.sum("_p").over(every).alias("n_pos"), F.sum("_n").over(every).alias("n_neg"))
+    down = Window.partitionBy(*by, "_bucket").orderBy(F.desc("score"))
+    met = points.join(sums, [*by, "_bucket"])
+    return met.withColumns({"tp": F.col("_tp") + F.sum("pos").over(down), "fp": F.col("_fp") + F.sum("neg").over(down)}).drop("_bucket", "_tp", "_fp")
 
 
 def roc_auc(rows: DataFrame, *by: str) -> DataFrame:
@@ -36,17 +46,6 @@ def youden(rows: DataFrame, *by: str) -> DataFrame:
     return p.groupBy(*by).agg(F.max(F.struct("j", "score")).alias("best")).select(*by, F.col("best.score").alias("threshold"), F.col("best.j").alias("j"))
 
 
-def best_fbeta(rows: DataFrame, grid: list[float], beta: float, *by: str) -> DataFrame:
-    """The threshold of a grid with the best F-beta; the first of equals. Score groups are counted once; each
-    threshold then sums up those groups, not the rows."""
-    points = rows.groupBy(*by, "score").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    cut = points.withColumn("t", F.explode(F.array(*map(F.lit, grid))))
-    over = F.col("score") >= F.col("t")
-    counted = cut.groupBy(*by, "t").agg(F.sum(F.when(over, F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(over, F.col("neg")).otherwise(0)).alias("fp"), F.sum(F.when(~over, F.col("pos")).otherwise(0)).alias("fn"))
-    scored = counted.withColumn("f", F.round(fbeta(F.col("tp"), F.col("fp"), F.col("fn"), beta), 9))
-    return scored.groupBy(*by).agg(F.max(F.struct("f", (-F.col("t")).alias("t"))).alias("b")).select(*by, (-F.col("b.t")).alias("threshold"), F.col("b.f").alias("f"))
-
-
 def calibration_error(rows: DataFrame, bins: int, *by: str) -> DataFrame:
     """Expected calibration error over equal bins."""
     b = F.least(F.floor(F.col("score") * bins), F.lit(bins - 1))
@@ -54,18 +53,24 @@ def calibration_error(rows: DataFrame, bins: int, *by: str) -> DataFrame:
     return binned.groupBy(*by).agg((F.sum(F.col("n") * F.abs(F.col("s") - F.col("y"))) / F.sum("n")).alias("ece"))
 
 
-def knn_vote(queries: DataFrame, base: DataFrame, k: int, blocks: int = 16) -> DataFrame:
+KNN_BLOCK_ROWS, SPREAD = 20_000, 4
+
+
+def knn_vote(queries: DataFrame, base: DataFrame, k: int, block_rows: int = KNN_BLOCK_ROWS) -> DataFrame:
     """Majority label of the k nearest by cosine (rows: vec_id, v, label); the nearest of equally frequent labels.
 
     The stated queries are compared with all of `base`, in blocks: each block of `base` meets every query, and ranks
     are cut per block before blocks meet, so no more than k rows of a query and block are shuffled. Nothing is
-    broadcast.
+    broadcast. There are as many blocks as hold block_rows rows of `base` each, times SPREAD blocks of queries, so neither
+    side of a block grows with the data.
     """
     from ..functions import sequences as seq
 
+    blocks = max(8, -(-base.count() // block_rows))
     a = queries.select(F.col("vec_id").alias("q"), F.col("v").alias("qv"), F.col("label").alias("truth"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    dealt = base.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    pairs = dealt.join(a, "block").filter("q <> vec_id")
+    a = a.withColumn("part", F.pmod(F.xxhash64("q"), F.lit(SPREAD)).cast("int"))
+    dealt = base.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    pairs = dealt.join(a, ["block", "part"]).filter("q <> vec_id")
     near = pairs.select("block", "q", "truth", "vec_id", "label", F.round(seq.cosine(F.col("qv"), F.col("v")), 9).alias("s"))
     order = [F.desc("s"), "vec_id"]
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy("q", "block").orderBy(*order))).filter(F.col("rank") <= k)

@@ -21,15 +21,17 @@ def dedup_keep_first(spark, sf_dir):
 both("dup_groups", "SELECT md5, count(*) AS n, min(doc_id) AS first_id FROM {manifest} GROUP BY md5 HAVING count(*) > 1")
 both("leak_exact", """SELECT v.doc_id AS val_id, t.train_id, v.md5 FROM {manifest} v JOIN (SELECT md5, min(doc_id) AS train_id FROM {manifest} WHERE split = 'train' GROUP BY md5) t ON t.md5 = v.md5 WHERE v.split = 'val'""")
 both("leak_summary", """SELECT a.split AS split1, b.split AS split2, count(*) AS n FROM (SELECT DISTINCT split, md5 FROM {manifest}) a JOIN (SELECT DISTINCT split, md5 FROM {manifest}) b ON a.md5 = b.md5 AND a.split < b.split GROUP BY 1, 2""")
-both("leak_pairs", f"""SELECT a.split AS split1, a.doc_id AS id1, b.split AS split2, b.doc_id AS id2 FROM {{manifest}} a JOIN {{manifest}} b ON a.md5 = b.md5 AND {_RANK.replace('split', 'a.split')} < {_RANK.replace('split', 'b.split')}""")
+both("leak_pairs", f"""SELECT a.md5, a.split AS split1, b.split AS split2, a.n AS n1, b.n AS n2, a.first_id AS id1, b.first_id AS id2 FROM (SELECT md5, split, count(*) AS n, min(doc_id) AS first_id FROM {{manifest}} GROUP BY 1, 2) a
+  JOIN (SELECT md5, split, count(*) AS n, min(doc_id) AS first_id FROM {{manifest}} GROUP BY 1, 2) b ON a.md5 = b.md5 AND {_RANK.replace('split', 'a.split')} < {_RANK.replace('split', 'b.split')}""")
 
 
-@query("""WITH h AS (SELECT vec_id, bit_string, list_transform(range(0, 4), lambda k: substr(bit_string, 16 * k + 1, 16)) AS bands FROM (
-  SELECT vec_id, array_to_string(list_transform(v, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS bit_string FROM features)),
-p AS (SELECT a.vec_id AS id1, b.vec_id AS id2, len(list_filter(range(1, 65), lambda i: substr(a.bit_string, i, 1) <> substr(b.bit_string, i, 1))) AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id)
-SELECT id1, id2, distance::INT AS distance FROM p WHERE distance <= 3""", "features")
+@query("""WITH h AS (SELECT bit_string, min(vec_id) AS id, count(*) AS n FROM (SELECT vec_id, array_to_string(list_transform(v[1:24], lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS bit_string FROM features) GROUP BY 1),
+p AS (SELECT a.id AS id1, b.id AS id2, a.n AS n1, b.n AS n2, len(list_filter(range(1, 25), lambda i: substr(a.bit_string, i, 1) <> substr(b.bit_string, i, 1))) AS distance FROM h a JOIN h b ON a.id < b.id)
+SELECT id1, id2, n1, n2, distance::INT AS distance FROM p WHERE distance <= 3""", "features")
 def leak_hamming(spark, sf_dir):
-    return op.hamming_pairs(op.sign_bits(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), 3)
+    """Signs of 24 dimensions, so that some vectors are near."""
+    short = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 24).alias("v"))
+    return op.hamming_pairs(op.sign_bits(short, "vec_id", "v"), 3, 24)
 
 
 both("overlap_matrix", """SELECT 'md5' AS kind, count(*) AS n FROM (SELECT md5 FROM {manifest} WHERE split = 'train' INTERSECT SELECT md5 FROM {manifest} WHERE split = 'test')
@@ -43,16 +45,16 @@ both("key_conflicts", "SELECT md5, count(DISTINCT path) AS paths FROM {manifest}
 both("audit_flags", """SELECT doc_id, concat_ws(';', CASE WHEN length(text) < 60 THEN 'short' END, CASE WHEN length(text) > 5000 THEN 'long' END, CASE WHEN text LIKE '%$$$%' THEN 'symbols' END) AS flags FROM {documents}""")
 
 
-@query("""WITH k AS (SELECT doc_id, source || '/' || doc_id AS full_key, (doc_id % 50)::VARCHAR AS base FROM documents),
-v AS (SELECT o_orderkey, 'src' || (o_orderkey % 20) || '/' || o_orderkey AS full_key, (o_orderkey % 50)::VARCHAR AS base FROM orders),
-u AS (SELECT base, min(o_orderkey) AS by_base FROM v WHERE o_orderkey % 997 < 60 GROUP BY base HAVING count(*) = 1)
+@query("""WITH k AS (SELECT doc_id, source || '/' || doc_id AS full_key, (doc_id * 11 % 20000)::VARCHAR AS base FROM documents),
+v AS (SELECT o_orderkey, 'src' || (o_orderkey % 20) || '/' || o_orderkey AS full_key, ((o_orderkey * 7 + o_custkey) % 20000)::VARCHAR AS base FROM orders),
+u AS (SELECT base, min(o_orderkey) AS by_base FROM v GROUP BY base HAVING count(*) = 1)
 SELECT doc_id, coalesce(v.o_orderkey, by_base) AS order_key, CASE WHEN v.o_orderkey IS NOT NULL THEN 'full' WHEN by_base IS NOT NULL THEN 'base' ELSE 'none' END AS how
 FROM k LEFT JOIN v ON v.full_key = k.full_key LEFT JOIN u ON u.base = k.base""")
 def resolve_paths(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("full_key"), (F.col("doc_id") % 50).cast("string").alias("base"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("full_key"), (F.col("doc_id") * 11 % 20000).cast("string").alias("base"))
     key = F.col("o_orderkey")
-    files = table(spark, sf_dir, "orders").select(key.alias("file"), F.concat(F.lit("src"), (key % 20).cast("string"), F.lit("/"), key.cast("string")).alias("full_key"), (key % 50).cast("string").alias("base"))
-    return op.resolved(docs, files, files.filter("file % 997 < 60")).select("doc_id", F.col("file").alias("order_key"), "how")
+    files = table(spark, sf_dir, "orders").select(key.alias("file"), F.concat(F.lit("src"), (key % 20).cast("string"), F.lit("/"), key.cast("string")).alias("full_key"), ((key * 7 + F.col("o_custkey")) % 20000).cast("string").alias("base"))
+    return op.resolved(docs, files, files).select("doc_id", F.col("file").alias("order_key"), "how")
 
 
 @query("""SELECT vec_id, len(v)::INT AS width, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS norm, concat_ws(';', CASE WHEN len(v) <> 64 THEN 'width' END,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hash_split
+from ..functions.hashing import hash_split, output_name, sample_order
 from ..operators import curation as op
 from ..sources.views import BUCKET, manifest
 from .common import both, query
@@ -63,12 +63,41 @@ def challenge_holdout(spark, sf_dir):
     return op.holdout(m, 15).select("doc_id", "split", "split_before")
 
 
-@query("""WITH g AS (SELECT source, violence, count(*) AS n FROM manifest GROUP BY 1, 2),
-r AS (SELECT doc_id, m.source, m.violence, n, row_number() OVER (PARTITION BY m.source, m.violence ORDER BY draw, doc_id) AS rn FROM manifest m JOIN g ON g.source = m.source AND g.violence = m.violence)
-SELECT doc_id, CASE WHEN rn <= (CASE WHEN n < 100 THEN greatest(10, n // 5) ELSE greatest(30, floor(0.15::DOUBLE * n)) END) THEN 'test'
-  WHEN rn <= (CASE WHEN n < 100 THEN 2 * greatest(10, n // 5) ELSE greatest(30, floor(0.15::DOUBLE * n)) + greatest(30, floor(0.10::DOUBLE * n)) END) THEN 'val' ELSE 'train' END AS split FROM r""", "manifest")
+@query("""WITH r AS (SELECT doc_id, violence, count(*) OVER w AS n, row_number() OVER (w ORDER BY draw, doc_id) AS rn FROM manifest WINDOW w AS (PARTITION BY source, violence)),
+k AS (SELECT *, CASE WHEN n < 100 THEN greatest(10, n // 5) ELSE greatest(30, floor(0.10::DOUBLE * n)) END AS test, CASE WHEN n < 100 THEN greatest(10, n // 5) ELSE greatest(30, floor(0.15::DOUBLE * n)) END AS val FROM r)
+SELECT doc_id, CASE WHEN rn <= test THEN 'test' WHEN rn <= test + val THEN 'val' ELSE 'train' END AS split FROM k WHERE violence = 1 OR rn <= test + val + 40""", "manifest")
 def class_floor_split(spark, sf_dir):
-    return op.floor_split(manifest(spark, sf_dir), ["source", "violence"], "draw", "doc_id").select("doc_id", "split")
+    """The cap stands in for the reference's 1500, which no class of the fixtures reaches."""
+    cap = F.when(F.col("violence") == 0, 40)
+    return op.floor_split(manifest(spark, sf_dir), ["source", "violence"], "draw", "doc_id", cap).select("doc_id", "split")
+
+
+@query("""WITH o AS (SELECT doc_id, source, count(*) OVER (PARTITION BY source) AS n, row_number() OVER (PARTITION BY source ORDER BY draw, doc_id) AS rn, md5('43:' || doc_id) AS again FROM manifest WHERE locked_split = ''),
+t AS (SELECT *, rn <= CASE WHEN n >= 3 THEN ceil(n * 0.15::DOUBLE) ELSE 0 END AS test FROM o),
+v AS (SELECT *, count(*) OVER (PARTITION BY source) AS m, row_number() OVER (PARTITION BY source ORDER BY again, doc_id) AS rv FROM t WHERE NOT test)
+SELECT doc_id, CASE WHEN rv <= CASE WHEN m >= 3 THEN ceil(m * least(0.1::DOUBLE / greatest(1 - 0.15::DOUBLE, 1e-6), 0.5)) ELSE 0 END THEN 'val' ELSE 'train' END AS split FROM v
+UNION ALL SELECT doc_id, 'test' FROM t WHERE test UNION ALL SELECT doc_id, locked_split FROM manifest WHERE locked_split <> ''""", "manifest")
+def locked_split_by_source(spark, sf_dir):
+    m = manifest(spark, sf_dir).withColumn("again", sample_order(43, F.col("doc_id")))
+    return op.locked_aware_split(m, "source", 0.15, 0.1, "draw", "again", "doc_id").select("doc_id", "split")
+
+
+@query("""SELECT doc_id, violence, split FROM (SELECT *, row_number() OVER (PARTITION BY violence, split ORDER BY draw, doc_id) AS rn FROM manifest)
+WHERE violence = 1 OR rn <= CASE split WHEN 'train' THEN 100 WHEN 'val' THEN 12 ELSE 18 END""", "manifest")
+def negative_quotas(spark, sf_dir):
+    m = manifest(spark, sf_dir)
+    return op.with_quotas(m, F.col("violence") == 1, {"train": 100, "val": 12, "test": 18}, "draw", "doc_id").select("doc_id", "violence", "split")
+
+
+@query("""SELECT doc_id, violence FROM (SELECT *, row_number() OVER (PARTITION BY violence ORDER BY draw, doc_id) AS rn, sum(violence) OVER () AS p FROM manifest)
+WHERE violence = 1 OR rn <= greatest(6 * p, 300)""", "manifest")
+def bounded_pool(spark, sf_dir):
+    return op.pool_bounded(manifest(spark, sf_dir), F.col("violence") == 1, "draw", "doc_id").select("doc_id", "violence")
+
+
+@query("SELECT doc_id, doc_id || '_' || substr(md5(path), 1, 8) AS name FROM manifest", "manifest")
+def output_names(spark, sf_dir):
+    return manifest(spark, sf_dir).select("doc_id", output_name(F.col("path")).alias("name"))
 
 
 @query("""SELECT doc_id, source, round(least(4.0::DOUBLE, greatest(0.25::DOUBLE, w / avg(w) OVER ())), 6) AS weight FROM (
@@ -83,15 +112,13 @@ both("imbalance_weights", """SELECT round(least(6.0, greatest(1.5, sqrt(r))), 6)
      """SELECT round(least(6.0D, greatest(1.5D, sqrt(r))), 6) AS soft, round(least(12.0D, greatest(2.0D, r)), 6) AS hard FROM (SELECT CAST(count(*) - sum(violence) AS DOUBLE) / greatest(1, sum(violence)) AS r FROM {manifest})""")
 
 
-@query("SELECT split, count(*) AS n, bit_xor(('0x' || substr(md5(path), 1, 12))::BIGINT) AS hash, round(count(*) / (sum(count(*)) OVER ()), 6) AS share FROM manifest GROUP BY split", "manifest")
+@query("SELECT split, count(*) AS n, (sum(('0x' || substr(md5(path), 1, 12))::BIGINT::HUGEINT) % 1152921504606846976)::BIGINT AS hash, round(count(*) / (sum(count(*)) OVER ()), 6) AS share FROM manifest GROUP BY split", "manifest")
 def split_fingerprint(spark, sf_dir):
     return op.fingerprints(manifest(spark, sf_dir), "split", "path")
 
 
 @query("""SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5('5:' || doc_id), doc_id) AS rn FROM documents) WHERE rn <= 5""")
 def sample_per_source(spark, sf_dir):
-    from ..functions.hashing import sample_order
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     by = Window.partitionBy("source").orderBy(sample_order(5, F.col("doc_id")), "doc_id")
     return docs.withColumn("rn", F.row_number().over(by)).filter("rn <= 5").select("source", "doc_id")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import calibration as cal
 from ..operators import metrics as op
+from ..session import table
 from ..sources.views import features, predictions
 from .common import both, query
 
@@ -19,7 +21,6 @@ both("prf", "SELECT label, round(coalesce(tp / nullif(CAST(tp + fp AS DOUBLE), 0
 both("macro_micro_f1", "SELECT round(avg(coalesce(2 * tp / nullif(CAST(2 * tp + fp + fn AS DOUBLE), 0), 0)), 6) AS macro, round(sum(2 * tp) / nullif(CAST(sum(2 * tp + fp + fn) AS DOUBLE), 0), 6) AS micro FROM (" + _CONFUSION.format(k="label") + ")")
 both("brier", "SELECT label, round(avg((score - y) * (score - y)), 6) AS brier FROM {predictions} GROUP BY label")
 both("flag_rates", "SELECT label, round(avg(CASE WHEN score >= 0.5 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS rate, round(avg(score), 6) AS m, round(stddev_pop(score), 6) AS sd FROM {predictions} GROUP BY label")
-both("quantile_threshold", "SELECT label, round(least(0.95, greatest(0.05, quantile_cont(score, 0.9))), 6) AS t FROM {predictions} GROUP BY label", "SELECT label, round(least(0.95D, greatest(0.05D, percentile(score, 0.9))), 6) AS t FROM {predictions} GROUP BY label")
 both("scheme_strict", "SELECT label, count(*) AS n, count(*) FILTER (WHERE (score >= 0.9) = (y = 1)) AS agreed FROM {predictions} GROUP BY label")
 both("scheme_exclude_blur", "SELECT label, count(*) AS n, count(*) FILTER (WHERE (score >= 0.9) = (y = 1)) AS agreed FROM {predictions} WHERE score >= 0.9 OR score < 0.7 GROUP BY label")
 both("level_distribution", "SELECT l.level, coalesce(n, 0) AS n, round(100.0 * coalesce(n, 0) / sum(coalesce(n, 0)) OVER (), 4) AS percent FROM (SELECT 0 AS level UNION ALL SELECT 1 UNION ALL SELECT 2) l LEFT JOIN (SELECT CASE WHEN score >= 0.9 THEN 2 WHEN score >= 0.7 THEN 1 ELSE 0 END AS level, count(*) AS n FROM {predictions} GROUP BY 1) p ON p.level = l.level",
@@ -28,7 +29,6 @@ both("runtime_stats", "SELECT event_type, round(avg(value), 4) AS m, round(quant
      "SELECT event_type, round(avg(value), 4) AS m, round(percentile(value, 0.5), 4) AS med, min(value) AS low, max(value) AS high, round(sum(value), 2) AS total FROM {events} GROUP BY event_type")
 both("class_gap", "SELECT label, round(avg(CASE WHEN y = 1 THEN score END) - avg(CASE WHEN y = 0 THEN score END), 6) AS gap FROM {predictions} GROUP BY label")
 both("batch_mean_accuracy", "SELECT label, round(avg(a), 6) AS acc, CASE WHEN avg(a) < 0.52 THEN 'chance' WHEN avg(a) < 0.62 THEN 'weak' ELSE 'good' END AS tier FROM (SELECT label, bucket, avg(CASE WHEN (score >= 0.5) = (y = 1) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS a FROM {predictions} GROUP BY label, bucket) GROUP BY label")
-both("health_rules", "SELECT label, stddev_pop(score) < 0.05 AS collapsed, avg(score) > 0.9 AS saturated, count(*) AS n FROM {predictions} GROUP BY label")
 both("label_smoothing", "SELECT doc_id, label, round(y * CAST(0.9 AS DOUBLE) + CAST(0.05 AS DOUBLE), 6) AS smooth FROM {predictions}")
 both("class_percent", "SELECT label, y, round(CAST(100 AS DOUBLE) * count(*) / sum(count(*)) OVER (PARTITION BY label), 4) AS percent FROM {predictions} GROUP BY label, y")
 
@@ -48,23 +48,110 @@ def youden(spark, sf_dir):
     return op.youden(predictions(spark, sf_dir), "label")
 
 
-_GRID = [round(0.01 + 0.005 * i, 4) for i in range(197)]
+def _grid_sql(low, high, n):
+    """Counts at each threshold of a grid, row by row."""
+    return f"""g AS (SELECT i, least({high}::DOUBLE, {low}::DOUBLE + i * (({high}::DOUBLE - {low}::DOUBLE) / {n - 1})) AS t FROM (SELECT unnest(range(0, {n})) AS i)),
+s AS (SELECT label, t, sum(y * (score >= t)::INT) AS tp, sum((1 - y) * (score >= t)::INT) AS fp, sum(y * (score < t)::INT) AS fn FROM predictions, g GROUP BY 1, 2)"""
 
 
-@query("""WITH g AS (SELECT round(0.01::DOUBLE + 0.005::DOUBLE * i, 4) AS t FROM (SELECT unnest(range(0, 197)) AS i)),
-s AS (SELECT label, t, sum(y * (score >= t)::INT) AS tp, sum((1 - y) * (score >= t)::INT) AS fp, sum(y * (score < t)::INT) AS fn FROM predictions, g GROUP BY 1, 2),
-f AS (SELECT *, round(coalesce(5.0::DOUBLE * tp / nullif(5 * tp + 4 * fn + fp, 0), 0), 9) AS f FROM s)
-SELECT label, t AS threshold, f FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY f DESC, t) AS rn FROM f) WHERE rn = 1""", "predictions")
+_BEST = """f AS (SELECT *, round(coalesce({b}::DOUBLE * tp / nullif({b} * tp + {c} * fn + fp, 0), 0), 9) AS f FROM s)
+SELECT label, t AS threshold, f FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY f DESC, t) AS rn FROM f) WHERE rn = 1"""
+
+
+@query("WITH " + _grid_sql(0.01, 0.99, 199) + ", " + _BEST.format(b=5, c=4), "predictions")
 def fbeta_grid(spark, sf_dir):
-    return op.best_fbeta(predictions(spark, sf_dir), _GRID, 2.0, "label")
+    return cal.best_on_grid(predictions(spark, sf_dir), cal.WIDE_GRID, 2.0, "label")
 
 
-@query(f"""WITH {_POINTS}, p AS (SELECT *, tp::DOUBLE / (tp + fp) AS pr, tp::DOUBLE / n_pos AS rc FROM c)
-SELECT label, score AS threshold, round(rc, 6) AS recall, round(pr, 6) AS "precision" FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY rc DESC, pr DESC, score DESC) AS rn FROM p WHERE pr >= 0.3) WHERE rn = 1""", "predictions")
+@query("WITH " + _grid_sql(0.05, 0.95, 100) + ", " + _BEST.format(b=2, c=1), "predictions")
+def f1_narrow_grid(spark, sf_dir):
+    return cal.best_on_grid(predictions(spark, sf_dir), cal.NARROW_GRID, 1.0, "label")
+
+
+_FLOOR = """r AS (SELECT *, coalesce(tp / nullif((tp + fp)::DOUBLE, 0), 0) AS p, coalesce(tp / nullif((tp + fn)::DOUBLE, 0), 0) AS r, coalesce(2.0::DOUBLE * tp / nullif(2 * tp + fn + fp, 0), 0) AS f1, coalesce(5.0::DOUBLE * tp / nullif(5 * tp + 4 * fn + fp, 0), 0) AS f2 FROM s),
+a AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY r DESC, f2 DESC, p DESC, t) AS rn FROM r WHERE p >= {floor}),
+b AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY f1 DESC, t) AS rn FROM r)
+SELECT label, 'precision_floor' AS selection, t AS threshold, round(p, 9) AS "precision", round(r, 9) AS recall, round(f2, 9) AS f2 FROM a WHERE rn = 1
+UNION ALL SELECT label, 'f1', t, round(p, 9), round(r, 9), round(f2, 9) FROM b WHERE rn = 1 AND label NOT IN (SELECT label FROM a)"""
+
+
+def _floored(spark, sf_dir, floor):
+    found = cal.with_precision_floor(predictions(spark, sf_dir), floor, "label")
+    return found.select("label", "selection", "threshold", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f2")))
+
+
+@query("WITH " + _grid_sql(0.01, 0.99, 199) + ", " + _FLOOR.format(floor=0.65), "predictions")
 def precision_floor(spark, sf_dir):
-    p = op.by_score(predictions(spark, sf_dir), "label").withColumns({"pr": F.col("tp") / (F.col("tp") + F.col("fp")), "rc": F.try_divide("tp", "n_pos")}).filter("pr >= 0.3")
-    best = p.groupBy("label").agg(F.max(F.struct("rc", "pr", "score")).alias("b"))
-    return best.select("label", F.col("b.score").alias("threshold"), F.round("b.rc", 6).alias("recall"), F.round("b.pr", 6).alias("precision"))
+    return _floored(spark, sf_dir, 0.65)
+
+
+@query("WITH " + _grid_sql(0.01, 0.99, 199) + ", " + _FLOOR.format(floor=1.5), "predictions")
+def precision_floor_fallback(spark, sf_dir):
+    """A floor that no threshold reaches."""
+    return _floored(spark, sf_dir, 1.5)
+
+
+@query(f"""WITH {_POINTS}, p AS (SELECT *, tp::DOUBLE / (tp + fp) AS pr, tp::DOUBLE / n_pos AS rc FROM c)
+SELECT label, score AS threshold, f FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY f DESC, score) AS rn FROM (SELECT *, round(5 * pr * rc / greatest(4 * pr + rc, 1e-12), 9) AS f FROM p)) WHERE rn = 1""", "predictions")
+def pr_vertex(spark, sf_dir):
+    return cal.best_vertex(predictions(spark, sf_dir), 2.0, "label")
+
+
+for _name, _q, _low, _high in (("quantile_threshold", 0.9, 0.05, 0.99), ("quantile_event_s", 0.98, 0.2, 0.999), ("quantile_event_n", 0.995, 0.2, 0.999)):
+    both(_name, f"SELECT label, round(least({_high}, greatest({_low}, quantile_cont(score, {_q}))), 6) AS t FROM {{predictions}} GROUP BY label",
+         f"SELECT label, round(least({_high}D, greatest({_low}D, percentile(score, {_q}))), 6) AS t FROM {{predictions}} GROUP BY label")
+
+
+_Z = "z AS (SELECT label, y, ln(greatest(1e-6, least(1 - 1e-6, score)) / (1 - greatest(1e-6, least(1 - 1e-6, score)))) AS z FROM predictions)"
+_T = f"""{_Z}, g AS (SELECT unnest({cal.TEMPERATURES}::DOUBLE[]) AS t), p AS (SELECT label, t, y, 1 / (1 + exp(-greatest(-30, least(30, z / t)))) AS p FROM z, g),
+b AS (SELECT label, t, least(floor(p * 15), 14) AS bin, count(*) AS n, avg(p) AS s, avg(y) AS m, sum((p - y) ** 2) AS e FROM p GROUP BY 1, 2, 3),
+e AS (SELECT label, t, row_number() OVER (PARTITION BY label ORDER BY t) AS i, sum(n * abs(s - m)) / sum(n) AS ece, sum(e) / sum(n) AS brier FROM b GROUP BY 1, 2)"""
+
+
+@query(f"""WITH RECURSIVE {{views}}{_T}, f AS (SELECT label, i, t, ece, brier FROM e WHERE i = 1
+UNION ALL SELECT e.label, e.i, CASE WHEN e.ece < f.ece OR abs(e.ece - f.ece) < 1e-6 AND e.brier < f.brier THEN e.t ELSE f.t END,
+  CASE WHEN e.ece < f.ece OR abs(e.ece - f.ece) < 1e-6 AND e.brier < f.brier THEN e.ece ELSE f.ece END, CASE WHEN e.ece < f.ece OR abs(e.ece - f.ece) < 1e-6 AND e.brier < f.brier THEN e.brier ELSE f.brier END
+  FROM f JOIN e ON e.label = f.label AND e.i = f.i + 1)
+SELECT label, t AS temperature, round(ece, 6) AS ece, round(brier, 6) AS brier FROM f WHERE i = {len(cal.TEMPERATURES)}""", "predictions")
+def temperature_search(spark, sf_dir):
+    return cal.best_temperature(predictions(spark, sf_dir), "label").select("label", "temperature", F.round("ece", 6).alias("ece"), F.round("brier", 6).alias("brier"))
+
+
+@query(f"""WITH {_POINTS}, a AS (SELECT label, sum(pos * (n_neg - fp + neg / 2.0)) / (max(n_pos) * max(n_neg)) AS auc FROM c GROUP BY 1),
+r AS (SELECT label, count(*) FILTER (WHERE y = 1 AND score >= 0.5)::DOUBLE / count(*) FILTER (WHERE y = 1) AS recall FROM predictions GROUP BY 1),
+{_T}, k AS (SELECT unnest(['gore', 'self_harm']) AS expert, unnest([0.88, 0.78]) AS least_auc, unnest([0.80, 0.75]) AS least_recall)
+SELECT a.label, expert, CASE WHEN NOT (auc >= least_auc AND recall >= least_recall) THEN 'fail_1' WHEN one.ece < 0.10 THEN 'pass' WHEN m.ece < 0.10 THEN 'pass_scaled' ELSE 'fail_2' END AS gate
+FROM a JOIN r ON r.label = a.label JOIN (SELECT label, ece FROM e WHERE t = 1) one ON one.label = a.label JOIN (SELECT label, min(ece) AS ece FROM e GROUP BY 1) m ON m.label = a.label, k""", "predictions")
+def gate_checks(spark, sf_dir):
+    rows = predictions(spark, sf_dir)
+    recall = rows.groupBy("label").agg((F.count_if((F.col("y") == 1) & (F.col("score") >= 0.5)) / F.sum("y")).alias("recall"))
+    ece = cal.calibration_by_temperature(rows, "label")
+    one = ece.filter("temperature = 1").select("label", F.col("ece").alias("one"))
+    found = op.roc_auc(rows, "label").join(recall, "label").join(one, "label").join(ece.groupBy("label").agg(F.min("ece").alias("scaled")), "label")
+    gates = F.array(*(F.struct(F.lit(k).alias("expert"), cal.gate(F.col("auc"), F.col("recall"), F.col("one"), F.col("scaled"), *v).alias("gate")) for k, v in cal.GATES.items()))
+    return found.select("label", F.explode(gates).alias("g")).select("label", "g.expert", "g.gate")
+
+
+@query("""SELECT label, (delta > 0.10)::INT + (positives < 0.40)::INT + (entropy > 0.85)::INT AS fails, CASE (delta > 0.10)::INT + (positives < 0.40)::INT + (entropy > 0.85)::INT WHEN 3 THEN 'shortcut' WHEN 0 THEN 'ok' ELSE 'partial' END AS tier FROM (
+  SELECT label, avg(score) FILTER (WHERE bucket = 'bucket0') - avg(score) FILTER (WHERE bucket = 'bucket1') AS delta, avg(score) FILTER (WHERE y = 1) AS positives,
+    avg(-(p * ln(p) + (1 - p) * ln(1 - p)) / ln(2)) AS entropy FROM (SELECT *, greatest(1e-6, least(1 - 1e-6, score)) AS p FROM predictions) GROUP BY label)""", "predictions")
+def shortcut_probe(spark, sf_dir):
+    p = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("score")))
+    entropy = -(p * F.ln(p) + (1 - p) * F.ln(1 - p)) / F.ln(F.lit(2.0))
+    mean = lambda test: F.avg(F.when(test, F.col("score")))
+    found = predictions(spark, sf_dir).groupBy("label").agg((mean(F.col("bucket") == "bucket0") - mean(F.col("bucket") == "bucket1")).alias("d"), mean(F.col("y") == 1).alias("m"), F.avg(entropy).alias("e"))
+    fails, tier = cal.shortcut_tier(F.col("d"), F.col("m"), F.col("e"))
+    return found.select("label", fails.alias("fails"), tier.alias("tier"))
+
+
+@query("""WITH e AS (SELECT event_type, strftime(ts, '%d')::INT AS epoch, stddev_pop(value / 500) AS sd, avg(value) AS dist, min(value) AS bce, stddev_pop(value / 20000) AS side, max(value) / 100 - 0.6 AS entropy FROM events GROUP BY 1, 2)
+SELECT event_type, epoch, concat_ws(';', CASE WHEN sd < 0.05 THEN 'collapse' END, CASE WHEN dist > 10 * bce THEN 'distillation' END, CASE WHEN epoch >= 5 AND side < 0.01 THEN 'not_learning' END,
+  CASE WHEN entropy > 4 THEN 'flat' WHEN entropy >= 0 AND entropy < 0.5 THEN 'one_frame' END) AS issues FROM e""")
+def health_rules(spark, sf_dir):
+    v = F.col("value")
+    found = table(spark, sf_dir, "events").groupBy("event_type", F.dayofmonth("ts").alias("epoch")).agg(F.stddev_pop(v / 500).alias("sd"), F.avg(v).alias("dist"), F.min(v).alias("bce"), F.stddev_pop(v / 20000).alias("side"), (F.max(v) / 100 - 0.6).alias("entropy"))
+    issues = cal.health_issues(F.col("epoch"), 5, F.col("sd"), F.col("dist"), F.col("bce"), F.col("side"), F.col("entropy"))
+    return found.select("event_type", "epoch", issues.alias("issues"))
 
 
 @query("""SELECT label, round(sum(n * abs(s - y)) / sum(n), 6) AS ece FROM (SELECT label, least(floor(score * 15), 14) AS bin, count(*) AS n, avg(score) AS s, avg(y) AS y FROM predictions GROUP BY 1, 2) GROUP BY label""", "predictions")

@@ -79,7 +79,7 @@ both("context_suppression", "SELECT video_id, frame_idx, round(score * CASE WHEN
 both("two_way_softmax", "SELECT video_id, frame_idx, round(1 / (1 + exp((score2 - score) * 20)), 6) AS p FROM {frames}")
 both("verdict_levels", "SELECT verdict, CASE WHEN verdict LIKE '%BAN%' THEN 2 WHEN verdict LIKE '%BLUR%' THEN 1 ELSE 0 END AS level, n FROM (SELECT CASE level WHEN 2 THEN 'x (BAN)' WHEN 1 THEN 'x (BLUR)' ELSE 'SAFE' END AS verdict, count(*) AS n FROM {media_items} GROUP BY 1)")
 both("reason_prefix", "SELECT conv_id, msg_id, regexp_extract(concat('**Reason:** ', reason), 'Reason:[* ]*(.*)$', 1) AS reason FROM {media_items}")
-both("category_priority", """SELECT m.conv_id, max(t.priority) AS priority FROM {media_items} m JOIN (SELECT 0 AS level, 1 AS priority UNION ALL SELECT 1, 5 UNION ALL SELECT 2, 9) t ON t.level = m.level GROUP BY m.conv_id""")
+both("category_priority", """SELECT m.conv_id, max(coalesce(t.priority, 0)) AS priority FROM {media_items} m LEFT JOIN (SELECT 0 AS level, 1 AS priority UNION ALL SELECT 1, 5) t ON t.level = m.level GROUP BY m.conv_id""")
 
 
 @query("""SELECT conv_id, CASE WHEN max(level) = 2 THEN 'banned' WHEN max(level) = 1 THEN 'sensitive' ELSE 'active' END AS status,

@@ -2,15 +2,9 @@
 
 from __future__ import annotations
 
-from .common import both
-
-_TEMPERATURES = " UNION ALL ".join(f"SELECT CAST({t} AS DOUBLE) AS t" for t in (0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 3.0))
-
-both("temperature_search", f"""WITH s AS (SELECT label, y, ln(greatest(0.000001, least(0.999999, score)) / (1 - greatest(0.000001, least(0.999999, score)))) AS z FROM {{predictions}}),
-p AS (SELECT label, t, y, 1 / (1 + exp(-z / t)) AS p FROM s CROSS JOIN ({_TEMPERATURES}) g),
-b AS (SELECT label, t, least(floor(p * 15), 14) AS bin, count(*) AS n, avg(p) AS mp, avg(y) AS my, sum((p - y) * (p - y)) AS se FROM p GROUP BY 1, 2, 3),
-e AS (SELECT label, t, round(sum(n * abs(mp - my)) / sum(n), 6) AS ece, round(sum(se) / sum(n), 6) AS brier FROM b GROUP BY 1, 2)
-SELECT label, t AS temperature, ece, brier FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY ece, brier, t) AS rn FROM e) WHERE rn = 1""")
+from ..operators import curation as cur
+from ..sources.views import manifest
+from .common import both, query
 
 _CURVE = """c AS (SELECT label, score, sum(pos) OVER (PARTITION BY label ORDER BY score DESC) AS tp, sum(neg) OVER (PARTITION BY label ORDER BY score DESC) AS fp, sum(pos) OVER (PARTITION BY label) AS n_pos
   FROM (SELECT label, score, sum(y) AS pos, sum(1 - y) AS neg FROM {predictions} GROUP BY 1, 2))"""
@@ -19,9 +13,6 @@ both("pr_auc_trapezoid", f"""WITH {_CURVE}, p AS (SELECT label, score, CAST(tp A
 l AS (SELECT label, r, pr, coalesce(lag(r) OVER (PARTITION BY label ORDER BY score DESC), 0) AS r0, coalesce(lag(pr) OVER (PARTITION BY label ORDER BY score DESC), 1) AS p0 FROM p)
 SELECT label, round(sum((r - r0) * (pr + p0) / 2), 6) AS area FROM l GROUP BY label""")
 
-both("gate_checks", """SELECT label, CASE WHEN brier < 0.25 AND recall >= 0.3 THEN 'pass' WHEN recall >= 0.3 THEN 'calibration' ELSE 'recall' END AS gate FROM (
-  SELECT label, avg((score - y) * (score - y)) AS brier, CAST(count(*) FILTER (WHERE y = 1 AND score >= 0.5) AS DOUBLE) / nullif(count(*) FILTER (WHERE y = 1), 0) AS recall FROM {predictions} GROUP BY label)""")
-
 both("knn_baselines", """SELECT 'majority' AS baseline, round(max(CAST(n AS DOUBLE)) / sum(n), 6) AS share FROM (SELECT label, count(*) AS n FROM {features} GROUP BY label)
 UNION ALL SELECT 'shuffled', round(avg(CASE WHEN a.label = b.label THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) FROM (SELECT label, row_number() OVER (PARTITION BY split ORDER BY vec_id) AS k, split FROM {features}) a
   JOIN (SELECT label, row_number() OVER (PARTITION BY split ORDER BY md5(CAST(vec_id AS VARCHAR(20)))) AS k, split FROM {features}) b ON a.k = b.k AND a.split = b.split""",
@@ -36,21 +27,28 @@ both("best_so_far", f"SELECT user_id, event_id, round(max(value) OVER (PARTITION
 both("training_diagnosis", f"""SELECT arg_min(loss, epoch) AS first_loss, arg_max(loss, epoch) AS last_loss, count(*) AS epochs, arg_max(loss, epoch) > arg_min(loss, epoch) AS diverged FROM {_LOG}""",
      f"""SELECT min_by(loss, epoch) AS first_loss, max_by(loss, epoch) AS last_loss, count(*) AS epochs, max_by(loss, epoch) > min_by(loss, epoch) AS diverged FROM {_LOG}""")
 
-both("role_split", """SELECT m.doc_id, r.label, r.weight, m.split FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY draw, doc_id) AS rn FROM {manifest}) m
-JOIN (SELECT 'en' AS lang, 1 AS label, 3.0::DOUBLE AS weight, 50 AS cap UNION ALL SELECT 'fr', 0, 1.0, 20 UNION ALL SELECT 'de', 0, 0.5, 10) r ON r.lang = m.lang WHERE m.rn <= r.cap""",
-     """SELECT m.doc_id, r.label, r.weight, m.split FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY draw, doc_id) AS rn FROM {manifest}) m
-JOIN (SELECT 'en' AS lang, 1 AS label, 3.0D AS weight, 50 AS cap UNION ALL SELECT 'fr', 0, 1.0D, 20 UNION ALL SELECT 'de', 0, 0.5D, 10) r ON r.lang = m.lang WHERE m.rn <= r.cap""")
+_ROLES = [("en", 1, 3.0, 50), ("fr", 0, 1.0, 20), ("de", 0, 0.5, 10)]
+
+
+@query("""SELECT m.doc_id, r.label, r.weight, m.split FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY draw, doc_id) AS rn FROM manifest) m
+JOIN (SELECT 'en' AS lang, 1 AS label, 3.0::DOUBLE AS weight, 50 AS cap UNION ALL SELECT 'fr', 0, 1.0, 20 UNION ALL SELECT 'de', 0, 0.5, 10) r ON r.lang = m.lang WHERE m.rn <= r.cap""", "manifest")
+def role_split(spark, sf_dir):
+    roles = spark.createDataFrame(_ROLES, "lang string, label int, weight double, cap int")
+    placed = cur.ranked(manifest(spark, sf_dir).select("doc_id", "lang", "split", "draw"), ["lang"], "draw", "doc_id", name="rn")
+    return placed.join(roles, "lang").filter("rn <= cap").select("doc_id", "label", "weight", "split")
+
+
+@query("""SELECT doc_id, CASE WHEN rn <= floor(n * 0.7::DOUBLE) THEN 'train' WHEN rn <= floor(n * 0.85::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM (
+  SELECT doc_id, row_number() OVER (PARTITION BY violence, nsfw ORDER BY draw, doc_id) AS rn, count(*) OVER (PARTITION BY violence, nsfw) AS n FROM manifest)""", "manifest")
+def ranked_cut_split(spark, sf_dir):
+    """Strata are the vectors of labels."""
+    return cur.cut_split(manifest(spark, sf_dir), ["violence", "nsfw"], "draw", "doc_id").select("doc_id", "split")
 
-both("ranked_cut_split", """SELECT doc_id, CASE WHEN rn <= floor(n * 0.7) THEN 'train' WHEN rn <= floor(n * 0.85) THEN 'val' ELSE 'test' END AS split FROM (
-  SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY draw, doc_id) AS rn, count(*) OVER (PARTITION BY source) AS n FROM {manifest})""")
 
 both("group_negatives", """SELECT source, group_id, count(*) AS n FROM {manifest} WHERE violence = 0 AND nsfw = 0 GROUP BY source, group_id HAVING count(*) > 1""")
 
 both("score_divergence", """SELECT video_id, round(sum(a * ln(a / b)), 6) AS kl FROM (SELECT video_id, (score + 0.01) / sum(score + 0.01) OVER (PARTITION BY video_id) AS a, (score2 + 0.01) / sum(score2 + 0.01) OVER (PARTITION BY video_id) AS b FROM {frames}) GROUP BY video_id""")
 
-both("shortcut_probe", """SELECT label, CASE WHEN gap <= 0.10 THEN 1 ELSE 0 END + CASE WHEN m >= 0.40 THEN 1 ELSE 0 END AS fails, round(gap, 6) AS gap FROM (
-  SELECT label, avg(CASE WHEN y = 1 THEN score END) - avg(CASE WHEN y = 0 THEN score END) AS gap, avg(score) AS m FROM {predictions} GROUP BY label)""")
-
 both("expert_means", """SELECT bucket, label, round(avg(score), 6) AS m, CASE WHEN avg(score) < 0.35 THEN 'low' WHEN avg(score) > 0.55 THEN 'high' ELSE 'middle' END AS gate FROM {predictions} GROUP BY bucket, label""")
 
 both("batch_inference_summary", """SELECT count(*) FILTER (WHERE score >= 0.7) AS flagged, count(*) FILTER (WHERE score < 0.7) AS safe, count(*) FILTER (WHERE score IS NULL) AS errors FROM {frames}""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import policy as pol
 from ..functions import sequences as seq
+from ..operators import scoring as op
 from ..session import table
 from ..sources.views import features, frames, series
 from .common import both, query
@@ -82,11 +83,13 @@ def entropy_ratio(spark, sf_dir):
     return found.select("video_id", F.round(seq.entropy_ratio(F.transform("y", lambda v: v / F.col("t"))), 6).alias("ratio"))
 
 
-@query("SELECT label, round(list_cosine_similarity(a.v, b.v), 6) AS similarity, a.vec_id AS id1, b.vec_id AS id2 FROM features a JOIN features b USING (label) WHERE b.vec_id = a.vec_id + 10", "features")
-def cosine_neighbours(spark, sf_dir):
+@query("""WITH p AS (SELECT vec_id % 3 AS prompt_group, v FROM features WHERE vec_id < 24)
+SELECT f.vec_id, p.prompt_group, round(max(list_cosine_similarity(f.v, p.v)), 6) AS similarity FROM features f, p GROUP BY 1, 2""", "features")
+def prompt_similarity(spark, sf_dir):
+    """Every vector against three groups of prompts; the first 24 vectors stand in for the prompts' embeddings."""
     f = features(spark, sf_dir)
-    other = f.select("label", (F.col("vec_id") - 10).alias("vec_id"), F.col("vec_id").alias("id2"), F.col("v").alias("w"))
-    return f.join(other, ["label", "vec_id"]).select("label", F.round(seq.cosine(_x("v"), _x("w")), 6).alias("similarity"), F.col("vec_id").alias("id1"), "id2")
+    prompts = f.filter("vec_id < 24").select((F.col("vec_id") % 3).alias("prompt_group"), "v")
+    return op.prompt_maxima(f.select("vec_id", "v"), prompts, "prompt_group").withColumn("similarity", F.round("similarity", 6))
 
 
 @query("SELECT video_id, count(*) AS n, round(avg(s), 6) AS m FROM (SELECT video_id, abs(score - lag(score) OVER (PARTITION BY video_id ORDER BY frame_idx)) AS s FROM frames) WHERE s IS NOT NULL GROUP BY video_id", "frames")
@@ -104,14 +107,16 @@ def flow_norm(spark, sf_dir):
 
 @query("""WITH n AS (SELECT video_id, max(frame_idx) + 1 AS n FROM frames GROUP BY 1),
 s AS (SELECT video_id, unnest(list_distinct(list_concat(range(0, greatest(n - 16, 0) + 1, 8), [greatest(n - 16, 0)]))) AS start FROM n),
-c AS (SELECT s.video_id, start, avg(score) AS m FROM s JOIN frames f ON f.video_id = s.video_id AND f.frame_idx >= start AND f.frame_idx < start + 16 GROUP BY 1, 2)
-SELECT f.video_id, f.frame_idx, round(avg(c.m), 6) AS smooth FROM frames f JOIN c ON c.video_id = f.video_id AND f.frame_idx >= start AND f.frame_idx < start + 16 GROUP BY 1, 2""", "frames")
+c AS (SELECT s.video_id, start, sum(round(score * 1000000)::BIGINT) AS m, count(*) AS k FROM s JOIN frames f ON f.video_id = s.video_id AND f.frame_idx >= start AND f.frame_idx < start + 16 GROUP BY 1, 2)
+SELECT f.video_id, f.frame_idx, sum(c.m)::DOUBLE / (1000000 * sum(c.k)) AS smooth FROM frames f JOIN c ON c.video_id = f.video_id AND f.frame_idx >= start AND f.frame_idx < start + 16 GROUP BY 1, 2""", "frames")
 def window_overlap_avg(spark, sf_dir):
-    """Means of overlapping 16-frame clips, averaged back to the frames that they cover."""
-    starts = series(spark, sf_dir).select("video_id", "x", F.explode(seq.windows(F.size("x"), 16, 8)).alias("start"))
-    clips = starts.select("video_id", "start", F.slice("x", F.col("start") + 1, 16).alias("clip")).withColumn("m", seq.mean(_x("clip")))
-    spread = clips.select("video_id", F.explode(F.sequence(F.col("start"), F.col("start") + F.size("clip") - 1)).alias("frame_idx"), "m")
-    return spread.groupBy("video_id", "frame_idx").agg(F.round(F.avg("m"), 6).alias("smooth"))
+    """Means of overlapping 16-frame clips, averaged back to the frames that they cover. Scores are whole millionths and
+    all clips of a video are equally long, so sums are exact and divided once."""
+    whole = F.transform("x", lambda v: F.round(v * 1_000_000).cast("long"))
+    starts = series(spark, sf_dir).select("video_id", whole.alias("x"), F.explode(seq.windows(F.size("x"), 16, 8)).alias("start"))
+    clips = starts.select("video_id", "start", F.slice("x", F.col("start") + 1, 16).alias("clip")).withColumn("m", F.aggregate("clip", F.lit(0).cast("long"), lambda a, v: a + v))
+    spread = clips.select("video_id", F.explode(F.sequence(F.col("start"), F.col("start") + F.size("clip") - 1)).alias("frame_idx"), "m", F.size("clip").alias("k"))
+    return spread.groupBy("video_id", "frame_idx").agg((F.sum("m").cast("double") / (1_000_000 * F.sum("k"))).alias("smooth"))
 
 
 @query("""SELECT video_id, frame_idx, score, CASE WHEN up <= k2 THEN 0 WHEN down <= k1 THEN 1 ELSE -1 END AS pseudo FROM (

@@ -5,6 +5,7 @@ Files are read with Spark's own readers (`binaryFile`, `text`), so any store tha
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +13,13 @@ MEDIA = ("jpg", "jpeg", "png", "bmp", "webp", "mp4", "avi", "mov", "mkv", "webm"
 
 
 def media_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = MEDIA, content: bool = False) -> DataFrame:
-    """Files below root with one of the extensions in either case: path, length, and md5 if asked for."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    """Files below root with one of the extensions in either case: path, length, and md5 if asked for. No root, no rows."""
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "path string, length long" + ", md5 string" * content)
     files = files.filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*extensions))
     return files.select("path", "length", *([F.md5("content").alias("md5")] if content else []))
 
@@ -69,8 +75,12 @@ def relabelled(boxes: Column, cls: int) -> Column:
 
 
 def thresholds(json: Column) -> Column:
-    """Thresholds of a JSON text: 'thresholds' over 'recommended_thresholds', else the whole; numbers only."""
+    """Thresholds of a JSON text: 'recommended_thresholds' with 'thresholds' over them, or, if it has neither, the whole;
+    numbers only."""
     numbers = lambda c: F.map_filter(F.transform_values(F.from_json(c, "map<string,string>"), lambda k, v: v.try_cast("double")), lambda k, v: v.isNotNull())
     inner = F.get_json_object(json, "$.thresholds")
     recommended = F.get_json_object(json, "$.recommended_thresholds")
-    return numbers(F.coalesce(inner, recommended, json))
+    empty = F.create_map().cast("map<string,double>")
+    given, advised = F.coalesce(numbers(inner), empty), F.coalesce(numbers(recommended), empty)
+    merged = F.map_concat(F.map_filter(advised, lambda k, v: ~F.map_contains_key(given, k)), given)
+    return F.when(inner.isNull() & recommended.isNull(), numbers(json)).otherwise(merged)

@@ -1,13 +1,14 @@
 """Edge cases on small hand-written rows."""
 
 import hashlib
+import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tamis.functions import hashing, policy, sequences
-from tamis.operators import audit, curation
+from tamis.operators import audit, calibration, curation, moderation
 from tamis.operators import metrics as m
 from tamis.session import first_column, require_columns
 from tamis.sources import config, scans
@@ -85,10 +86,15 @@ def test_hamming_pairs_lose_none(spark):
     rng = np.random.default_rng(1)
     base = rng.integers(-(2**63), 2**63 - 1, 60)
     values = [int(v) for v in base] + [int(v ^ np.int64((1 << int(a)) | (1 << int(b)))) for v, a, b in zip(base, rng.integers(0, 63, 60), rng.integers(0, 63, 60))]
-    rows = spark.createDataFrame(list(enumerate(values)), "id long, bits long")
-    got = {(r.id1, r.id2): r.distance for r in audit.hamming_pairs(rows, 3).collect()}
-    u = np.array(values).view(np.uint64)
-    want = {(i, j): int(np.bitwise_count(u[i] ^ u[j])) for i in range(len(u)) for j in range(i + 1, len(u)) if np.bitwise_count(u[i] ^ u[j]) <= 3}
+    values += values[:40] * 3  # copies are one class
+    got = {(r.id1, r.id2, r.n1, r.n2): r.distance for r in audit.hamming_pairs(spark.createDataFrame(list(enumerate(values)), "id long, bits long"), 3).collect()}
+    first, n = {}, {}
+    for i, v in enumerate(values):
+        first.setdefault(v, i)
+        n[v] = n.get(v, 0) + 1
+    u = sorted(first.items(), key=lambda x: x[1])
+    bits = lambda a, b: int(np.bitwise_count(np.int64(a).view(np.uint64) ^ np.int64(b).view(np.uint64)))
+    want = {(i, j, n[a], n[b]): bits(a, b) for k, (a, i) in enumerate(u) for b, j in u[k + 1 :] if bits(a, b) <= 3}
     assert got == want and len(want) >= 60
 
 
@@ -112,6 +118,9 @@ def test_scans(spark, tmp_path):
     assert [(b.cls, b.cx) for b in boxes] == [(1, 0.5), (3, None)]
     found = lambda j: one(spark, scans.thresholds(F.lit(j)).alias("t")).t
     assert found('{"a": 0.5, "b": "x"}') == {"a": 0.5} and found('{"recommended_thresholds": {"a": 1}}') == {"a": 1.0}
+    both = '{"recommended_thresholds": {"a": 0.1, "b": 0.2}, "thresholds": {"b": 0.7, "c": "no"}, "d": 1}'
+    assert found(both) == {"a": 0.1, "b": 0.7} and found('{"thresholds": {}}') == {}
+    assert scans.media_files(spark, str(tmp_path / "nowhere")).collect() == [] and scans.media_files(spark, str(tmp_path / "nowhere"), content=True).columns == ["path", "length", "md5"]
 
 
 def test_config_and_columns(spark):
@@ -123,3 +132,122 @@ def test_config_and_columns(spark):
     assert require_columns(df, ["id"]) is df and first_column(df, "x", "id") == "id"
     with pytest.raises(ValueError, match="x, y"):
         require_columns(df, ["x", "id", "y"])
+
+
+def split_sizes(df):
+    return {r.split: r["count"] for r in df.groupBy("split").count().collect()}
+
+
+@pytest.mark.parametrize("n, cap, want", [(1000, None, (100, 150, 750)), (1000, 500, (100, 150, 500)), (250, None, (30, 37, 183)), (100, None, (30, 30, 40)), (99, None, (19, 19, 61)), (30, None, (10, 10, 10)), (15, None, (10, 5, 0))])
+def test_floor_split_sizes(spark, n, cap, want):
+    """Test has a tenth and val 15 percent, 30 at least; classes under 100 give a fifth, 10 at least, to each."""
+    rows = spark.range(n).select("id", F.lit("weapon").alias("g"), F.md5(F.col("id").cast("string")).alias("draw"))
+    got = split_sizes(curation.floor_split(rows, ["g"], "draw", "id", None if cap is None else F.lit(cap)))
+    assert tuple(got.get(s, 0) for s in ("test", "val", "train")) == want
+
+
+def test_locked_split_guards(spark):
+    rows = [(i, "a", "") for i in range(2)] + [(10 + i, "b", "") for i in range(3)] + [(20 + i, "c", "") for i in range(100)] + [(200 + i, "c", "val") for i in range(7)]
+    df = spark.createDataFrame(rows, "id long, g string, locked_split string").selectExpr("*", "md5(string(id)) AS d1", "md5(concat('x', id)) AS d2")
+    got = curation.locked_aware_split(df, "g", 0.15, 0.1, "d1", "d2", "id").collect()
+    size = lambda g, s: sum(r.g == g and r.split == s for r in got)
+    assert len(got) == len(rows) and [size("a", s) for s in ("test", "val", "train")] == [0, 0, 2]
+    assert [size("b", s) for s in ("test", "val", "train")] == [1, 0, 2]  # two are left: too few for val
+    assert [size("c", s) for s in ("test", "val", "train")] == [15, 7 + math.ceil(0.1 / 0.85 * 85), 85 - math.ceil(0.1 / 0.85 * 85)]
+
+
+def test_ranks_of_split_groups(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, None if g == 0 else f"g{g}", hashlib.md5(str(i // 2).encode()).hexdigest()) for i, g in enumerate(rng.integers(0, 3, 2000).tolist())]
+    got = curation.ranked(spark.createDataFrame(rows, "id long, g string, draw string"), ["g"], "draw", "id", size="n").collect()
+    for g in (None, "g1", "g2"):
+        mine = sorted((r for r in got if r.g == g), key=lambda r: r.rank)
+        assert [(r.draw, r.id) for r in mine] == sorted((d, i) for i, x, d in rows if x == g) and [r.rank for r in mine] == list(range(1, len(mine) + 1)) and {r.n for r in mine} == {len(mine)}
+
+
+def test_grid_search_is_the_plain_loop(spark):
+    """Against a loop over thresholds, on scores that stand on grid points, below and above the grid."""
+    rng = np.random.default_rng(4)
+    grid = [float(t) for t in np.linspace(0.01, 0.99, 199)]
+    assert np.allclose(calibration.WIDE_GRID, grid, atol=1e-15) and np.allclose(calibration.NARROW_GRID, np.linspace(0.05, 0.95, 100), atol=1e-15)
+    score = np.r_[rng.choice(calibration.WIDE_GRID, 150), rng.random(150), 0, 1, 0.005, 0.995]
+    y = (rng.random(len(score)) < score).astype(int)
+    df = spark.createDataFrame([("a", int(b), float(s)) for b, s in zip(y, score)] + [("b", 0, 0.5)], "label string, y int, score double")
+
+    def rates(t):
+        p = score >= t
+        tp, fp, fn = (p & (y == 1)).sum(), (p & (y == 0)).sum(), (~p & (y == 1)).sum()
+        pr, rc = tp / max(1, tp + fp), tp / max(1, tp + fn)
+        f = lambda b: (1 + b * b) * tp / max(1e-9, (1 + b * b) * tp + b * b * fn + fp)
+        return dict(t=t, p=pr, r=rc, f1=f(1), f2=f(2))
+
+    every = [rates(t) for t in calibration.WIDE_GRID]
+    best = max(every, key=lambda m: (round(m["f2"], 9), -m["t"]))
+    got = {r.label: r for r in calibration.best_on_grid(df, calibration.WIDE_GRID, 2.0, "label").collect()}
+    assert got["a"].threshold == best["t"] and abs(got["a"].f - best["f2"]) < 1e-8 and got["b"].threshold == calibration.WIDE_GRID[0] and got["b"].f == 0
+    for floor in (0.6, 1.1):
+        ok = [m for m in every if m["p"] >= floor]
+        want = max(ok, key=lambda m: (m["r"], m["f2"], m["p"], -m["t"])) if ok else max(every, key=lambda m: (m["f1"], -m["t"]))
+        r = {r.label: r for r in calibration.with_precision_floor(df, floor, "label").collect()}["a"]
+        assert (r.selection, r.threshold) == ("precision_floor" if ok else "f1", want["t"]) and abs(r.recall - want["r"]) < 1e-12
+
+
+def test_temperature_ties_go_by_order(spark):
+    """The fold over temperatures, written out on the table of their errors."""
+    rng = np.random.default_rng(6)
+    rows = spark.createDataFrame([("a", int(rng.random() < s), float(s)) for s in rng.random(400)] + [("b", 1, 0.5)], "label string, y int, score double")
+    got = {r.label: r for r in calibration.best_temperature(rows, "label").collect()}
+    for label in ("a", "b"):
+        best = (1.0, math.inf, math.inf)
+        for r in sorted((r for r in calibration.calibration_by_temperature(rows, "label").collect() if r.label == label), key=lambda r: r.temperature):
+            if r.ece < best[1] or abs(r.ece - best[1]) < 1e-6 and r.brier < best[2]:
+                best = (r.temperature, r.ece, r.brier)
+        assert (got[label].temperature, got[label].ece, got[label].brier) == best
+    assert got["b"].temperature == 0.25  # a score of one half is the same at every temperature: the first stays
+
+
+def test_gates_probes_and_health(spark):
+    gate = lambda *v: one(spark, calibration.gate(*map(F.lit, v), *calibration.GATES["gore"]).alias("g")).g
+    assert [gate(0.88, 0.80, 0.05, 0.05), gate(0.879, 0.9, 0.0, 0.0), gate(0.9, 0.9, 0.10, 0.09), gate(0.9, 0.9, 0.2, 0.1)] == ["pass", "fail_1", "pass_scaled", "fail_2"]
+    tier = lambda *v: one(spark, calibration.shortcut_tier(*map(F.lit, v))[1].alias("t")).t
+    assert [tier(0.2, 0.3, 0.9), tier(0.2, 0.5, 0.1), tier(0.10, 0.40, 0.85)] == ["shortcut", "partial", "ok"]
+    issues = lambda *v: one(spark, calibration.health_issues(F.lit(v[0]), 3, *map(F.lit, v[1:])).alias("i")).i
+    assert issues(3, 0.01, 11.0, 1.0, 0.001, 4.5) == "collapse;distillation;not_learning;flat" and issues(2, 0.1, 1.0, 1.0, 0.001, 0.4) == "one_frame" and issues(2, 0.1, 1.0, 1.0, 0.5, -1.0) == ""
+
+
+BOXES = "array<struct<cls:string,conf:double>>"
+
+
+def test_posts_comments_messages_profiles(spark):
+    media = [("u0", "image/png", None, None, None), ("u1", "image/png", False, True, "old"), ("u2", "video/mp4", True, False, None)]
+    posts = spark.createDataFrame([(1, "regular", "x", media), (2, "avatar_update", "x", media), (3, "regular", None, media), (4, None, "x", []), (5, "regular", "x", media)], f"doc_id long, type string, author_id string, media {moderation.MEDIA}")
+    verdicts = spark.createDataFrame([(1, 0, 1, "r0"), (1, 2, 2, "r2"), (2, 1, 1, "p"), (3, 0, 2, "q"), (4, 7, 2, "gone"), (9, 0, 2, "no post")], "doc_id long, media_index int, level int, reason string")
+    got = {r.doc_id: r for r in moderation.applied_to_posts(posts, verdicts).collect()}
+    assert sorted(got) == [1, 2, 3, 4]
+    assert {k: (r.level, r.status, r.reason, r.notify) for k, r in got.items()} == {1: (2, "policy_violation", "r2", True), 2: (2, "policy_violation", "p", False), 3: (2, "policy_violation", "q", False), 4: (0, "active", None, False)}
+    assert [(m.is_moderated, m.is_sensitive, m.reason) for m in got[1].media] == [(True, True, "r0"), (False, True, "old"), (True, True, "r2")]
+    comments = spark.createDataFrame([(1, "x", 7), (2, "x", 7), (3, None, 7), (4, "x", 7)], "doc_id long, author_id string, post_id long")
+    v = spark.createDataFrame([(1, 0, "a"), (2, 1, "b"), (3, 2, "c"), (4, 2, "d")], "doc_id long, level int, reason string")
+    assert sorted(tuple(r) for r in moderation.applied_to_comments(comments, v).select("doc_id", "status", "is_sensitive", "reason", "notify").collect()) == [
+        (1, "active", False, None, False), (2, "active", True, None, False), (3, "policy_violation", True, "c", False), (4, "policy_violation", True, "d", True)]
+    (m,) = moderation.applied_to_messages(posts.filter("doc_id = 1"), verdicts).collect()
+    assert m.violation and m.media[1].reason == "old" and "status" not in m.asDict()
+    profiles = spark.createDataFrame([(1, "avatar", "u"), (2, "cover", "u"), (5, "cover", "u")], "doc_id long, kind string, url string")
+    assert sorted(tuple(r) for r in moderation.applied_to_profiles(profiles, v).select("doc_id", "url", "notify").collect()) == [(1, "u", False), (2, "", True)]
+    level = lambda lv, s: one(spark, moderation.chat_clamped(F.lit(lv), F.lit(s)).alias("l")).l
+    assert [level(2, "message"), level(2, "post"), level(0, "message")] == [1, 2, 0] and one(spark, moderation.video_level(F.lit("x FLAGGED y")).alias("l")).l == 2
+
+
+def test_detector_and_context_rules(spark):
+    def act(score, boxes, exact):
+        row = spark.createDataFrame([(score, boxes)], f"s double, b {BOXES}").select(policy.detector_override(F.col("s"), F.lit("safe"), policy.body_trigger(F.col("b"), exact)).alias("a")).first()
+        return row.a
+
+    covered, exposed, anus = ("FEMALE_BREAST_COVERED", 0.85), ("FEMALE_BREAST_EXPOSED", 0.85), ("ANUS_EXPOSED", 0.1)
+    assert [act(0.95, [covered], False), act(0.95, [covered], True), act(0.95, [exposed], True), act(0.95, [("FEMALE_BREAST_EXPOSED", 0.7)], True)] == ["ban", "blur", "ban", "blur"]
+    assert [act(0.95, [anus], False), act(0.95, [anus], True), act(0.95, [], True), act(0.95, None, False), act(0.89, [exposed], True)] == ["blur", "ban", "blur", "blur", "safe"]
+    flags = policy.context_flags(F.lit(0.30), F.lit(0.25), F.lit(0.40), F.lit(0.31), F.lit(0.22))
+    r = one(spark, *(v.alias(k) for k, v in flags.items()))
+    p = 1 / (1 + math.exp(-0.05 * 20))
+    assert (r.is_sports, r.is_anime, r.is_gore, r.is_brawl) == (True, True, True, False) and math.isclose(r.factor, max(0.15, 1 - p))
+    assert math.isclose(one(spark, policy.nsfw_after_sport(F.lit(0.85), F.lit(p)).alias("n")).n, 0.85 - round(p, 2))
