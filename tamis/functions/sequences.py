@@ -124,3 +124,92 @@ def peak_evidence(x: Column) -> tuple[Column, Column]:
     for name, w, rule in reversed(rules):
         pattern, weight = F.when(rule, name).otherwise(pattern), F.when(rule, w).otherwise(weight)
     return pattern, peak * weight
+
+
+def resample_columns(x: Column, m: int) -> Column:
+    """Rows of a matrix (array of equally long arrays) resampled to m, each column by itself; no rows stay none."""
+    n = F.size(x)
+
+    def row(i: Column) -> Column:
+        at = i * (n - 1) / F.lit(float(max(1, m - 1)))
+        low = F.least(F.floor(at), n - 1).cast("int")
+        return F.zip_with(F.get(x, low), F.get(x, F.least(low + 1, n - 1)), lambda a, b: a + (b - a) * (at - low))
+
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.lit(m - 1)), row)).otherwise(x)
+
+
+def fitted(x: Column, rows: int, columns: int) -> Column:
+    """A matrix cut and padded with zeros to a number of rows and columns."""
+    blank = F.array_repeat(F.lit(0.0), columns)
+    wide = F.transform(x, lambda r: pad(r, columns))
+    return F.slice(F.concat(wide, F.array_repeat(blank, rows)), 1, rows)
+
+
+# Fixed layout of a packed frame: an embedding, then these; the shorter layout lacks self_harm.
+EMBEDDING, AUXILIARY = 768, ("flow_x", "flow_y", "flow_m", "weapon", "gore", "self_harm", "nsfw")
+
+
+def unpacked(x: Column, embedding: int = EMBEDDING) -> tuple[Column, Column]:
+    """(embedding, auxiliary values by name) of a packed frame; self_harm is 0 in the shorter layout."""
+    aux = F.slice(x, embedding + 1, len(AUXILIARY))
+    short = F.size(aux) < len(AUXILIARY)
+    full = F.when(short, F.concat(F.slice(aux, 1, 5), F.array(F.lit(0.0)), F.slice(aux, 6, 1))).otherwise(aux)
+    return F.slice(x, 1, embedding), F.struct(*(F.get(full, i).alias(n) for i, n in enumerate(AUXILIARY)))
+
+
+def aligned(blocks: list[tuple[Column, int]]) -> Column:
+    """Matrices (array of rows, width) side by side, as many rows as the longest has; missing rows are zeros."""
+    longest = F.greatest(*(F.size(b) for b, _ in blocks)) if len(blocks) > 1 else F.size(blocks[0][0])
+    part = lambda b, w, i: F.coalesce(F.get(b, i), F.array_repeat(F.lit(0.0), w))
+    rows = F.transform(F.sequence(F.lit(0), longest - 1), lambda i: F.concat(*(part(b, w, i) for b, w in blocks)))
+    return F.when(longest > 0, rows).otherwise(F.array().cast("array<array<double>>"))
+
+
+def shot_frames(shots: Column, most_shots: int, per_shot: int) -> Column:
+    """Frame numbers from the longest shots (start, end): per_shot of each by an even stride, the last repeated where a
+    shot is short, and the last of all repeated up to most_shots * per_shot. Equally long shots keep their order."""
+    numbered = F.transform(shots, lambda s, i: F.struct((s["start"] - s["end"]).alias("minus"), i.alias("i"), s["start"].alias("start"), s["end"].alias("end")))
+    longest = F.filter(F.slice(F.array_sort(numbered), 1, most_shots), lambda s: s["minus"] < 0)
+
+    def of(s: Column) -> Column:
+        step = F.greatest(F.lit(1), F.floor((s["end"] - s["start"]) / per_shot)).cast("int")
+        indices = F.slice(F.sequence(s["start"], s["end"] - 1, step), 1, per_shot)
+        return F.slice(F.concat(indices, F.array_repeat(F.element_at(indices, -1), per_shot)), 1, per_shot)
+
+    frames = F.flatten(F.transform(longest, of))
+    total = most_shots * per_shot
+    return F.when(F.size(frames) > 0, F.slice(F.concat(frames, F.array_repeat(F.element_at(frames, -1), total)), 1, total)).otherwise(frames)
+
+
+def early_stop(log: Column, patience: int, start: float = -1.0) -> Column:
+    """(best, best_epoch, stopped_at) of a log of (epoch, value) in epoch order: stopped after `patience` epochs without a
+    better value, null if never; a patience of 0 never stops."""
+    first = F.struct(F.lit(start).alias("best"), F.lit(None).cast("int").alias("best_epoch"), F.lit(0).alias("wait"), F.lit(None).cast("int").alias("stopped_at"))
+
+    def step(s: Column, x: Column) -> Column:
+        better = x["value"] > s["best"]
+        wait = F.when(better, 0).otherwise(s["wait"] + 1)
+        stop = F.when((F.lit(patience) > 0) & (wait >= patience), x["epoch"])
+        new = F.struct(F.when(better, x["value"]).otherwise(s["best"]).alias("best"), F.when(better, x["epoch"]).otherwise(s["best_epoch"]).alias("best_epoch"), wait.alias("wait"), stop.alias("stopped_at"))
+        return F.when(s["stopped_at"].isNotNull(), s).otherwise(new)
+
+    return F.aggregate(log, first, step)
+
+
+def diagnosis(train: Column, val: Column, score: Column, target: float) -> Column:
+    """What the losses of a run say, in epoch order."""
+    back = lambda x, k: F.element_at(x, F.lit(-k))
+    over = (F.size(val) > 3) & (back(val, 1) > F.try_element_at(val, F.lit(-3))) & (back(train, 1) < F.try_element_at(train, F.lit(-3)))
+    return (
+        F.when((F.size(train) == 0) | score.isNull(), "error")
+        .when((score < 0.40) & (F.element_at(train, 1) - back(train, 1) < 0.5), "underfit")
+        .when(over, "overfit")
+        .when(score >= target, "success")
+        .otherwise("good_but_low")
+    )
+
+
+def jittered(x: Column, shift: int) -> Column:
+    """The sequence moved by a number of places, its ends repeated."""
+    n = F.size(x)
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(x, F.greatest(F.lit(0), F.least(n - 1, i + shift))))).otherwise(x)
