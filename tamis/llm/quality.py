@@ -51,7 +51,7 @@ def default_rules() -> dict[str, Column]:
         "repeated_lines": 10 * F.col("n_dup_lines") > 3 * F.size(lines),
         "capitals": 10 * _count(r"\p{Lu}") > 5 * chars,
         "digits": 10 * _count(r"[0-9]") > 4 * chars,
-        "few_letters": 10 * _count(r"\p{L}") < 5 * chars,
+        "few_letters": 10 * (F.length("text") - _count(r"\P{L}")) < 5 * chars,
         "exclamations": 10 * _count("!") > 3 * units,
         "ellipses": 10 * F.size(F.filter(lines, lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…"))) > 4 * F.size(lines),
         "bullets": 10 * F.size(F.filter(lines, lambda x: F.ltrim(x).rlike("^[-*•]"))) > 9 * F.size(lines),
@@ -65,12 +65,14 @@ def counts(docs: DataFrame) -> DataFrame:
     df = df.withColumns(
         {
             "n_words": F.size("_words").cast("long"),
-            "word_chars": (F.length("text") - _count(f"[{BLANK}]")).cast("long"),
+            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
             "n_symbols": _count("[#*$%&|<>]").cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         }
     ).drop("_lines")
-    return df.withColumn("n_units", F.col("n_words") + _count(UNSPACED))
+    # Scripts are looked up only in texts with a character from where the first of them begins.
+    unspaced = F.when(F.col("text").rlike(r"[^\x00-\u0DFF]"), _count(UNSPACED)).otherwise(0)
+    return df.withColumn("n_units", F.col("n_words") + unspaced)
 
 
 def with_repeats(df: DataFrame) -> DataFrame:
