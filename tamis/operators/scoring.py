@@ -53,8 +53,8 @@ def prompt_maxima(rows: DataFrame, prompts: DataFrame, group: str, vector: str =
 def effective_rank(rows: DataFrame, group: str, vector: str, share: float = 0.01) -> DataFrame:
     """Singular values above a share of the largest, per group, from the group's second-moment matrix.
 
-    The matrix (dimensions squared, whatever the group's size) is what partial sums of all tasks add up to; no group
-    is gathered.
+    Each task adds up its own matrix; the rows of the matrix, not whole matrices, are then added up apart from each
+    other, so a group of any size is spread over as many keys as there are dimensions.
     """
 
     def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -64,14 +64,16 @@ def effective_rank(rows: DataFrame, group: str, vector: str, share: float = 0.01
                 x = np.stack(part[vector].to_numpy()).astype(float)
                 sums[key] = sums.get(key, 0) + x.T @ x
         for key, m in sums.items():
-            yield pd.DataFrame({group: [key], "m": [m.ravel()]})
+            yield pd.DataFrame({group: key, "i": range(len(m)), "m": list(m)})
+
+    def added(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({group: [part[group].iloc[0]], "i": [part["i"].iloc[0]], "m": [np.sum(np.stack(part["m"].to_numpy()), axis=0)]})
 
     def rank(part: pd.DataFrame) -> pd.DataFrame:
-        m = np.sum(np.stack(part["m"].to_numpy()), axis=0)
-        d = int(len(m) ** 0.5)
-        s = np.sqrt(np.maximum(np.linalg.eigvalsh(m.reshape(d, d)), 0))
+        s = np.sqrt(np.maximum(np.linalg.eigvalsh(np.stack(part.sort_values("i")["m"].to_numpy())), 0))
         return pd.DataFrame({group: [part[group].iloc[0]], "rank": [int((s > share * s.max()).sum())]})
 
     kind = dict(rows.dtypes)[group]
-    partial = rows.select(group, vector).mapInPandas(moments, f"{group} {kind}, m array<double>")
-    return partial.groupBy(group).applyInPandas(rank, f"{group} {kind}, rank int")
+    cells = f"{group} {kind}, i int, m array<double>"
+    partial = rows.select(group, vector).mapInPandas(moments, cells)
+    return partial.groupBy(group, "i").applyInPandas(added, cells).groupBy(group).applyInPandas(rank, f"{group} {kind}, rank int")

@@ -146,7 +146,7 @@ def peak_evidence(spark, sf_dir):
 both("frame_summary", "SELECT video_id, count(*) AS n, round(avg(score), 6) AS m, max(score2) AS top, round(min(score), 6) AS low FROM {frames} GROUP BY video_id")
 both("reversed_frames", "SELECT video_id, frame_idx, n - 1 - frame_idx AS back_idx FROM (SELECT *, count(*) OVER (PARTITION BY video_id) AS n FROM {frames})")
 both("clip_logits", "SELECT video_id, round(1 / (1 + exp(-avg(20 * (score - score2)))), 6) AS p FROM {frames} GROUP BY video_id")
-both("proxy_gate", "SELECT video_id, round(m, 6) AS risk, m >= 0.2 AS passed FROM (SELECT video_id, avg(score) AS m FROM {frames} WHERE frame_idx < 8 GROUP BY video_id)")
+both("proxy_gate", "SELECT video_id, m AS risk, m >= 0.2 AS passed FROM (SELECT video_id, CAST(sum(CAST(round(score * 1000000) AS BIGINT)) AS DOUBLE) / CAST(1000000 * count(*) AS DOUBLE) AS m FROM {frames} WHERE frame_idx < 8 GROUP BY video_id)")
 
 
 @query("SELECT video_id, round(list_max(list_transform(x, lambda v: exp((v - list_max(x)) / 0.2::DOUBLE) / list_sum(list_transform(x, lambda z: exp((z - list_max(x)) / 0.2::DOUBLE))))), 6) AS highest FROM series", "series")

@@ -26,4 +26,4 @@ def stream_changed_value(spark, sf_dir):
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_daily(spark, sf_dir):
     days = worker.daily_counts(worker.event_stream(spark, sf_dir))
-    return worker.run_available(days, spark, "daily", "complete").selectExpr("date_format(day, 'yyyy-MM-dd') AS day", "event_type", "n")
+    return worker.run_available(days, spark, "daily", ["day", "event_type"]).selectExpr("date_format(day, 'yyyy-MM-dd') AS day", "event_type", "n")

@@ -1,26 +1,9 @@
-"""Session settings and table access."""
+"""Table access and the shared folder."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: What a job should run with; anything the cluster sets itself stays.
-SETTINGS = {
-    "spark.sql.session.timeZone": "UTC",
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-}
-
-
-def session(app: str = "tamis", **settings: str) -> SparkSession:
-    builder = SparkSession.builder.appName(app)
-    for key, value in (SETTINGS | settings).items():
-        builder = builder.config(key, value)
-    return builder.getOrCreate()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -42,12 +25,19 @@ def first_column(df: DataFrame, *names: str) -> str:
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder name in spark.checkpoint.dir, which driver and executors share."""
-    import tempfile
-    import uuid
+    """A new folder name in spark.checkpoint.dir, which driver and executors share.
 
+    Where that is unset, a local session gets a temporary folder of its own; on a cluster it's an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="tamis-")  # unset only in single-machine sessions such as tests
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        import tempfile
+
+        root = tempfile.mkdtemp(prefix="tamis-")
         spark.conf.set("spark.checkpoint.dir", root)
+
+    import uuid
+
     return f"{root.rstrip('/')}/tamis-{label}-{uuid.uuid4().hex}"

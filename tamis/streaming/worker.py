@@ -1,8 +1,9 @@
 """Streaming stages: source, deduplication, decision, change detection, sinks.
 
-A restarted query goes on from its checkpoint, so no item is decided twice or lost; what was handled is state with a
-watermark, which bounds it. Every run with `available_now` ends when the input is used up, and then holds the same
-rows as the batch query.
+A restarted query goes on from its checkpoint, so no item is decided twice or lost. A run over what is there (`available`
+trigger) takes all files in one batch unless told otherwise, and then holds the same rows as the batch query. In a
+standing query what was handled is state: a watermark, given as `late`, or a time to live bounds it, at the price that
+what comes later than that is dropped or starts anew.
 """
 
 from __future__ import annotations
@@ -18,15 +19,19 @@ from ..functions import policy as pol
 from ..session import shared_dir, table
 
 
-def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 64) -> DataFrame:
-    """The events table as a stream, with a timestamp that watermarks accept."""
-    schema = table(spark, sf_dir, "events").schema
-    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events.parquet")
-    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
+def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int | None = None) -> DataFrame:
+    """The events table as a stream, with a timestamp that watermarks accept; all files in one batch unless limited."""
+    reader = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("recursiveFileLookup", "true")
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def deduplicated(stream: DataFrame, key: str, late: str = "1 day") -> DataFrame:
-    """Each key once, however often it is delivered within the watermark."""
+def deduplicated(stream: DataFrame, key: str, late: str | None = None) -> DataFrame:
+    """Each key once. Without `late` every key is remembered, so the order and the batches of the input don't matter;
+    with it, only keys of that long ago, and older events are dropped."""
+    if late is None:
+        return stream.dropDuplicates([key])
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
@@ -41,39 +46,46 @@ def daily_counts(stream: DataFrame, late: str = "2 days") -> DataFrame:
     return stream.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("day"), "event_type", "n")
 
 
-def sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
-    """Sessions of a user, closed by a gap (an extension)."""
-    return stream.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap)).agg(F.count("*").alias("n"))
+def changed(stream: DataFrame, days_to_live: int = 30) -> DataFrame:
+    """Events whose type differs from the user's one before.
 
-
-def changed(stream: DataFrame) -> DataFrame:
-    """Events whose type differs from the user's one before; the state is one string per user."""
+    The state is one string per user, forgotten after so many days without an event. Events are put in order within a
+    batch; from batch to batch they have to come in the order of ts.
+    """
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         before = rows["event_type"].shift(1)
         before.iloc[0] = last
         state.update((rows["event_type"].iloc[-1],))
+        state.setTimeoutDuration(days_to_live * 86_400_000)
         out = rows[before.isna() | (before != rows["event_type"])]
         yield out[["user_id", "event_id", "event_type"]]
 
     schema = "user_id bigint, event_id bigint, event_type string"
-    return stream.groupBy("user_id").applyInPandasWithState(follow, schema, "last string", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("user_id").applyInPandasWithState(follow, schema, "last string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def run_available(stream: DataFrame, spark: SparkSession, label: str, mode: str = "append") -> DataFrame:
+def run_available(stream: DataFrame, spark: SparkSession, label: str, key: list[str] | None = None) -> DataFrame:
     """Runs a stream over what is there and returns what it wrote.
 
-    Each batch is written to a folder of its own number, so a batch that is run again replaces itself.
+    Each batch is written to a folder of its own number, so a batch that is run again replaces itself. With a key the
+    stream is run in update mode, and of the rows of a key those of the last batch count.
     """
     path = shared_dir(spark, label)
-    if mode != "complete":  # so that there is a table even if no batch comes
-        spark.createDataFrame([], stream.schema).write.parquet(f"{path}/rows/batch=-1")
+    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/rows/batch=-1")  # so that there is a table at all
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(path + "/rows" if mode == "complete" else f"{path}/rows/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", path + "/checkpoint").trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode("update" if key else "append").foreachBatch(keep).option("checkpointLocation", path + "/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path + "/rows").select(*stream.columns)
+    rows = spark.read.schema(stream.schema.add("batch", "long")).parquet(path + "/rows")
+    if key:
+        rest = [c for c in stream.columns if c not in key]
+        rows = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("last")).select(*key, "last.*")
+    return rows.select(*stream.columns)

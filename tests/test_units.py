@@ -8,10 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from tamis.functions import hashing, policy, sequences
-from tamis.operators import audit, calibration, curation, moderation
+from tamis import sinks
+from tamis.operators import audit, calibration, curation, moderation, scoring
 from tamis.operators import metrics as m
+from tamis.registry import QUERIES
 from tamis.session import first_column, require_columns
 from tamis.sources import config, scans
+from tamis.streaming import worker
 
 
 def one(spark, *columns):
@@ -251,3 +254,71 @@ def test_detector_and_context_rules(spark):
     p = 1 / (1 + math.exp(-0.05 * 20))
     assert (r.is_sports, r.is_anime, r.is_gore, r.is_brawl) == (True, True, True, False) and math.isclose(r.factor, max(0.15, 1 - p))
     assert math.isclose(one(spark, policy.nsfw_after_sport(F.lit(0.85), F.lit(p)).alias("n")).n, 0.85 - round(p, 2))
+
+
+def test_embedding_rank_and_prompts(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.label, []).append(r.embedding)
+    values = {k: np.linalg.svd(np.array(v, float), compute_uv=False) for k, v in by.items()}
+    want = {k: int((s > 0.01 * s.max()).sum()) for k, s in values.items()}
+    assert {r.label: r.rank for r in QUERIES["embedding_rank"](spark, sf_dir).collect()} == want
+    low = spark.createDataFrame([("a", [1.0, 0.0, 1.0]), ("a", [2.0, 0.0, 2.0]), ("a", [0.0, 1.0, 0.0])], "label string, embedding array<double>").repartition(3)
+    assert [r["rank"] for r in scoring.effective_rank(low, "label", "embedding").collect()] == [2]
+    frames = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8])], "id long, v array<double>")
+    prompts = spark.createDataFrame([("x", [1.0, 0.0]), ("x", [0.0, 2.0]), ("y", [-1.0, 0.0])], "g string, v array<double>")
+    got = {(r.id, r.g): round(r.similarity, 9) for r in scoring.prompt_maxima(frames, prompts, "g").collect()}
+    assert got == {(1, "x"): 1.0, (1, "y"): -1.0, (2, "x"): 0.8, (2, "y"): -0.6}
+    assert scoring.prompt_maxima(frames, prompts.limit(0), "g").collect() == []
+
+
+def test_streams_don_t_depend_on_batches(spark, tmp_path):
+    """Files out of order, one per batch."""
+    for k, day in enumerate((5, 1, 9, 3)):
+        rows = [(10 * k + i, 1, f"2024-01-0{day} 00:0{i}:00", "ab"[i % 2], 1.0) for i in range(4)] + [(0, 1, "2024-01-05 00:00:00", "a", 1.0)]
+        spark.createDataFrame(rows, "event_id long, user_id long, ts string, event_type string, value double").selectExpr("event_id", "user_id", "cast(ts as timestamp_ntz) ts", "event_type", "value").coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    stream = worker.event_stream(spark, str(tmp_path), files_per_trigger=1)
+    found = worker.run_available(worker.deduplicated(stream, "event_id").select("event_id"), spark, "t-dedup").collect()
+    assert sorted(r.event_id for r in found) == [10 * k + i for k in range(4) for i in range(4)]
+    days = worker.run_available(worker.daily_counts(worker.event_stream(spark, str(tmp_path), 1), "30 days"), spark, "t-days", ["day", "event_type"]).collect()
+    assert sum(r.n for r in days) == 20 and len(days) == 8
+
+
+def test_sinks_and_dead_letters(spark, tmp_path):
+    store = sinks.KeyedTable(spark, str(tmp_path / "t"), "k", "k long, v string")
+    row = lambda *rows: spark.createDataFrame(list(rows), "k long, v string")
+    store.update(row((1, "a"), (2, "a")), 0)
+    store.update(row((2, "b"), (3, "b")), 1)
+    store.update(row((1, "late")), 1)  # done already
+    again = sinks.KeyedTable(spark, str(tmp_path / "t"), "k", "k long, v string")
+    assert sorted(map(tuple, again.read().collect())) == [(1, "a"), (2, "b"), (3, "b")]
+    items = spark.createDataFrame([(1, 0), (2, 2), (3, None)], "k long, attempts int")
+    done, retry, dead = sinks.apply_with_retries(items, lambda b: b.withColumn("error", F.when(F.col("k") < 3, "no")))
+    assert [sorted((r.k, r.attempts) for r in part.collect()) for part in (done, retry, dead)] == [[(3, 1)], [(1, 1)], [(2, 3)]]
+    sinks.write_summary(spark.range(1).selectExpr("3 AS n", "'x' AS s"), str(tmp_path / "s"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "s")).collect()] == ['{"n":3,"s":"x"}']
+
+
+def test_ladders_paths_and_runs(spark):
+    category = lambda *c: one(spark, scans.blood_category(F.array(*map(F.lit, c)) if c else F.array().cast("array<int>")).alias("c")).c
+    assert [category(4), category(4, 0), category(4, 1), category(1), category(2), category(2, 3), category(3), category(0), category()] == [
+        "positive_clean", "positive_contaminated", "skip", "skip", "negative_clean", "skip", "negative_violent", "skip", "skip"]
+    part = lambda *c: one(spark, scans.membership(F.array(*map(F.lit, c))).alias("c")).c
+    assert [part(2, 5), part(5, 5), part(0), part(1, 4), part(4), part(4, 5), part(0, 5)] == ["ligature", "hard_negative", "weapon", "other", "instrument", "instrument", "other"]
+    path = lambda p, r: one(spark, scans.relative_path(F.lit(p), F.lit(r)).alias("p")).p
+    assert [path("a/b/c", "a/b"), path("a/bc", "a/b"), path("a/b/c", "a/b//")] == ["c", "a/bc", "c"]
+    assert [one(spark, scans.video_id(F.lit(n)).alias("v")).v for n in ("a_12", "a_b_3", "a_x", "12")] == ["a", "a_b", "a_x", "12"]
+    good, report = scans.readable(spark.createDataFrame([("a", 1), ("b", None), ("c", 0)], "k string, n int"), F.col("n") > 0, "k")
+    assert [r.k for r in good.collect()] == ["a"] and tuple(report.first()) == (2, "b")
+    log = lambda *v: F.array(*(F.struct(F.lit(i).alias("epoch"), F.lit(float(x)).alias("value")) for i, x in enumerate(v)))
+    stop = lambda patience, *v: tuple(one(spark, sequences.early_stop(log(*v), patience).alias("s")).s)
+    assert stop(2, 1, 3, 2, 3, 9)[0::3] == (3.0, 3) and stop(0, 1, 0, 0, 0)[3] is None and stop(2, 5, 4, 6, 5)[:2] == (6.0, 2)
+    shots = lambda *s: one(spark, sequences.shot_frames(F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in s)), 2, 3).alias("f")).f
+    assert shots((0, 2), (2, 12), (12, 18)) == [2, 5, 8, 12, 14, 16] and shots((0, 2)) == [0, 1, 1, 1, 1, 1] and shots((3, 3)) == []
+    say = lambda t, v, s: one(spark, sequences.diagnosis(array(*t), array(*v), F.lit(s), 0.7).alias("d")).d
+    assert [say([1, 0.9], [1, 1], 0.3), say([3, 2, 1.5, 1], [3, 1, 1, 2], 0.8), say([3, 1], [3, 1], 0.8), say([3, 1], [3, 1], 0.5), say([], [], 0.5)] == ["underfit", "overfit", "success", "good_but_low", "error"]
+    m = F.array(array(0, 10), array(2, 20), array(4, 30))
+    assert one(spark, sequences.resample_columns(m, 2).alias("r")).r == [[0.0, 10.0], [4.0, 30.0]] and one(spark, sequences.fitted(m, 2, 3).alias("r")).r == [[0.0, 10.0, 0.0], [2.0, 20.0, 0.0]]
+    assert one(spark, sequences.aligned([(m, 2), (F.array(array(7)), 1)]).alias("r")).r == [[0.0, 10.0, 7.0], [2.0, 20.0, 0.0], [4.0, 30.0, 0.0]]
+    assert one(spark, sequences.clean(array(float("nan"), float("inf"), float("-inf"), 2)).alias("c")).c == [0.0, 1e6, -1e6, 2.0]
