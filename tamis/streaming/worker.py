@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import policy as pol
@@ -46,11 +47,12 @@ def daily_counts(stream: DataFrame, late: str = "2 days") -> DataFrame:
     return stream.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("day"), "event_type", "n")
 
 
-def changed(stream: DataFrame, days_to_live: int = 30) -> DataFrame:
+def changed(stream: DataFrame, days_to_live: int | None = None) -> DataFrame:
     """Events whose type differs from the user's one before.
 
-    The state is one string per user, forgotten after so many days without an event. Events are put in order within a
-    batch; from batch to batch they have to come in the order of ts.
+    The state is one string per user; with days_to_live, users without an event for so many days of event time are
+    forgotten, and events older than that dropped. Events are put in order within a batch; from batch to batch they have
+    to come in the order of ts.
     """
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -62,12 +64,17 @@ def changed(stream: DataFrame, days_to_live: int = 30) -> DataFrame:
         before = rows["event_type"].shift(1)
         before.iloc[0] = last
         state.update((rows["event_type"].iloc[-1],))
-        state.setTimeoutDuration(days_to_live * 86_400_000)
+        if days_to_live:
+            last_ms = int(rows["ts"].iloc[-1].timestamp() * 1000)
+            state.setTimeoutTimestamp(max(last_ms, state.getCurrentWatermarkMs()) + days_to_live * 86_400_000)
         out = rows[before.isna() | (before != rows["event_type"])]
         yield out[["user_id", "event_id", "event_type"]]
 
     schema = "user_id bigint, event_id bigint, event_type string"
-    return stream.groupBy("user_id").applyInPandasWithState(follow, schema, "last string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    if days_to_live:
+        stream = stream.withWatermark("ts", f"{days_to_live} days")
+    timeout = GroupStateTimeout.EventTimeTimeout if days_to_live else GroupStateTimeout.NoTimeout
+    return stream.groupBy("user_id").applyInPandasWithState(follow, schema, "last string", "append", timeout)
 
 
 def run_available(stream: DataFrame, spark: SparkSession, label: str, key: list[str] | None = None) -> DataFrame:
@@ -84,7 +91,7 @@ def run_available(stream: DataFrame, spark: SparkSession, label: str, key: list[
 
     query = stream.writeStream.outputMode("update" if key else "append").foreachBatch(keep).option("checkpointLocation", path + "/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    rows = spark.read.schema(stream.schema.add("batch", "long")).parquet(path + "/rows")
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(path + "/rows")
     if key:
         rest = [c for c in stream.columns if c not in key]
         rows = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("last")).select(*key, "last.*")

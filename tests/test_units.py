@@ -283,6 +283,9 @@ def test_streams_don_t_depend_on_batches(spark, tmp_path):
     assert sorted(r.event_id for r in found) == [10 * k + i for k in range(4) for i in range(4)]
     days = worker.run_available(worker.daily_counts(worker.event_stream(spark, str(tmp_path), 1), "30 days"), spark, "t-days", ["day", "event_type"]).collect()
     assert sum(r.n for r in days) == 20 and len(days) == 8
+    for live in (None, 30):
+        events = worker.run_available(worker.changed(worker.event_stream(spark, str(tmp_path)), live), spark, "t-changed").collect()
+        assert sorted(r.event_id for r in events) == [10 * k + i for k in range(4) for i in range(4)]
 
 
 def test_sinks_and_dead_letters(spark, tmp_path):
