@@ -153,3 +153,32 @@ def rolled_up(found: DataFrame, taxonomy: DataFrame) -> DataFrame:
     over = lambda c: F.coalesce(F.bool_or(F.col("p") >= F.col(c)), F.lit(False))
     out = rows.groupBy("item", "category").agg(F.max("p").alias("p"), over("blur").alias("any_blur"), over("ban").alias("_ban"), F.max("priority").alias("priority"))
     return out.withColumn("action", F.when(F.col("_ban"), "ban").when(F.col("any_blur"), "blur").otherwise("safe")).drop("_ban")
+
+
+def verdict_level(verdict: Column) -> Column:
+    """2 if the verdict's text says BAN, 1 if it says BLUR, else 0."""
+    return F.when(F.contains(verdict, F.lit("BAN")), 2).when(F.contains(verdict, F.lit("BLUR")), 1).otherwise(0)
+
+
+def stated_reason(text: Column) -> Column:
+    """What follows 'Reason:' and its decoration; empty without it."""
+    return F.regexp_extract(text, "Reason:[* ]*(.*)$", 1)
+
+
+def highest_by_category(rows: DataFrame, item: str, scores: dict[str, str], ban: float, blur: float) -> DataFrame:
+    """Per item and category (category -> column of scores): the highest score and its action."""
+    entries = F.array(*(F.struct(F.lit(k).alias("category"), F.col(c).alias("p")) for k, c in scores.items()))
+    found = rows.select(item, F.explode(entries).alias("e")).groupBy(item, "e.category").agg(F.max("e.p").alias("p"))
+    return found.withColumn("action", action(level(F.col("p"), ban, blur)))
+
+
+def flags(label: Column, score: Column, cuts: dict[str, float], default: float) -> Column:
+    """Whether a score reaches its label's cut."""
+    known = F.create_map(*(F.lit(x) for pair in cuts.items() for x in pair))
+    return score >= F.coalesce(F.try_element_at(known, label), F.lit(default))
+
+
+def priorities(rows: DataFrame, item: str, of_level: dict[int, int], default: int = 0) -> DataFrame:
+    """The highest priority among an item's levels; levels without one have the default."""
+    known = F.create_map(*(F.lit(x) for pair in of_level.items() for x in pair))
+    return rows.groupBy(item).agg(F.max(F.coalesce(F.try_element_at(known, F.col("level")), F.lit(default))).alias("priority"))

@@ -213,3 +213,9 @@ def jittered(x: Column, shift: int) -> Column:
     """The sequence moved by a number of places, its ends repeated."""
     n = F.size(x)
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(x, F.greatest(F.lit(0), F.least(n - 1, i + shift))))).otherwise(x)
+
+
+def binary_entropy(score: Column, eps: float = 1e-6) -> Column:
+    """Entropy in bits of a score and its complement, both kept off 0."""
+    p = F.least(F.lit(1 - eps), F.greatest(F.lit(eps), score))
+    return -(p * F.ln(p) + (1 - p) * F.ln(1 - p)) / F.ln(F.lit(2.0))

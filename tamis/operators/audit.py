@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequences as seq
@@ -64,3 +64,108 @@ def feature_issues(rows: DataFrame, key: str, vector: str, width: int, most: flo
         F.when(F.sqrt(F.greatest(F.lit(0.0), variance)) < 0.05, "flat"),
     )
     return rows.select(key, F.col(vector).cast("array<double>").alias("v")).select(key, n.alias("width"), F.round(seq.norm(v), 6).alias("norm"), issues.alias("issues"))
+
+
+def copies(rows: DataFrame, key: str, tie: str) -> DataFrame:
+    """Keys that occur more than once: how often, and the first row's id."""
+    return rows.groupBy(key).agg(F.count("*").alias("n"), F.min(tie).alias("first_id")).filter("n > 1")
+
+
+def leaked(rows: DataFrame, source: DataFrame, key: str, tie: str, names: tuple[str, str]) -> DataFrame:
+    """Rows whose key is in `source` too, with the first id there: one row per row, however often the key occurs."""
+    first = source.groupBy(key).agg(F.min(tie).alias(names[1]))
+    return rows.select(F.col(tie).alias(names[0]), key).join(first, key)
+
+
+def leak_classes(rows: DataFrame, key: str, tie: str, split_order: list[str]) -> DataFrame:
+    """For each key in two splits: both splits in their order, how many rows each has and its first id. Keys first become
+    one row per split, so a key with very many rows is never paired row by row."""
+    place = F.array_position(F.array(*map(F.lit, split_order)), F.col("split"))
+    place = F.when(place > 0, place).otherwise(len(split_order))
+    found = rows.groupBy(key, "split").agg(F.count("*").alias("n"), F.min(tie).alias("id"))
+    entry = F.struct(place.alias("place"), "split", "n", "id")
+    grouped = found.filter(F.col(key).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("s")).filter(F.size("s") > 1)
+    a = grouped.select(key, "s", F.explode("s").alias("a")).select(key, "a", F.explode("s").alias("b")).filter("a.place < b.place")
+    return a.select(key, *(F.col(f"{x}.{c}").alias(f"{c}{i}") for i, x in ((1, "a"), (2, "b")) for c in ("split", "n", "id")))
+
+
+def leak_summary(rows: DataFrame, key: str) -> DataFrame:
+    """How many keys each two splits share, the splits in the order of their names."""
+    splits = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_set("split")).alias("s")).filter(F.size("s") > 1)
+    a = splits.select("s", F.explode("s").alias("split1")).select("split1", F.explode("s").alias("split2")).filter("split1 < split2")
+    return a.groupBy("split1", "split2").agg(F.count("*").alias("n"))
+
+
+def overlaps(left: DataFrame, right: DataFrame, keys: dict[str, str]) -> DataFrame:
+    """Distinct values that two tables share, for each kind of key (kind -> column); both are read once for all kinds."""
+    values = lambda rows, side: rows.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in keys.items()))).alias("e"), F.lit(side).alias("side"))
+    both = values(left, 1).unionByName(values(right, 2)).groupBy("e").agg(F.count_distinct("side").alias("sides"))
+    found = both.groupBy("e.kind").agg(F.count_if(F.col("sides") == 2).alias("n"))
+    kinds = left.sparkSession.createDataFrame([(k,) for k in keys], "kind string")
+    return kinds.join(found, "kind", "left").select("kind", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def without_leaks(rows: DataFrame, key: str, split: str = "train") -> DataFrame:
+    """Rows of the split, and the others' rows whose key it lacks."""
+    own = F.col("split") == split
+    taken = rows.filter(own).select(key)
+    return rows.filter(own).unionByName(rows.filter(~own).join(taken, key, "left_anti"))
+
+
+def absent(rows: DataFrame, split: str, label: str) -> DataFrame:
+    """Labels of the table that no row of the split has."""
+    found = rows.groupBy(label).agg(F.bool_or(F.col("split") == split).alias("_has"))
+    return found.filter("NOT coalesce(_has, false)").select(label)
+
+
+def placed_counts(rows: DataFrame, label: str) -> DataFrame:
+    """Rows per label and the label's place, the most frequent first; the window sees a row per label."""
+    counts = rows.groupBy(label).agg(F.count("*").alias("n"))
+    return counts.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("n"), label)).cast("long"))
+
+
+def conflicts(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """Keys with more than one value, and with how many."""
+    return rows.groupBy(key).agg(F.count_distinct(value).alias("values")).filter("values > 1")
+
+
+def text_flags(text: Column, short: int = 60, long: int = 5000, symbols: str = "$$$") -> Column:
+    return F.concat_ws(";", F.when(F.length(text) < short, "short"), F.when(F.length(text) > long, "long"), F.when(F.contains(text, F.lit(symbols)), "symbols"))
+
+
+def kinds(issue: Column) -> Column:
+    """What an issue says before its first colon."""
+    return F.split_part(issue, F.lit(":"), F.lit(1))
+
+
+def coverage(rows: DataFrame, key: str, *teachers: DataFrame) -> DataFrame:
+    """Share of the rows that one teacher at least knows; each teacher's first column is its key."""
+    known, found = rows, F.lit(False)
+    for i, t in enumerate(teachers):
+        mark = f"_known_{i}"
+        known = known.join(t.select(F.col(t.columns[0]).alias(key)).distinct().withColumn(mark, F.lit(True)), key, "left")
+        found = found | F.coalesce(mark, F.lit(False))
+    return known.agg(F.avg(F.when(found, 1.0).otherwise(0.0)).alias("coverage"))
+
+
+def eligible(media: DataFrame) -> DataFrame:
+    """Images and videos of live items that aren't moderated yet."""
+    kind = F.startswith("mime", F.lit("image/")) | F.startswith("mime", F.lit("video/"))
+    return media.filter(F.col("status").isin("active", "pending") & ~F.coalesce("is_moderated", F.lit(False)) & kind)
+
+
+def without_processed(media: DataFrame, *key: str) -> DataFrame:
+    """Media of which no row is moderated."""
+    return media.join(media.filter("is_moderated").select(*key), [*key], "left_anti")
+
+
+def changes(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
+    """Rows whose value differs from the one before it in their group, the first ones included."""
+    last = F.lag(value).over(Window.partitionBy(by).orderBy(order))
+    return rows.withColumn("_same", F.col(value).eqNullSafe(last)).filter("NOT _same").drop("_same")
+
+
+def post_levels(media: DataFrame, document: str, order: str) -> DataFrame:
+    """Per document: the highest level, the reason of its first medium of that level, media above level 0."""
+    reason = F.max_by("reason", F.struct("level", -F.col(order)))
+    return media.groupBy(document).agg(F.max("level").alias("level"), reason.alias("reason"), F.count_if(F.col("level") > 0).alias("flagged"))

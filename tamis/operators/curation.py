@@ -12,13 +12,14 @@ from ..functions.hashing import sample_order
 DRAW_CHARS = 3
 
 
-def ranked(rows: DataFrame, by: list[str], draw: str, *ties: str, name: str = "rank", size: str | None = None) -> DataFrame:
+def ranked(rows: DataFrame, by: list[str], draw: str, *ties: str, name: str = "rank", size: str | None = None, bucket: Column | None = None) -> DataFrame:
     """Adds the row's place (from 1) within its group, in order of `draw`, a hex hash, and of `ties`; and the group's size.
 
     A group is dealt to buckets by the draw's first characters. Bucket counts, 4096 a group at most, say how many rows
-    come before a bucket; only rows of one bucket are sorted together, so a group of any size is split.
+    come before a bucket; only rows of one bucket are sorted together, so a group of any size is split. For a draw that
+    is no hash, `bucket` gives buckets that are in its order.
     """
-    dealt = rows.withColumn("_bucket", F.substring(draw, 1, DRAW_CHARS))
+    dealt = rows.withColumn("_bucket", F.substring(draw, 1, DRAW_CHARS) if bucket is None else bucket)
     counts = dealt.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"))
     group = Window.partitionBy(*by)
     before = F.coalesce(F.sum("_n").over(group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -142,3 +143,74 @@ def fingerprints(rows: DataFrame, by: str, key: str) -> DataFrame:
     hashed = F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("decimal(38,0)")
     found = rows.groupBy(by).agg(F.count("*").alias("n"), F.pmod(F.sum(hashed), F.lit(1 << 60)).cast("long").alias("hash"))
     return found.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 6))  # a row per split
+
+
+def split_counts(rows: DataFrame, *flags: str) -> DataFrame:
+    """Rows per split, and how many of them have each flag (0 or 1)."""
+    return rows.groupBy("split").agg(F.count("*").alias("n"), *(F.sum(c).cast("long").alias(f"n_{c}") for c in flags))
+
+
+def branches(rows: DataFrame, *flags: str) -> DataFrame:
+    """Rows per branch and split: a branch for each flag, with the rows that have it, and one with all. A row is read once."""
+    names = F.array_compact(F.array(*(F.when(F.col(c) == 1, c) for c in flags), F.lit("multitask")))
+    return rows.select("split", F.explode(names).alias("branch")).groupBy("branch", "split").agg(F.count("*").alias("n"))
+
+
+def source_summary(rows: DataFrame) -> DataFrame:
+    """Per source: rows, rows of each split, and its languages."""
+    splits = [F.count_if(F.col("split") == s).alias(s) for s in ("train", "val", "test")]
+    return rows.groupBy("source").agg(F.count("*").alias("n"), *splits, F.array_join(F.array_sort(F.collect_set("lang")), ";").alias("langs"))
+
+
+def scans_united(scans: dict[str, DataFrame]) -> DataFrame:
+    """The rows of all scans under their scan's name."""
+    parts = [rows.withColumn("scan", F.lit(name)) for name, rows in scans.items()]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found
+
+
+def unmatched(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """Keys that `others` lacks; null keys count as neither there nor lacking."""
+    return rows.select(key).filter(F.col(key).isNotNull()).distinct().join(others.select(key), key, "left_anti")
+
+
+def positive_weight(rows: DataFrame, flag: str, most: float = 20.0) -> DataFrame:
+    """Negatives per positive, between 1 and `most`; 1 without positives."""
+    p = F.sum(flag)
+    ratio = F.try_divide((F.count("*") - p).cast("double"), p)
+    return rows.agg(F.when(p == 0, 1.0).otherwise(F.least(F.lit(most), F.greatest(F.lit(1.0), ratio))).alias("weight"))
+
+
+def imbalance_weights(rows: DataFrame, flag: str) -> DataFrame:
+    """Soft (square root, 1.5 to 6) and hard (2 to 12) weights of the positives from negatives per positive."""
+    r = (F.count("*") - F.sum(flag)).cast("double") / F.greatest(F.lit(1), F.sum(flag))
+    clip = lambda x, low, high: F.least(F.lit(high), F.greatest(F.lit(low), x))
+    return rows.agg(clip(F.sqrt(r), 1.5, 6.0).alias("soft"), clip(r, 2.0, 12.0).alias("hard"))
+
+
+# What a corpus must have at least, and negatives per positive of one that counts as balanced.
+LEAST_CORPUS, LEAST_POSITIVES, BALANCED = 10_000, 1_000, 2
+
+
+def corpus_minimums(rows: DataFrame, flag: str) -> DataFrame:
+    n, p = F.count("*"), F.sum(flag)
+    balanced = (n - p).cast("double") / F.greatest(F.lit(1), p) < BALANCED
+    return rows.agg((n >= LEAST_CORPUS).alias("enough"), (p >= LEAST_POSITIVES).alias("enough_positives"), balanced.alias("balanced"))
+
+
+def replicated(rows: DataFrame, copies: int) -> DataFrame:
+    """Each row `copies` times, numbered from 0."""
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))))
+
+
+def first_of_each(rows: DataFrame, by: str, most: int, *order) -> DataFrame:
+    """The first rows of each group, `most` of them. Spark cuts each task's groups before they meet."""
+    return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("_rank") <= most).drop("_rank")
+
+
+def balanced_sample(rows: DataFrame, by: str, size: int, key: str) -> DataFrame:
+    """About `size` rows in all, equally many of each class, those with the least keys."""
+    classes = rows.select(by).distinct().filter(F.col(by).isNotNull()).count()
+    return first_of_each(rows, by, max(1, size // max(1, classes)), key)

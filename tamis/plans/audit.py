@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import audit as op
+from ..operators import curation as cur
+from ..operators import metrics
 from ..session import table
-from ..sources.views import manifest
-from .common import both, query
+from ..sources.views import features, frames, manifest, media_items
+from .common import query, stated
 
 _RANK = "CASE split WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END"
 
@@ -18,11 +20,26 @@ def dedup_keep_first(spark, sf_dir):
     return op.keep_first(manifest(spark, sf_dir), "md5", ["train", "val", "test"], "doc_id").select("doc_id", "md5", "split", "is_duplicate", "duplicate_of")
 
 
-both("dup_groups", "SELECT md5, count(*) AS n, min(doc_id) AS first_id FROM {manifest} GROUP BY md5 HAVING count(*) > 1")
-both("leak_exact", """SELECT v.doc_id AS val_id, t.train_id, v.md5 FROM {manifest} v JOIN (SELECT md5, min(doc_id) AS train_id FROM {manifest} WHERE split = 'train' GROUP BY md5) t ON t.md5 = v.md5 WHERE v.split = 'val'""")
-both("leak_summary", """SELECT a.split AS split1, b.split AS split2, count(*) AS n FROM (SELECT DISTINCT split, md5 FROM {manifest}) a JOIN (SELECT DISTINCT split, md5 FROM {manifest}) b ON a.md5 = b.md5 AND a.split < b.split GROUP BY 1, 2""")
-both("leak_pairs", f"""SELECT a.md5, a.split AS split1, b.split AS split2, a.n AS n1, b.n AS n2, a.first_id AS id1, b.first_id AS id2 FROM (SELECT md5, split, count(*) AS n, min(doc_id) AS first_id FROM {{manifest}} GROUP BY 1, 2) a
+@stated("SELECT md5, count(*) AS n, min(doc_id) AS first_id FROM {manifest} GROUP BY md5 HAVING count(*) > 1")
+def dup_groups(spark, sf_dir):
+    return op.copies(manifest(spark, sf_dir), "md5", "doc_id")
+
+
+@stated("""SELECT v.doc_id AS val_id, t.train_id, v.md5 FROM {manifest} v JOIN (SELECT md5, min(doc_id) AS train_id FROM {manifest} WHERE split = 'train' GROUP BY md5) t ON t.md5 = v.md5 WHERE v.split = 'val'""")
+def leak_exact(spark, sf_dir):
+    m = manifest(spark, sf_dir)
+    return op.leaked(m.filter("split = 'val'"), m.filter("split = 'train'"), "md5", "doc_id", ("val_id", "train_id"))
+
+
+@stated("""SELECT a.split AS split1, b.split AS split2, count(*) AS n FROM (SELECT DISTINCT split, md5 FROM {manifest}) a JOIN (SELECT DISTINCT split, md5 FROM {manifest}) b ON a.md5 = b.md5 AND a.split < b.split GROUP BY 1, 2""")
+def leak_summary(spark, sf_dir):
+    return op.leak_summary(manifest(spark, sf_dir), "md5")
+
+
+@stated(f"""SELECT a.md5, a.split AS split1, b.split AS split2, a.n AS n1, b.n AS n2, a.first_id AS id1, b.first_id AS id2 FROM (SELECT md5, split, count(*) AS n, min(doc_id) AS first_id FROM {{manifest}} GROUP BY 1, 2) a
   JOIN (SELECT md5, split, count(*) AS n, min(doc_id) AS first_id FROM {{manifest}} GROUP BY 1, 2) b ON a.md5 = b.md5 AND {_RANK.replace('split', 'a.split')} < {_RANK.replace('split', 'b.split')}""")
+def leak_pairs(spark, sf_dir):
+    return op.leak_classes(manifest(spark, sf_dir), "md5", "doc_id", ["train", "val", "test"])
 
 
 @query("""WITH h AS (SELECT bit_string, min(vec_id) AS id, count(*) AS n FROM (SELECT vec_id, array_to_string(list_transform(v[1:24], lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS bit_string FROM features) GROUP BY 1),
@@ -34,15 +51,43 @@ def leak_hamming(spark, sf_dir):
     return op.hamming_pairs(op.sign_bits(short, "vec_id", "v"), 3, 24)
 
 
-both("overlap_matrix", """SELECT 'md5' AS kind, count(*) AS n FROM (SELECT md5 FROM {manifest} WHERE split = 'train' INTERSECT SELECT md5 FROM {manifest} WHERE split = 'test')
+@stated("""SELECT 'md5' AS kind, count(*) AS n FROM (SELECT md5 FROM {manifest} WHERE split = 'train' INTERSECT SELECT md5 FROM {manifest} WHERE split = 'test')
 UNION ALL SELECT 'path', count(*) FROM (SELECT path FROM {manifest} WHERE split = 'train' INTERSECT SELECT path FROM {manifest} WHERE split = 'test')
 UNION ALL SELECT 'group', count(*) FROM (SELECT group_id FROM {manifest} WHERE split = 'train' INTERSECT SELECT group_id FROM {manifest} WHERE split = 'test')""")
-both("leak_cleaned", "SELECT v.doc_id, v.split FROM {manifest} v WHERE v.split = 'train' OR NOT EXISTS (SELECT 1 FROM {manifest} t WHERE t.split = 'train' AND t.md5 = v.md5)")
-both("missing_classes", "SELECT DISTINCT e.label FROM {features} e WHERE NOT EXISTS (SELECT 1 FROM {features} t WHERE t.split = 'test' AND t.label = e.label)")
-both("class_distribution", "SELECT label, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, label) AS BIGINT) AS place FROM {embeddings} GROUP BY label")
-both("manifest_stats", "SELECT count(DISTINCT sample_id) AS samples, count(DISTINCT path) AS paths, count(DISTINCT group_id) AS groups, CAST(sum(violence) AS BIGINT) AS positives FROM {manifest}")
-both("key_conflicts", "SELECT md5, count(DISTINCT path) AS paths FROM {manifest} GROUP BY md5 HAVING count(DISTINCT path) > 1")
-both("audit_flags", """SELECT doc_id, concat_ws(';', CASE WHEN length(text) < 60 THEN 'short' END, CASE WHEN length(text) > 5000 THEN 'long' END, CASE WHEN text LIKE '%$$$%' THEN 'symbols' END) AS flags FROM {documents}""")
+def overlap_matrix(spark, sf_dir):
+    m = manifest(spark, sf_dir)
+    return op.overlaps(m.filter("split = 'train'"), m.filter("split = 'test'"), {"md5": "md5", "path": "path", "group": "group_id"})
+
+
+@stated("SELECT v.doc_id, v.split FROM {manifest} v WHERE v.split = 'train' OR NOT EXISTS (SELECT 1 FROM {manifest} t WHERE t.split = 'train' AND t.md5 = v.md5)")
+def leak_cleaned(spark, sf_dir):
+    return op.without_leaks(manifest(spark, sf_dir).select("doc_id", "split", "md5"), "md5").select("doc_id", "split")
+
+
+@stated("SELECT DISTINCT e.label FROM {features} e WHERE NOT EXISTS (SELECT 1 FROM {features} t WHERE t.split = 'test' AND t.label = e.label)")
+def missing_classes(spark, sf_dir):
+    return op.absent(features(spark, sf_dir), "test", "label")
+
+
+@stated("SELECT label, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, label) AS BIGINT) AS place FROM {embeddings} GROUP BY label")
+def class_distribution(spark, sf_dir):
+    return op.placed_counts(table(spark, sf_dir, "embeddings"), "label")
+
+
+@stated("SELECT count(DISTINCT sample_id) AS samples, count(DISTINCT path) AS paths, count(DISTINCT group_id) AS groups, CAST(sum(violence) AS BIGINT) AS positives FROM {manifest}")
+def manifest_stats(spark, sf_dir):
+    distinct = [F.count_distinct(c).alias(n) for c, n in (("sample_id", "samples"), ("path", "paths"), ("group_id", "groups"))]
+    return manifest(spark, sf_dir).agg(*distinct, F.sum("violence").cast("long").alias("positives"))
+
+
+@stated("SELECT md5, count(DISTINCT path) AS paths FROM {manifest} GROUP BY md5 HAVING count(DISTINCT path) > 1")
+def key_conflicts(spark, sf_dir):
+    return op.conflicts(manifest(spark, sf_dir), "md5", "path").withColumnRenamed("values", "paths")
+
+
+@stated("""SELECT doc_id, concat_ws(';', CASE WHEN length(text) < 60 THEN 'short' END, CASE WHEN length(text) > 5000 THEN 'long' END, CASE WHEN text LIKE '%$$$%' THEN 'symbols' END) AS flags FROM {documents}""")
+def audit_flags(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", op.text_flags(F.col("text")).alias("flags"))
 
 
 @query("""WITH k AS (SELECT doc_id, source || '/' || doc_id AS full_key, (doc_id * 11 % 20000)::VARCHAR AS base FROM documents),
@@ -64,18 +109,62 @@ def feature_qa(spark, sf_dir):
     return op.feature_issues(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 64, 0.4)
 
 
-both("issue_counts", """SELECT kind, count(*) AS n FROM (SELECT split_part(CASE WHEN length(text) < 300 THEN 'short:' || length(text) ELSE 'fine:' || lang END, ':', 1) AS kind FROM {documents}) GROUP BY kind""")
-both("stuck_scores", """SELECT video_id, round(p90 - p10, 6) AS spread, n >= 10 AND p90 - p10 < 0.75 AND m > 0.3 AS stuck FROM (
-  SELECT video_id, count(*) AS n, avg(score) AS m, quantile_cont(score, 0.9) AS p90, quantile_cont(score, 0.1) AS p10 FROM {frames} GROUP BY video_id)""",
-     """SELECT video_id, round(p90 - p10, 6) AS spread, n >= 10 AND p90 - p10 < 0.75 AND m > 0.3 AS stuck FROM (
-  SELECT video_id, count(*) AS n, avg(score) AS m, percentile(score, 0.9) AS p90, percentile(score, 0.1) AS p10 FROM {frames} GROUP BY video_id)""")
-both("teacher_coverage", "SELECT round(avg(CASE WHEN l.doc_id IS NOT NULL OR e.vec_id IS NOT NULL THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS coverage FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id LEFT JOIN {embeddings} e ON e.vec_id = d.doc_id")
-both("eligible_media", """SELECT conv_id, msg_id, mime, size FROM {media_items} WHERE status IN ('active', 'pending') AND NOT coalesce(is_moderated, false) AND (mime LIKE 'image/%' OR mime LIKE 'video/%')""")
-both("latest_per_conversation", "SELECT conv_id, msg_id, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY msg_id DESC) AS rn FROM {media_items}) WHERE rn <= 3")
-both("newest_orders", "SELECT o_orderkey, o_orderdate FROM {orders} ORDER BY o_orderdate DESC, o_orderkey LIMIT 100")
-both("processed_excluded", "SELECT m.conv_id, m.msg_id FROM {media_items} m WHERE NOT EXISTS (SELECT 1 FROM {media_items} p WHERE p.conv_id = m.conv_id AND p.msg_id = m.msg_id AND p.is_moderated)")
-both("changed_values", """SELECT conv_id, msg_id, size FROM (SELECT conv_id, msg_id, size, mime, lag(mime) OVER (PARTITION BY conv_id ORDER BY msg_id) AS last_mime FROM {media_items}) WHERE mime IS DISTINCT FROM last_mime""")
-both("post_levels", """SELECT conv_id, max(level) AS level, arg_min(reason, msg_id * 1.0 - 1000 * level) AS reason, count(*) FILTER (WHERE level > 0) AS flagged FROM {media_items} GROUP BY conv_id""",
-     """SELECT conv_id, max(level) AS level, max_by(reason, struct(level, -msg_id)) AS reason, count_if(level > 0) AS flagged FROM {media_items} GROUP BY conv_id""")
-both("chat_levels", "SELECT conv_id, msg_id, CASE WHEN role = 'user' THEN least(level, 1) ELSE level END AS level, status FROM {media_items}")
-both("notifications", "SELECT conv_id, msg_id, reason FROM {media_items} WHERE level = 2 AND role <> 'system' AND status <> 'deleted'")
+@stated("""SELECT kind, count(*) AS n FROM (SELECT split_part(CASE WHEN length(text) < 300 THEN 'short:' || length(text) ELSE 'fine:' || lang END, ':', 1) AS kind FROM {documents}) GROUP BY kind""")
+def issue_counts(spark, sf_dir):
+    size = F.length("text")
+    issue = F.when(size < 300, F.concat(F.lit("short:"), size.cast("string"))).otherwise(F.concat(F.lit("fine:"), "lang"))
+    return table(spark, sf_dir, "documents").groupBy(op.kinds(issue).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@stated("""SELECT video_id, round(p90 - p10, 6) AS spread, n >= 10 AND p90 - p10 < 0.75 AND m > 0.3 AS stuck FROM (
+  SELECT video_id, count(*) AS n, avg(score) AS m, quantile_cont(score, 0.9) AS p90, quantile_cont(score, 0.1) AS p10 FROM {frames} GROUP BY video_id)""")
+def stuck_scores(spark, sf_dir):
+    return metrics.stuck(frames(spark, sf_dir), "score", "video_id").withColumn("spread", F.round("spread", 6))
+
+
+@stated("SELECT round(avg(CASE WHEN l.doc_id IS NOT NULL OR e.vec_id IS NOT NULL THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS coverage FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id LEFT JOIN {embeddings} e ON e.vec_id = d.doc_id")
+def teacher_coverage(spark, sf_dir):
+    teachers = table(spark, sf_dir, "labels").select("doc_id"), table(spark, sf_dir, "embeddings").select("vec_id")
+    return op.coverage(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", *teachers).withColumn("coverage", F.round("coverage", 6))
+
+
+@stated("""SELECT conv_id, msg_id, mime, size FROM {media_items} WHERE status IN ('active', 'pending') AND NOT coalesce(is_moderated, false) AND (mime LIKE 'image/%' OR mime LIKE 'video/%')""")
+def eligible_media(spark, sf_dir):
+    return op.eligible(media_items(spark, sf_dir)).select("conv_id", "msg_id", "mime", "size")
+
+
+@stated("SELECT conv_id, msg_id, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY msg_id DESC) AS rn FROM {media_items}) WHERE rn <= 3")
+def latest_per_conversation(spark, sf_dir):
+    return cur.first_of_each(media_items(spark, sf_dir), "conv_id", 3, F.desc("msg_id")).select("conv_id", "msg_id", "role")
+
+
+@stated("SELECT o_orderkey, o_orderdate FROM {orders} ORDER BY o_orderdate DESC, o_orderkey LIMIT 100")
+def newest_orders(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(100)
+
+
+@stated("SELECT m.conv_id, m.msg_id FROM {media_items} m WHERE NOT EXISTS (SELECT 1 FROM {media_items} p WHERE p.conv_id = m.conv_id AND p.msg_id = m.msg_id AND p.is_moderated)")
+def processed_excluded(spark, sf_dir):
+    return op.without_processed(media_items(spark, sf_dir).select("conv_id", "msg_id", "is_moderated"), "conv_id", "msg_id").select("conv_id", "msg_id")
+
+
+@stated("""SELECT conv_id, msg_id, size FROM (SELECT conv_id, msg_id, size, mime, lag(mime) OVER (PARTITION BY conv_id ORDER BY msg_id) AS last_mime FROM {media_items}) WHERE mime IS DISTINCT FROM last_mime""")
+def changed_values(spark, sf_dir):
+    return op.changes(media_items(spark, sf_dir), "conv_id", "msg_id", "mime").select("conv_id", "msg_id", "size")
+
+
+@stated("""SELECT conv_id, max(level) AS level, arg_min(reason, msg_id * 1.0 - 1000 * level) AS reason, count(*) FILTER (WHERE level > 0) AS flagged FROM {media_items} GROUP BY conv_id""")
+def post_levels(spark, sf_dir):
+    return op.post_levels(media_items(spark, sf_dir), "conv_id", "msg_id")
+
+
+@stated("SELECT conv_id, msg_id, CASE WHEN role = 'user' THEN least(level, 1) ELSE level END AS level, status FROM {media_items}")
+def chat_levels(spark, sf_dir):
+    clamped = F.when(F.col("role") == "user", F.least("level", F.lit(1))).otherwise(F.col("level"))
+    return media_items(spark, sf_dir).select("conv_id", "msg_id", clamped.alias("level"), "status")
+
+
+@stated("SELECT conv_id, msg_id, reason FROM {media_items} WHERE level = 2 AND role <> 'system' AND status <> 'deleted'")
+def notifications(spark, sf_dir):
+    told = media_items(spark, sf_dir).filter("level = 2 AND role <> 'system' AND status <> 'deleted'")
+    return told.select("conv_id", "msg_id", "reason")

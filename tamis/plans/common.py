@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.views import TABLES, VIEWS, relation, with_views
+from ..sources.views import TABLES, VIEWS, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,16 +25,8 @@ def query(sql: str | None, *views: str):
     return register
 
 
-def both(name: str, sql: str, spark_sql: str | None = None) -> None:
-    """Registers a query of SQL that reads relations in braces; `spark_sql` where Spark's dialect differs."""
-    used = sorted({n for n in re.findall(r"\{(\w+)\}", sql)})
-    text = spark_sql or sql
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(text, **{n: relation(spark, sf_dir, n) for n in sorted({n for n in re.findall(r"\{(\w+)\}", text)})})
-
-    run.__name__ = name
-    QUERIES[name] = run
-    plain = re.sub(r"\{(\w+)\}", r"\1", sql)
-    SQL[name] = with_views(plain, *(n for n in used if n in VIEWS))
+def stated(sql: str):
+    """As `query`; the SQL has the relations that it reads in braces."""
+    used = sorted(set(re.findall(r"\{(\w+)\}", sql)))
     assert all(n in VIEWS or n in TABLES for n in used), used
+    return query(re.sub(r"\{(\w+)\}", r"\1", sql), *(n for n in used if n in VIEWS))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_split, output_name, sample_order
 from ..operators import curation as op
+from ..session import table
+from ..sources import scans
 from ..sources.views import BUCKET, manifest
-from .common import both, query
+from .common import query, stated
 
 _B = BUCKET.format("doc_id::VARCHAR")
 
@@ -18,23 +20,66 @@ def hash_split_ratio(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", hash_split(F.col("doc_id").cast("string"), 0.7, 0.15).alias("split"))
 
 
-both("hash_split_assign", "SELECT doc_id, split FROM {manifest}")
-both("manifest_records", "SELECT doc_id, sample_id, path, group_id, violence, nsfw, 'v' || violence || '_n' || nsfw AS label_signature, 'text' AS media_type FROM {manifest}")
-both("split_counts", "SELECT split, count(*) AS n, CAST(sum(violence) AS BIGINT) AS n_violence, CAST(sum(nsfw) AS BIGINT) AS n_nsfw FROM {manifest} GROUP BY split",
-     "SELECT split, count(*) AS n, CAST(sum(violence) AS BIGINT) AS n_violence, CAST(sum(nsfw) AS BIGINT) AS n_nsfw FROM {manifest} GROUP BY split")
-both("split_rollup", "SELECT source, split, count(*) AS n FROM {manifest} GROUP BY ROLLUP (source, split)")
-both("label_export", "SELECT path, violence AS label, sample_id, source, group_id FROM {manifest} WHERE split = 'train'")
-both("summary_by_source", """SELECT source, count(*) AS n, count(*) FILTER (WHERE split = 'train') AS train, count(*) FILTER (WHERE split = 'val') AS val,
-  count(*) FILTER (WHERE split = 'test') AS test, array_to_string(list_sort(list(DISTINCT lang)), ';') AS langs FROM {manifest} GROUP BY source""",
-     """SELECT source, count(*) AS n, count_if(split = 'train') AS train, count_if(split = 'val') AS val, count_if(split = 'test') AS test,
-  array_join(array_sort(collect_set(lang)), ';') AS langs FROM {manifest} GROUP BY source""")
-both("summary_by_branch", """SELECT branch, split, count(*) AS n FROM (
+@stated("SELECT doc_id, split FROM {manifest}")
+def hash_split_assign(spark, sf_dir):
+    return manifest(spark, sf_dir).select("doc_id", "split")
+
+
+@stated("SELECT doc_id, sample_id, path, group_id, violence, nsfw, 'v' || violence || '_n' || nsfw AS label_signature, 'text' AS media_type FROM {manifest}")
+def manifest_records(spark, sf_dir):
+    signature = F.concat(F.lit("v"), "violence", F.lit("_n"), "nsfw")
+    return manifest(spark, sf_dir).select("doc_id", "sample_id", "path", "group_id", "violence", "nsfw", signature.alias("label_signature"), F.lit("text").alias("media_type"))
+
+
+@stated("SELECT split, count(*) AS n, CAST(sum(violence) AS BIGINT) AS n_violence, CAST(sum(nsfw) AS BIGINT) AS n_nsfw FROM {manifest} GROUP BY split")
+def split_counts(spark, sf_dir):
+    return op.split_counts(manifest(spark, sf_dir), "violence", "nsfw")
+
+
+@stated("SELECT source, split, count(*) AS n FROM {manifest} GROUP BY ROLLUP (source, split)")
+def split_rollup(spark, sf_dir):
+    return manifest(spark, sf_dir).rollup("source", "split").agg(F.count("*").alias("n"))
+
+
+@stated("SELECT path, violence AS label, sample_id, source, group_id FROM {manifest} WHERE split = 'train'")
+def label_export(spark, sf_dir):
+    return manifest(spark, sf_dir).filter("split = 'train'").select("path", F.col("violence").alias("label"), "sample_id", "source", "group_id")
+
+
+@stated("""SELECT source, count(*) AS n, count(*) FILTER (WHERE split = 'train') AS train, count(*) FILTER (WHERE split = 'val') AS val,
+  count(*) FILTER (WHERE split = 'test') AS test, array_to_string(list_sort(list(DISTINCT lang)), ';') AS langs FROM {manifest} GROUP BY source""")
+def summary_by_source(spark, sf_dir):
+    return op.source_summary(manifest(spark, sf_dir))
+
+
+@stated("""SELECT branch, split, count(*) AS n FROM (
   SELECT 'violence' AS branch, split FROM {manifest} WHERE violence = 1 UNION ALL SELECT 'nsfw', split FROM {manifest} WHERE nsfw = 1
   UNION ALL SELECT 'multitask', split FROM {manifest}) GROUP BY branch, split""")
-both("positive_ratio", "SELECT split, round(avg(CAST(violence AS DOUBLE)), 9) AS ratio FROM {manifest} GROUP BY split")
-both("union_of_scans", """SELECT 'a' AS scan, doc_id, lang FROM {manifest} WHERE lang = 'en' UNION ALL SELECT 'b', doc_id, lang FROM {manifest} WHERE lang IN ('fr', 'de')""")
-both("unmatched_sources", """SELECT DISTINCT source FROM {manifest} WHERE source NOT IN (SELECT source FROM {manifest} WHERE violence = 1 AND source IS NOT NULL)""")
-both("split_lists_union", "SELECT lower(source) AS name FROM {manifest} WHERE split = 'val' UNION SELECT lower(source) FROM {manifest} WHERE split = 'test'")
+def summary_by_branch(spark, sf_dir):
+    return op.branches(manifest(spark, sf_dir), "violence", "nsfw")
+
+
+@stated("SELECT split, round(avg(CAST(violence AS DOUBLE)), 9) AS ratio FROM {manifest} GROUP BY split")
+def positive_ratio(spark, sf_dir):
+    return manifest(spark, sf_dir).groupBy("split").agg(F.round(F.avg(F.col("violence").cast("double")), 9).alias("ratio"))
+
+
+@stated("""SELECT 'a' AS scan, doc_id, lang FROM {manifest} WHERE lang = 'en' UNION ALL SELECT 'b', doc_id, lang FROM {manifest} WHERE lang IN ('fr', 'de')""")
+def union_of_scans(spark, sf_dir):
+    m = manifest(spark, sf_dir).select("doc_id", "lang")
+    return op.scans_united({"a": m.filter("lang = 'en'"), "b": m.filter("lang IN ('fr', 'de')")})
+
+
+@stated("""SELECT DISTINCT source FROM {manifest} WHERE source NOT IN (SELECT source FROM {manifest} WHERE violence = 1 AND source IS NOT NULL)""")
+def unmatched_sources(spark, sf_dir):
+    m = manifest(spark, sf_dir)
+    return op.unmatched(m, m.filter("violence = 1"), "source")
+
+
+@stated("SELECT lower(source) AS name FROM {manifest} WHERE split = 'val' UNION SELECT lower(source) FROM {manifest} WHERE split = 'test'")
+def split_lists_union(spark, sf_dir):
+    m = manifest(spark, sf_dir)
+    return m.filter("split IN ('val', 'test')").select(F.lower("source").alias("name")).distinct()
 
 
 @query("""SELECT doc_id, source, violence, nsfw, locked_split FROM (SELECT *, row_number() OVER (PARTITION BY source, violence, nsfw ORDER BY CASE WHEN locked_split = '' THEN 0 ELSE 1 END, draw, doc_id) AS rn FROM manifest)
@@ -106,10 +151,14 @@ def sampler_weights(spark, sf_dir):
     return op.inverse_sqrt_weights(manifest(spark, sf_dir), ["source", "violence", "nsfw"], 0.25, 4.0).select("doc_id", "source", F.round("weight", 6).alias("weight"))
 
 
-both("pos_weight", """SELECT round(CASE WHEN p = 0 THEN 1.0 ELSE least(20.0, greatest(1.0, CAST(n - p AS DOUBLE) / p)) END, 6) AS weight FROM (SELECT sum(violence) AS p, count(*) AS n FROM {manifest})""",
-     """SELECT round(CASE WHEN p = 0 THEN 1.0D ELSE least(20.0D, greatest(1.0D, try_divide(CAST(n - p AS DOUBLE), p))) END, 6) AS weight FROM (SELECT sum(violence) AS p, count(*) AS n FROM {manifest})""")
-both("imbalance_weights", """SELECT round(least(6.0, greatest(1.5, sqrt(r))), 6) AS soft, round(least(12.0, greatest(2.0, r)), 6) AS hard FROM (SELECT CAST(count(*) - sum(violence) AS DOUBLE) / greatest(1, sum(violence)) AS r FROM {manifest})""",
-     """SELECT round(least(6.0D, greatest(1.5D, sqrt(r))), 6) AS soft, round(least(12.0D, greatest(2.0D, r)), 6) AS hard FROM (SELECT CAST(count(*) - sum(violence) AS DOUBLE) / greatest(1, sum(violence)) AS r FROM {manifest})""")
+@stated("""SELECT round(CASE WHEN p = 0 THEN 1.0 ELSE least(20.0, greatest(1.0, CAST(n - p AS DOUBLE) / p)) END, 6) AS weight FROM (SELECT sum(violence) AS p, count(*) AS n FROM {manifest})""")
+def pos_weight(spark, sf_dir):
+    return op.positive_weight(manifest(spark, sf_dir), "violence").select(F.round("weight", 6).alias("weight"))
+
+
+@stated("""SELECT round(least(6.0, greatest(1.5, sqrt(r))), 6) AS soft, round(least(12.0, greatest(2.0, r)), 6) AS hard FROM (SELECT CAST(count(*) - sum(violence) AS DOUBLE) / greatest(1, sum(violence)) AS r FROM {manifest})""")
+def imbalance_weights(spark, sf_dir):
+    return op.imbalance_weights(manifest(spark, sf_dir), "violence").select(F.round("soft", 6).alias("soft"), F.round("hard", 6).alias("hard"))
 
 
 @query("SELECT split, count(*) AS n, (sum(('0x' || substr(md5(path), 1, 12))::BIGINT::HUGEINT) % 1152921504606846976)::BIGINT AS hash, round(count(*) / (sum(count(*)) OVER ()), 6) AS share FROM manifest GROUP BY split", "manifest")
@@ -124,11 +173,37 @@ def sample_per_source(spark, sf_dir):
     return docs.withColumn("rn", F.row_number().over(by)).filter("rn <= 5").select("source", "doc_id")
 
 
-both("replicate_rows", "SELECT doc_id, k AS copy FROM {labels}, (SELECT unnest(range(0, 5)) AS k) WHERE toxic = 1", "SELECT doc_id, k AS copy FROM {labels} LATERAL VIEW explode(sequence(0L, 4L)) AS k WHERE toxic = 1")
-both("stem_groups", "SELECT page_id, regexp_replace(regexp_extract(url, '([^/]*)$', 1), '_?[0-9]+$', '') AS stem_group, split_part(url, '/', 3) AS host FROM {pages}",
-     r"SELECT page_id, regexp_replace(regexp_extract(url, '([^/]*)$', 1), '_?[0-9]+$', '') AS stem_group, split_part(url, '/', 3) AS host FROM {pages}")
-both("path_norm", r"SELECT page_id, regexp_replace(replace(trim(url), chr(92), '/'), '/+', '/', 'g') AS path FROM {pages}", r"SELECT page_id, regexp_replace(replace(trim(url), chr(92), '/'), '/+', '/') AS path FROM {pages}")
-both("files_per_folder", "SELECT split_part(path, '/', 1) AS folder, count(*) AS n FROM {manifest} GROUP BY 1")
-both("label_from_path", "SELECT doc_id, CASE WHEN split_part(path, '/', 2) = 'en' THEN 'normal' WHEN split_part(path, '/', 2) IN ('fr', 'de') THEN 'fight' ELSE 'unknown' END AS label FROM {manifest}")
-both("corpus_minimums", """SELECT n >= 10000 AS enough, p >= 1000 AS enough_positives, CAST(n - p AS DOUBLE) / greatest(1, p) < 2 AS balanced FROM (SELECT count(*) AS n, sum(violence) AS p FROM {manifest})""")
-both("master_order", "SELECT source, split, path, CAST(row_number() OVER (PARTITION BY source ORDER BY split, path) AS BIGINT) AS place FROM {manifest}")
+@stated("SELECT doc_id, k AS copy FROM {labels}, (SELECT unnest(range(0, 5)) AS k) WHERE toxic = 1")
+def replicate_rows(spark, sf_dir):
+    return op.replicated(table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id"), 5)
+
+
+@stated("SELECT page_id, regexp_replace(regexp_extract(url, '([^/]*)$', 1), '_?[0-9]+$', '') AS stem_group, split_part(url, '/', 3) AS host FROM {pages}")
+def stem_groups(spark, sf_dir):
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", scans.stem_group(url).alias("stem_group"), F.split_part(url, F.lit("/"), F.lit(3)).alias("host"))
+
+
+@stated(r"SELECT page_id, regexp_replace(replace(trim(url), chr(92), '/'), '/+', '/', 'g') AS path FROM {pages}")
+def path_norm(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", scans.normal_path(F.col("url")).alias("path"))
+
+
+@stated("SELECT split_part(path, '/', 1) AS folder, count(*) AS n FROM {manifest} GROUP BY 1")
+def files_per_folder(spark, sf_dir):
+    return manifest(spark, sf_dir).groupBy(F.split_part("path", F.lit("/"), F.lit(1)).alias("folder")).agg(F.count("*").alias("n"))
+
+
+@stated("SELECT doc_id, CASE WHEN split_part(path, '/', 2) = 'en' THEN 'normal' WHEN split_part(path, '/', 2) IN ('fr', 'de') THEN 'fight' ELSE 'unknown' END AS label FROM {manifest}")
+def label_from_path(spark, sf_dir):
+    return manifest(spark, sf_dir).select("doc_id", scans.folder_label(F.col("path"), 2, {"en": "normal", "fr": "fight", "de": "fight"}).alias("label"))
+
+
+@stated("""SELECT n >= 10000 AS enough, p >= 1000 AS enough_positives, CAST(n - p AS DOUBLE) / greatest(1, p) < 2 AS balanced FROM (SELECT count(*) AS n, sum(violence) AS p FROM {manifest})""")
+def corpus_minimums(spark, sf_dir):
+    return op.corpus_minimums(manifest(spark, sf_dir), "violence")
+
+
+@stated("SELECT source, split, path, CAST(row_number() OVER (PARTITION BY source ORDER BY split, path) AS BIGINT) AS place FROM {manifest}")
+def master_order(spark, sf_dir):
+    return op.ranked(manifest(spark, sf_dir).select("source", "split", "path"), ["source"], "split", "path", name="place")

@@ -8,7 +8,7 @@ from ..operators.scoring import effective_rank, scored
 from ..session import table
 from ..sources import scans
 from ..sources.views import frames
-from .common import both, query
+from .common import query, stated
 
 
 @query("SELECT DISTINCT lower(name) AS name FROM (SELECT unnest(CASE WHEN len(f) > 0 THEN f ELSE [v] END) AS name FROM (SELECT trim(url) AS v, regexp_extract_all(trim(url), '[a-z]+[0-9]+') AS f FROM pages)) WHERE name <> ''")
@@ -52,5 +52,13 @@ def scenes(spark, sf_dir):
     return rows.select("video_id", "scene", start.alias("start_frame"), F.least(start + 7, F.col("n") - 1).alias("end_frame"), F.round(start / 25.0, 6).alias("start_time"))
 
 
-both("normalised_sources", "SELECT DISTINCT lower(replace(replace(source, '-', ''), '_', '')) AS name FROM {documents} WHERE source NOT LIKE '%non%'")
-both("box_scaling", """SELECT video_id, frame_idx, greatest(0, CAST(floor(score * 640) AS INT)) AS x, least(479, CAST(floor(score2 * 480) AS INT)) AS y FROM {frames}""")
+@stated("SELECT DISTINCT lower(replace(replace(source, '-', ''), '_', '')) AS name FROM {documents} WHERE source NOT LIKE '%non%'")
+def normalised_sources(spark, sf_dir):
+    found = table(spark, sf_dir, "documents").filter(~F.contains(F.col("source"), F.lit("non")))
+    return found.select(F.lower(F.regexp_replace("source", "[-_]", "")).alias("name")).distinct()
+
+
+@stated("""SELECT video_id, frame_idx, greatest(0, CAST(floor(score * 640) AS INT)) AS x, least(479, CAST(floor(score2 * 480) AS INT)) AS y FROM {frames}""")
+def box_scaling(spark, sf_dir):
+    x, y = F.floor(F.col("score") * 640).cast("int"), F.floor(F.col("score2") * 480).cast("int")
+    return frames(spark, sf_dir).select("video_id", "frame_idx", F.greatest(F.lit(0), x).alias("x"), F.least(F.lit(479), y).alias("y"))

@@ -4,33 +4,95 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import policy as pol
+from ..functions import sequences as seq
 from ..operators import calibration as cal
 from ..operators import metrics as op
 from ..session import table
 from ..sources.views import features, predictions
-from .common import both, query
+from .common import query, stated
 
 _POINTS = """pts AS (SELECT label, score, sum(y) AS pos, sum(1 - y) AS neg FROM predictions GROUP BY 1, 2),
 c AS (SELECT *, sum(pos) OVER (PARTITION BY label ORDER BY score DESC) AS tp, sum(neg) OVER (PARTITION BY label ORDER BY score DESC) AS fp, sum(pos) OVER (PARTITION BY label) AS n_pos, sum(neg) OVER (PARTITION BY label) AS n_neg FROM pts)"""
 _CONFUSION = """SELECT {k}, count(*) FILTER (WHERE y = 1 AND score >= 0.5) AS tp, count(*) FILTER (WHERE y = 0 AND score >= 0.5) AS fp,
   count(*) FILTER (WHERE y = 1 AND score < 0.5) AS fn, count(*) FILTER (WHERE y = 0 AND score < 0.5) AS tn FROM {{predictions}} GROUP BY {k}"""
 
-both("confusion", _CONFUSION.format(k="label"))
-both("bucket_metrics", _CONFUSION.format(k="bucket, label"))
-both("prf", "SELECT label, round(coalesce(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 0), 6) AS p, round(coalesce(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 0), 6) AS r, round(coalesce(2 * tp / nullif(CAST(2 * tp + fp + fn AS DOUBLE), 0), 0), 6) AS f1, round(coalesce(tn / nullif(CAST(tn + fp AS DOUBLE), 0), 0), 6) AS specificity FROM (" + _CONFUSION.format(k="label") + ")")
-both("macro_micro_f1", "SELECT round(avg(coalesce(2 * tp / nullif(CAST(2 * tp + fp + fn AS DOUBLE), 0), 0)), 6) AS macro, round(sum(2 * tp) / nullif(CAST(sum(2 * tp + fp + fn) AS DOUBLE), 0), 6) AS micro FROM (" + _CONFUSION.format(k="label") + ")")
-both("brier", "SELECT label, round(avg((score - y) * (score - y)), 6) AS brier FROM {predictions} GROUP BY label")
-both("flag_rates", "SELECT label, round(avg(CASE WHEN score >= 0.5 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS rate, round(avg(score), 6) AS m, round(stddev_pop(score), 6) AS sd FROM {predictions} GROUP BY label")
-both("scheme_strict", "SELECT label, count(*) AS n, count(*) FILTER (WHERE (score >= 0.9) = (y = 1)) AS agreed FROM {predictions} GROUP BY label")
-both("scheme_exclude_blur", "SELECT label, count(*) AS n, count(*) FILTER (WHERE (score >= 0.9) = (y = 1)) AS agreed FROM {predictions} WHERE score >= 0.9 OR score < 0.7 GROUP BY label")
-both("level_distribution", "SELECT l.level, coalesce(n, 0) AS n, round(100.0 * coalesce(n, 0) / sum(coalesce(n, 0)) OVER (), 4) AS percent FROM (SELECT 0 AS level UNION ALL SELECT 1 UNION ALL SELECT 2) l LEFT JOIN (SELECT CASE WHEN score >= 0.9 THEN 2 WHEN score >= 0.7 THEN 1 ELSE 0 END AS level, count(*) AS n FROM {predictions} GROUP BY 1) p ON p.level = l.level",
-     "SELECT l.level, coalesce(n, 0) AS n, round(100.0D * coalesce(n, 0) / sum(coalesce(n, 0)) OVER (), 4) AS percent FROM (SELECT 0 AS level UNION ALL SELECT 1 UNION ALL SELECT 2) l LEFT JOIN (SELECT CASE WHEN score >= 0.9 THEN 2 WHEN score >= 0.7 THEN 1 ELSE 0 END AS level, count(*) AS n FROM {predictions} GROUP BY 1) p ON p.level = l.level")
-both("runtime_stats", "SELECT event_type, round(avg(value), 4) AS m, round(quantile_cont(value, 0.5), 4) AS med, min(value) AS low, max(value) AS high, round(sum(value), 2) AS total FROM {events} GROUP BY event_type",
-     "SELECT event_type, round(avg(value), 4) AS m, round(percentile(value, 0.5), 4) AS med, min(value) AS low, max(value) AS high, round(sum(value), 2) AS total FROM {events} GROUP BY event_type")
-both("class_gap", "SELECT label, round(avg(CASE WHEN y = 1 THEN score END) - avg(CASE WHEN y = 0 THEN score END), 6) AS gap FROM {predictions} GROUP BY label")
-both("batch_mean_accuracy", "SELECT label, round(avg(a), 6) AS acc, CASE WHEN avg(a) < 0.52 THEN 'chance' WHEN avg(a) < 0.62 THEN 'weak' ELSE 'good' END AS tier FROM (SELECT label, bucket, avg(CASE WHEN (score >= 0.5) = (y = 1) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS a FROM {predictions} GROUP BY label, bucket) GROUP BY label")
-both("label_smoothing", "SELECT doc_id, label, round(y * CAST(0.9 AS DOUBLE) + CAST(0.05 AS DOUBLE), 6) AS smooth FROM {predictions}")
-both("class_percent", "SELECT label, y, round(CAST(100 AS DOUBLE) * count(*) / sum(count(*)) OVER (PARTITION BY label), 4) AS percent FROM {predictions} GROUP BY label, y")
+
+def _rounded(df, *columns, digits=6):
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+@stated(_CONFUSION.format(k="label"))
+def confusion(spark, sf_dir):
+    return op.confusion(predictions(spark, sf_dir), 0.5, "label")
+
+
+@stated(_CONFUSION.format(k="bucket, label"))
+def bucket_metrics(spark, sf_dir):
+    return op.confusion(predictions(spark, sf_dir), 0.5, "bucket", "label")
+
+
+@stated("SELECT label, round(coalesce(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 0), 6) AS p, round(coalesce(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 0), 6) AS r, round(coalesce(2 * tp / nullif(CAST(2 * tp + fp + fn AS DOUBLE), 0), 0), 6) AS f1, round(coalesce(tn / nullif(CAST(tn + fp AS DOUBLE), 0), 0), 6) AS specificity FROM (" + _CONFUSION.format(k="label") + ")")
+def prf(spark, sf_dir):
+    counts = op.confusion(predictions(spark, sf_dir), 0.5, "label")
+    return counts.select("label", *(F.round(c, 6).alias(n) for n, c in op.rates(counts).items()))
+
+
+@stated("SELECT round(avg(coalesce(2 * tp / nullif(CAST(2 * tp + fp + fn AS DOUBLE), 0), 0)), 6) AS macro, round(sum(2 * tp) / nullif(CAST(sum(2 * tp + fp + fn) AS DOUBLE), 0), 6) AS micro FROM (" + _CONFUSION.format(k="label") + ")")
+def macro_micro_f1(spark, sf_dir):
+    return _rounded(op.macro_micro_f1(op.confusion(predictions(spark, sf_dir), 0.5, "label")), "macro", "micro")
+
+
+@stated("SELECT label, round(avg((score - y) * (score - y)), 6) AS brier FROM {predictions} GROUP BY label")
+def brier(spark, sf_dir):
+    return _rounded(op.brier(predictions(spark, sf_dir), "label"), "brier")
+
+
+@stated("SELECT label, round(avg(CASE WHEN score >= 0.5 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS rate, round(avg(score), 6) AS m, round(stddev_pop(score), 6) AS sd FROM {predictions} GROUP BY label")
+def flag_rates(spark, sf_dir):
+    return _rounded(op.flag_rates(predictions(spark, sf_dir), 0.5, "label"), "rate", "m", "sd")
+
+
+@stated("SELECT label, count(*) AS n, count(*) FILTER (WHERE (score >= 0.9) = (y = 1)) AS agreed FROM {predictions} GROUP BY label")
+def scheme_strict(spark, sf_dir):
+    return op.agreement(predictions(spark, sf_dir), 0.9, "label")
+
+
+@stated("SELECT label, count(*) AS n, count(*) FILTER (WHERE (score >= 0.9) = (y = 1)) AS agreed FROM {predictions} WHERE score >= 0.9 OR score < 0.7 GROUP BY label")
+def scheme_exclude_blur(spark, sf_dir):
+    return op.agreement(op.without_blurred(predictions(spark, sf_dir), 0.9, 0.7), 0.9, "label")
+
+
+@stated("SELECT l.level, coalesce(n, 0) AS n, round(100.0 * coalesce(n, 0) / sum(coalesce(n, 0)) OVER (), 4) AS percent FROM (SELECT 0 AS level UNION ALL SELECT 1 UNION ALL SELECT 2) l LEFT JOIN (SELECT CASE WHEN score >= 0.9 THEN 2 WHEN score >= 0.7 THEN 1 ELSE 0 END AS level, count(*) AS n FROM {predictions} GROUP BY 1) p ON p.level = l.level")
+def level_distribution(spark, sf_dir):
+    levels = predictions(spark, sf_dir).select(pol.level(F.col("score"), pol.VIOLENCE_BAN, pol.VIOLENCE_BLUR).alias("level"))
+    return _rounded(op.level_distribution(levels), "percent", digits=4)
+
+
+@stated("SELECT event_type, round(avg(value), 4) AS m, round(quantile_cont(value, 0.5), 4) AS med, min(value) AS low, max(value) AS high, round(sum(value), 2) AS total FROM {events} GROUP BY event_type")
+def runtime_stats(spark, sf_dir):
+    found = op.value_stats(table(spark, sf_dir, "events"), "value", "event_type")
+    return found.select("event_type", F.round("m", 4).alias("m"), F.round("med", 4).alias("med"), "low", "high", F.round("total", 2).alias("total"))
+
+
+@stated("SELECT label, round(avg(CASE WHEN y = 1 THEN score END) - avg(CASE WHEN y = 0 THEN score END), 6) AS gap FROM {predictions} GROUP BY label")
+def class_gap(spark, sf_dir):
+    return _rounded(op.class_gap(predictions(spark, sf_dir), "label"), "gap")
+
+
+@stated("SELECT label, round(avg(a), 6) AS acc, CASE WHEN avg(a) < 0.52 THEN 'chance' WHEN avg(a) < 0.62 THEN 'weak' ELSE 'good' END AS tier FROM (SELECT label, bucket, avg(CASE WHEN (score >= 0.5) = (y = 1) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS a FROM {predictions} GROUP BY label, bucket) GROUP BY label")
+def batch_mean_accuracy(spark, sf_dir):
+    return _rounded(op.mean_accuracy(predictions(spark, sf_dir), 0.5, "bucket", "label"), "acc")
+
+
+@stated("SELECT doc_id, label, round(y * CAST(0.9 AS DOUBLE) + CAST(0.05 AS DOUBLE), 6) AS smooth FROM {predictions}")
+def label_smoothing(spark, sf_dir):
+    return predictions(spark, sf_dir).select("doc_id", "label", F.round(op.smoothed(F.col("y")), 6).alias("smooth"))
+
+
+@stated("SELECT label, y, round(CAST(100 AS DOUBLE) * count(*) / sum(count(*)) OVER (PARTITION BY label), 4) AS percent FROM {predictions} GROUP BY label, y")
+def class_percent(spark, sf_dir):
+    return _rounded(op.percent_of(predictions(spark, sf_dir), "y", "label"), "percent", digits=4)
 
 
 @query(f"WITH {_POINTS} SELECT label, round(sum(pos * (n_neg - fp + neg / 2.0)) / (max(n_pos) * max(n_neg)), 6) AS auc FROM c GROUP BY label", "predictions")
@@ -97,9 +159,28 @@ def pr_vertex(spark, sf_dir):
     return cal.best_vertex(predictions(spark, sf_dir), 2.0, "label")
 
 
-for _name, _q, _low, _high in (("quantile_threshold", 0.9, 0.05, 0.99), ("quantile_event_s", 0.98, 0.2, 0.999), ("quantile_event_n", 0.995, 0.2, 0.999)):
-    both(_name, f"SELECT label, round(least({_high}, greatest({_low}, quantile_cont(score, {_q}))), 6) AS t FROM {{predictions}} GROUP BY label",
-         f"SELECT label, round(least({_high}D, greatest({_low}D, percentile(score, {_q}))), 6) AS t FROM {{predictions}} GROUP BY label")
+def _quantile_sql(q, low, high):
+    return f"SELECT label, round(least({high}, greatest({low}, quantile_cont(score, {q}))), 6) AS t FROM {{predictions}} GROUP BY label"
+
+
+def _clipped_quantile(spark, sf_dir, q, low, high):
+    found = op.quantiles(predictions(spark, sf_dir), "score", {"t": q}, "label")
+    return found.select("label", F.round(F.least(F.lit(high), F.greatest(F.lit(low), F.col("t"))), 6).alias("t"))
+
+
+@stated(_quantile_sql(0.9, 0.05, 0.99))
+def quantile_threshold(spark, sf_dir):
+    return _clipped_quantile(spark, sf_dir, 0.9, 0.05, 0.99)
+
+
+@stated(_quantile_sql(0.98, 0.2, 0.999))
+def quantile_event_s(spark, sf_dir):
+    return _clipped_quantile(spark, sf_dir, 0.98, 0.2, 0.999)
+
+
+@stated(_quantile_sql(0.995, 0.2, 0.999))
+def quantile_event_n(spark, sf_dir):
+    return _clipped_quantile(spark, sf_dir, 0.995, 0.2, 0.999)
 
 
 _Z = "z AS (SELECT label, y, ln(greatest(1e-6, least(1 - 1e-6, score)) / (1 - greatest(1e-6, least(1 - 1e-6, score)))) AS z FROM predictions)"
@@ -136,8 +217,7 @@ def gate_checks(spark, sf_dir):
   SELECT label, avg(score) FILTER (WHERE bucket = 'bucket0') - avg(score) FILTER (WHERE bucket = 'bucket1') AS delta, avg(score) FILTER (WHERE y = 1) AS positives,
     avg(-(p * ln(p) + (1 - p) * ln(1 - p)) / ln(2)) AS entropy FROM (SELECT *, greatest(1e-6, least(1 - 1e-6, score)) AS p FROM predictions) GROUP BY label)""", "predictions")
 def shortcut_probe(spark, sf_dir):
-    p = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("score")))
-    entropy = -(p * F.ln(p) + (1 - p) * F.ln(1 - p)) / F.ln(F.lit(2.0))
+    entropy = seq.binary_entropy(F.col("score"))
     mean = lambda test: F.avg(F.when(test, F.col("score")))
     found = predictions(spark, sf_dir).groupBy("label").agg((mean(F.col("bucket") == "bucket0") - mean(F.col("bucket") == "bucket1")).alias("d"), mean(F.col("y") == 1).alias("m"), F.avg(entropy).alias("e"))
     fails, tier = cal.shortcut_tier(F.col("d"), F.col("m"), F.col("e"))

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import policy as pol
 from ..operators.policy import applied
-from ..sources.views import frames, media_items
-from .common import both, query
+from ..sources.views import frames, media_items, predictions
+from .common import query, stated
 
 _FLAGS = {"anime": 7, "dark": 3, "warm": 4, "composite": 9, "sport": 11}
 _FLAG_SQL = ", ".join(f"frame_idx % {m} = 0 AS {n}" for n, m in _FLAGS.items())
@@ -72,14 +72,44 @@ def ensemble(spark, sf_dir):
     return frames(spark, sf_dir).select("video_id", "frame_idx", F.round(p, 6).alias("p"))
 
 
-both("policy_rollup", """SELECT video_id, category, round(max(p), 6) AS p, CASE WHEN max(p) >= 0.9 THEN 'ban' WHEN max(p) >= 0.7 THEN 'blur' ELSE 'safe' END AS action FROM (
+@stated("""SELECT video_id, category, round(max(p), 6) AS p, CASE WHEN max(p) >= 0.9 THEN 'ban' WHEN max(p) >= 0.7 THEN 'blur' ELSE 'safe' END AS action FROM (
   SELECT video_id, 'violence' AS category, score AS p FROM {frames} UNION ALL SELECT video_id, 'nsfw', score2 FROM {frames}) GROUP BY video_id, category""")
-both("label_flags", "SELECT doc_id, label, score >= CASE label WHEN 'violence' THEN 0.5 ELSE 0.6 END AS flag FROM {predictions}")
-both("context_suppression", "SELECT video_id, frame_idx, round(score * CASE WHEN score2 > 0.55 THEN greatest(0.15, 1 - score2) ELSE 1.0 END, 6) AS p FROM {frames}")
-both("two_way_softmax", "SELECT video_id, frame_idx, round(1 / (1 + exp((score2 - score) * 20)), 6) AS p FROM {frames}")
-both("verdict_levels", "SELECT verdict, CASE WHEN verdict LIKE '%BAN%' THEN 2 WHEN verdict LIKE '%BLUR%' THEN 1 ELSE 0 END AS level, n FROM (SELECT CASE level WHEN 2 THEN 'x (BAN)' WHEN 1 THEN 'x (BLUR)' ELSE 'SAFE' END AS verdict, count(*) AS n FROM {media_items} GROUP BY 1)")
-both("reason_prefix", "SELECT conv_id, msg_id, regexp_extract(concat('**Reason:** ', reason), 'Reason:[* ]*(.*)$', 1) AS reason FROM {media_items}")
-both("category_priority", """SELECT m.conv_id, max(coalesce(t.priority, 0)) AS priority FROM {media_items} m LEFT JOIN (SELECT 0 AS level, 1 AS priority UNION ALL SELECT 1, 5) t ON t.level = m.level GROUP BY m.conv_id""")
+def policy_rollup(spark, sf_dir):
+    found = pol.highest_by_category(frames(spark, sf_dir), "video_id", {"violence": "score", "nsfw": "score2"}, pol.VIOLENCE_BAN, pol.VIOLENCE_BLUR)
+    return found.withColumn("p", F.round("p", 6))
+
+
+@stated("SELECT doc_id, label, score >= CASE label WHEN 'violence' THEN 0.5 ELSE 0.6 END AS flag FROM {predictions}")
+def label_flags(spark, sf_dir):
+    return predictions(spark, sf_dir).select("doc_id", "label", pol.flags(F.col("label"), F.col("score"), {"violence": 0.5}, 0.6).alias("flag"))
+
+
+@stated("SELECT video_id, frame_idx, round(score * CASE WHEN score2 > 0.55 THEN greatest(0.15, 1 - score2) ELSE 1.0 END, 6) AS p FROM {frames}")
+def context_suppression(spark, sf_dir):
+    p = F.col("score") * pol.suppress_factor(F.col("score2"))
+    return frames(spark, sf_dir).select("video_id", "frame_idx", F.round(p, 6).alias("p"))
+
+
+@stated("SELECT video_id, frame_idx, round(1 / (1 + exp((score2 - score) * 20)), 6) AS p FROM {frames}")
+def two_way_softmax(spark, sf_dir):
+    return frames(spark, sf_dir).select("video_id", "frame_idx", F.round(pol.of_two(F.col("score"), F.col("score2"), 20), 6).alias("p"))
+
+
+@stated("SELECT verdict, CASE WHEN verdict LIKE '%BAN%' THEN 2 WHEN verdict LIKE '%BLUR%' THEN 1 ELSE 0 END AS level, n FROM (SELECT CASE level WHEN 2 THEN 'x (BAN)' WHEN 1 THEN 'x (BLUR)' ELSE 'SAFE' END AS verdict, count(*) AS n FROM {media_items} GROUP BY 1)")
+def verdict_levels(spark, sf_dir):
+    verdict = F.when(F.col("level") == 2, "x (BAN)").when(F.col("level") == 1, "x (BLUR)").otherwise("SAFE")
+    counts = media_items(spark, sf_dir).groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"))
+    return counts.select("verdict", pol.verdict_level(F.col("verdict")).alias("level"), "n")
+
+
+@stated("SELECT conv_id, msg_id, regexp_extract(concat('**Reason:** ', reason), 'Reason:[* ]*(.*)$', 1) AS reason FROM {media_items}")
+def reason_prefix(spark, sf_dir):
+    return media_items(spark, sf_dir).select("conv_id", "msg_id", pol.stated_reason(F.concat(F.lit("**Reason:** "), "reason")).alias("reason"))
+
+
+@stated("""SELECT m.conv_id, max(coalesce(t.priority, 0)) AS priority FROM {media_items} m LEFT JOIN (SELECT 0 AS level, 1 AS priority UNION ALL SELECT 1, 5) t ON t.level = m.level GROUP BY m.conv_id""")
+def category_priority(spark, sf_dir):
+    return pol.priorities(media_items(spark, sf_dir), "conv_id", {0: 1, 1: 5})
 
 
 @query("""SELECT conv_id, CASE WHEN max(level) = 2 THEN 'banned' WHEN max(level) = 1 THEN 'sensitive' ELSE 'active' END AS status,

@@ -2,30 +2,52 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import curation as cur
-from ..sources.views import manifest
-from .common import both, query
+from ..operators import metrics
+from ..operators import reports as op
+from ..session import table
+from ..sources.views import features, frames, manifest, predictions
+from .common import query, stated
 
 _CURVE = """c AS (SELECT label, score, sum(pos) OVER (PARTITION BY label ORDER BY score DESC) AS tp, sum(neg) OVER (PARTITION BY label ORDER BY score DESC) AS fp, sum(pos) OVER (PARTITION BY label) AS n_pos
   FROM (SELECT label, score, sum(y) AS pos, sum(1 - y) AS neg FROM {predictions} GROUP BY 1, 2))"""
 
-both("pr_auc_trapezoid", f"""WITH {_CURVE}, p AS (SELECT label, score, CAST(tp AS DOUBLE) / n_pos AS r, CAST(tp AS DOUBLE) / (tp + fp) AS pr FROM c),
+@stated(f"""WITH {_CURVE}, p AS (SELECT label, score, CAST(tp AS DOUBLE) / n_pos AS r, CAST(tp AS DOUBLE) / (tp + fp) AS pr FROM c),
 l AS (SELECT label, r, pr, coalesce(lag(r) OVER (PARTITION BY label ORDER BY score DESC), 0) AS r0, coalesce(lag(pr) OVER (PARTITION BY label ORDER BY score DESC), 1) AS p0 FROM p)
 SELECT label, round(sum((r - r0) * (pr + p0) / 2), 6) AS area FROM l GROUP BY label""")
+def pr_auc_trapezoid(spark, sf_dir):
+    return metrics.area_by_trapezoids(predictions(spark, sf_dir), "label").withColumn("area", F.round("area", 6))
+
 
-both("knn_baselines", """SELECT 'majority' AS baseline, round(max(CAST(n AS DOUBLE)) / sum(n), 6) AS share FROM (SELECT label, count(*) AS n FROM {features} GROUP BY label)
+@stated("""SELECT 'majority' AS baseline, round(max(CAST(n AS DOUBLE)) / sum(n), 6) AS share FROM (SELECT label, count(*) AS n FROM {features} GROUP BY label)
 UNION ALL SELECT 'shuffled', round(avg(CASE WHEN a.label = b.label THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) FROM (SELECT label, row_number() OVER (PARTITION BY split ORDER BY vec_id) AS k, split FROM {features}) a
-  JOIN (SELECT label, row_number() OVER (PARTITION BY split ORDER BY md5(CAST(vec_id AS VARCHAR(20)))) AS k, split FROM {features}) b ON a.k = b.k AND a.split = b.split""",
-     """SELECT 'majority' AS baseline, round(max(CAST(n AS DOUBLE)) / sum(n), 6) AS share FROM (SELECT label, count(*) AS n FROM {features} GROUP BY label)
-UNION ALL SELECT 'shuffled', round(avg(CASE WHEN a.label = b.label THEN 1.0D ELSE 0.0D END), 6) FROM (SELECT label, row_number() OVER (PARTITION BY split ORDER BY vec_id) AS k, split FROM {features}) a
-  JOIN (SELECT label, row_number() OVER (PARTITION BY split ORDER BY md5(CAST(vec_id AS STRING))) AS k, split FROM {features}) b ON a.k = b.k AND a.split = b.split""")
+  JOIN (SELECT label, row_number() OVER (PARTITION BY split ORDER BY md5(CAST(vec_id AS VARCHAR(20)))) AS k, split FROM {features}) b ON a.k = b.k AND a.split = b.split""")
+def knn_baselines(spark, sf_dir):
+    f = features(spark, sf_dir)
+    found = {"majority": op.majority_share(f, "label"), "shuffled": op.shuffled_share(f, "label", "vec_id", "split")}
+    parts = [rows.select(F.lit(name).alias("baseline"), F.round("share", 6).alias("share")) for name, rows in found.items()]
+    return parts[0].unionByName(parts[1])
+
+
+@stated("""SELECT vec_id, label FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn, k FROM {features} CROSS JOIN (SELECT greatest(1, CAST(floor(100.0 / count(DISTINCT label)) AS INT)) AS k FROM {features})) WHERE rn <= k""")
+def class_balanced_sample(spark, sf_dir):
+    return cur.balanced_sample(features(spark, sf_dir).select("vec_id", "label"), "label", 100, "vec_id")
 
-both("class_balanced_sample", """SELECT vec_id, label FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn, k FROM {features} CROSS JOIN (SELECT greatest(1, CAST(floor(100.0 / count(DISTINCT label)) AS INT)) AS k FROM {features})) WHERE rn <= k""")
 
 _LOG = "(SELECT CAST(ts AS DATE) AS epoch, round(avg(value), 6) AS loss FROM {events} GROUP BY 1)"
-both("best_so_far", f"SELECT user_id, event_id, round(max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 6) AS best, value >= max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS improved FROM {{events}}")
-both("training_diagnosis", f"""SELECT arg_min(loss, epoch) AS first_loss, arg_max(loss, epoch) AS last_loss, count(*) AS epochs, arg_max(loss, epoch) > arg_min(loss, epoch) AS diverged FROM {_LOG}""",
-     f"""SELECT min_by(loss, epoch) AS first_loss, max_by(loss, epoch) AS last_loss, count(*) AS epochs, max_by(loss, epoch) > min_by(loss, epoch) AS diverged FROM {_LOG}""")
+@stated(f"SELECT user_id, event_id, round(max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 6) AS best, value >= max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS improved FROM {{events}}")
+def best_so_far(spark, sf_dir):
+    found = op.best_so_far(table(spark, sf_dir, "events"), "user_id", "value", F.to_date("ts"), "ts", "event_id")
+    return found.select("user_id", "event_id", F.round("best", 6).alias("best"), "improved")
+
+
+@stated(f"""SELECT arg_min(loss, epoch) AS first_loss, arg_max(loss, epoch) AS last_loss, count(*) AS epochs, arg_max(loss, epoch) > arg_min(loss, epoch) AS diverged FROM {_LOG}""")
+def training_diagnosis(spark, sf_dir):
+    log = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("epoch")).agg(F.round(F.avg("value"), 6).alias("loss"))
+    return op.loss_trend(log, "epoch", "loss")
+
 
 _ROLES = [("en", 1, 3.0, 50), ("fr", 0, 1.0, 20), ("de", 0, 0.5, 10)]
 
@@ -45,14 +67,31 @@ def ranked_cut_split(spark, sf_dir):
     return cur.cut_split(manifest(spark, sf_dir), ["violence", "nsfw"], "draw", "doc_id").select("doc_id", "split")
 
 
-both("group_negatives", """SELECT source, group_id, count(*) AS n FROM {manifest} WHERE violence = 0 AND nsfw = 0 GROUP BY source, group_id HAVING count(*) > 1""")
+@stated("""SELECT source, group_id, count(*) AS n FROM {manifest} WHERE violence = 0 AND nsfw = 0 GROUP BY source, group_id HAVING count(*) > 1""")
+def group_negatives(spark, sf_dir):
+    return op.negative_groups(manifest(spark, sf_dir), ["violence", "nsfw"], "source", "group_id")
+
+
+@stated("""SELECT video_id, round(sum(a * ln(a / b)), 6) AS kl FROM (SELECT video_id, (score + 0.01) / sum(score + 0.01) OVER (PARTITION BY video_id) AS a, (score2 + 0.01) / sum(score2 + 0.01) OVER (PARTITION BY video_id) AS b FROM {frames}) GROUP BY video_id""")
+def score_divergence(spark, sf_dir):
+    return op.divergence(frames(spark, sf_dir), "video_id", "score", "score2").withColumn("kl", F.round("kl", 6))
+
+
+@stated("""SELECT bucket, label, round(avg(score), 6) AS m, CASE WHEN avg(score) < 0.35 THEN 'low' WHEN avg(score) > 0.55 THEN 'high' ELSE 'middle' END AS gate FROM {predictions} GROUP BY bucket, label""")
+def expert_means(spark, sf_dir):
+    return op.expert_means(predictions(spark, sf_dir), "bucket", "label").withColumn("m", F.round("m", 6))
+
+
+@stated("""SELECT count(*) FILTER (WHERE score >= 0.7) AS flagged, count(*) FILTER (WHERE score < 0.7) AS safe, count(*) FILTER (WHERE score IS NULL) AS errors FROM {frames}""")
+def batch_inference_summary(spark, sf_dir):
+    return op.inference_summary(frames(spark, sf_dir), 0.7)
 
-both("score_divergence", """SELECT video_id, round(sum(a * ln(a / b)), 6) AS kl FROM (SELECT video_id, (score + 0.01) / sum(score + 0.01) OVER (PARTITION BY video_id) AS a, (score2 + 0.01) / sum(score2 + 0.01) OVER (PARTITION BY video_id) AS b FROM {frames}) GROUP BY video_id""")
 
-both("expert_means", """SELECT bucket, label, round(avg(score), 6) AS m, CASE WHEN avg(score) < 0.35 THEN 'low' WHEN avg(score) > 0.55 THEN 'high' ELSE 'middle' END AS gate FROM {predictions} GROUP BY bucket, label""")
+@stated("""SELECT lang, round(sum(length(text)) / 1048576.0, 1) AS size_mb, count(*) > 0 AS found FROM {documents} GROUP BY lang""")
+def artifact_sizes(spark, sf_dir):
+    return op.sizes(table(spark, sf_dir, "documents"), "lang", "text").withColumn("size_mb", F.round("size_mb", 1))
 
-both("batch_inference_summary", """SELECT count(*) FILTER (WHERE score >= 0.7) AS flagged, count(*) FILTER (WHERE score < 0.7) AS safe, count(*) FILTER (WHERE score IS NULL) AS errors FROM {frames}""")
 
-both("artifact_sizes", """SELECT lang, round(sum(length(text)) / 1048576.0, 1) AS size_mb, count(*) > 0 AS found FROM {documents} GROUP BY lang""",
-     """SELECT lang, round(sum(length(text)) / 1048576.0D, 1) AS size_mb, count(*) > 0 AS found FROM {documents} GROUP BY lang""")
-both("straddling_groups", """SELECT group_id, count(DISTINCT split) AS splits FROM {manifest} GROUP BY group_id HAVING count(DISTINCT split) > 1""")
+@stated("""SELECT group_id, count(DISTINCT split) AS splits FROM {manifest} GROUP BY group_id HAVING count(DISTINCT split) > 1""")
+def straddling_groups(spark, sf_dir):
+    return op.straddling(manifest(spark, sf_dir), "group_id")

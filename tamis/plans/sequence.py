@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import policy as pol
 from ..functions import sequences as seq
+from ..operators import curation as cur
 from ..operators import scoring as op
 from ..session import table
 from ..sources.views import features, frames, series
-from .common import both, query
+from .common import query, stated
 
 _R16 = "list_transform(range(0, 16), lambda i: x[1 + floor(i * (len(x) - 1) / 15.0::DOUBLE)::INT] + (x[1 + least(floor(i * (len(x) - 1) / 15.0::DOUBLE)::INT + 1, len(x) - 1)] - x[1 + floor(i * (len(x) - 1) / 15.0::DOUBLE)::INT]) * (i * (len(x) - 1) / 15.0::DOUBLE - floor(i * (len(x) - 1) / 15.0::DOUBLE)))"
 _TOPK = "list_sort({x}, 'DESC')[1:least(len({x}), greatest(3, ceil(len({x}) * 0.2::DOUBLE)))::INT]"
@@ -129,8 +130,15 @@ def pseudo_labels(spark, sf_dir):
     return ranked.select("video_id", "frame_idx", "score", F.when(F.col("up") <= F.col("k2"), 0).when(F.col("down") <= F.col("k1"), 1).otherwise(-1).alias("pseudo"))
 
 
-both("certain_frames", """SELECT video_id, frame_idx, round(h, 6) AS entropy FROM (SELECT video_id, frame_idx, -(p * ln(p) + (1 - p) * ln(1 - p)) / ln(2) AS h FROM (SELECT video_id, frame_idx, least(1 - 1e-6, greatest(1e-6, score)) AS p FROM {frames})) WHERE h <= 0.5""")
-both("topk_frames", "SELECT video_id, frame_idx, score FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, frame_idx DESC) AS rn FROM {frames}) WHERE rn <= 6")
+@stated("""SELECT video_id, frame_idx, round(h, 6) AS entropy FROM (SELECT video_id, frame_idx, -(p * ln(p) + (1 - p) * ln(1 - p)) / ln(2) AS h FROM (SELECT video_id, frame_idx, least(1 - 1e-6, greatest(1e-6, score)) AS p FROM {frames})) WHERE h <= 0.5""")
+def certain_frames(spark, sf_dir):
+    found = frames(spark, sf_dir).select("video_id", "frame_idx", seq.binary_entropy(F.col("score")).alias("h")).filter("h <= 0.5")
+    return found.select("video_id", "frame_idx", F.round("h", 6).alias("entropy"))
+
+
+@stated("SELECT video_id, frame_idx, score FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, frame_idx DESC) AS rn FROM {frames}) WHERE rn <= 6")
+def topk_frames(spark, sf_dir):
+    return cur.first_of_each(frames(spark, sf_dir), "video_id", 6, F.desc("score"), F.desc("frame_idx")).select("video_id", "frame_idx", "score")
 
 
 @query("""WITH p AS (SELECT video_id, x, list_max(x) AS peak, list_position(x, list_max(x)) AS k FROM series),
@@ -143,10 +151,29 @@ def peak_evidence(spark, sf_dir):
     return series(spark, sf_dir).select("video_id", pattern.alias("pattern"), F.round(evidence, 6).alias("evidence"))
 
 
-both("frame_summary", "SELECT video_id, count(*) AS n, round(avg(score), 6) AS m, max(score2) AS top, round(min(score), 6) AS low FROM {frames} GROUP BY video_id")
-both("reversed_frames", "SELECT video_id, frame_idx, n - 1 - frame_idx AS back_idx FROM (SELECT *, count(*) OVER (PARTITION BY video_id) AS n FROM {frames})")
-both("clip_logits", "SELECT video_id, round(1 / (1 + exp(-avg(20 * (score - score2)))), 6) AS p FROM {frames} GROUP BY video_id")
-both("proxy_gate", "SELECT video_id, m AS risk, m >= 0.2 AS passed FROM (SELECT video_id, CAST(sum(CAST(round(score * 1000000) AS BIGINT)) AS DOUBLE) / CAST(1000000 * count(*) AS DOUBLE) AS m FROM {frames} WHERE frame_idx < 8 GROUP BY video_id)")
+@stated("SELECT video_id, count(*) AS n, round(avg(score), 6) AS m, max(score2) AS top, round(min(score), 6) AS low FROM {frames} GROUP BY video_id")
+def frame_summary(spark, sf_dir):
+    found = frames(spark, sf_dir).groupBy("video_id")
+    return found.agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("m"), F.max("score2").alias("top"), F.round(F.min("score"), 6).alias("low"))
+
+
+@stated("SELECT video_id, frame_idx, n - 1 - frame_idx AS back_idx FROM (SELECT *, count(*) OVER (PARTITION BY video_id) AS n FROM {frames})")
+def reversed_frames(spark, sf_dir):
+    n = F.count("*").over(Window.partitionBy("video_id"))
+    return frames(spark, sf_dir).select("video_id", "frame_idx", (n - 1 - F.col("frame_idx")).alias("back_idx"))
+
+
+@stated("SELECT video_id, round(1 / (1 + exp(-avg(20 * (score - score2)))), 6) AS p FROM {frames} GROUP BY video_id")
+def clip_logits(spark, sf_dir):
+    logit = F.avg(20 * (F.col("score") - F.col("score2")))
+    return frames(spark, sf_dir).groupBy("video_id").agg(F.round(1 / (1 + F.exp(-logit)), 6).alias("p"))
+
+
+@stated("SELECT video_id, m AS risk, m >= 0.2 AS passed FROM (SELECT video_id, CAST(sum(CAST(round(score * 1000000) AS BIGINT)) AS DOUBLE) / CAST(1000000 * count(*) AS DOUBLE) AS m FROM {frames} WHERE frame_idx < 8 GROUP BY video_id)")
+def proxy_gate(spark, sf_dir):
+    whole = F.sum(F.round(F.col("score") * 1_000_000).cast("long")).cast("double")
+    found = frames(spark, sf_dir).filter("frame_idx < 8").groupBy("video_id").agg((whole / (1_000_000 * F.count("*"))).alias("risk"))
+    return found.select("video_id", "risk", (F.col("risk") >= 0.2).alias("passed"))
 
 
 @query("SELECT video_id, round(list_max(list_transform(x, lambda v: exp((v - list_max(x)) / 0.2::DOUBLE) / list_sum(list_transform(x, lambda z: exp((z - list_max(x)) / 0.2::DOUBLE))))), 6) AS highest FROM series", "series")

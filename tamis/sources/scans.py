@@ -185,3 +185,19 @@ def label_or_inferred(rows: DataFrame, labels: DataFrame, key: str, inferred: Co
     """Adds `label`: from the label map (key, label) if it has one, else inferred."""
     known = labels.groupBy(key).agg(F.min("label").alias("_label"))
     return rows.join(known, key, "left").withColumn("label", F.coalesce("_label", inferred)).drop("_label")
+
+
+def stem_group(path: Column) -> Column:
+    """The file's name without the number at its end."""
+    return F.regexp_replace(F.regexp_extract(path, "([^/]*)$", 1), "_?[0-9]+$", "")
+
+
+def normal_path(path: Column) -> Column:
+    """Trimmed, with single slashes only."""
+    return F.regexp_replace(F.translate(F.trim(path), "\\", "/"), "/+", "/")
+
+
+def folder_label(path: Column, level: int, labels: dict[str, str], default: str = "unknown") -> Column:
+    """The label of the path's component at a level, from 1."""
+    known = F.create_map(*(F.lit(x) for pair in labels.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, F.split_part(path, F.lit("/"), F.lit(level))), F.lit(default))
