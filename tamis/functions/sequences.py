@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def holding(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, not once per element of what `body` goes over."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
 
@@ -33,8 +40,8 @@ def resample(x: Column, m: int) -> Column:
 
 
 def min_max(x: Column, least_range: float = 1e-8) -> Column:
-    low, width = F.array_min(x), F.array_max(x) - F.array_min(x)
-    return F.transform(x, lambda v: F.when(width < least_range, 0.0).otherwise((v - low) / width))
+    ends = F.struct(F.array_min(x).alias("low"), (F.array_max(x) - F.array_min(x)).alias("width"))
+    return holding(ends, lambda e: F.transform(x, lambda v: F.when(e["width"] < least_range, 0.0).otherwise((v - e["low"]) / e["width"])))
 
 
 def pad(x: Column, length: int) -> Column:
@@ -61,7 +68,8 @@ def noisy_or(x: Column, share: float = 0.2, least: int = 3) -> Column:
 def gated_noisy_or(x: Column, attention: Column, share: float = 0.2, least: int = 3) -> Column:
     """As noisy_or, with each score weighted by its attention relative to the highest."""
     highest = F.greatest(F.array_max(attention), F.lit(1e-8))
-    return noisy_or(F.zip_with(x, attention, lambda p, a: p * (0.5 + 0.5 * a / highest)), share, least)
+    gated = holding(highest, lambda h: F.zip_with(x, attention, lambda p, a: p * (0.5 + 0.5 * a / h)))
+    return holding(gated, lambda g: noisy_or(g, share, least))
 
 
 def weighted_mean(x: Column, weights: Column) -> Column:
@@ -83,13 +91,12 @@ def cosine(a: Column, b: Column) -> Column:
 
 def rms_unit(x: Column) -> Column:
     root = F.sqrt(total(F.transform(x, lambda v: v * v)) / F.size(x) + 1e-8)
-    return F.transform(x, lambda v: v / root)
+    return holding(root, lambda r: F.transform(x, lambda v: v / r))
 
 
 def softmax(x: Column, temperature: float = 1.0) -> Column:
-    highest = F.array_max(x)
-    e = F.transform(x, lambda v: F.exp((v - highest) / temperature))
-    return F.transform(e, lambda v: v / total(e))
+    e = holding(F.array_max(x), lambda h: F.transform(x, lambda v: F.exp((v - h) / temperature)))
+    return holding(e, lambda e: holding(total(e), lambda t: F.transform(e, lambda v: v / t)))
 
 
 def entropy_ratio(attention: Column) -> Column:

@@ -51,9 +51,7 @@ def group_split(rows: DataFrame, test: float, val: float, seed: int) -> DataFram
     """
     signature = F.min_by(F.col("violence") * 2 + F.col("nsfw"), "path")
     groups = rows.filter("locked_split = ''").groupBy("source", "group_id").agg(signature.alias("sig")).withColumn("draw", sample_order(seed, F.col("group_id")))
-    stratum = Window.partitionBy("source", "sig")
-    n, rank = F.count("*").over(stratum), F.row_number().over(stratum.orderBy("draw", "group_id"))
-    groups = groups.withColumns({"n": n, "rank": rank})
+    groups = ranked(groups, ["source", "sig"], "draw", "group_id", name="rank", size="n")
     n_test = F.ceil(F.col("n") * F.lit(test))
     n_val = F.ceil((F.col("n") - n_test) * F.lit(val / (1 - test)))
     split = F.when(F.col("n") < 2, "train").when(F.col("rank") <= n_test, "test").when(F.col("rank") <= n_test + n_val, "val").otherwise("train")

@@ -178,5 +178,4 @@ def proxy_gate(spark, sf_dir):
 
 @query("SELECT video_id, round(list_max(list_transform(x, lambda v: exp((v - list_max(x)) / 0.2::DOUBLE) / list_sum(list_transform(x, lambda z: exp((z - list_max(x)) / 0.2::DOUBLE))))), 6) AS highest FROM series", "series")
 def softmax_pool(spark, sf_dir):
-    m = series(spark, sf_dir).select("video_id", F.transform("x", lambda v: F.exp((v - F.array_max("x")) / 0.2)).alias("e"))
-    return m.select("video_id", F.round(F.array_max("e") / seq.total(_x("e")), 6).alias("highest"))
+    return series(spark, sf_dir).select("video_id", F.round(F.array_max(seq.softmax(_x(), 0.2)), 6).alias("highest"))

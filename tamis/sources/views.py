@@ -116,10 +116,6 @@ VIEWS = {
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return VIEWS[name][0](spark, sf_dir) if name in VIEWS else table(spark, sf_dir, name)
-
-
 def with_views(sql: str, *names: str) -> str:
     """The SQL with the definitions of the views it reads."""
     body = sql.strip()

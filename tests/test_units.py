@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tamis.functions import hashing, policy, sequences
 from tamis import sinks
-from tamis.operators import audit, calibration, curation, moderation, scoring
+from tamis.operators import audit, calibration, curation, moderation, reports, scoring
 from tamis.operators import metrics as m
 from tamis.registry import QUERIES
 from tamis.session import first_column, require_columns
@@ -325,3 +325,88 @@ def test_ladders_paths_and_runs(spark):
     assert one(spark, sequences.resample_columns(m, 2).alias("r")).r == [[0.0, 10.0], [4.0, 30.0]] and one(spark, sequences.fitted(m, 2, 3).alias("r")).r == [[0.0, 10.0, 0.0], [2.0, 20.0, 0.0]]
     assert one(spark, sequences.aligned([(m, 2), (F.array(array(7)), 1)]).alias("r")).r == [[0.0, 10.0, 7.0], [2.0, 20.0, 0.0], [4.0, 30.0, 0.0]]
     assert one(spark, sequences.clean(array(float("nan"), float("inf"), float("-inf"), 2)).alias("c")).c == [0.0, 1e6, -1e6, 2.0]
+
+
+def test_quantiles_are_numpys(spark):
+    rng = np.random.default_rng(3)
+    groups = {"ties": [float(v) for v in rng.integers(0, 7, 500)], "wide": [float(v) for v in rng.lognormal(0, 3, 700)], "one": [2.5], "same": [1.0] * 9, None: [float(v) for v in rng.normal(size=51)]}
+    rows = [(g, v) for g, values in groups.items() for v in values] + [("one", None), ("nothing", None)]
+    cuts = {"low": 0.0, "tenth": 0.1, "med": 0.5, "p90": 0.9, "high": 1.0}
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r.g: r for r in m.quantiles(df, "v", cuts, "g").collect()}
+    assert set(got) == set(groups)
+    for g, values in groups.items():
+        assert np.allclose([got[g][c] for c in cuts], np.quantile(values, list(cuts.values())))
+    every = [v for _, v in rows if v is not None]
+    assert np.isclose(m.quantiles(df, "v", {"med": 0.5}).first().med, np.median(every))
+    assert m.quantiles(df.limit(0), "v", cuts, "g").collect() == []
+
+
+def test_best_so_far_is_the_plain_loop(spark):
+    rng = np.random.default_rng(4)
+    rows = [(["hot", "b", None][int(rng.choice(3, p=[0.8, 0.1, 0.1]))], int(t) // 10, int(t), i, float(v)) for i, (t, v) in enumerate(zip(rng.integers(0, 60, 400), rng.integers(0, 50, 400)))]
+    df = spark.createDataFrame(rows, "g string, day int, t int, id int, v double").repartition(4)
+    got = {r.id: (r.best, r.improved) for r in reports.best_so_far(df, "g", "v", F.col("day"), "t", "id").collect()}
+    best, want = {}, {}
+    for g, _, t, i, v in sorted(rows, key=lambda r: (r[2], r[3])):
+        best[g] = max(best.get(g, v), v)
+        want[i] = (best[g], v >= best[g])
+    assert got == want
+
+
+def test_ranks_by_buckets_of_numbers(spark):
+    rng = np.random.default_rng(5)
+    ids = [int(i) for i in rng.choice(10**6, 300, replace=False)]
+    df = spark.createDataFrame([("ab"[i % 2], i) for i in ids], "g string, id long").repartition(4)
+    got = {r.id: r.rank for r in curation.ranked(df, ["g"], "id", bucket=F.floor(F.col("id") / 10000)).collect()}
+    assert got == {i: sorted(x for x in ids if x % 2 == i % 2).index(i) + 1 for i in ids}
+
+
+def test_leaks_between_splits(spark):
+    rows = [(i, "hot", "train") for i in range(50)] + [(100 + i, "hot", "val") for i in range(40)]
+    rows += [(200, "x", "val"), (201, "x", "test"), (202, "y", "train"), (203, None, "train"), (204, None, "val")]
+    df = spark.createDataFrame(rows, "doc_id long, md5 string, split string")
+    order = ["train", "val", "test"]
+    assert {tuple(r) for r in audit.leak_classes(df, "md5", "doc_id", order).collect()} == {("hot", "train", 50, 0, "val", 40, 100), ("x", "val", 1, 200, "test", 1, 201)}
+    assert {tuple(r) for r in audit.leak_summary(df, "md5").collect()} == {("train", "val", 1), ("test", "val", 1)}
+    assert {r.doc_id for r in audit.without_leaks(df, "md5").collect()} == {*range(50), 202, 203, 204, 200, 201}
+    assert audit.leaked(df.filter("split = 'val'"), df.filter("split = 'train'"), "md5", "doc_id", ("val_id", "train_id")).count() == 40
+    assert {(r.md5, r.splits) for r in reports.straddling(df, "md5").collect()} == {("hot", 2), ("x", 2), (None, 2)}
+    assert {r.md5 for r in audit.absent(df, "train", "md5").collect()} == {"x"}
+    kinds = audit.overlaps(df.filter("split = 'train'"), df.filter("split = 'val'"), {"text": "md5", "id": "doc_id"}).collect()
+    assert {(r.kind, r.n) for r in kinds} == {("text", 2), ("id", 0)}  # null is shared too, as INTERSECT has it
+    for found in (audit.leak_classes(df.limit(0), "md5", "doc_id", order), audit.leak_summary(df.limit(0), "md5"), audit.without_leaks(df.limit(0), "md5"), reports.straddling(df.limit(0), "md5")):
+        assert found.collect() == []
+
+
+def test_curves_distributions_and_weights(spark):
+    rng = np.random.default_rng(6)
+    rows = [(float(round(s, 2)), int(y)) for s, y in zip(rng.random(300), rng.integers(0, 2, 300))]
+    df = spark.createDataFrame(rows, "score double, y int").withColumn("label", F.lit("a"))
+    area, r0, p0 = 0.0, 0.0, 1.0
+    for t in sorted({s for s, _ in rows}, reverse=True):
+        tp, fp = sum(y for s, y in rows if s >= t), sum(1 - y for s, y in rows if s >= t)
+        r, p = tp / sum(y for _, y in rows), tp / (tp + fp)
+        area, r0, p0 = area + (r - r0) * (p + p0) / 2, r, p
+    assert np.isclose(m.area_by_trapezoids(df, "label").first().area, area)
+    a, b = np.array([s for s, _ in rows]) + 0.01, np.array([y for _, y in rows]) + 0.01
+    a, b = a / a.sum(), b / b.sum()
+    assert np.isclose(reports.divergence(df, "label", "score", "y").first().kl, (a * np.log(a / b)).sum())
+    levels = spark.createDataFrame([(2,), (2,), (0,)], "level int")
+    assert [tuple(r) for r in m.level_distribution(levels).orderBy("level").collect()] == [(0, 1, 100 / 3), (1, 0, 0.0), (2, 2, 200 / 3)]
+    flags = lambda *v: spark.createDataFrame([(x,) for x in v], "f int")
+    assert [curation.positive_weight(flags(*v), "f").first()[0] for v in ([0] * 3, [1] + [0] * 3, [1] + [0] * 50, [1, 1, 0])] == [1.0, 3.0, 20.0, 1.0]
+    assert m.macro_micro_f1(m.confusion(df.limit(0), 0.5, "label")).first().asDict() == {"macro": None, "micro": None}
+
+
+def test_coverage_and_branches(spark):
+    docs = spark.createDataFrame([(1,), (2,), (3,), (None,)], "doc_id long")
+    teachers = spark.createDataFrame([(1,), (1,), (9,)], "a long"), spark.createDataFrame([(3,), (None,)], "b long")
+    assert audit.coverage(docs, "doc_id", *teachers).first().coverage == 0.5
+    rows = spark.createDataFrame([("train", 1, 1), ("train", 0, 1), ("val", 0, 0)], "split string, violence int, nsfw int")
+    got = {(r.branch, r.split): r.n for r in curation.branches(rows, "violence", "nsfw").collect()}
+    assert got == {("violence", "train"): 1, ("nsfw", "train"): 2, ("multitask", "train"): 2, ("multitask", "val"): 1}
+    assert curation.balanced_sample(rows.limit(0), "split", 10, "nsfw").collect() == []
+    x = [0.1, 0.9, 0.4]
+    e = np.exp(np.array(x) / 0.2)
+    assert np.allclose(one(spark, sequences.softmax(array(*x), 0.2).alias("s")).s, e / e.sum())
