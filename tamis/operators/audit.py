@@ -97,11 +97,13 @@ def leak_summary(rows: DataFrame, key: str) -> DataFrame:
 
 
 def overlaps(left: DataFrame, right: DataFrame, keys: dict[str, str]) -> DataFrame:
-    """Distinct values that two tables share, for each kind of key (kind -> column); both are read once for all kinds."""
-    values = lambda rows, side: rows.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("value")) for k, c in keys.items()))).alias("e"), F.lit(side).alias("side"))
-    both = values(left, 1).unionByName(values(right, 2)).groupBy("e").agg(F.count_distinct("side").alias("sides"))
-    found = both.groupBy("e.kind").agg(F.count_if(F.col("sides") == 2).alias("n"))
-    kinds = left.sparkSession.createDataFrame([(k,) for k in keys], "kind string")
+    """Distinct values that two tables share, for each kind of key (kind -> column); both are read once for all kinds.
+    A null is a value like others."""
+    entries = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("value")) for k, c in keys.items()))
+    values = lambda rows, side: rows.select(F.explode(entries).alias("e"), F.lit(side).alias("side")).select("e.*", "side")
+    sides = values(left, 1).unionByName(values(right, 2)).groupBy("kind", "value").agg(F.bit_or("side").alias("sides"))
+    found = sides.groupBy("kind").agg(F.count_if(F.col("sides") == 3).alias("n"))
+    kinds = left.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, keys))).alias("kind"))
     return kinds.join(found, "kind", "left").select("kind", F.coalesce("n", F.lit(0)).alias("n"))
 
 
