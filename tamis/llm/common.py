@@ -13,7 +13,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -109,3 +109,30 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     for i in range(n):
         out = mix(out * U64(0x9E3779B97F4A7C15) + words[i : i + size])
     return out
+
+
+def numbered(rows: DataFrame, groups: list[str], order: list[Column], name: str, carried: DataFrame | None = None) -> DataFrame:
+    """rows with their number, from 1, among those of their group in the given order; rows that tie may change places.
+
+    Range partitions hold the rows in order. Each is counted, its rows are numbered within it, and all are moved on by
+    what the partitions before hold, so a group of any size is dealt to many tasks. The counts are a row per partition
+    and one more per group. `carried` has a row per group, whose columns are added. rows are stored once, for partitions
+    must not change between the count and the numbers.
+    """
+    by = [F.col(g).asc_nulls_last() for g in groups]
+    ranged = written(rows.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()), f"ranged-{name}")
+    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("_part", *groups).agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select("_part", *groups, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    if carried is not None:
+        starts = same(starts, carried, groups)
+    here = Window.partitionBy("_part", *groups).orderBy(*order)
+    found = same(ranged.withColumn(name, F.row_number().over(here)), starts, ["_part", *groups])
+    return found.withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")
+
+
+def same(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """The inner join on columns in which null equals null."""
+    right = right.withColumnsRenamed({c: f"_right_{c}" for c in on})
+    found = left.join(right, [left[c].eqNullSafe(right[f"_right_{c}"]) for c in on])
+    return found.drop(*(f"_right_{c}" for c in on))
