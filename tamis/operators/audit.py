@@ -26,22 +26,6 @@ def sign_bits(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.select(F.col(key).alias("id"), F.conv(bits, 2, -10).cast("long").alias("bits"))
 
 
-def hamming_pairs(hashes: DataFrame, most: int, bits: int = 64) -> DataFrame:
-    """Pairs of distinct hashes of `bits` bits that differ in at most `most`: equal in one of most + 1 bands, then
-    counted. Rows of one hash are one class first: id1 and id2 are the least ids of two classes, n1 and n2 their sizes."""
-    classes = hashes.groupBy("bits").agg(F.min("id").alias("id"), F.count("*").alias("n"))
-    bands = most + 1
-    edges = [bits * k // bands for k in range(bands)] + [64]
-    masks = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    banded = classes.select("id", "n", "bits", F.posexplode(F.array(*map(F.lit, signed))).alias("band", "mask")).select("id", "n", "bits", "band", F.col("bits").bitwiseAND(F.col("mask")).alias("part"))
-    a, b = banded.alias("a"), banded.alias("b")
-    met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.id") < F.col("b.id")))
-    distance = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits")))
-    found = met.select(*(F.col(f"{s}.{c}").alias(f"{c}{k}") for c in ("id", "n") for k, s in ((1, "a"), (2, "b"))), distance.cast("int").alias("distance"))
-    return found.filter(F.col("distance") <= most).distinct()
-
-
 def resolved(rows: DataFrame, files: DataFrame, by_name: DataFrame) -> DataFrame:
     """The file of each row: by its full key, else by its base name if that names one file only."""
     unique = by_name.groupBy("base").agg(F.min("file").alias("_by_base"), F.count("*").alias("_n")).filter("_n = 1").drop("_n")

@@ -53,32 +53,6 @@ def calibration_error(rows: DataFrame, bins: int, *by: str) -> DataFrame:
     return binned.groupBy(*by).agg((F.sum(F.col("n") * F.abs(F.col("s") - F.col("y"))) / F.sum("n")).alias("ece"))
 
 
-KNN_BLOCK_ROWS, SPREAD = 20_000, 4
-
-
-def knn_vote(queries: DataFrame, base: DataFrame, k: int, block_rows: int = KNN_BLOCK_ROWS) -> DataFrame:
-    """Majority label of the k nearest by cosine (rows: vec_id, v, label); the nearest of equally frequent labels.
-
-    The stated queries are compared with all of `base`, in blocks: each block of `base` meets every query, and ranks
-    are cut per block before blocks meet, so no more than k rows of a query and block are shuffled. Nothing is
-    broadcast. There are as many blocks as hold block_rows rows of `base` each, times SPREAD blocks of queries, so neither
-    side of a block grows with the data.
-    """
-    from ..functions import sequences as seq
-
-    blocks = max(8, -(-base.count() // block_rows))
-    a = queries.select(F.col("vec_id").alias("q"), F.col("v").alias("qv"), F.col("label").alias("truth"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    a = a.withColumn("part", F.pmod(F.xxhash64("q"), F.lit(SPREAD)).cast("int"))
-    dealt = base.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    pairs = dealt.join(a, ["block", "part"]).filter("q <> vec_id")
-    near = pairs.select("block", "q", "truth", "vec_id", "label", F.round(seq.cosine(F.col("qv"), F.col("v")), 9).alias("s"))
-    order = [F.desc("s"), "vec_id"]
-    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("q", "block").orderBy(*order))).filter(F.col("rank") <= k)
-    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(*order))).filter(F.col("rank") <= k)
-    votes = near.groupBy("q", "truth", "label").agg(F.count("*").alias("n"), F.min("rank").alias("first"))
-    return votes.groupBy("q", "truth").agg(F.max_by("label", F.struct("n", -F.col("first"))).alias("vote"))
-
-
 def confusion(rows: DataFrame, cut: float, *by: str) -> DataFrame:
     """tp, fp, fn and tn of the scores (column score) that reach the cut, against the truth (column y)."""
     hit, flagged = F.col("y") == 1, F.col("score") >= cut

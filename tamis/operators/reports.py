@@ -5,27 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .curation import ranked
-
-
-def majority_share(rows: DataFrame, label: str) -> DataFrame:
-    """Share of the most frequent label: what always naming it would score."""
-    counts = rows.groupBy(label).agg(F.count("*").alias("n"))
-    return counts.agg(F.try_divide(F.max("n").cast("double"), F.sum("n")).alias("share"))
-
-
-SHUFFLE_BUCKET_ROWS = 65_536
-
-
-def shuffled_share(rows: DataFrame, label: str, key: str, by: str) -> DataFrame:
-    """Agreement of the labels with a permutation of them inside each group: rows in order of their keys (numbers) meet
-    rows in order of the keys' hashes."""
-    plain = ranked(rows.select(by, label, key), [by], key, name="place", bucket=F.floor(F.col(key) / SHUFFLE_BUCKET_ROWS))
-    drawn = rows.select(by, F.col(label).alias("_other"), F.md5(F.col(key).cast("string")).alias("_draw"))
-    met = plain.join(ranked(drawn, [by], "_draw", name="place"), [by, "place"])
-    return met.agg(F.avg(F.when(F.col(label) == F.col("_other"), 1.0).otherwise(0.0)).alias("share"))
-
-
 def best_so_far(log: DataFrame, by: str, value: str, period, *order: str) -> DataFrame:
     """Adds the highest value up to each row of its group, and whether the row reaches it.
 

@@ -10,9 +10,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from ..functions import sequences as seq
 
 Scorer = Callable[[pd.DataFrame], np.ndarray]
 
@@ -29,27 +26,6 @@ def scored(rows: DataFrame, load: Callable[[], Scorer], name: str = "score") ->
     return rows.mapInPandas(run, f"{fields}, `{name}` double")
 
 
-MOST_PROMPTS = 4096
-
-
-def prompt_maxima(rows: DataFrame, prompts: DataFrame, group: str, vector: str = "v") -> DataFrame:
-    """Per row and prompt group the highest cosine with a prompt of the group: columns `group` and similarity.
-
-    Prompts are written by hand; more than MOST_PROMPTS are refused. They become one array literal per group, so rows
-    are neither shuffled nor joined.
-    """
-    found = prompts.select(group, F.col(vector).cast("array<double>").alias("v")).limit(MOST_PROMPTS + 1).collect()
-    if len(found) > MOST_PROMPTS:
-        raise ValueError(f"more than {MOST_PROMPTS} prompts")
-    by_group: dict = {}
-    for r in found:
-        by_group.setdefault(r[group], []).append(F.array(*map(F.lit, r.v)))
-    if not by_group:
-        return rows.limit(0).select("*", F.lit(None).alias(group), F.lit(None).cast("double").alias("similarity")).drop(vector)
-    best = [F.struct(F.lit(g).alias("g"), F.greatest(*(seq.cosine(F.col(vector), p) for p in ps), F.lit(-1.0)).alias("s")) for g, ps in sorted(by_group.items())]
-    return rows.withColumn("_best", F.explode(F.array(*best))).select(*(c for c in rows.columns if c != vector), F.col("_best.g").alias(group), F.col("_best.s").alias("similarity"))
-
-
 def effective_rank(rows: DataFrame, group: str, vector: str, share: float = 0.01) -> DataFrame:
     """Singular values above a share of the largest, per group, from the group's second-moment matrix.
 

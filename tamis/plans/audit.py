@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import audit as op
 from ..operators import curation as cur
 from ..operators import metrics
+from ..operators import search
 from ..session import table
 from ..sources.views import features, frames, manifest, media_items
 from .common import query, stated
@@ -42,13 +43,25 @@ def leak_pairs(spark, sf_dir):
     return op.leak_classes(manifest(spark, sf_dir), "md5", "doc_id", ["train", "val", "test"])
 
 
-@query("""WITH h AS (SELECT bit_string, min(vec_id) AS id, count(*) AS n FROM (SELECT vec_id, array_to_string(list_transform(v[1:24], lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS bit_string FROM features) GROUP BY 1),
-p AS (SELECT a.id AS id1, b.id AS id2, a.n AS n1, b.n AS n2, len(list_filter(range(1, 25), lambda i: substr(a.bit_string, i, 1) <> substr(b.bit_string, i, 1))) AS distance FROM h a JOIN h b ON a.id < b.id)
-SELECT id1, id2, n1, n2, distance::INT AS distance FROM p WHERE distance <= 3""", "features")
-def leak_hamming(spark, sf_dir):
+_HASHES = """h AS (SELECT bit_string, min(vec_id) AS id, count(*) AS n FROM (SELECT vec_id, array_to_string(list_transform(v[1:24], lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS bit_string FROM features) GROUP BY 1),
+p AS (SELECT a.id AS id1, b.id AS id2, a.n AS n1, b.n AS n2, len(list_filter(range(1, 25), lambda i: substr(a.bit_string, i, 1) <> substr(b.bit_string, i, 1))) AS distance FROM h a JOIN h b ON a.id < b.id)"""
+
+
+def _hashes(spark, sf_dir):
     """Signs of 24 dimensions, so that some vectors are near."""
     short = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 24).alias("v"))
-    return op.hamming_pairs(op.sign_bits(short, "vec_id", "v"), 3, 24)
+    return op.sign_bits(short, "vec_id", "v")
+
+
+@query(f"WITH {_HASHES} SELECT id1, id2, n1, n2, distance::INT AS distance FROM p WHERE distance <= 3", "features")
+def leak_hamming(spark, sf_dir):
+    return search.hamming_pairs(_hashes(spark, sf_dir), 3, 24)
+
+
+@query(f"""WITH {_HASHES}, d AS (SELECT id1 AS id, id2 AS other, n2 AS rows FROM p WHERE distance <= 3 UNION ALL SELECT id2, id1, n1 FROM p WHERE distance <= 3)
+SELECT h.id, h.n, count(other) AS links, coalesce(sum(rows), 0)::BIGINT AS linked_rows, least(h.id, coalesce(min(other), h.id)) AS "first" FROM h LEFT JOIN d ON d.id = h.id GROUP BY h.id, h.n""", "features")
+def hamming_links(spark, sf_dir):
+    return search.hamming_links(_hashes(spark, sf_dir), 3, 24)
 
 
 @stated("""SELECT 'md5' AS kind, count(*) AS n FROM (SELECT md5 FROM {manifest} WHERE split = 'train' INTERSECT SELECT md5 FROM {manifest} WHERE split = 'test')

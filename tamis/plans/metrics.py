@@ -8,6 +8,7 @@ from ..functions import policy as pol
 from ..functions import sequences as seq
 from ..operators import calibration as cal
 from ..operators import metrics as op
+from ..operators import search
 from ..session import table
 from ..sources.views import features, predictions
 from .common import query, stated
@@ -239,10 +240,35 @@ def ece(spark, sf_dir):
     return op.calibration_error(predictions(spark, sf_dir), 15, "label").withColumn("ece", F.round("ece", 6))
 
 
-@query("""WITH s AS (SELECT q.vec_id AS q, q.label AS truth, b.vec_id, b.label, round(list_cosine_similarity(q.v, b.v), 9) AS s FROM features q, features b WHERE q.split = 'val' AND b.split = 'train'),
-r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, vec_id) AS rank FROM s),
-v AS (SELECT q, truth, label, count(*) AS n, min(rank) AS first FROM r WHERE rank <= 5 GROUP BY 1, 2, 3)
+_NEAR = """s AS (SELECT q.vec_id AS q, q.label AS truth, b.vec_id, b.label, round(list_cosine_similarity(q.v, b.v), 9) AS s FROM features q, features b WHERE q.split = 'val' AND b.split = 'train'),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, vec_id) AS rank FROM s)"""
+
+
+@query(f"""WITH {_NEAR}, v AS (SELECT q, truth, label, count(*) AS n, min(rank) AS first FROM r WHERE rank <= 5 GROUP BY 1, 2, 3)
 SELECT q, truth, label AS vote FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY n DESC, first) AS rn FROM v) WHERE rn = 1""", "features")
 def knn_vote(spark, sf_dir):
     f = features(spark, sf_dir)
-    return op.knn_vote(f.filter("split = 'val'"), f.filter("split = 'train'"), 5)
+    return search.knn_vote(f.filter("split = 'val'"), f.filter("split = 'train'"), 5)
+
+
+_SCORES = f"""{_NEAR}, t AS (SELECT vec_id, label, row_number() OVER (ORDER BY md5('42:' || vec_id), vec_id) AS place, row_number() OVER (ORDER BY md5('43:' || vec_id), vec_id) AS dealt FROM features WHERE split = 'train'),
+o AS (SELECT a.vec_id, b.label AS other FROM t a JOIN t b ON a.place = b.dealt),
+k AS (SELECT q, truth, rank, unnest(['real', 'shuffled']) AS kind, unnest([label, other]) AS label FROM r JOIN o USING (vec_id) WHERE rank <= 5),
+c AS (SELECT q, truth, kind, label, count(*) AS n, min(rank) AS first FROM k GROUP BY 1, 2, 3, 4),
+v AS (SELECT *, row_number() OVER (PARTITION BY q, kind ORDER BY n DESC, first) AS rn FROM c),
+h AS (SELECT kind, sum((label = truth)::INT) AS hits FROM v WHERE rn = 1 GROUP BY 1),
+m AS (SELECT sum(n)::BIGINT AS queries, max(n) AS most FROM (SELECT count(*) AS n FROM features WHERE split = 'val' GROUP BY label)),
+w AS (SELECT queries, (SELECT hits FROM h WHERE kind = 'real') / queries::DOUBLE AS real_score, (SELECT hits FROM h WHERE kind = 'shuffled') / queries::DOUBLE AS shuffled_score, most / queries::DOUBLE AS majority FROM m)"""
+
+
+@query(f"WITH {_SCORES} SELECT queries, round(real_score, 6) AS real_score, round(shuffled_score, 6) AS shuffled_score, round(majority, 6) AS majority FROM w", "features")
+def knn_scores(spark, sf_dir):
+    f = features(spark, sf_dir)
+    return _rounded(search.knn_scores(f.filter("split = 'val'"), f.filter("split = 'train'")), "real_score", "shuffled_score", "majority")
+
+
+@query(f"WITH {_SCORES} SELECT unnest(['majority', 'shuffled']) AS baseline, round(unnest([majority, shuffled_score]), 6) AS share FROM w", "features")
+def knn_baselines(spark, sf_dir):
+    """What a vote of neighbours has to beat: the validation split's most frequent label, and a vote of permuted labels."""
+    baselines = F.array(*(F.struct(F.lit(name).alias("baseline"), F.col(c).alias("share")) for name, c in (("majority", "majority"), ("shuffled", "shuffled_score"))))
+    return knn_scores(spark, sf_dir).select(F.explode(baselines).alias("b")).select("b.*")

@@ -21,16 +21,6 @@ def pr_auc_trapezoid(spark, sf_dir):
     return metrics.area_by_trapezoids(predictions(spark, sf_dir), "label").withColumn("area", F.round("area", 6))
 
 
-@stated("""SELECT 'majority' AS baseline, round(max(CAST(n AS DOUBLE)) / sum(n), 6) AS share FROM (SELECT label, count(*) AS n FROM {features} GROUP BY label)
-UNION ALL SELECT 'shuffled', round(avg(CASE WHEN a.label = b.label THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) FROM (SELECT label, row_number() OVER (PARTITION BY split ORDER BY vec_id) AS k, split FROM {features}) a
-  JOIN (SELECT label, row_number() OVER (PARTITION BY split ORDER BY md5(CAST(vec_id AS VARCHAR(20)))) AS k, split FROM {features}) b ON a.k = b.k AND a.split = b.split""")
-def knn_baselines(spark, sf_dir):
-    f = features(spark, sf_dir)
-    found = {"majority": op.majority_share(f, "label"), "shuffled": op.shuffled_share(f, "label", "vec_id", "split")}
-    parts = [rows.select(F.lit(name).alias("baseline"), F.round("share", 6).alias("share")) for name, rows in found.items()]
-    return parts[0].unionByName(parts[1])
-
-
 @stated("""SELECT vec_id, label FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn, k FROM {features} CROSS JOIN (SELECT greatest(1, CAST(floor(100.0 / count(DISTINCT label)) AS INT)) AS k FROM {features})) WHERE rn <= k""")
 def class_balanced_sample(spark, sf_dir):
     return cur.balanced_sample(features(spark, sf_dir).select("vec_id", "label"), "label", 100, "vec_id")

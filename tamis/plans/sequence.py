@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import policy as pol
 from ..functions import sequences as seq
 from ..operators import curation as cur
-from ..operators import scoring as op
+from ..operators import search
 from ..session import table
 from ..sources.views import features, frames, series
 from .common import query, stated
@@ -90,7 +90,7 @@ def prompt_similarity(spark, sf_dir):
     """Every vector against three groups of prompts; the first 24 vectors stand in for the prompts' embeddings."""
     f = features(spark, sf_dir)
     prompts = f.filter("vec_id < 24").select((F.col("vec_id") % 3).alias("prompt_group"), "v")
-    return op.prompt_maxima(f.select("vec_id", "v"), prompts, "prompt_group").withColumn("similarity", F.round("similarity", 6))
+    return search.prompt_maxima(f.select("vec_id", "v"), prompts, "prompt_group").withColumn("similarity", F.round("similarity", 6))
 
 
 @query("SELECT video_id, count(*) AS n, round(avg(s), 6) AS m FROM (SELECT video_id, abs(score - lag(score) OVER (PARTITION BY video_id ORDER BY frame_idx)) AS s FROM frames) WHERE s IS NOT NULL GROUP BY video_id", "frames")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tamis.functions import hashing, policy, sequences
 from tamis import sinks
-from tamis.operators import audit, calibration, curation, moderation, reports, scoring
+from tamis.operators import audit, calibration, curation, moderation, reports, scoring, search
 from tamis.operators import metrics as m
 from tamis.registry import QUERIES
 from tamis.session import first_column, require_columns
@@ -90,7 +90,7 @@ def test_hamming_pairs_lose_none(spark):
     base = rng.integers(-(2**63), 2**63 - 1, 60)
     values = [int(v) for v in base] + [int(v ^ np.int64((1 << int(a)) | (1 << int(b)))) for v, a, b in zip(base, rng.integers(0, 63, 60), rng.integers(0, 63, 60))]
     values += values[:40] * 3  # copies are one class
-    got = {(r.id1, r.id2, r.n1, r.n2): r.distance for r in audit.hamming_pairs(spark.createDataFrame(list(enumerate(values)), "id long, bits long"), 3).collect()}
+    got = {(r.id1, r.id2, r.n1, r.n2): r.distance for r in search.hamming_pairs(spark.createDataFrame(list(enumerate(values)), "id long, bits long"), 3).collect()}
     first, n = {}, {}
     for i, v in enumerate(values):
         first.setdefault(v, i)
@@ -268,9 +268,9 @@ def test_embedding_rank_and_prompts(spark, sf_dir):
     assert [r["rank"] for r in scoring.effective_rank(low, "label", "embedding").collect()] == [2]
     frames = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8])], "id long, v array<double>")
     prompts = spark.createDataFrame([("x", [1.0, 0.0]), ("x", [0.0, 2.0]), ("y", [-1.0, 0.0])], "g string, v array<double>")
-    got = {(r.id, r.g): round(r.similarity, 9) for r in scoring.prompt_maxima(frames, prompts, "g").collect()}
+    got = {(r.id, r.g): round(r.similarity, 9) for r in search.prompt_maxima(frames, prompts, "g").collect()}
     assert got == {(1, "x"): 1.0, (1, "y"): -1.0, (2, "x"): 0.8, (2, "y"): -0.6}
-    assert scoring.prompt_maxima(frames, prompts.limit(0), "g").collect() == []
+    assert search.prompt_maxima(frames, prompts.limit(0), "g").collect() == []
 
 
 def test_streams_don_t_depend_on_batches(spark, tmp_path):
