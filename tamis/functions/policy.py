@@ -58,6 +58,19 @@ def violence_action(score: Column, sport: Column, anime: Column, gore: Column) -
     return F.when(over & ~sport & anime, "blur").when(over & ~sport & gore, "ban").when(over & ~sport, "blur").otherwise("safe")
 
 
+def video_decision(peak: Column, nsfw: Column, high_frames: Column, resolution: Column, p_sports: Column, anime: Column, gore: Column, dark: Column, warm: Column, composite: Column) -> dict[str, Column]:
+    """What a video's peaks come to. The violence peak less all penalties, or the raw one if many frames are high and a
+    penalty for light, colour or composition was applied; its action depends on the context. The nsfw peak is lowered for
+    sport alone. flagged is true if either action isn't safe."""
+    sport = p_sports > SPORTS_CUT
+    after = penalised(peak, resolution, anime=anime, dark=dark, warm=warm, composite=composite, sport=sport)
+    score = with_bypass(peak, after, high_frames, dark, warm, composite)
+    nsfw_score = F.when(sport, nsfw_after_sport(nsfw, p_sports)).otherwise(nsfw)
+    violence = violence_action(score, sport, anime, gore)
+    other = action(level(nsfw_score, VIDEO_NSFW_BAN, VIDEO_NSFW_BLUR))
+    return {"violence_score": score, "nsfw_score": nsfw_score, "violence": violence, "nsfw": other, "flagged": (violence != "safe") | (other != "safe")}
+
+
 def ensemble_self_harm(vit: Column, clip: Column, yolo: Column, cnn: Column) -> Column:
     return 0.5 * F.greatest(vit, 0.8 * clip) + 0.3 * yolo + 0.2 * cnn
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_split, output_name, sample_order
 from ..operators import curation as op
+from ..operators.digest import digests
 from ..session import table
 from ..sources import scans
 from ..sources.views import BUCKET, manifest
@@ -166,6 +167,19 @@ def split_fingerprint(spark, sf_dir):
     return op.fingerprints(manifest(spark, sf_dir), "split", "path")
 
 
+@query("""WITH k AS (SELECT split, md5(doc_id::VARCHAR) AS h, count(*) AS c FROM manifest GROUP BY 1, 2),
+l AS (SELECT split, substr(h, 1, 4) AS leaf, sum(c)::BIGINT AS n, md5(string_agg(h || ':' || c, '' ORDER BY h)) AS d FROM k GROUP BY 1, 2),
+o AS (SELECT split, substr(leaf, 1, 2) AS node, sum(n)::BIGINT AS n, md5(string_agg(leaf || ':' || d, '' ORDER BY leaf)) AS d FROM l GROUP BY 1, 2),
+r AS (SELECT split, sum(n)::BIGINT AS n, md5(string_agg(node || ':' || d, '' ORDER BY node)) AS digest FROM o GROUP BY 1)
+SELECT split, n, digest, violence_ratio FROM r JOIN (SELECT split, round(avg(violence), 4) AS violence_ratio FROM manifest GROUP BY 1) USING (split)""", "manifest")
+def split_lock(spark, sf_dir):
+    """What a lock file says of each split: a digest of its stems, its size and its share of positives."""
+    m = manifest(spark, sf_dir)
+    stems = m.select("split", scans.file_stem(F.col("path")).alias("stem"))
+    ratio = m.groupBy("split").agg(F.round(F.avg("violence"), 4).alias("violence_ratio"))
+    return digests(stems, "split", "stem").join(ratio, "split")
+
+
 @query("""SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5('5:' || doc_id), doc_id) AS rn FROM documents) WHERE rn <= 5""")
 def sample_per_source(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -184,9 +198,10 @@ def stem_groups(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", scans.stem_group(url).alias("stem_group"), F.split_part(url, F.lit("/"), F.lit(3)).alias("host"))
 
 
-@stated(r"SELECT page_id, regexp_replace(replace(trim(url), chr(92), '/'), '/+', '/', 'g') AS path FROM {pages}")
+@stated(r"SELECT page_id, regexp_replace(regexp_replace(replace(trim(['', './', './/./', ' .\\', '/', '../', ' '][1 + page_id % 7] || url, ' '), chr(92), '/'), '/+', '/', 'g'), '^(\./)+', '') AS path FROM {pages}")
 def path_norm(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", scans.normal_path(F.col("url")).alias("path"))
+    prefix = F.element_at(F.array(*map(F.lit, ["", "./", ".//./", " .\\\\", "/", "../", " "])), (F.col("page_id") % 7 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", scans.normal_path(F.concat(prefix, F.col("url"))).alias("path"))
 
 
 @stated("SELECT split_part(path, '/', 1) AS folder, count(*) AS n FROM {manifest} GROUP BY 1")

@@ -88,11 +88,14 @@ def relative_paths(spark, sf_dir):
     return manifest(spark, sf_dir).select("doc_id", scans.relative_path(F.col("path"), F.lit("wiki/")).alias("below"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'v_' || user_id ELSE 'v_' || user_id || '_x' || event_id END AS video FROM events")
+_TAILS = ["_7", "_x7", "", "_1.5", "_-2e3", "_.5", "_1.", "_NaN", "_-inf", "_1d", "_7 ", "_7_x"]
+
+
+@query(f"SELECT event_id, CASE WHEN event_id % {len(_TAILS)} IN (0, 3, 4, 5, 6, 7, 8, 10) THEN 'v_' || user_id ELSE CASE event_id % {len(_TAILS)} WHEN 2 THEN 'v' ELSE 'v_' || user_id || ({_TAILS})[1 + event_id % {len(_TAILS)}] END END AS video FROM events")
 def video_ids(spark, sf_dir):
-    user, event = F.col("user_id").cast("string"), F.col("event_id").cast("string")
-    name = F.when(F.col("event_id") % 3 == 0, F.concat_ws("_", F.lit("v"), user, event)).otherwise(F.concat_ws("_", F.lit("v"), user, F.concat(F.lit("x"), event)))
-    return table(spark, sf_dir, "events").select("event_id", scans.video_id(name).alias("video"))
+    """Tails that are numbers (also fractions, powers, infinities) and tails that aren't."""
+    tail = F.element_at(F.array(*map(F.lit, _TAILS)), (F.col("event_id") % len(_TAILS) + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", scans.video_id(F.concat(F.lit("v_"), F.col("user_id").cast("string"), tail)).alias("video"))
 
 
 @query("SELECT doc_id, coalesce(toxic, CASE lang WHEN 'en' THEN 0 ELSE 1 END)::INT AS label FROM documents LEFT JOIN labels USING (doc_id)")
@@ -137,14 +140,14 @@ def aligned_blocks(spark, sf_dir):
     return rows.select("vec_id", "i", F.posexplode("row").alias("j", "x"))
 
 
-@query("""WITH n AS (SELECT video_id, count(*) AS n FROM frames GROUP BY 1), s AS (SELECT video_id, k AS start, least(n, k + 5 + k % 7) AS stop FROM n, (SELECT unnest(range(0, 1000, 10)) AS k) WHERE k < n),
+@query("""WITH n AS (SELECT video_id, count(*) AS n FROM frames GROUP BY 1), s AS (SELECT video_id, k AS start, least(n, k + 5 + k % 7) AS stop FROM (SELECT video_id, n, unnest(range(0, n, 10)) AS k FROM n)),
 l AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY stop - start DESC, start) AS r FROM s), t AS (SELECT * FROM l WHERE r <= 3),
 f AS (SELECT video_id, r, p, start + least(p, (stop - start - 1) // greatest(1, (stop - start) // 4)) * greatest(1, (stop - start) // 4) AS frame FROM t, (SELECT unnest(range(0, 4)) AS p)),
 m AS (SELECT video_id, max(r) AS r FROM t GROUP BY 1), e AS (SELECT f.video_id, frame AS last FROM f JOIN m ON m.video_id = f.video_id AND m.r = f.r WHERE p = 3)
 SELECT e.video_id, i::INT AS i, coalesce(f.frame, last)::INT AS frame FROM e CROSS JOIN (SELECT unnest(range(0, 12)) AS i) g LEFT JOIN f ON f.video_id = e.video_id AND (f.r - 1) * 4 + f.p = g.i""", "frames")
 def longest_shots(spark, sf_dir):
     n = frames(spark, sf_dir).groupBy("video_id").agg(F.count("*").cast("int").alias("n"))
-    starts = F.filter(F.sequence(F.lit(0), F.lit(990), F.lit(10)), lambda k: k < F.col("n"))
+    starts = F.sequence(F.lit(0), F.col("n") - 1, F.lit(10))
     shots = F.transform(starts, lambda k: F.struct(k.alias("start"), F.least(F.col("n"), k + 5 + k % 7).alias("end")))
     return n.select("video_id", F.posexplode(seq.shot_frames(shots, 3, 4)).alias("i", "frame"))
 

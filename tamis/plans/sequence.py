@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import policy as pol
 from ..functions import sequences as seq
 from ..operators import curation as cur
-from ..operators import search
+from ..operators import balancing, search, temporal
 from ..session import table
 from ..sources.views import features, frames, series
 from .common import query, stated
@@ -26,16 +26,38 @@ def _round(x, digits=6):
     return F.transform(x, lambda v: F.round(v, digits))
 
 
-@query(f"""WITH r AS (SELECT video_id, {_R16} AS r, x FROM series), n AS (SELECT video_id, {_NOISY.format(x='r')} AS pooled, list_max(x) AS peak,
-  len(list_filter(r, lambda v: v > 0.7)) AS high FROM r),
-a AS (SELECT CASE WHEN s >= 0.9 THEN 'ban' WHEN s >= 0.7 THEN 'blur' ELSE 'safe' END AS action, high FROM (SELECT *, round(greatest(0.0::DOUBLE, pooled - CASE WHEN high < 6 THEN 0.12::DOUBLE ELSE 0.0::DOUBLE END), 9) AS s FROM n))
-SELECT action, count(*) AS videos, sum(high)::BIGINT AS high_frames FROM a GROUP BY action""", "series")
+_CHAIN = "greatest(0, list_max(x) - CASE WHEN w * 480 <= 144 * 176 THEN 0.20 WHEN w * 480 <= 360 * 480 THEN 0.12 WHEN w * 480 <= 640 * 480 THEN 0.08 ELSE 0 END::DOUBLE)"
+for _flag, _less in (("anime", 0.15), ("dark", 0.12), ("warm", 0.10), ("composite", 0.20), ("sport", 0.15)):
+    _CHAIN = f"greatest(0, {_CHAIN} - CASE WHEN {_flag} THEN {_less} ELSE 0 END::DOUBLE)"
+_DECIDED = f"""c AS (SELECT *, video_id % 11 / 10.0::DOUBLE AS p_sports, video_id % 11 / 10.0::DOUBLE > 0.55 AS sport, video_id % 7 = 0 AS anime, video_id % 2 = 0 AS gore, video_id % 3 = 0 AS dark, video_id % 4 = 0 AS warm, video_id % 9 = 0 AS composite,
+  100 * (video_id % 8) AS w, len(list_filter({_R16}, lambda v: v > 0.7)) AS high FROM (SELECT video_id, list_transform(x, lambda v: least(1, 5 * v)) AS x, list_transform(y, lambda v: v * (1 - 0.07::DOUBLE * (video_id % 6))) AS y FROM series)),
+s AS (SELECT *, round(CASE WHEN high >= 6 AND (dark OR warm OR composite) THEN list_max(x) ELSE {_CHAIN} END, 9) AS v,
+  round(CASE WHEN sport THEN greatest(0, list_max(y) - round(1 - greatest(0.15::DOUBLE, 1 - p_sports), 2)) ELSE list_max(y) END, 9) AS n FROM c),
+d AS (SELECT *, CASE WHEN v < CASE WHEN sport THEN 0.65 ELSE 0.5 END OR sport THEN 'safe' WHEN anime THEN 'blur' WHEN gore THEN 'ban' ELSE 'blur' END AS violence,
+  CASE WHEN n >= 0.80 THEN 'ban' WHEN n >= 0.70 THEN 'blur' ELSE 'safe' END AS nsfw FROM s)"""
+
+
+def _decided(spark, sf_dir):
+    """Scores are the views' times a factor, so that every branch is reached; what pixels and prompts would say is drawn
+    from the videos' ids."""
+    video = F.col("video_id")
+    more, less = F.transform("x", lambda v: F.least(F.lit(1.0), 5 * v)), F.transform("y", lambda v: v * (1 - 0.07 * (F.col("video_id") % 6)))
+    found = series(spark, sf_dir).withColumns({"x": more, "y": less}).select("video_id", F.array_max("x").alias("peak"), F.array_max("y").alias("top"), seq.count_above(seq.resample(_x(), 16), pol.HIGH_SCORE).alias("high"))
+    flags = {name: video % m == 0 for name, m in (("anime", 7), ("gore", 2), ("dark", 3), ("warm", 4), ("composite", 9))}
+    decision = pol.video_decision(F.col("peak"), F.col("top"), F.col("high"), pol.resolution_penalty(100 * (video % 8), F.lit(480)), (video % 11) / F.lit(10.0), **flags)
+    decision |= {c: F.round(decision[c], 9) for c in ("violence_score", "nsfw_score")}
+    return found.select("video_id", "high", *(c.alias(n) for n, c in decision.items()))
+
+
+@query(f"WITH {_DECIDED} SELECT violence, nsfw, violence <> 'safe' OR nsfw <> 'safe' AS flagged, count(*) AS videos, sum(high)::BIGINT AS high_frames FROM d GROUP BY ALL", "series")
 def flag_video(spark, sf_dir):
-    """Videos by action: scores resampled to 16, pooled by noisy-or, lowered unless many are high, cut to levels."""
-    found = series(spark, sf_dir).select(seq.resample(_x(), 16).alias("r")).select(seq.noisy_or(_x("r")).alias("pooled"), seq.count_above(_x("r"), pol.HIGH_SCORE).alias("high"))
-    score = F.round(F.greatest(F.lit(0.0), F.col("pooled") - F.when(F.col("high") < pol.HIGH_FRAMES, pol.PENALTIES["dark"]).otherwise(0.0)), 9)
-    action = pol.action(pol.level(score, pol.VIOLENCE_BAN, pol.VIOLENCE_BLUR))
-    return found.groupBy(action.alias("action")).agg(F.count("*").alias("videos"), F.sum("high").alias("high_frames"))
+    """Videos by what is decided on their violence and nsfw peaks."""
+    return _decided(spark, sf_dir).groupBy("violence", "nsfw", "flagged").agg(F.count("*").alias("videos"), F.sum("high").alias("high_frames"))
+
+
+@query(f"WITH {_DECIDED} SELECT video_id, round(v, 6) AS violence_score, round(n, 6) AS nsfw_score, violence, nsfw FROM d", "series")
+def video_decisions(spark, sf_dir):
+    return _decided(spark, sf_dir).select("video_id", *(F.round(c, 6).alias(c) for c in ("violence_score", "nsfw_score")), "violence", "nsfw")
 
 
 @query("SELECT video_id, list_transform(range(0, 8), lambda i: floor(i * (len(x) - 1) / 7)::INT) AS idx FROM series".replace("AS idx", "AS i").replace("SELECT video_id, ", "SELECT video_id, array_to_string(").replace(" AS i FROM", ", ',') AS idx FROM"), "series")
@@ -93,6 +115,21 @@ def prompt_similarity(spark, sf_dir):
     return search.prompt_maxima(f.select("vec_id", "v"), prompts, "prompt_group").withColumn("similarity", F.round("similarity", 6))
 
 
+_ROUND = """a{n} AS (SELECT vec_id, label, q / sum(q) OVER (PARTITION BY label) / count(DISTINCT label) OVER () AS q FROM b{m}),
+b{n} AS (SELECT vec_id, label, q / sum(q) OVER (PARTITION BY vec_id) / count(DISTINCT vec_id) OVER () AS q FROM a{n})"""
+
+
+@query(f"""WITH p AS (SELECT label, list(m ORDER BY i) AS p FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(v) AS x, unnest(range(len(v))) AS i FROM features) GROUP BY 1, 2) GROUP BY 1),
+z AS (SELECT vec_id, p.label, exp(list_cosine_similarity(v, p.p) / 0.05) AS e FROM features, p), b0 AS (SELECT vec_id, label, e / sum(e) OVER () AS q FROM z),
+{", ".join(_ROUND.format(n=n + 1, m=n) for n in range(3))}
+SELECT vec_id, label, round(q * count(DISTINCT vec_id) OVER (), 6) AS q FROM b3""", "features")
+def balanced_assignment(spark, sf_dir):
+    """Every vector's share in each class, the classes as large as one another."""
+    f = features(spark, sf_dir)
+    found = balancing.logits(f, balancing.class_means(f, "label", "v"), "vec_id", "label", "v")
+    return balancing.balanced(found, "vec_id", 0.05, 3).withColumn("q", F.round("q", 6))
+
+
 @query("SELECT video_id, count(*) AS n, round(avg(s), 6) AS m FROM (SELECT video_id, abs(score - lag(score) OVER (PARTITION BY video_id ORDER BY frame_idx)) AS s FROM frames) WHERE s IS NOT NULL GROUP BY video_id", "frames")
 def consecutive_change(spark, sf_dir):
     change = F.zip_with(F.slice("x", 2, F.size("x")), F.slice("x", 1, F.size("x") - 1), lambda b, a: F.abs(b - a))
@@ -163,6 +200,30 @@ def reversed_frames(spark, sf_dir):
     return frames(spark, sf_dir).select("video_id", "frame_idx", (n - 1 - F.col("frame_idx")).alias("back_idx"))
 
 
+@query("""WITH l AS (SELECT label, v, lag(v) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM features),
+c AS (SELECT label, count(*) AS frames, avg(CASE WHEN p IS NOT NULL THEN list_cosine_similarity(v, p) END) AS similarity FROM l GROUP BY 1),
+d AS (SELECT label, avg(x) AS variance FROM (SELECT label, i, var_samp(x) AS x FROM (SELECT label, unnest(v) AS x, unnest(range(len(v))) AS i FROM features) GROUP BY 1, 2) GROUP BY 1)
+SELECT label, frames, round(similarity, 6) AS similarity, round(variance, 6) AS variance FROM c JOIN d USING (label)""", "features")
+def temporal_coherence(spark, sf_dir):
+    """Vectors of one label as a sequence in the order of their ids."""
+    found = temporal.coherence(features(spark, sf_dir), "label", "vec_id", "v", F.floor(F.col("vec_id") / 256))
+    return found.select("label", "frames", *(F.round(c, 6).alias(c) for c in ("similarity", "variance")))
+
+
+_COIN = "('0x' || substr(md5('42:{0}:' || video_id), 1, 2))::INT % 2"
+_DRAWN = "list_transform(list_sort([" + ", ".join(f"{{'h': md5('42:group:' || video_id || ':{g}'), 'g': {g}}}" for g in range(4)) + "]), lambda d: d.g)"
+
+
+@query(f"""WITH s AS (SELECT video_id, least(count(*), 16) AS n, {_COIN.format('direction')} AS y_direction, {_COIN.format('shuffle')} AS y_shuffle, {_COIN.format('speed')} AS y_speed, {_DRAWN} AS drawn FROM frames WHERE frame_idx < 32 GROUP BY video_id),
+f AS (SELECT video_id, frame_idx AS i, s.* EXCLUDE (video_id, drawn), CASE WHEN drawn = [0, 1, 2, 3] THEN [1, 2, 3, 0] ELSE drawn END AS drawn, n // 4 AS size FROM frames JOIN s USING (video_id) WHERE frame_idx < 32),
+p AS (SELECT *, CASE WHEN i < n THEN CASE y_direction WHEN 1 THEN n - 1 - i ELSE i END END AS direction_at,
+  CASE WHEN i < 4 * size THEN CASE y_shuffle WHEN 1 THEN (list_position(drawn, i // greatest(size, 1)) - 1) * size + i % greatest(size, 1) ELSE i END END AS shuffle_at,
+  CASE WHEN y_speed = 0 THEN CASE WHEN i < n THEN i END WHEN i % 2 = 0 THEN i // 2 END AS speed_at FROM f)
+SELECT video_id, i AS frame_idx, y_direction, y_shuffle, y_speed, direction_at::BIGINT AS direction_at, shuffle_at::BIGINT AS shuffle_at, speed_at::BIGINT AS speed_at FROM p WHERE coalesce(direction_at, shuffle_at, speed_at) IS NOT NULL""", "frames")
+def pretext_clips(spark, sf_dir):
+    return temporal.pretext(frames(spark, sf_dir).select("video_id", "frame_idx"), "video_id", "frame_idx", 42)
+
+
 @stated("SELECT video_id, round(1 / (1 + exp(-avg(20 * (score - score2)))), 6) AS p FROM {frames} GROUP BY video_id")
 def clip_logits(spark, sf_dir):
     logit = F.avg(20 * (F.col("score") - F.col("score2")))

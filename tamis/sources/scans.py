@@ -143,9 +143,18 @@ def relative_path(path: Column, root: Column) -> Column:
     return F.when(F.startswith(path, base), F.substring(path, F.length(base) + 1, F.length(path))).otherwise(path)
 
 
+#: What counts as a number at the end of a name: any float, written as usual, with blanks around it.
+FLOAT = r"\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*|\s*[+-]?([iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN])\s*"
+
+
 def video_id(name: Column) -> Column:
     """A name without what follows its last underscore, if that is a number."""
-    return F.when(F.regexp_extract(name, r"_([^_]*)$", 1).try_cast("long").isNotNull(), F.regexp_replace(name, r"_[^_]*$", "")).otherwise(name)
+    return F.when(F.rlike(name, F.lit(f"_({FLOAT})$")), F.regexp_replace(name, r"_[^_]*$", "")).otherwise(name)
+
+
+def file_stem(path: Column) -> Column:
+    """The file's name without its last extension."""
+    return F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)
 
 
 # Fixed values of the image ladders: class numbers of the two label sets.
@@ -193,8 +202,9 @@ def stem_group(path: Column) -> Column:
 
 
 def normal_path(path: Column) -> Column:
-    """Trimmed, with single slashes only."""
-    return F.regexp_replace(F.translate(F.trim(path), "\\", "/"), "/+", "/")
+    """Trimmed, with forward and single slashes only, and without any `./` at the start."""
+    slashes = F.regexp_replace(F.translate(F.btrim(path, F.lit(" \t\n\r\f\v")), "\\", "/"), "/+", "/")
+    return F.regexp_replace(slashes, r"^(\./)+", "")
 
 
 def folder_label(path: Column, level: int, labels: dict[str, str], default: str = "unknown") -> Column:
