@@ -135,9 +135,9 @@ def coverage(rows: DataFrame, key: str, *teachers: DataFrame) -> DataFrame:
 
 
 def eligible(media: DataFrame) -> DataFrame:
-    """Images and videos of live items that aren't moderated yet."""
+    """Images and videos of live items that are neither sensitive nor moderated yet."""
     kind = F.startswith("mime", F.lit("image/")) | F.startswith("mime", F.lit("video/"))
-    return media.filter(F.col("status").isin("active", "pending") & ~F.coalesce("is_moderated", F.lit(False)) & kind)
+    return media.filter(F.col("status").isin("active", "pending") & ~F.coalesce("is_moderated", F.lit(False)) & ~F.coalesce("is_sensitive", F.lit(False)) & kind)
 
 
 def without_processed(media: DataFrame, *key: str) -> DataFrame:

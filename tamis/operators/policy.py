@@ -12,8 +12,3 @@ def applied(media: DataFrame, document: str = "conv_id") -> DataFrame:
     found = open_media.groupBy(document).agg(F.max("level").alias("level"), F.count("*").alias("media"), F.count_if(F.col("level") > 0).alias("flagged"))
     status = F.when(F.col("level") == 2, "banned").when(F.col("level") == 1, "sensitive").otherwise("active")
     return found.select(document, status.alias("status"), "level", "media", "flagged")
-
-
-def upserted(current: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """`current` with the rows of `changes` in place of those of the same key."""
-    return current.join(changes.select(key), key, "left_anti").unionByName(changes)

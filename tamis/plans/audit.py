@@ -141,7 +141,7 @@ def teacher_coverage(spark, sf_dir):
     return op.coverage(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", *teachers).withColumn("coverage", F.round("coverage", 6))
 
 
-@stated("""SELECT conv_id, msg_id, mime, size FROM {media_items} WHERE status IN ('active', 'pending') AND NOT coalesce(is_moderated, false) AND (mime LIKE 'image/%' OR mime LIKE 'video/%')""")
+@stated("""SELECT conv_id, msg_id, mime, size FROM {media_items} WHERE status IN ('active', 'pending') AND NOT coalesce(is_moderated, false) AND NOT coalesce(is_sensitive, false) AND (mime LIKE 'image/%' OR mime LIKE 'video/%')""")
 def eligible_media(spark, sf_dir):
     return op.eligible(media_items(spark, sf_dir)).select("conv_id", "msg_id", "mime", "size")
 

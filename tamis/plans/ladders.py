@@ -240,29 +240,3 @@ def appended_log(spark, sf_dir):
     for k in range(2):
         sinks.append_log(table(spark, sf_dir, "events").filter(F.col("event_id") % 3 == k).select("event_id", "event_type"), path)
     return spark.read.schema("event_id long, event_type string").json(path)
-
-
-@query("SELECT conv_id AS doc_id, max(turn) AS last, CASE WHEN max(turn) % 2 = 0 THEN 'even' ELSE 'odd' END AS status FROM conversations GROUP BY 1")
-def keyed_updates(spark, sf_dir):
-    """Turns written turn by turn under their conversation's key, the third update twice."""
-    store = sinks.KeyedTable(spark, shared_dir(spark, "documents"), "doc_id", "doc_id long, last long, status string")
-    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("last"), F.when(F.col("turn") % 2 == 0, "even").otherwise("odd").alias("status"))
-    for k in [0, 1, 2, 2, *range(3, (turns.agg(F.max("last")).first()[0] or 0) + 1)]:
-        store.update(turns.filter(F.col("last") == k), k)
-    return store.read()
-
-
-@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'dead' ELSE 'done' END AS state, CASE WHEN event_id % 5 = 0 THEN 3 WHEN event_id % 5 = 1 THEN 2 ELSE 1 END AS attempts FROM events""")
-def dead_letters(spark, sf_dir):
-    """Items that fail always, at first only, or never, over three batches."""
-    pending, ended = table(spark, sf_dir, "events").select("event_id", F.lit(0).alias("attempts")), []
-    kind = F.col("event_id") % 5
-    for _ in range(3):
-        handle = lambda b: b.withColumn("error", F.when((kind == 0) | ((kind == 1) & (F.col("attempts") == 0)), "download failed"))
-        done, pending, dead = sinks.apply_with_retries(pending, handle)
-        ended += [done.withColumn("state", F.lit("done")), dead.withColumn("state", F.lit("dead"))]
-        pending = pending.drop("error")
-    out = ended[0]
-    for part in ended[1:]:
-        out = out.unionByName(part)
-    return out.select("event_id", "state", "attempts")

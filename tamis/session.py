@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -24,6 +27,13 @@ def first_column(df: DataFrame, *names: str) -> str:
     raise ValueError(f"none of the columns {', '.join(names)}")
 
 
+@cache
+def _own_folder() -> str:
+    import tempfile
+
+    return tempfile.mkdtemp(prefix="tamis-")
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder name in spark.checkpoint.dir, which driver and executors share.
 
@@ -33,10 +43,7 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="tamis-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _own_folder()
 
     import uuid
 

@@ -1,13 +1,10 @@
-"""Sinks: exports, summaries, logs and keyed updates, written with Spark's own writers."""
+"""Sinks: exports, summaries and logs, written with Spark's own writers. Keyed updates are in streaming.state."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators.policy import upserted
 
 def export_by_split(rows: DataFrame, path: str, *by: str) -> None:
     """Rows as CSV with a header, in a folder per value of `by`. Values go into folder names, not into the files."""
@@ -31,50 +28,3 @@ def write_summary(row: DataFrame, path: str) -> None:
 def append_log(rows: DataFrame, path: str) -> None:
     """Adds rows to a log of JSON lines that is never rewritten."""
     rows.write.mode("append").json(path)
-
-
-class KeyedTable:
-    """A Parquet table of versions, one folder each; an update writes the next version and then points to it.
-
-    A reader takes the version that the pointer names, so a broken update leaves the last whole one in place; an update
-    that is run again under the same number replaces its folder and gives the same table.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, key: str, schema: str):
-        self.spark, self.path, self.key, self.schema = spark, path, key, schema
-        if self.version() is None:
-            spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/version=-1")
-            self._point(-1)
-
-    def version(self) -> int | None:
-        from pyspark.errors import AnalysisException
-
-        try:
-            found = self.spark.read.schema("version long").json(f"{self.path}/pointer").agg(F.max("version")).first()[0]
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return None
-        return found
-
-    def _point(self, version: int) -> None:
-        self.spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").json(f"{self.path}/pointer")
-
-    def read(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/version={self.version()}")
-
-    def update(self, changes: DataFrame, number: int) -> None:
-        """Puts `changes` in place of the rows of their keys; an update that was done already is left out."""
-        if number <= self.version():
-            return
-        last = changes.dropDuplicates([self.key])
-        upserted(self.read(), last.select(*self.read().columns), self.key).write.mode("overwrite").parquet(f"{self.path}/version={number}")
-        self._point(number)
-
-
-def apply_with_retries(batch: DataFrame, handle: Callable[[DataFrame], DataFrame], attempts: str = "attempts", most: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(done, again, dead) of a batch: `handle` adds a column `error`, null where an item was handled. Items with an error
-    come again with one more attempt, until they have had `most` and go to the dead letters."""
-    handled = handle(batch).withColumn(attempts, F.coalesce(attempts, F.lit(0)) + 1)
-    failed = F.col("error").isNotNull()
-    return handled.filter(~failed), handled.filter(failed & (F.col(attempts) < most)), handled.filter(failed & (F.col(attempts) >= most))

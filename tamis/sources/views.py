@@ -87,14 +87,18 @@ FEATURES = f"""features AS (SELECT vec_id, embedding::DOUBLE[] AS v, label, CASE
 
 
 def media_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_media(table(spark, sf_dir, "conversations"))
+
+
+def as_media(c: DataFrame) -> DataFrame:
     """Messages as moderation items."""
-    c = table(spark, sf_dir, "conversations")
     size = F.length("text")
     return c.select(
         "conv_id", F.col("turn").alias("msg_id"), "role", size.alias("size"),
         F.when(size % 3 == 0, "video/mp4").when(size % 3 == 1, "image/png").otherwise("text/plain").alias("mime"),
         F.when(size % 7 == 0, "deleted").when(size % 7 == 1, "pending").otherwise("active").alias("status"),
         F.when(size % 5 == 0, F.lit(True)).when(size % 5 == 1, F.lit(False)).alias("is_moderated"),
+        F.when(size % 11 == 0, F.lit(True)).when(size % 11 == 1, F.lit(False)).alias("is_sensitive"),
         (size % 3).alias("level"), F.concat(F.lit("reason "), (size % 4).cast("string")).alias("reason"),
     )
 
@@ -102,7 +106,7 @@ def media_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 MEDIA = """media_items AS (SELECT conv_id, turn AS msg_id, role, length(text)::INT AS size,
   CASE length(text) % 3 WHEN 0 THEN 'video/mp4' WHEN 1 THEN 'image/png' ELSE 'text/plain' END AS mime,
   CASE length(text) % 7 WHEN 0 THEN 'deleted' WHEN 1 THEN 'pending' ELSE 'active' END AS status,
-  CASE length(text) % 5 WHEN 0 THEN true WHEN 1 THEN false END AS is_moderated,
+  CASE length(text) % 5 WHEN 0 THEN true WHEN 1 THEN false END AS is_moderated, CASE length(text) % 11 WHEN 0 THEN true WHEN 1 THEN false END AS is_sensitive,
   (length(text) % 3)::INT AS level, 'reason ' || (length(text) % 4) AS reason FROM conversations)"""
 
 VIEWS = {

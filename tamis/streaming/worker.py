@@ -8,24 +8,29 @@ what comes later than that is dropped or starts anew.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import policy as pol
+from ..operators.audit import eligible
 from ..session import shared_dir, table
+from .state import ChangeFollower, KeyedBuckets
 
 
-def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int | None = None) -> DataFrame:
-    """The events table as a stream, with a timestamp that watermarks accept; all files in one batch unless limited."""
-    reader = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("recursiveFileLookup", "true")
+def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
+    """A table as a stream; all its files in one batch unless limited."""
+    reader = spark.readStream.schema(table(spark, sf_dir, name).schema).option("recursiveFileLookup", "true")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int | None = None) -> DataFrame:
+    """The events table as a stream, with a timestamp that watermarks accept."""
+    return table_stream(spark, sf_dir, "events", files_per_trigger).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def deduplicated(stream: DataFrame, key: str, late: str | None = None) -> DataFrame:
@@ -47,52 +52,80 @@ def daily_counts(stream: DataFrame, late: str = "2 days") -> DataFrame:
     return stream.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("day"), "event_type", "n")
 
 
-def changed(stream: DataFrame, days_to_live: int | None = None) -> DataFrame:
-    """Events whose type differs from the user's one before.
+def changed(stream: DataFrame, spark: SparkSession, label: str, by: str = "user_id", value: str = "event_type", path: str | None = None) -> DataFrame:
+    """Runs the stream and returns its events whose value differs from the one before it of the same key (see
+    `state.ChangeFollower`): the same rows however the input is cut into batches, as long as these come in the order of ts."""
+    path = path or shared_dir(spark, label)
+    follower = ChangeFollower(f"{path}/state", by, ["ts", "event_id"], value, F.to_date("ts"), dict(stream.dtypes))
+    found = run_available(stream.select(by, "ts", "event_id", value), spark, label, path=path, step=follower.found, after=follower.update)
+    return found.select(by, "event_id", value)
+
+
+def run_into(stream: DataFrame, path: str, handle: Callable[[DataFrame, int], None]) -> None:
+    """Hands each batch of what is there to `handle`, which has to bear being called again with the same number."""
+    query = stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+class Moderation:
+    """The worker's round as one flow: collect what is pending, apply its decisions to the documents, mark it processed.
 
-    The state is one string per user; with days_to_live, users without an event for so many days of event time are
-    forgotten, and events older than that dropped. Events are put in order within a batch; from batch to batch they have
-    to come in the order of ts.
+    `media` are items with an id, a document, a level and what `audit.eligible` asks for. An item is handled once, however
+    often it comes; a document's level only rises. Both tables are keyed and dealt to buckets, and a round that is run
+    again collects the same items, for those it marked itself don't count as processed before it.
     """
 
-    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        before = rows["event_type"].shift(1)
-        before.iloc[0] = last
-        state.update((rows["event_type"].iloc[-1],))
-        if days_to_live:
-            last_ms = int(rows["ts"].iloc[-1].timestamp() * 1000)
-            state.setTimeoutTimestamp(max(last_ms, state.getCurrentWatermarkMs()) + days_to_live * 86_400_000)
-        out = rows[before.isna() | (before != rows["event_type"])]
-        yield out[["user_id", "event_id", "event_type"]]
-
-    schema = "user_id bigint, event_id bigint, event_type string"
-    if days_to_live:
-        stream = stream.withWatermark("ts", f"{days_to_live} days")
-    timeout = GroupStateTimeout.EventTimeTimeout if days_to_live else GroupStateTimeout.NoTimeout
-    return stream.groupBy("user_id").applyInPandasWithState(follow, schema, "last string", "append", timeout)
-
-
-def run_available(stream: DataFrame, spark: SparkSession, label: str, key: list[str] | None = None) -> DataFrame:
+    def __init__(self, path: str, document: str, kind: str, buckets: int = 64):
+        self.document = document
+        self.items = KeyedBuckets(f"{path}/items", "item", f"item string, {document} {kind}, level int, round bigint", buckets)
+        self.documents = KeyedBuckets(f"{path}/documents", document, f"{document} {kind}, level int, status string", buckets)
+
+    def collected(self, media: DataFrame, number: int) -> DataFrame:
+        before = self.items.read(media.sparkSession).filter(F.col("round") < number).select("item")
+        pending = eligible(media).select("item", self.document, F.col("level").cast("int").alias("level")).dropDuplicates(["item"])
+        return pending.join(before, "item", "left_anti")
+
+    def round(self, media: DataFrame, number: int) -> None:
+        pending = self.collected(media, number)
+        status = F.when(F.col("level") == 2, "banned").when(F.col("level") == 1, "sensitive").otherwise("active")
+        self.documents.upsert(pending.groupBy(self.document).agg(F.max("level").alias("level")).withColumn("status", status), "level")
+        marked = self.collected(media, number).withColumn("round", F.lit(number).cast("long"))
+        self.items.upsert(marked, "round")
+
+    def outcome(self, spark: SparkSession) -> DataFrame:
+        """Documents with their status and how many of their items were handled."""
+        handled = self.items.read(spark).groupBy(self.document).agg(F.count("*").alias("media"))
+        return self.documents.read(spark).drop("bucket").join(handled, self.document)
+
+
+def run_available(
+    stream: DataFrame,
+    spark: SparkSession,
+    label: str,
+    key: list[str] | None = None,
+    path: str | None = None,
+    step: Callable[[DataFrame, int], DataFrame] | None = None,
+    after: Callable[[DataFrame, int], None] | None = None,
+) -> DataFrame:
     """Runs a stream over what is there and returns what it wrote.
 
     Each batch is written to a folder of its own number, so a batch that is run again replaces itself. With a key the
-    stream is run in update mode, and of the rows of a key those of the last batch count.
+    stream is run in update mode, and of the rows of a key those of the last batch count. `step` makes of a batch what is
+    written, `after` keeps what later batches need; a stream that is run again on the same `path` goes on where it stopped.
     """
-    path = shared_dir(spark, label)
-    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/rows/batch=-1")  # so that there is a table at all
+    path = path or shared_dir(spark, label)
+    schema = stream.schema if step is None else step(spark.createDataFrame([], stream.schema), -1).schema
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/rows/batch=-1")  # so that there is a table at all
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        (step(batch, number) if step else batch).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        if after:
+            after(batch, number)
 
     query = stream.writeStream.outputMode("update" if key else "append").foreachBatch(keep).option("checkpointLocation", path + "/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(path + "/rows")
+    rows = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(path + "/rows")
     if key:
-        rest = [c for c in stream.columns if c not in key]
+        rest = [c for c in schema.names if c not in key]
         rows = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("last")).select(*key, "last.*")
-    return rows.select(*stream.columns)
+    return rows.select(*schema.names)
