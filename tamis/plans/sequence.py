@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import policy as pol
 from ..functions import sequences as seq
 from ..operators import curation as cur
 from ..operators import balancing, search, temporal
+from ..operators.metrics import alike
 from ..session import table
 from ..sources.views import features, frames, series
 from .common import query, stated
@@ -140,7 +140,8 @@ def consecutive_change(spark, sf_dir):
 @query("SELECT video_id, frame_idx, round(score / max(score) OVER (PARTITION BY video_id), 6) AS flow FROM frames", "frames")
 def flow_norm(spark, sf_dir):
     rows = frames(spark, sf_dir)
-    return rows.select("video_id", "frame_idx", F.round(F.try_divide(F.col("score"), F.max("score").over(Window.partitionBy("video_id"))), 6).alias("flow"))
+    met = alike(rows, rows.groupBy("video_id").agg(F.max("score").alias("top")), ["video_id"])
+    return met.select("video_id", "frame_idx", F.round(F.try_divide("score", "top"), 6).alias("flow"))
 
 
 @query("""WITH n AS (SELECT video_id, max(frame_idx) + 1 AS n FROM frames GROUP BY 1),
@@ -161,10 +162,13 @@ def window_overlap_avg(spark, sf_dir):
   SELECT *, greatest(1, floor(count(*) OVER w * 0.1::DOUBLE)) AS k1, greatest(1, floor(count(*) OVER w * 0.3::DOUBLE)) AS k2,
   row_number() OVER (PARTITION BY video_id ORDER BY score DESC, frame_idx DESC) AS down, row_number() OVER (PARTITION BY video_id ORDER BY score, frame_idx) AS up FROM frames WINDOW w AS (PARTITION BY video_id))""", "frames")
 def pseudo_labels(spark, sf_dir):
-    by = Window.partitionBy("video_id")
-    n = F.count("*").over(by)
-    ranked = frames(spark, sf_dir).withColumns({"k1": F.greatest(F.lit(1), F.floor(n * F.lit(0.1))), "k2": F.greatest(F.lit(1), F.floor(n * F.lit(0.3))), "down": F.row_number().over(by.orderBy(F.desc("score"), F.desc("frame_idx"))), "up": F.row_number().over(by.orderBy("score", "frame_idx"))})
-    return ranked.select("video_id", "frame_idx", "score", F.when(F.col("up") <= F.col("k2"), 0).when(F.col("down") <= F.col("k1"), 1).otherwise(-1).alias("pseudo"))
+    """Ranks from above and from below are worked out by buckets of scores, so a long video is split."""
+    rows = frames(spark, sf_dir).select("video_id", "frame_idx", "score", (-F.col("score")).alias("_s"), (-F.col("frame_idx")).alias("_f"))
+    steps = lambda c: F.floor(F.col(c) * 64)
+    placed = cur.ranked(rows, ["video_id"], "score", "frame_idx", name="up", size="n", bucket=steps("score"))
+    placed = cur.ranked(placed, ["video_id"], "_s", "_f", name="down", bucket=steps("_s"))
+    least = lambda share: F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(share)))
+    return placed.select("video_id", "frame_idx", "score", F.when(F.col("up") <= least(0.3), 0).when(F.col("down") <= least(0.1), 1).otherwise(-1).alias("pseudo"))
 
 
 @stated("""SELECT video_id, frame_idx, round(h, 6) AS entropy FROM (SELECT video_id, frame_idx, -(p * ln(p) + (1 - p) * ln(1 - p)) / ln(2) AS h FROM (SELECT video_id, frame_idx, least(1 - 1e-6, greatest(1e-6, score)) AS p FROM {frames})) WHERE h <= 0.5""")
@@ -196,8 +200,9 @@ def frame_summary(spark, sf_dir):
 
 @stated("SELECT video_id, frame_idx, n - 1 - frame_idx AS back_idx FROM (SELECT *, count(*) OVER (PARTITION BY video_id) AS n FROM {frames})")
 def reversed_frames(spark, sf_dir):
-    n = F.count("*").over(Window.partitionBy("video_id"))
-    return frames(spark, sf_dir).select("video_id", "frame_idx", (n - 1 - F.col("frame_idx")).alias("back_idx"))
+    rows = frames(spark, sf_dir)
+    met = alike(rows, rows.groupBy("video_id").agg(F.count("*").alias("n")), ["video_id"])
+    return met.select("video_id", "frame_idx", (F.col("n") - 1 - F.col("frame_idx")).alias("back_idx"))
 
 
 @query("""WITH l AS (SELECT label, v, lag(v) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM features),

@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_split, sample_order, stable_id
+from ..operators.curation import ranked
 from ..session import table
+from .listings import MEDIA_LISTING, media_listing
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frame scores of videos: one row per event of a user, in time order."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("video_id"),
-        (F.row_number().over(order) - 1).alias("frame_idx"),
+    """Frame scores of videos: one row per event of a user, in time order. Events are numbered day by day, so a user with
+    any share of all events is dealt to as many tasks as there are days."""
+    events = table(spark, sf_dir, "events").select(
+        "user_id",
+        "ts",
+        "event_id",
         F.least(F.col("value") / 500, F.lit(1.0)).alias("score"),
         (F.get_json_object("props", "$.k").cast("double") / 100).alias("score2"),
     )
+    placed = ranked(events, ["user_id"], "ts", "event_id", name="_place", bucket=F.to_date("ts"))
+    return placed.select(F.col("user_id").alias("video_id"), (F.col("_place") - 1).alias("frame_idx"), "score", "score2")
 
 
 FRAMES = """frames AS (SELECT user_id AS video_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INT AS frame_idx,
@@ -116,6 +121,7 @@ VIEWS = {
     "predictions": (predictions, PREDICTIONS),
     "features": (features, FEATURES),
     "media_items": (media_items, MEDIA),
+    "media_listing": (media_listing, MEDIA_LISTING),
 }
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
