@@ -99,6 +99,33 @@ def softmax(x: Column, temperature: float = 1.0) -> Column:
     return holding(e, lambda e: holding(total(e), lambda t: F.transform(e, lambda v: v / t)))
 
 
+def guarded(x: Column, least: float = 1e-6) -> Column:
+    """Weights of at least `least` that add up to 1; what is no finite number counts as 0."""
+    plain = F.transform(x, lambda v: F.greatest(F.lit(least), F.when(F.isnan(v) | (F.abs(v) == float("inf")), 0.0).otherwise(F.coalesce(v, F.lit(0.0)))))
+    return holding(plain, lambda p: holding(total(p), lambda t: F.transform(p, lambda v: v / F.greatest(t, F.lit(least)))))
+
+
+def softened(x: Column, temperature: float, least: float = 1e-6) -> Column:
+    """Softmax of scores over a temperature, no share under `least`, made to add up to 1 again. NaN counts as 0.5, an
+    infinity as 1 or 0."""
+    clean = F.transform(x, lambda v: F.when(F.isnan(v), 0.5).when(v == float("inf"), 1.0).when(v == float("-inf"), 0.0).otherwise(v))
+    return guarded(softmax(clean, temperature), least)
+
+
+def respeeded(x: Column, factor: Column, least: int = 4) -> Column:
+    """The sequence played faster by a factor from 0.5 to 2, by taking rows at even steps; shorter ones than `least` stay."""
+    n = F.size(x)
+    m = F.greatest(F.lit(least), F.floor(n / F.least(F.lit(2.0), F.greatest(F.lit(0.5), factor))).cast("int"))
+    step = (n - 1) / (m - 1)
+    at = lambda i: F.when(i == m - 1, n - 1).otherwise(F.floor(i * step)).cast("int")
+    return F.when(n < least, x).otherwise(F.transform(F.sequence(F.lit(0), m - 1), lambda i: F.get(x, at(i))))
+
+
+def started_later(x: Column, offset: Column, jitter: int) -> Column:
+    """The sequence without its first `offset` rows (none if negative), if it is longer than twice the jitter."""
+    return F.when((F.size(x) > 2 * jitter) & (offset > 0), F.slice(x, offset + 1, F.greatest(F.size(x), F.lit(1)))).otherwise(x)
+
+
 def entropy_ratio(attention: Column) -> Column:
     """Entropy of weights against that of equal ones."""
     return -total(F.transform(attention, lambda a: a * F.log(a + 1e-8))) / F.log(F.size(attention).cast("double"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequences as seq
+from ..sources.scans import normal_path
 
 
 def keep_first(rows: DataFrame, key: str, split_order: list[str], tie: str) -> DataFrame:
@@ -26,12 +27,71 @@ def sign_bits(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.select(F.col(key).alias("id"), F.conv(bits, 2, -10).cast("long").alias("bits"))
 
 
-def resolved(rows: DataFrame, files: DataFrame, by_name: DataFrame) -> DataFrame:
-    """The file of each row: by its full key, else by its base name if that names one file only."""
-    unique = by_name.groupBy("base").agg(F.min("file").alias("_by_base"), F.count("*").alias("_n")).filter("_n = 1").drop("_n")
-    joined = rows.join(files.select("full_key", "file"), "full_key", "left").join(unique, "base", "left")
-    how = F.when(F.col("file").isNotNull(), "full").when(F.col("_by_base").isNotNull(), "base").otherwise("none")
-    return joined.withColumn("how", how).withColumn("file", F.coalesce("file", "_by_base")).drop("_by_base")
+def resolved(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Adds file and how to rows (path, given): the file that was given unless it is blank or a written null, else that of
+    the full path, else that of the path's last component if one path only ends in it, else none.
+
+    `files` (path, file) must not have two files for one path; paths are compared in their normal form.
+    """
+    name = lambda c: F.regexp_extract(c, "([^/]*)$", 1)
+    known = files.select(normal_path(F.col("path")).alias("_full"), "file").groupBy("_full").agg(F.count_distinct("file").alias("_n"), F.min("file").alias("_by_full"))
+    bad = known.filter("_n > 1").agg(F.count("*").alias("n"), F.min("_full").alias("example")).first()
+    if bad.n:
+        raise ValueError(f"{bad.n} paths have several files, {bad.example} among them")
+    known = known.drop("_n")
+    unique = known.groupBy(name(F.col("_full")).alias("_name")).agg(F.count("*").alias("_n"), F.min("_by_full").alias("_by_name")).filter("_n = 1").drop("_n")
+    keyed = rows.withColumn("_full", normal_path(F.col("path"))).withColumn("_name", name(F.col("_full")))
+    met = keyed.join(known, "_full", "left").join(unique, "_name", "left")
+    given = F.btrim("given")
+    given = F.when(~F.lower(given).isin("", "nan", "none"), given)
+    how = F.when(given.isNotNull(), "given").when(F.col("_by_full").isNotNull(), "full").when(F.col("_by_name").isNotNull(), "name").otherwise("none")
+    return met.select(*rows.columns, F.coalesce(given, "_by_full", "_by_name").alias("file"), how.alias("how"))
+
+
+def removals(leaked_images: DataFrame, files: DataFrame) -> DataFrame:
+    """Paths to be removed: each leaked image, and its label file if there is one among `files`: the first folder named
+    images becomes labels, the suffix txt."""
+    label = F.regexp_replace(F.regexp_replace("path", r"^((?:(?!images/)[^/]+/)*)images/", "$1labels/"), r"\.[^./]*$", ".txt")
+    labels = leaked_images.filter(F.rlike(F.col("path"), F.lit("(^|/)images/"))).select(label.alias("path"))
+    return leaked_images.select("path").unionByName(labels.join(files.select("path"), "path", "left_semi")).distinct()
+
+
+def set_sanity(rows: DataFrame, item: str, vector: str, columns: dict[str, int], least_std: float = 0.01) -> DataFrame:
+    """What a whole set of items (frames with a vector each) looks like, a row per named column of the vectors: how many
+    items there are, the widths that occur, how many items hold a NaN and how many an infinity, and the mean over the items
+    of the column's standard deviation (population; an item with a NaN there makes it NaN), with ok or low."""
+    v = F.col(vector)
+    any_of = lambda test: F.bool_or(F.exists(v, test))
+    at = {name: F.get(v, F.lit(i)) for name, i in columns.items()}
+    items = rows.groupBy(item).agg(
+        F.collect_set(F.size(v)).alias("w"),  # as many as there are widths
+        any_of(F.isnan).alias("nan"),
+        any_of(lambda x: F.abs(x) == float("inf")).alias("inf"),
+        *(F.stddev_pop(x).alias(f"std_{name}") for name, x in at.items()),
+    )
+    found = items.agg(
+        F.count("*").alias("items"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("w")))), ",").alias("widths"),
+        F.count_if("nan").alias("nan_items"),
+        F.count_if("inf").alias("inf_items"),
+        *(F.avg(f"std_{name}").alias(name) for name in columns),
+    )
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("column"), F.col(name).alias("mean_std")) for name in columns)))
+    out = found.select("items", "widths", "nan_items", "inf_items", each.alias("e")).select("items", "widths", "nan_items", "inf_items", "e.*")
+    return out.withColumn("status", F.when(~F.isnan("mean_std") & (F.col("mean_std") > least_std), "ok").otherwise("low"))
+
+
+def array_faults(x: Column, kind: Column, dimensions: Column, expected_kind: str = "float32", expected_dimensions: int = 2) -> Column:
+    """Why a loaded array (rows of numbers) is no feature: the first of unreadable, empty, dimensions, kind, not_finite; null
+    if it is one."""
+    wrong = F.exists(x, lambda row: F.exists(row, lambda v: F.isnan(v) | (F.abs(v) == float("inf"))))
+    return (
+        F.when(x.isNull(), "unreadable")
+        .when(F.size(F.flatten(x)) == 0, "empty")
+        .when(dimensions != expected_dimensions, "dimensions")
+        .when(kind != expected_kind, "kind")
+        .when(F.coalesce(wrong, F.lit(False)), "not_finite")
+    )
 
 
 def feature_issues(rows: DataFrame, key: str, vector: str, width: int, most: float) -> DataFrame:

@@ -212,3 +212,15 @@ def balanced_sample(rows: DataFrame, by: str, size: int, key: str) -> DataFrame:
     """About `size` rows in all, equally many of each class, those with the least keys."""
     classes = rows.select(by).distinct().filter(F.col(by).isNotNull()).count()
     return first_of_each(rows, by, max(1, size // max(1, classes)), key)
+
+
+def drawn_groups(rows: DataFrame, group: str, groups: int, seed: int) -> DataFrame:
+    """All rows of so many whole groups, drawn by a hash of the group and the seed; all rows if there are no more groups."""
+    chosen = rows.select(group).distinct().orderBy(sample_order(seed, F.col(group)), group).limit(groups)
+    return rows.join(chosen, group, "left_semi")
+
+
+def first_of_kind(rows: DataFrame, kind: str, most: int, *order) -> DataFrame:
+    """The first rows of one media type in an order; all of them if `most` is 0."""
+    found = rows.filter(F.col("media_type") == kind)
+    return found.orderBy(*order).limit(most) if most > 0 else found

@@ -210,3 +210,13 @@ def stuck(rows: DataFrame, score: str, *by: str) -> DataFrame:
     found = alike(stats, quantiles(rows, score, {"p90": 0.9, "p10": 0.1}, *by), by)
     spread = F.col("p90") - F.col("p10")
     return found.select(*by, spread.alias("spread"), ((F.col("n") >= 10) & (spread < 0.75) & (F.col("m") > 0.3)).alias("stuck"))
+
+
+def bucket_report(rows: DataFrame, cut: float, bucket: str, label: str) -> DataFrame:
+    """Per bucket and label: rows, confusion, precision, recall and F1, 0 where nothing is true or flagged, and the mean of
+    the bucket's F1s; rows without a bucket are left out."""
+    named = rows.filter(F.coalesce(bucket, F.lit("")) != "")
+    counts = confusion(named, cut, bucket, label)
+    sizes = [(F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("n")]
+    each = counts.select(bucket, label, *sizes, "tp", "fp", "fn", "tn", *(c.alias(n) for n, c in rates(counts).items() if n != "specificity"))
+    return alike(each, each.groupBy(bucket).agg(F.avg("f1").alias("macro")), [bucket])

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import sequences as seq
+
 def best_so_far(log: DataFrame, by: str, value: str, period, *order: str) -> DataFrame:
     """Adds the highest value up to each row of its group, and whether the row reaches it.
 
@@ -58,9 +60,22 @@ def inference_summary(rows: DataFrame, cut: float) -> DataFrame:
     return rows.agg(F.count_if(s >= cut).alias("flagged"), F.count_if(s < cut).alias("safe"), F.count_if(s.isNull()).alias("errors"))
 
 
-def sizes(rows: DataFrame, by: str, text: str) -> DataFrame:
-    """Megabytes (of 2**20 characters) per artifact, and whether it is there."""
-    return rows.groupBy(by).agg((F.sum(F.length(text)) / F.lit(1048576.0)).alias("size_mb"), (F.count("*") > 0).alias("found"))
+def sizes(files: DataFrame, artifacts: DataFrame, by: str, unit: float = 1e6) -> DataFrame:
+    """Each artifact expected (a column `by`, distinct), its size with all its files and whether there is one; files have
+    `by` and length."""
+    found = files.groupBy(by).agg(F.sum("length").alias("_bytes"))
+    return artifacts.join(found, by, "left").select(by, F.round(F.coalesce("_bytes", F.lit(0)) / unit, 1).alias("size_mb"), F.col("_bytes").isNotNull().alias("found"))
+
+
+def distillation(rows: DataFrame, epoch: str, teacher: Column, student: Column, bce: Column, warm_up: int, temperature: float, weight: float, entropy_weight: float) -> DataFrame:
+    """Per epoch: mean divergence of the teacher's softened scores from the student's attention (0 in the warm-up, where it
+    has no weight either), mean entropy of the attention, and the weighted total with the mean loss."""
+    attention, soft = seq.guarded(student), seq.softened(teacher, temperature)
+    kl = F.when(F.col(epoch) < warm_up, 0.0).otherwise(seq.total(F.zip_with(soft, attention, lambda t, s: t * (F.ln(t) - F.ln(s)))))
+    entropy = -seq.total(F.transform(attention, lambda a: a * F.ln(a)))
+    found = rows.groupBy(epoch).agg(F.avg(kl).alias("kl"), F.avg(entropy).alias("entropy"), F.avg(bce).alias("bce"))
+    factor = F.when(F.col(epoch) < warm_up, 0.0).otherwise(weight)
+    return found.withColumn("total", F.col("bce") + factor * F.col("kl") + entropy_weight * F.col("entropy"))
 
 
 def straddling(rows: DataFrame, group: str, split: str = "split") -> DataFrame:

@@ -103,18 +103,6 @@ def audit_flags(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", op.text_flags(F.col("text")).alias("flags"))
 
 
-@query("""WITH k AS (SELECT doc_id, source || '/' || doc_id AS full_key, (doc_id * 11 % 20000)::VARCHAR AS base FROM documents),
-v AS (SELECT o_orderkey, 'src' || (o_orderkey % 20) || '/' || o_orderkey AS full_key, ((o_orderkey * 7 + o_custkey) % 20000)::VARCHAR AS base FROM orders),
-u AS (SELECT base, min(o_orderkey) AS by_base FROM v GROUP BY base HAVING count(*) = 1)
-SELECT doc_id, coalesce(v.o_orderkey, by_base) AS order_key, CASE WHEN v.o_orderkey IS NOT NULL THEN 'full' WHEN by_base IS NOT NULL THEN 'base' ELSE 'none' END AS how
-FROM k LEFT JOIN v ON v.full_key = k.full_key LEFT JOIN u ON u.base = k.base""")
-def resolve_paths(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("full_key"), (F.col("doc_id") * 11 % 20000).cast("string").alias("base"))
-    key = F.col("o_orderkey")
-    files = table(spark, sf_dir, "orders").select(key.alias("file"), F.concat(F.lit("src"), (key % 20).cast("string"), F.lit("/"), key.cast("string")).alias("full_key"), ((key * 7 + F.col("o_custkey")) % 20000).cast("string").alias("base"))
-    return op.resolved(docs, files, files).select("doc_id", F.col("file").alias("order_key"), "how")
-
-
 @query("""SELECT vec_id, len(v)::INT AS width, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS norm, concat_ws(';', CASE WHEN len(v) <> 64 THEN 'width' END,
   CASE WHEN len(list_filter(v, lambda x: isnan(x) OR isinf(x))) > 0 THEN 'not_finite' END, CASE WHEN list_max(list_transform(v, lambda x: abs(x))) > 0.4 THEN 'range' END,
   CASE WHEN list_stddev_pop(v) < 0.05 THEN 'flat' END) AS issues FROM features""".replace("list_stddev_pop(v)", "sqrt(greatest(0, list_sum(list_transform(v, lambda x: x * x)) / len(v) - (list_sum(v) / len(v)) ** 2))"), "features")

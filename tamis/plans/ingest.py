@@ -94,9 +94,3 @@ def scenes(spark, sf_dir):
 def normalised_sources(spark, sf_dir):
     found = table(spark, sf_dir, "documents").filter(~F.contains(F.col("source"), F.lit("non")))
     return found.select(F.lower(F.regexp_replace("source", "[-_]", "")).alias("name")).distinct()
-
-
-@stated("""SELECT video_id, frame_idx, greatest(0, CAST(floor(score * 640) AS INT)) AS x, least(479, CAST(floor(score2 * 480) AS INT)) AS y FROM {frames}""")
-def box_scaling(spark, sf_dir):
-    x, y = F.floor(F.col("score") * 640).cast("int"), F.floor(F.col("score2") * 480).cast("int")
-    return frames(spark, sf_dir).select("video_id", "frame_idx", F.greatest(F.lit(0), x).alias("x"), F.least(F.lit(479), y).alias("y"))

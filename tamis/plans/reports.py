@@ -77,11 +77,6 @@ def batch_inference_summary(spark, sf_dir):
     return op.inference_summary(frames(spark, sf_dir), 0.7)
 
 
-@stated("""SELECT lang, round(sum(length(text)) / 1048576.0, 1) AS size_mb, count(*) > 0 AS found FROM {documents} GROUP BY lang""")
-def artifact_sizes(spark, sf_dir):
-    return op.sizes(table(spark, sf_dir, "documents"), "lang", "text").withColumn("size_mb", F.round("size_mb", 1))
-
-
 @stated("""SELECT group_id, count(DISTINCT split) AS splits FROM {manifest} GROUP BY group_id HAVING count(DISTINCT split) > 1""")
 def straddling_groups(spark, sf_dir):
     return op.straddling(manifest(spark, sf_dir), "group_id")

@@ -28,3 +28,21 @@ def write_summary(row: DataFrame, path: str) -> None:
 def append_log(rows: DataFrame, path: str) -> None:
     """Adds rows to a log of JSON lines that is never rewritten."""
     rows.write.mode("append").json(path)
+
+
+def append_csv(rows: DataFrame, path: str) -> None:
+    """Adds rows to a folder of CSV files, each with its header."""
+    rows.write.mode("append").option("header", True).csv(path)
+
+
+def csv_header(spark: SparkSession, path: str) -> list[str]:
+    """The columns that a CSV file or folder names in its first line; no rows are read for types."""
+    return spark.read.option("header", True).option("inferSchema", False).csv(path).columns
+
+
+def read_manifest(spark: SparkSession, path: str, arrays: str, images: str) -> tuple[str, DataFrame]:
+    """(kind, rows) of a CSV manifest: its header says whether it lists arrays (a column array_path) or images, and so
+    which schema it is read with. Columns are found by their names."""
+    columns = csv_header(spark, path)
+    kind, schema = ("arrays", arrays) if "array_path" in columns else ("images", images)
+    return kind, spark.read.option("header", True).csv(path).selectExpr(*(f"cast(`{n.split()[0]}` AS {n.split()[1]}) AS `{n.split()[0]}`" for n in schema.split(", ")))

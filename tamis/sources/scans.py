@@ -24,6 +24,12 @@ def media_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = ME
     return files.select("path", "length", *([F.md5("content").alias("md5")] if content else []))
 
 
+def with_media_type(files: DataFrame) -> DataFrame:
+    """Adds media_type by the suffix: image, video or null."""
+    suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    return files.withColumn("media_type", F.when(suffix.isin(*MEDIA[:5]), "image").when(suffix.isin(*MEDIA[5:]), "video"))
+
+
 def stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)
 
