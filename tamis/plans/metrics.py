@@ -199,13 +199,30 @@ def temperature_search(spark, sf_dir):
     return cal.best_temperature(predictions(spark, sf_dir), "label").select("label", "temperature", F.round("ece", 6).alias("ece"), F.round("brier", 6).alias("brier"))
 
 
-@query(f"""WITH {_POINTS}, a AS (SELECT label, sum(pos * (n_neg - fp + neg / 2.0)) / (max(n_pos) * max(n_neg)) AS auc FROM c GROUP BY 1),
+#: More labels: scores that are nearly right and know it, right and too sure of it, or too unsure.
+_SHIFTS = {"sharp": 0.05, "sure": 0.001, "unsure": 0.3}
+_MORE = """more AS (SELECT doc_id, label, y, score, bucket FROM predictions UNION ALL SELECT doc_id, label || '_' || k, y, CASE WHEN doc_id % 11 = 0 AND k = 'sure' THEN 1 - y ELSE abs(y - s) END, bucket FROM predictions, (SELECT unnest(""" + f"{list(_SHIFTS)}) AS k, unnest({list(_SHIFTS.values())}::DOUBLE[]) AS s))"
+
+
+def _more(spark, sf_dir):
+    rows = predictions(spark, sf_dir)
+    wrong = (F.col("doc_id") % 11 == 0) & (F.col("k") == "sure")
+    kinds = F.explode(F.create_map(*(F.lit(x) for pair in _SHIFTS.items() for x in pair))).alias("k", "s")
+    shifted = rows.select("doc_id", "label", "y", "bucket", kinds).select("doc_id", F.concat_ws("_", "label", "k").alias("label"), "y", F.when(wrong, 1.0 - F.col("y")).otherwise(F.abs(F.col("y") - F.col("s"))).alias("score"), "bucket")
+    return rows.unionByName(shifted)
+
+
+def _of_more(sql):
+    return sql.replace("WITH ", f"WITH {_MORE}, ", 1).replace("FROM predictions GROUP", "FROM more GROUP").replace(" AS z FROM predictions)", " AS z FROM more)").replace("AS p FROM predictions)", "AS p FROM more)")
+
+
+@query(_of_more(f"""WITH {_POINTS}, a AS (SELECT label, sum(pos * (n_neg - fp + neg / 2.0)) / (max(n_pos) * max(n_neg)) AS auc FROM c GROUP BY 1),
 r AS (SELECT label, count(*) FILTER (WHERE y = 1 AND score >= 0.5)::DOUBLE / count(*) FILTER (WHERE y = 1) AS recall FROM predictions GROUP BY 1),
 {_T}, k AS (SELECT unnest(['gore', 'self_harm']) AS expert, unnest([0.88, 0.78]) AS least_auc, unnest([0.80, 0.75]) AS least_recall)
 SELECT a.label, expert, CASE WHEN NOT (auc >= least_auc AND recall >= least_recall) THEN 'fail_1' WHEN one.ece < 0.10 THEN 'pass' WHEN m.ece < 0.10 THEN 'pass_scaled' ELSE 'fail_2' END AS gate
-FROM a JOIN r ON r.label = a.label JOIN (SELECT label, ece FROM e WHERE t = 1) one ON one.label = a.label JOIN (SELECT label, min(ece) AS ece FROM e GROUP BY 1) m ON m.label = a.label, k""", "predictions")
+FROM a JOIN r ON r.label = a.label JOIN (SELECT label, ece FROM e WHERE t = 1) one ON one.label = a.label JOIN (SELECT label, min(ece) AS ece FROM e GROUP BY 1) m ON m.label = a.label, k"""), "predictions")
 def gate_checks(spark, sf_dir):
-    rows = predictions(spark, sf_dir)
+    rows = _more(spark, sf_dir)
     recall = rows.groupBy("label").agg((F.count_if((F.col("y") == 1) & (F.col("score") >= 0.5)) / F.sum("y")).alias("recall"))
     ece = cal.calibration_by_temperature(rows, "label")
     one = ece.filter("temperature = 1").select("label", F.col("ece").alias("one"))
@@ -214,13 +231,13 @@ def gate_checks(spark, sf_dir):
     return found.select("label", F.explode(gates).alias("g")).select("label", "g.expert", "g.gate")
 
 
-@query("""SELECT label, (delta > 0.10)::INT + (positives < 0.40)::INT + (entropy > 0.85)::INT AS fails, CASE (delta > 0.10)::INT + (positives < 0.40)::INT + (entropy > 0.85)::INT WHEN 3 THEN 'shortcut' WHEN 0 THEN 'ok' ELSE 'partial' END AS tier FROM (
+@query(f"WITH {_MORE} " + """SELECT label, (delta > 0.10)::INT + (positives < 0.40)::INT + (entropy > 0.85)::INT AS fails, CASE (delta > 0.10)::INT + (positives < 0.40)::INT + (entropy > 0.85)::INT WHEN 3 THEN 'shortcut' WHEN 0 THEN 'ok' ELSE 'partial' END AS tier FROM (
   SELECT label, avg(score) FILTER (WHERE bucket = 'bucket0') - avg(score) FILTER (WHERE bucket = 'bucket1') AS delta, avg(score) FILTER (WHERE y = 1) AS positives,
-    avg(-(p * ln(p) + (1 - p) * ln(1 - p)) / ln(2)) AS entropy FROM (SELECT *, greatest(1e-6, least(1 - 1e-6, score)) AS p FROM predictions) GROUP BY label)""", "predictions")
+    avg(-(p * ln(p) + (1 - p) * ln(1 - p)) / ln(2)) AS entropy FROM (SELECT *, greatest(1e-6, least(1 - 1e-6, score)) AS p FROM more) GROUP BY label)""", "predictions")
 def shortcut_probe(spark, sf_dir):
     entropy = seq.binary_entropy(F.col("score"))
     mean = lambda test: F.avg(F.when(test, F.col("score")))
-    found = predictions(spark, sf_dir).groupBy("label").agg((mean(F.col("bucket") == "bucket0") - mean(F.col("bucket") == "bucket1")).alias("d"), mean(F.col("y") == 1).alias("m"), F.avg(entropy).alias("e"))
+    found = _more(spark, sf_dir).groupBy("label").agg((mean(F.col("bucket") == "bucket0") - mean(F.col("bucket") == "bucket1")).alias("d"), mean(F.col("y") == 1).alias("m"), F.avg(entropy).alias("e"))
     fails, tier = cal.shortcut_tier(F.col("d"), F.col("m"), F.col("e"))
     return found.select("label", fails.alias("fails"), tier.alias("tier"))
 

@@ -115,13 +115,15 @@ def class_confidence(spark, sf_dir):
     return _boxed(spark, sf_dir).select("video_id", "frame_idx", of("FEMALE_BREAST_EXPOSED").alias("risky"), of("FACE_FEMALE").alias("medical"))
 
 
-_SIMS = "s AS (SELECT video_id, avg(score) AS sports, avg(score2) AS violence, max(score) AS anime, min(score2) AS brawl, avg(score * score2) AS gore FROM frames GROUP BY 1)"
+_SIMS = "s AS (SELECT video_id, avg(score) * (1 + video_id % 7) AS sports, avg(score2) AS violence, max(score) AS anime, min(score2) + 0.05::DOUBLE * (video_id % 6) AS brawl, avg(score * score2) AS gore FROM frames GROUP BY 1)"
 
 
 @query(f"""WITH {_SIMS}, p AS (SELECT video_id, brawl, exp(sports * 20) / (exp(sports * 20) + exp(violence * 20)) AS ps, exp(anime * 20) / (exp(anime * 20) + exp((sports + violence) / 2 * 20)) AS pa, exp(gore * 25) / (exp(gore * 25) + exp(brawl * 25)) AS pg FROM s)
 SELECT video_id, ps > 0.55 AS is_sports, pa > 0.55 AS is_anime, pg > 0.6 AS is_gore, brawl > 0.22 AS is_brawl, round(CASE WHEN ps > 0.55 THEN greatest(0.15::DOUBLE, 1 - ps) ELSE 1.0::DOUBLE END, 6) AS factor FROM p""", "frames")
 def context_flags(spark, sf_dir):
-    sims = frames(spark, sf_dir).groupBy("video_id").agg(F.avg("score").alias("sports"), F.avg("score2").alias("violence"), F.max("score").alias("anime"), F.min("score2").alias("brawl"), F.avg(F.col("score") * F.col("score2")).alias("gore"))
+    """Similarities that some videos' ids raise, so that each flag is set for some."""
+    video = F.col("video_id")
+    sims = frames(spark, sf_dir).groupBy("video_id").agg((F.avg("score") * (1 + video % 7)).alias("sports"), F.avg("score2").alias("violence"), F.max("score").alias("anime"), (F.min("score2") + 0.05 * (video % 6)).alias("brawl"), F.avg(F.col("score") * F.col("score2")).alias("gore"))
     flags = pol.context_flags(*(F.col(c) for c in ("sports", "violence", "anime", "gore", "brawl")))
     return sims.select("video_id", *(v.alias(k) for k, v in flags.items() if k != "factor"), F.round(flags["factor"], 6).alias("factor"))
 
@@ -130,7 +132,7 @@ def context_flags(spark, sf_dir):
 a AS (SELECT f.video_id, max(greatest(0.0::DOUBLE, score2 - CASE WHEN ps > 0.55 THEN round(1 - greatest(0.15::DOUBLE, 1 - ps), 2) ELSE 0.0::DOUBLE END)) AS n FROM frames f JOIN p ON p.video_id = f.video_id GROUP BY 1)
 SELECT video_id, CASE WHEN round(n, 9) >= 0.8 THEN 'ban' WHEN round(n, 9) >= 0.7 THEN 'blur' ELSE 'safe' END AS action FROM a""", "frames")
 def nsfw_sport_action(spark, sf_dir):
-    means = frames(spark, sf_dir).groupBy("video_id").agg(F.avg("score").alias("sports"), F.avg("score2").alias("violence"), F.max("score2").alias("top"))
+    means = frames(spark, sf_dir).groupBy("video_id").agg((F.avg("score") * (1 + F.col("video_id") % 7)).alias("sports"), F.avg("score2").alias("violence"), F.max("score2").alias("top"))
     p = pol.sports_probability(F.col("sports"), F.col("violence"))
     adjusted = F.round(pol.nsfw_after_sport(F.col("top"), p), 9)
     return means.select("video_id", pol.action(pol.level(adjusted, pol.VIDEO_NSFW_BAN, pol.VIDEO_NSFW_BLUR)).alias("action"))

@@ -72,11 +72,13 @@ def expert_means(spark, sf_dir):
     return op.expert_means(predictions(spark, sf_dir), "bucket", "label").withColumn("m", F.round("m", 6))
 
 
-@stated("""SELECT count(*) FILTER (WHERE score >= 0.7) AS flagged, count(*) FILTER (WHERE score < 0.7) AS safe, count(*) FILTER (WHERE score IS NULL) AS errors FROM {frames}""")
+@stated("""SELECT count(*) FILTER (WHERE s >= 0.7) AS flagged, count(*) FILTER (WHERE s < 0.7) AS safe, count(*) FILTER (WHERE s IS NULL) AS errors FROM (SELECT CASE WHEN frame_idx % 17 <> 3 THEN score END AS s FROM {frames})""")
 def batch_inference_summary(spark, sf_dir):
-    return op.inference_summary(frames(spark, sf_dir), 0.7)
+    """Some frames have no score, as where inference failed."""
+    return op.inference_summary(frames(spark, sf_dir).withColumn("score", F.when(F.col("frame_idx") % 17 != 3, F.col("score"))), 0.7)
 
 
-@stated("""SELECT group_id, count(DISTINCT split) AS splits FROM {manifest} GROUP BY group_id HAVING count(DISTINCT split) > 1""")
+@stated("""SELECT md5, count(DISTINCT split) AS splits FROM {manifest} GROUP BY md5 HAVING count(DISTINCT split) > 1""")
 def straddling_groups(spark, sf_dir):
-    return op.straddling(manifest(spark, sf_dir), "group_id")
+    """Copies as groups."""
+    return op.straddling(manifest(spark, sf_dir), "md5")

@@ -46,7 +46,7 @@ def box_scaling(spark, sf_dir):
     return rows.withColumn("c", crop).select("video_id", "frame_idx", "b.*", *(F.col(f"c.{c}").alias(f"c{c}") for c in "xywh"))
 
 
-_DAMAGED = """d AS (SELECT vec_id, vec_id // 20 AS item, CASE vec_id % 50 WHEN 7 THEN v[1:60] WHEN 11 THEN list_concat(v[1:5], ['nan'::DOUBLE], v[7:64]) WHEN 13 THEN list_concat(['inf'::DOUBLE], v[2:64]) ELSE v END AS v FROM features)"""
+_DAMAGED = """d AS (SELECT vec_id, vec_id // 20 AS item, CASE vec_id % 50 WHEN 7 THEN v[1:60] WHEN 11 THEN list_concat(v[1:5], ['nan'::DOUBLE], v[7:64]) WHEN 13 THEN list_concat(['inf'::DOUBLE], v[2:64]) ELSE v END AS v FROM (SELECT vec_id, list_concat(v[1:63], [v[64] / 100]) AS v FROM features))"""
 
 
 def _damaged(spark, sf_dir):
@@ -58,7 +58,7 @@ def _damaged(spark, sf_dir):
 
 
 @query(f"""WITH {_DAMAGED}, i AS (SELECT item, bool_or(len(list_filter(v, lambda x: isnan(x))) > 0) AS nan, bool_or(len(list_filter(v, lambda x: isinf(x))) > 0) AS inf,
-  stddev_pop(v[62]) AS gore, stddev_pop(v[63]) AS self_harm, stddev_pop(v[64] / 100) AS nsfw FROM d GROUP BY 1),
+  stddev_pop(v[62]) AS gore, stddev_pop(v[63]) AS self_harm, stddev_pop(v[64]) AS nsfw FROM d GROUP BY 1),
 m AS (SELECT count(*) AS items, count(*) FILTER (WHERE nan) AS nan_items, count(*) FILTER (WHERE inf) AS inf_items, avg(gore) AS gore, avg(self_harm) AS self_harm, avg(nsfw) AS nsfw FROM i)
 SELECT items, (SELECT array_to_string(list_sort(list(DISTINCT len(v))), ',') FROM d) AS widths, nan_items, inf_items, unnest(['gore', 'self_harm', 'nsfw']) AS "column", round(unnest([gore, self_harm, nsfw]), 6) AS mean_std,
   CASE WHEN unnest([gore, self_harm, nsfw]) > 0.1 THEN 'ok' ELSE 'low' END AS status FROM m""", "features")
@@ -68,6 +68,19 @@ def feature_set_sanity(spark, sf_dir):
     return found.withColumn("mean_std", F.round("mean_std", 6))
 
 
+@query(f"""WITH {_DAMAGED}, f AS (SELECT vec_id, CASE vec_id % 50 WHEN 17 THEN list_transform(v, lambda x: x / 10) ELSE v END AS v FROM d),
+n AS (SELECT *, len(list_filter(v, lambda x: isnan(x) OR isinf(x))) > 0 AS bad, list_sum(list_transform(v, lambda x: x * x)) AS s2 FROM f)
+SELECT vec_id, len(v)::INT AS width, CASE WHEN NOT bad THEN round(sqrt(s2), 6) END AS norm, concat_ws(';', CASE WHEN len(v) <> 64 THEN 'width' END, CASE WHEN bad THEN 'not_finite' END,
+  CASE WHEN list_max(list_transform(list_filter(v, lambda x: NOT isnan(x)), lambda x: abs(x))) > 0.4 OR vec_id % 50 = 11 THEN 'range' END,
+  CASE WHEN NOT bad AND sqrt(greatest(0, s2 / len(v) - (list_sum(v) / len(v)) ** 2)) < 0.05 THEN 'flat' END) AS issues FROM n""", "features")
+def feature_qa(spark, sf_dir):
+    """Damaged vectors and some of hardly any spread; a NaN is out of every range."""
+    rows = _damaged(spark, sf_dir)
+    v = F.when(F.col("vec_id") % 50 == 17, F.transform("v", lambda x: x / 10)).otherwise(F.col("v"))
+    found = audit.feature_issues(rows.withColumn("v", v), "vec_id", "v", 64, 0.4)
+    return found.withColumn("norm", F.when(~F.isnan("norm") & (F.col("norm") < float("inf")), F.col("norm")))
+
+
 @query("""SELECT vec_id, CASE vec_id % 7 WHEN 0 THEN 'empty' WHEN 1 THEN 'not_finite' WHEN 2 THEN 'kind' WHEN 3 THEN 'dimensions' WHEN 4 THEN 'unreadable' WHEN 5 THEN 'not_finite' END AS fault FROM embeddings""")
 def array_checks(spark, sf_dir):
     """Arrays as they are loaded, with every fault; null for those without any."""

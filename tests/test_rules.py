@@ -102,6 +102,11 @@ def test_scans_reach_every_branch(spark, sf_dir):
     more = lambda name, *c: {tuple(r) for r in QUERIES[name](spark, big).select(*c).distinct().collect()}
     assert {x[0] for x in more("video_decisions", "violence")} == {x[0] for x in more("video_decisions", "nsfw")} == {"safe", "blur", "ban"}
     assert {x[:1] for x in more("scan_surveillance", "locked_split")} == {("",), ("test",)} and {x[0] for x in more("scan_actions", "challenge_bucket")} == {"", "normal_hard"}
+    assert {x[0] for x in more("gate_checks", "gate")} >= {"fail_1", "pass", "pass_scaled"} and {x[0] for x in more("shortcut_probe", "tier")} >= {"ok", "partial"}
+    flags = more("context_flags", "is_sports", "is_anime", "is_gore", "is_brawl")
+    assert all({x[k] for x in flags} == {True, False} for k in (0, 1, 3)) and {x[0] for x in more("stuck_scores", "stuck")} == {True, False}
+    assert {i for x in more("feature_qa", "issues") for i in x[0].split(";")} == {"", "width", "not_finite", "range", "flat"}
+    assert more("missing_classes", "label") and more("straddling_groups", "splits") and next(iter(more("batch_inference_summary", "errors")))[0] > 0
     assert {x[0] for x in more("feature_set_sanity", "status")} == {"ok", "low"} and more("dead_letters", "state", "attempts") == {("done", 1), ("done", 2), ("dead", 3)}
 
 
