@@ -1,23 +1,26 @@
 """Quality classifier: heuristic labellers, a label model by expectation-maximisation, a hashed linear scorer.
 
-Two questions are asked of each text, each by its own set of overlapping labellers: is it of low quality, and is it
-toxic? A labeller votes yes, no, or abstains. The label model takes the labellers as independent given the unknown
-answer; expectation-maximisation estimates how often each one gives each of the three votes on both kinds of text, and
-the share of yes, starting from the majority of votes. It needs only how often each pattern of votes occurs, which
-Spark counts over all texts; what is believed beforehand has the weight of PSEUDO texts. The posterior of each text's
-pattern then labels a bounded sample of texts (TRAIN_DOCS, chosen by hash), on which a logistic scorer over hashed
-words and beginnings of words is trained; every whole text is scored. A text is kept unless the label model or the
-scorer finds either fault.
+Four questions are asked of each text, each by its own set of overlapping labellers: is it noise, is it shouted, does it
+repeat itself (any of which is low quality), and is it toxic? Faults of one kind per question, for a label model has one
+hidden answer: labellers of different faults would contradict each other. A labeller votes yes, no, or abstains. The
+label model takes the labellers as independent given the unknown answer; expectation-maximisation estimates how often
+each one gives each of the three votes on both kinds of text, and the share of yes, starting from the majority of votes.
+It needs only how often each pattern of votes occurs, which Spark counts over all texts; what is believed beforehand has
+the weight of PSEUDO texts. The posterior of each text's pattern then labels a bounded sample of texts (TRAIN_DOCS, chosen
+by hash), on which alone a logistic scorer over hashed words and beginnings of words is trained; every whole text is
+scored. A text is kept unless the label model or the scorer finds a fault.
 
 Labelled rows, if there are any, do two things, from a bounded sample of them (LABELLED_DOCS rows, chosen by hash from
-those whose crc32(doc_id as text) is even; the others are kept apart for tests). Words and beginnings of words that are far more frequent in toxic texts make up a
-lexicon, in whatever language, with their log odds; the sums of a text's entries, by kind and in all, are labellers of
-their own. And the labellers' rates on the sample have the weight LABELLED_SHARE against those inferred on all texts.
+those whose crc32(doc_id as text) is even; the others are kept apart for tests). Words and beginnings of words that are far
+more frequent in toxic texts make up a lexicon, in whatever language, with their log odds; the sums of a text's entries, by
+kind and in all, are labellers of their own. And each labelled text counts in the rates as LABELLED_WEIGHT texts whose
+answer is known, beside all those whose answer is inferred: a weak prior that the corpus outweighs. No scorer sees a label.
 
-Cases: a null or empty text is of low quality by its labellers; ties (a posterior of one half) count as a fault, equal
+Cases: a text without words (null, empty) is noise by its labellers; ties (a posterior of one half) count as a fault, equal
 hashes in a sample are told apart by nothing but the cap; repeated rows are judged each for itself; of very long texts
-every word is read; null doc_ids are judged but match no label; extra columns of any name are ignored; an empty table
-gives no rows; without labels, or with labels of one kind only, the lexicon is empty and the rates are inferred alone.
+every word is read; null doc_ids are judged but match no label; of several labels of one doc_id the highest counts; extra
+columns of any name are ignored; an empty table gives no rows; without labels, or with labels of one kind only, the
+lexicon is empty and the rates are inferred alone.
 """
 
 from __future__ import annotations
@@ -40,8 +43,8 @@ SURE = 0.9
 #: Texts that the prior of a labeller's rates weighs as much as, and what it says of yes, abstain and no on texts that
 #: have the fault and on texts that don't.
 PSEUDO, PRIOR = 3.0, ((0.2, 0.4, 0.4), (0.4, 0.4, 0.2))
-#: Share of the labelled sample in the rates, where there is one.
-LABELLED_SHARE = 0.9
+#: What a labelled text weighs in the labellers' rates, against 1 for every text whose answer is inferred.
+LABELLED_WEIGHT = 1.0
 #: The lexicon: labelled toxic texts with an entry at least, and its least log odds.
 LEXICON_TEXTS, LEXICON_ODDS = 3, 2.0
 #: Shares of labelled texts that aren't toxic below which a lexicon labeller says no, and above which it says yes.
@@ -67,25 +70,68 @@ def _vote(yes: bool, no: bool) -> int:
     return 1 if yes else -1 if no else 0
 
 
-def low_quality_votes(text: bytes, words: list[bytes], evidence: np.ndarray) -> tuple[int, ...]:
-    n, size = len(words), max(1, len(text))
-    symbols = size - len(text.translate(None, b"#*$%&|<>{}\\~^=")) if text else 0
-    capitals = len(text) - len(text.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-    small = len(text) - len(text.translate(None, b"abcdefghijklmnopqrstuvwxyz"))
-    digits = len(text) - len(text.translate(None, b"0123456789"))
-    function = sum(map(FUNCTION_WORDS.__contains__, words)) / max(1, n)
+# Bytes to delete so that units between blanks are left only where they hold what is asked for.
+_BLANKS = b" \t\n\v\f\r"
+_SYMBOLS = b"#*$%&|<>{}\\~^=@_+"
+
+
+def _only(kept: bytes) -> bytes:
+    return bytes(x for x in range(256) if x not in kept and x not in _BLANKS)
+
+
+_NOT_SYMBOLS = _only(_SYMBOLS)
+_SMALL, _LETTERS = b"abcdefghijklmnopqrstuvwxyz", b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_NOT_SMALL, _NOT_LETTERS = _only(_SMALL), _only(_LETTERS)
+_NOT_ALNUM = _only(_LETTERS + b"0123456789" + bytes(range(128, 256)))
+
+
+def units_with(text: bytes, others: bytes) -> int:
+    """Units between blanks that hold anything but the bytes `others`."""
+    return len(text.translate(None, others).split())
+
+
+def noise_votes(text: bytes, words: list[bytes], evidence: np.ndarray) -> tuple[int, ...]:
+    n, size, units = len(words), max(1, len(text)), max(1, len(text.split()))
+    if not n:
+        return (1, 1, 1, 1)
+    symbols = len(text) - len(text.translate(None, _SYMBOLS))
+    function = sum(map(FUNCTION_WORDS.__contains__, words)) / n
+    bare = 1 - units_with(text, _NOT_ALNUM) / units
+    mixed = units_with(text, _NOT_SYMBOLS) / units
+    return (
+        _vote(symbols > 0.03 * size, symbols < 0.005 * size),
+        _vote(function < 0.05, function > 0.15),
+        _vote(bare > 0.05, bare < 0.01),
+        _vote(mixed > 0.1, mixed < 0.02),
+    )
+
+
+def shouting_votes(text: bytes, words: list[bytes], evidence: np.ndarray) -> tuple[int, ...]:
+    n, lettered = len(words), units_with(text, _NOT_LETTERS)
+    small = len(text) - len(text.translate(None, _SMALL))
+    capitals = len(text) - len(text.translate(None, _LETTERS)) - small
+    loud = 1 - units_with(text, _NOT_SMALL) / max(1, lettered)  # no small letter in them
+    marks, runs = text.count(b"!"), text.count(b"!!")
+    return (
+        _vote(capitals > 0.4 * max(1, small), capitals < 0.1 * max(1, small)),
+        _vote(loud > 0.3 and lettered > 0, loud < 0.05 or not lettered),
+        _vote(marks > 0.1 * max(1, n), marks <= 0.02 * n),
+        _vote(runs > 0.02 * n, runs == 0),
+    )
+
+
+def repetition_votes(text: bytes, words: list[bytes], evidence: np.ndarray) -> tuple[int, ...]:
+    n, enough = len(words), len(words) > 20
     lines = [x for x in text.split(b"\n") if x.strip()]
     repeated = 1 - len(set(lines)) / max(1, len(lines))
     variety = len(set(words)) / max(1, n)
+    top = max(Counter(words).values()) / n if enough else 0.0
+    pairs = len(set(zip(words, words[1:]))) / max(1, n - 1)
     return (
-        _vote(n < 10, n >= 30),
-        _vote(symbols > 0.03 * size, symbols < 0.005 * size),
-        _vote(capitals > 0.4 * max(1, small), 0 < capitals < 0.1 * small),
-        _vote(function < 0.05, function > 0.15),
         _vote(repeated > 0.3, repeated < 0.05),
-        _vote(text.count(b"!") > 0.1 * max(1, n), text.count(b"!") <= 0.02 * n and n > 0),
-        _vote(digits > 0.2 * size, digits < 0.05 * size and n > 0),
-        _vote(n > 20 and variety < 0.2, n > 20 and variety > 0.35),
+        _vote(enough and variety < 0.2, variety > 0.35),
+        _vote(enough and top > 0.15, not enough or top < 0.1),
+        _vote(enough and pairs < 0.5, not enough or pairs > 0.8),
     )
 
 
@@ -98,7 +144,9 @@ def toxic_votes(text: bytes, words: list[bytes], evidence: np.ndarray) -> tuple[
     return (*(_vote(h > 0, english) for h in found), _vote(total >= 2, english and not total), _vote(share > 0.003, english and share < 0.001), *evidence)
 
 
-QUESTIONS: dict[str, Callable] = {"low_quality": low_quality_votes, "toxic": toxic_votes}
+QUESTIONS: dict[str, Callable] = {"noise": noise_votes, "shouting": shouting_votes, "repetition": repetition_votes, "toxic": toxic_votes}
+#: Those of which any is low quality.
+LOW_QUALITY = ("noise", "shouting", "repetition")
 LEXICON_QUESTION = "toxic"
 VOTES = "-0+"  # no, abstains, yes
 
@@ -141,14 +189,13 @@ def label_model(counts: dict[str, float], labelled: tuple[dict[str, float], dict
     lean = votes[:, :, 0].sum(1) - votes[:, :, 2].sum(1)
     yes = np.select([lean > 0, lean < 0], [0.9, 0.1], 0.5)
     seen = [np.tensordot(list(c.values()), one_hot(list(c)), 1) if c else None for c in labelled]
-    both = all(s is not None for s in seen)
     for _ in range(rounds):
         log_rates, share = [], []
         for weight, prior, known in zip((n * yes, n * (1 - yes)), PRIOR, seen):
-            rates = (np.tensordot(weight, votes, 1) + PSEUDO * np.array(prior)) / (weight.sum() + PSEUDO)
-            if both:
-                rates = (1 - LABELLED_SHARE) * rates + LABELLED_SHARE * (known + PSEUDO * np.array(prior)) / (known[0].sum() + PSEUDO)
-            log_rates.append(np.log(rates))
+            total, size = np.tensordot(weight, votes, 1) + PSEUDO * np.array(prior), weight.sum() + PSEUDO
+            if known is not None:
+                total, size = total + LABELLED_WEIGHT * known, size + LABELLED_WEIGHT * known[0].sum()
+            log_rates.append(np.log(total / size))
             share.append((weight.sum() + 1) / (n.sum() + 2))
         model = LabelModel(float(np.log(share[0] / share[1])), log_rates[0] - log_rates[1])
         new = 1 / (1 + np.exp(-np.clip(model.prior + np.tensordot(votes, model.log_odds, 2), -30, 30)))
@@ -303,7 +350,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, questions: dict[str, C
     if labels is not None:
         answers = [q for q in questions if q in labels.columns]
         some = labels.filter(F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0))
-        some = some.select("doc_id", *(F.col(q).cast("int").alias(f"{q}_answer") for q in answers))
+        some = some.groupBy("doc_id").agg(F.count("*").alias("n"), *(F.max(F.col(q).cast("int")).alias(f"{q}_answer") for q in answers)).drop("n")
         some = sampled(some, ["doc_id"], some.count(), labelled_docs).limit(labelled_docs)
         chosen = texts.join(F.broadcast(some), "doc_id").limit(labelled_docs)  # `some` has labelled_docs rows at most
         also = [f"{q}_answer" for q in answers]
@@ -322,13 +369,8 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, questions: dict[str, C
     models = {q: label_model(counts[q], known[q]) for q in questions}
     n = max((sum(c.values()) for c in counts.values()), default=0)
     got = read_texts(sampled(texts, ["doc_id", "text"], n, train_docs), shared, []).limit(train_docs).toArrow()
-    weights = {}
-    for q in questions:  # posteriors of the sample, and what is known of the labelled texts
-        x, y = got["f"].to_pylist(), [models[q].p(p) for p in got[q].to_pylist()]
-        if answered and f"{q}_answer" in answered.column_names:
-            some = [(f, a) for f, a in zip(answered["f"].to_pylist(), answered[f"{q}_answer"].to_pylist()) if a is not None]
-            x, y = x + [f for f, _ in some], y + [float(a) for _, a in some]
-        weights[q] = train_scorer([np.array(f, np.int32) for f in x], np.array(y))
+    features = [np.array(f, np.int32) for f in got["f"].to_pylist()]
+    weights = {q: train_scorer(features, np.array([models[q].p(p) for p in got[q].to_pylist()])) for q in questions}
     return Classifier(questions, lexicon, models, weights)
 
 
@@ -358,5 +400,6 @@ def classify(docs: DataFrame, model: Classifier) -> DataFrame:
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
-    return classify(docs, fit(docs, labels))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    low = {f"low_quality_{kind}": F.greatest(*(f"{q}_{kind}" for q in LOW_QUALITY)) for kind in ("score", "label")}
+    return classify(docs, fit(docs, labels)).withColumns(low)
