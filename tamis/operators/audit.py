@@ -184,14 +184,20 @@ def kinds(issue: Column) -> Column:
     return F.split_part(issue, F.lit(":"), F.lit(1))
 
 
-def coverage(rows: DataFrame, key: str, *teachers: DataFrame) -> DataFrame:
-    """Share of the rows that one teacher at least knows; each teacher's first column is its key."""
+#: A teacher whose features cover less of the rows has no say.
+LEAST_COVERAGE = 0.8
+
+
+def coverage(rows: DataFrame, key: str, *teachers: DataFrame, by: list[str] | None = None, least: float = LEAST_COVERAGE) -> DataFrame:
+    """Share of the rows (per group) that one teacher at least knows, and whether that is enough; each teacher's first
+    column is its key."""
     known, found = rows, F.lit(False)
     for i, t in enumerate(teachers):
         mark = f"_known_{i}"
         known = known.join(t.select(F.col(t.columns[0]).alias(key)).distinct().withColumn(mark, F.lit(True)), key, "left")
         found = found | F.coalesce(mark, F.lit(False))
-    return known.agg(F.avg(F.when(found, 1.0).otherwise(0.0)).alias("coverage"))
+    shares = known.groupBy(*(by or [])).agg(F.avg(F.when(found, 1.0).otherwise(0.0)).alias("coverage"))
+    return shares.withColumn("enabled", F.coalesce(F.col("coverage") >= least, F.lit(False)))
 
 
 def eligible(media: DataFrame) -> DataFrame:

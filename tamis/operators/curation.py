@@ -224,3 +224,9 @@ def first_of_kind(rows: DataFrame, kind: str, most: int, *order) -> DataFrame:
     """The first rows of one media type in an order; all of them if `most` is 0."""
     found = rows.filter(F.col("media_type") == kind)
     return found.orderBy(*order).limit(most) if most > 0 else found
+
+
+def files_per_folder(files: DataFrame, path: str, total: str = "(total)") -> DataFrame:
+    """Files below each first folder and, under the name `total`, all of them."""
+    counts = files.select(F.split_part(path, F.lit("/"), F.lit(1)).alias("folder")).rollup("folder").agg(F.count("*").alias("n"), F.grouping("folder").alias("_all"))
+    return counts.select(F.when(F.col("_all") == 1, total).otherwise(F.col("folder")).alias("folder"), "n")

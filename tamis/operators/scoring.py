@@ -10,22 +10,38 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 Scorer = Callable[[pd.DataFrame], np.ndarray]
 
 
-def scored(rows: DataFrame, load: Callable[[], Scorer], name: str = "score") -> DataFrame:
-    """`rows` with a column of what the loaded scorer gives for each batch."""
+def scored(rows: DataFrame, load: Callable[[], Scorer], name: str = "score", batch_rows: int | None = None) -> DataFrame:
+    """`rows` with a column of what the loaded scorer gives for each batch, of batch_rows rows at most if that is set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = load()
         for batch in batches:
-            yield batch.assign(**{name: np.asarray(scorer(batch), np.float64)})
+            step = batch_rows or max(1, len(batch))
+            for at in range(0, len(batch), step):
+                part = batch.iloc[at : at + step]
+                yield part.assign(**{name: np.asarray(scorer(part), np.float64)})
 
     fields = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n != name)
     return rows.mapInPandas(run, f"{fields}, `{name}` double")
 
 
+#: Images go to the scorer so many at a time, videos one by one.
+IMAGE_BATCH, VIDEO_BATCH = 64, 1
+
+
+def scored_media(media: DataFrame, load_images: Callable[[], Scorer], load_videos: Callable[[], Scorer]) -> DataFrame:
+    """Images and videos with their scores, each kind by its own scorer in batches of its own size; other media are left
+    out. Tasks hold a batch, whatever the input's size."""
+    kind = lambda k: media.filter(F.startswith("mime", F.lit(f"{k}/")))
+    images, videos = scored(kind("image"), load_images, batch_rows=IMAGE_BATCH), scored(kind("video"), load_videos, batch_rows=VIDEO_BATCH)
+    return images.unionByName(videos)
+
+
 def effective_rank(rows: DataFrame, group: str, vector: str, share: float = 0.01) -> DataFrame:
     """Singular values above a share of the largest, per group, from the group's second-moment matrix.
 

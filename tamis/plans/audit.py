@@ -118,10 +118,13 @@ def stuck_scores(spark, sf_dir):
     return metrics.stuck(frames(spark, sf_dir), "score2", "video_id").withColumn("spread", F.round("spread", 6))
 
 
-@stated("SELECT round(avg(CASE WHEN l.doc_id IS NOT NULL OR e.vec_id IS NOT NULL THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS coverage FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id LEFT JOIN {embeddings} e ON e.vec_id = d.doc_id")
+@stated("""SELECT split, round(c, 6) AS coverage, c >= 0.8 AS enabled FROM (SELECT split, avg(CASE WHEN l.doc_id IS NOT NULL OR e.vec_id IS NOT NULL THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS c
+  FROM (SELECT doc_id, CASE WHEN doc_id < 500 THEN 'early' ELSE 'late' END AS split FROM {documents}) d LEFT JOIN {labels} l ON l.doc_id = d.doc_id LEFT JOIN {embeddings} e ON e.vec_id = d.doc_id GROUP BY 1)""")
 def teacher_coverage(spark, sf_dir):
+    """Of two parts of the table, of which one has fewer features; only enough coverage lets the teachers teach."""
     teachers = table(spark, sf_dir, "labels").select("doc_id"), table(spark, sf_dir, "embeddings").select("vec_id")
-    return op.coverage(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", *teachers).withColumn("coverage", F.round("coverage", 6))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") < 500, "early").otherwise("late").alias("split"))
+    return op.coverage(rows, "doc_id", *teachers, by=["split"]).withColumn("coverage", F.round("coverage", 6))
 
 
 @stated("""SELECT conv_id, msg_id, mime, size FROM {media_items} WHERE status IN ('active', 'pending') AND NOT coalesce(is_moderated, false) AND NOT coalesce(is_sensitive, false) AND (mime LIKE 'image/%' OR mime LIKE 'video/%')""")
@@ -129,9 +132,11 @@ def eligible_media(spark, sf_dir):
     return op.eligible(media_items(spark, sf_dir)).select("conv_id", "msg_id", "mime", "size")
 
 
-@stated("SELECT conv_id, msg_id, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY msg_id DESC) AS rn FROM {media_items}) WHERE rn <= 3")
+@stated("SELECT thread, conv_id, msg_id FROM (SELECT conv_id // 5 AS thread, conv_id, msg_id, row_number() OVER (PARTITION BY conv_id // 5 ORDER BY conv_id DESC, msg_id DESC) AS rn FROM {media_items}) WHERE rn <= 10")
 def latest_per_conversation(spark, sf_dir):
-    return cur.first_of_each(media_items(spark, sf_dir), "conv_id", 3, F.desc("msg_id")).select("conv_id", "msg_id", "role")
+    """Five conversations as one thread, so that there are more than ten messages."""
+    rows = media_items(spark, sf_dir).select(F.floor(F.col("conv_id") / 5).alias("thread"), "conv_id", "msg_id")
+    return cur.first_of_each(rows, "thread", 10, F.desc("conv_id"), F.desc("msg_id")).select("thread", "conv_id", "msg_id")
 
 
 @stated("SELECT o_orderkey, o_orderdate FROM {orders} ORDER BY o_orderdate DESC, o_orderkey LIMIT 100")

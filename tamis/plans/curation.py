@@ -204,9 +204,10 @@ def path_norm(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", scans.normal_path(F.concat(prefix, F.col("url"))).alias("path"))
 
 
-@stated("SELECT split_part(path, '/', 1) AS folder, count(*) AS n FROM {manifest} GROUP BY 1")
+@stated("SELECT coalesce(folder, '(total)') AS folder, count(*) AS n FROM (SELECT split_part(path, '/', 1) AS folder FROM {manifest}) GROUP BY ROLLUP (folder)")
 def files_per_folder(spark, sf_dir):
-    return manifest(spark, sf_dir).groupBy(F.split_part("path", F.lit("/"), F.lit(1)).alias("folder")).agg(F.count("*").alias("n"))
+    """And of all folders."""
+    return op.files_per_folder(manifest(spark, sf_dir), "path")
 
 
 @stated("SELECT doc_id, CASE WHEN split_part(path, '/', 2) = 'en' THEN 'normal' WHEN split_part(path, '/', 2) IN ('fr', 'de') THEN 'fight' ELSE 'unknown' END AS label FROM {manifest}")

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import policy as pol
 from ..operators import moderation as op
+from ..operators.scoring import IMAGE_BATCH, VIDEO_BATCH, scored_media
 from ..session import table
 from ..sources.views import frames, media_items
-from .common import query
+from .common import query, stated
 
 _TYPE = "CASE conv_id % 5 WHEN 0 THEN 'avatar_update' WHEN 1 THEN 'cover_update' ELSE 'regular' END"
 _AUTHOR = "CASE WHEN conv_id % 7 <> 0 THEN conv_id * 10 END"
@@ -169,3 +170,22 @@ def class_names(spark, sf_dir):
     taxonomy = spark.createDataFrame(_TAXONOMY, "class_id long, class string, category string, priority int, blur double, ban double")
     rows = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 5).alias("class_id"))
     return pol.with_classes(rows, taxonomy).select("event_id", "class")
+
+
+def _size_scorer(most, factor):
+    """A model that takes `most` items at a time and scores them by their sizes."""
+
+    def score(batch):
+        if len(batch) > most:
+            raise ValueError(f"more than {most} items at a time")
+        return (batch["size"] / factor).clip(upper=1.0).to_numpy()
+
+    return lambda: score
+
+
+@stated("SELECT conv_id, msg_id, mime, round(least(1, size / CAST(CASE WHEN mime LIKE 'image/%' THEN 500 ELSE 900 END AS DOUBLE)), 6) AS score FROM {media_items} WHERE mime LIKE 'image/%' OR mime LIKE 'video/%'")
+def media_scores(spark, sf_dir):
+    """Images 64 at a time, videos one by one, each by its own scorer."""
+    media = media_items(spark, sf_dir).select("conv_id", "msg_id", "mime", "size")
+    found = scored_media(media, _size_scorer(IMAGE_BATCH, 500.0), _size_scorer(VIDEO_BATCH, 900.0))
+    return found.select("conv_id", "msg_id", "mime", F.round("score", 6).alias("score"))

@@ -225,3 +225,14 @@ def test_suffixes_and_types(spark):
     got = {r.path: r.media_type for r in scans.with_media_type(files(spark, *names)).collect()}
     assert got == {n: "image" if PurePosixPath(n).suffix.lower() in IMAGE else "video" if PurePosixPath(n).suffix.lower() in VIDEO else None for n in names}
     assert re.fullmatch(scans.FLOAT, "1.5") and not re.fullmatch(scans.FLOAT, "1.5f")
+
+
+def test_media_in_batches_of_their_own(spark):
+    from tamis.operators.scoring import scored_media
+
+    media = spark.range(0, 700, 1, 3).select("id", F.when(F.col("id") % 7 == 0, "video/mp4").when(F.col("id") % 7 == 1, "text/plain").otherwise("image/png").alias("mime"))
+    sizes = lambda: lambda batch: np.full(len(batch), float(len(batch)))
+    rows = scored_media(media, sizes, sizes).collect()
+    assert len(rows) == 600 and {r.score for r in rows if r.mime == "video/mp4"} == {1.0}
+    images = [r.score for r in rows if r.mime == "image/png"]
+    assert max(images) == 64.0 and all(images.count(x) % int(x) == 0 for x in set(images))
