@@ -25,15 +25,17 @@ lexicon is empty and the rates are inferred alone.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh32_intdigest
 
 from .common import ALNUM_BYTES, documents, text_bytes
 
@@ -82,6 +84,8 @@ def _only(kept: bytes) -> bytes:
 _NOT_SYMBOLS = _only(_SYMBOLS)
 _SMALL, _LETTERS = b"abcdefghijklmnopqrstuvwxyz", b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _NOT_SMALL, _NOT_LETTERS = _only(_SMALL), _only(_LETTERS)
+_NOT_CAPITALS = bytes(x for x in range(256) if not 65 <= x <= 90)
+_NOT_SMALL_OR_BLANK = bytes(x for x in range(256) if not 97 <= x <= 122)
 _NOT_ALNUM = _only(_LETTERS + b"0123456789" + bytes(range(128, 256)))
 
 
@@ -90,14 +94,30 @@ def units_with(text: bytes, others: bytes) -> int:
     return len(text.translate(None, others).split())
 
 
-def noise_votes(text: bytes, words: list[bytes], evidence: np.ndarray) -> tuple[int, ...]:
-    n, size, units = len(words), max(1, len(text)), max(1, len(text.split()))
+@dataclass
+class Text:
+    """A text as the labellers see it."""
+
+    raw: bytes
+    words: list[bytes]
+    counts: Counter
+    evidence: tuple[int, ...]  # what the lexicon's labellers vote
+
+    def share(self, known: frozenset) -> float:
+        """Share of the words that are among the known ones."""
+        return self.total(known) / max(1, len(self.words))
+
+    def total(self, known: frozenset) -> int:
+        return sum([self.counts[w] for w in known & self.counts.keys()])
+
+
+def noise_votes(t: Text) -> tuple[int, ...]:
+    n, size = len(t.words), max(1, len(t.raw))
     if not n:
         return (1, 1, 1, 1)
-    symbols = len(text) - len(text.translate(None, _SYMBOLS))
-    function = sum(map(FUNCTION_WORDS.__contains__, words)) / n
-    bare = 1 - units_with(text, _NOT_ALNUM) / units
-    mixed = units_with(text, _NOT_SYMBOLS) / units
+    symbols, units, function = len(t.raw) - len(t.raw.translate(None, _SYMBOLS)), len(t.raw.split()), t.share(FUNCTION_WORDS)
+    bare = 1 - units_with(t.raw, _NOT_ALNUM) / units
+    mixed = units_with(t.raw, _NOT_SYMBOLS) / units if symbols else 0.0
     return (
         _vote(symbols > 0.03 * size, symbols < 0.005 * size),
         _vote(function < 0.05, function > 0.15),
@@ -106,42 +126,42 @@ def noise_votes(text: bytes, words: list[bytes], evidence: np.ndarray) -> tuple[
     )
 
 
-def shouting_votes(text: bytes, words: list[bytes], evidence: np.ndarray) -> tuple[int, ...]:
-    n, lettered = len(words), units_with(text, _NOT_LETTERS)
-    small = len(text) - len(text.translate(None, _SMALL))
-    capitals = len(text) - len(text.translate(None, _LETTERS)) - small
-    loud = 1 - units_with(text, _NOT_SMALL) / max(1, lettered)  # no small letter in them
-    marks, runs = text.count(b"!"), text.count(b"!!")
+def shouting_votes(t: Text) -> tuple[int, ...]:
+    n, capitals, small = len(t.words), len(t.raw.translate(None, _NOT_CAPITALS)), len(t.raw.translate(None, _NOT_SMALL_OR_BLANK))
+    loud = 0.0  # units with letters, none of them small, per word; each has a capital
+    if 20 * capitals >= n > 0:
+        loud = (units_with(t.raw, _NOT_LETTERS) - units_with(t.raw, _NOT_SMALL)) / n
+    marks = t.raw.count(b"!")
+    runs = t.raw.count(b"!!") if marks else 0
     return (
         _vote(capitals > 0.4 * max(1, small), capitals < 0.1 * max(1, small)),
-        _vote(loud > 0.3 and lettered > 0, loud < 0.05 or not lettered),
+        _vote(loud > 0.3, loud < 0.05),
         _vote(marks > 0.1 * max(1, n), marks <= 0.02 * n),
         _vote(runs > 0.02 * n, runs == 0),
     )
 
 
-def repetition_votes(text: bytes, words: list[bytes], evidence: np.ndarray) -> tuple[int, ...]:
-    n, enough = len(words), len(words) > 20
-    lines = [x for x in text.split(b"\n") if x.strip()]
+def repetition_votes(t: Text) -> tuple[int, ...]:
+    n, enough = len(t.words), len(t.words) > 20
+    lines = [x for x in t.raw.split(b"\n") if x.strip()]
     repeated = 1 - len(set(lines)) / max(1, len(lines))
-    variety = len(set(words)) / max(1, n)
-    top = max(Counter(words).values()) / n if enough else 0.0
-    pairs = len(set(zip(words, words[1:]))) / max(1, n - 1)
+    variety = len(t.counts) / max(1, n)
+    top = max(t.counts.values()) / n if enough else 0.0
+    pairs = len(set(zip(t.words, t.words[1:]))) / max(1, n - 1) if enough else 1.0
     return (
         _vote(repeated > 0.3, repeated < 0.05),
         _vote(enough and variety < 0.2, variety > 0.35),
-        _vote(enough and top > 0.15, not enough or top < 0.1),
-        _vote(enough and pairs < 0.5, not enough or pairs > 0.8),
+        _vote(top > 0.15, top < 0.1),
+        _vote(pairs < 0.5, pairs > 0.8),
     )
 
 
-def toxic_votes(text: bytes, words: list[bytes], evidence: np.ndarray) -> tuple[int, ...]:
-    """`evidence`: what the lexicon's labellers vote. The insults are English, so on texts without English function
-    words their absence says nothing."""
-    found = [sum(map(s.__contains__, words)) for s in INSULTS]
-    total, share = sum(found), sum(found) / max(1, len(words))
-    english = 20 * sum(map(ENGLISH.__contains__, words)) > len(words)
-    return (*(_vote(h > 0, english) for h in found), _vote(total >= 2, english and not total), _vote(share > 0.003, english and share < 0.001), *evidence)
+def toxic_votes(t: Text) -> tuple[int, ...]:
+    """The insults are English, so on texts without English function words their absence says nothing."""
+    found = [t.total(s) for s in INSULTS]
+    total, share = sum(found), sum(found) / max(1, len(t.words))
+    english = 20 * t.total(ENGLISH) > len(t.words)
+    return (*(_vote(h > 0, english) for h in found), _vote(total >= 2, english and not total), _vote(share > 0.003, english and share < 0.001), *t.evidence)
 
 
 QUESTIONS: dict[str, Callable] = {"noise": noise_votes, "shouting": shouting_votes, "repetition": repetition_votes, "toxic": toxic_votes}
@@ -206,13 +226,20 @@ def label_model(counts: dict[str, float], labelled: tuple[dict[str, float], dict
     return model
 
 
-def hashed(words: list[bytes], dimensions: int = DIMENSIONS) -> np.ndarray:
-    """Ascending features of a text's distinct words and their beginnings; modulo 3 the kind of feature."""
+def pieces(words: Iterable[bytes]) -> list[set[bytes]]:
+    """Distinct words, and their distinct beginnings of each size that are shorter than the word."""
     distinct = set(words)
-    found = [xxh32_intdigest(w) % (dimensions // 3) * 3 for w in distinct]
-    for kind, size in enumerate(BEGINNINGS, 1):
-        found += [xxh32_intdigest(w) % (dimensions // 3) * 3 + kind for w in {w[:size] for w in distinct if len(w) > size}]
-    return np.unique(np.array(found, np.int32))
+    return [distinct, *({w[:size] for w in distinct if len(w) > size} for size in BEGINNINGS)]
+
+
+def hashed(found: list[set[bytes]], dimensions: int = DIMENSIONS) -> np.ndarray:
+    """Ascending features of a text's pieces; modulo 3 the kind of piece."""
+    codes = np.array(list(chain.from_iterable(map(crc32, some) for some in found)), np.int64) % (dimensions // 3) * 3
+    at = 0
+    for kind, some in enumerate(found):
+        codes[at : at + len(some)] += kind
+        at += len(some)
+    return np.unique(codes).astype(np.int32)
 
 
 def train_scorer(rows: list[np.ndarray], targets: np.ndarray, dimensions: int = DIMENSIONS, rounds: int = ROUNDS, rate: float = 0.5, decay: float = 1e-4) -> np.ndarray:
@@ -241,59 +268,69 @@ def linear(features: np.ndarray, weights: np.ndarray) -> float:
 
 @dataclass
 class Lexicon:
-    """Ascending features with their log odds, and the bounds of no and yes for each of four sums of them."""
+    """Log odds of words and beginnings, by kind, and the bounds of no and yes for each of four sums of them."""
 
-    features: np.ndarray
-    odds: np.ndarray
-    bounds: np.ndarray
+    odds: list[dict[bytes, float]]
+    bounds: list[list[float]]
 
-    @staticmethod
-    def empty() -> Lexicon:
-        return Lexicon(np.empty(0, np.int32), np.empty(0), np.full((2, 4), np.nan))
+    def __post_init__(self):
+        self.known = [frozenset(d) for d in self.odds]
 
     @staticmethod
-    def sums(features: np.ndarray, odds: np.ndarray, size: int) -> np.ndarray:
-        """Log odds of words, of both kinds of beginnings, and of all, against the square root of the text's size."""
-        by_kind = np.bincount(features % 3, odds, 3)
-        return np.r_[by_kind, by_kind.sum()] / np.sqrt(size + 20)
+    def sums(odds: list[list[float]], size: int) -> list[float]:
+        """Log odds of words, of both kinds of beginnings, and of all, against the square root of the text's size. Exact
+        sums, so their order doesn't matter."""
+        return [math.fsum(x) / math.sqrt(size + 20) for x in (*odds, chain.from_iterable(odds))]
 
-    def votes(self, features: np.ndarray) -> tuple[int, ...]:
-        if not len(self.features):
+    def votes(self, found: list[set[bytes]]) -> tuple[int, ...]:
+        if not self.odds:
             return (0,) * 4
-        at = np.minimum(np.searchsorted(self.features, features), len(self.features) - 1)
-        hit = self.features[at] == features
-        z = self.sums(features[hit], self.odds[at[hit]], len(features))
-        return tuple(((z > self.bounds[1]).astype(int) - (z <= self.bounds[0])).tolist())
+        z = self.sums([[d[p] for p in known & some] for d, known, some in zip(self.odds, self.known, found)], sum(map(len, found)))
+        return tuple((x > high) - (x <= low) for x, low, high in zip(z, *self.bounds))
 
 
-def lexicon_of(texts: list[np.ndarray], toxic: np.ndarray) -> Lexicon:
-    """The lexicon of labelled texts. Bounds are taken on the texts that aren't toxic, each with the log odds that the
-    other texts give."""
+def lexicon_of(texts: list[list[set[bytes]]], toxic: np.ndarray) -> Lexicon:
+    """The lexicon of the pieces of labelled texts. Bounds are taken on the texts that aren't toxic, each with the log odds
+    that the other texts give."""
     if not toxic.any() or toxic.all():
-        return Lexicon.empty()
-    yes, no = (np.bincount(np.concatenate([t for t, y in zip(texts, toxic) if y == side]), minlength=DIMENSIONS) for side in (True, False))
+        return Lexicon([], [])
+    kinds, n_yes, n_no = range(1 + len(BEGINNINGS)), int(toxic.sum()), int((~toxic).sum())
+    yes, no = ([Counter(chain.from_iterable(t[k] for t, y in zip(texts, toxic) if y == side)) for k in kinds] for side in (True, False))
+    often = [{p for p, c in some.items() if c >= LEXICON_TEXTS} for some in yes]
 
-    def odds(f: np.ndarray, less: int) -> np.ndarray:
-        x = np.log((yes[f] + 0.3) / (toxic.sum() + 1)) - np.log((no[f] - less + 0.3) / ((~toxic).sum() - less + 1))
-        return np.where((yes[f] >= LEXICON_TEXTS) & (x >= LEXICON_ODDS), x, 0.0)
+    def odds(k: int, p: bytes, less: int) -> float:
+        x = math.log((yes[k][p] + 0.3) / (n_yes + 1)) - math.log((no[k][p] - less + 0.3) / (n_no - less + 1))
+        return x if x >= LEXICON_ODDS else 0.0
 
-    sums = np.array([Lexicon.sums(t, odds(t, 1), len(t)) for t, y in zip(texts, toxic) if not y])
-    every = np.arange(DIMENSIONS)
-    value = odds(every, 0)
-    return Lexicon(every[value > 0].astype(np.int32), value[value > 0], np.quantile(sums, QUANTILES, axis=0))
+    sums = [Lexicon.sums([[odds(k, p, 1) for p in often[k] & t[k]] for k in kinds], sum(map(len, t))) for t, y in zip(texts, toxic) if not y]
+    value = [{p: x for p in often[k] if (x := odds(k, p, 0)) > 0} for k in kinds]
+    return Lexicon(value, np.quantile(np.array(sums), QUANTILES, axis=0).tolist())
 
 
 class Reader:
-    """Reads a text's features and, by question, its pattern of votes."""
+    """Reads a text's pieces and, by question, its pattern of votes."""
 
     def __init__(self, questions: dict[str, Callable], lexicon: Lexicon):
         self.questions, self.lexicon = questions, lexicon
 
-    def __call__(self, text: bytes) -> tuple[np.ndarray, list[str]]:
-        words = text.translate(ALNUM_BYTES).split()
-        features = hashed(words)
-        evidence = self.lexicon.votes(features)
-        return features, [coded(votes(text, words, evidence)) for votes in self.questions.values()]
+    def __call__(self, raw: bytes) -> tuple[list[set[bytes]], list[str]]:
+        words = raw.translate(ALNUM_BYTES).split()
+        counts = Counter(words)
+        found = pieces(counts)
+        text = Text(raw, words, counts, self.lexicon.votes(found))
+        return found, [coded(votes(text)) for votes in self.questions.values()]
+
+
+def labelled_words(texts: DataFrame, also: list[str]) -> DataFrame:
+    """The distinct words of each text and the columns `also`."""
+    kinds = dict(texts.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [sorted(set(t.translate(ALNUM_BYTES).split())) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.binary())), *batch.columns[1:]], ["words", *also])
+
+    return texts.select("text", *also).mapInArrow(run, ", ".join(["words array<binary>", *(f"{c} {kinds[c]}" for c in also)]))
 
 
 def counted_patterns(texts: DataFrame, shared) -> DataFrame:
@@ -320,7 +357,7 @@ def read_texts(texts: DataFrame, shared, also: list[str]) -> DataFrame:
         read = shared.value
         for batch in batches:
             got = [read(t) for t in batch.column(0).to_pylist()]
-            columns = [pa.array([f for f, _ in got], pa.list_(pa.int32())), *(pa.array([p[k] for _, p in got], pa.string()) for k in range(len(names)))]
+            columns = [pa.array([hashed(f) for f, _ in got], pa.list_(pa.int32())), *(pa.array([p[k] for _, p in got], pa.string()) for k in range(len(names)))]
             yield pa.RecordBatch.from_arrays([*columns, *batch.columns[1:]], ["f", *names, *also])
 
     fields = ["f array<int>", *(f"{q} string" for q in names), *(f"{c} {kinds[c]}" for c in also)]
@@ -346,7 +383,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, questions: dict[str, C
     questions = questions or QUESTIONS
     broadcast = docs.sparkSession.sparkContext.broadcast
     texts = docs.select("doc_id", text_bytes())
-    lexicon, known, answered = Lexicon.empty(), {q: ({}, {}) for q in questions}, None
+    lexicon, known = Lexicon([], []), {q: ({}, {}) for q in questions}
     if labels is not None:
         answers = [q for q in questions if q in labels.columns]
         some = labels.filter(F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0))
@@ -355,9 +392,9 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, questions: dict[str, C
         chosen = texts.join(F.broadcast(some), "doc_id").limit(labelled_docs)  # `some` has labelled_docs rows at most
         also = [f"{q}_answer" for q in answers]
         if LEXICON_QUESTION in answers:
-            got = read_texts(chosen, broadcast(Reader(questions, lexicon)), also).filter(f"{LEXICON_QUESTION}_answer IS NOT NULL").toArrow()
-            lexicon = lexicon_of([np.array(f, np.int32) for f in got["f"].to_pylist()], got[f"{LEXICON_QUESTION}_answer"].to_numpy() == 1)
-        answered = read_texts(chosen, broadcast(Reader(questions, lexicon)), also).toArrow()
+            got = labelled_words(chosen, also).filter(f"{LEXICON_QUESTION}_answer IS NOT NULL").toArrow()
+            lexicon = lexicon_of([pieces(w) for w in got["words"].to_pylist()], got[f"{LEXICON_QUESTION}_answer"].to_numpy() == 1)
+        answered = read_texts(chosen, broadcast(Reader(questions, lexicon)), also).drop("f").toArrow()
         for q in answers:
             pairs = list(zip(answered[q].to_pylist(), answered[f"{q}_answer"].to_pylist()))
             known[q] = tuple(dict(Counter(p for p, y in pairs if y == side)) for side in (1, 0))
@@ -385,7 +422,8 @@ def classify(docs: DataFrame, model: Classifier) -> DataFrame:
         for batch in batches:
             out: list[list] = [[] for _ in names]
             for text in batch.column(1).to_pylist():
-                features, patterns = read(text)
+                found, patterns = read(text)
+                features = hashed(found)
                 for k, (q, pattern) in enumerate(zip(read.questions, patterns)):
                     out[2 * k].append(linear(features, weights[q]))
                     out[2 * k + 1].append(labels[q].p(pattern))

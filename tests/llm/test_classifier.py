@@ -86,19 +86,21 @@ def test_scorer_is_the_plain_gradient():
     assert np.allclose(classifier.train_scorer(rows, targets, 20), w)
 
 
+def words_of(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text))
+
+
 def votes_of(text):
     """The votes of every question, written out; no lexicon."""
     say = lambda yes, no: "+" if yes else "-" if no else "0"
-    low = "".join(c.lower() if c.isascii() else c for c in text)
-    words, units = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low), re.findall(r"[^\x20\x09-\x0D]+", text)
+    words, units = words_of(text), re.findall(r"[^\x20\x09-\x0D]+", text)
     n, size = len(words), max(1, len(text.encode()))
     symbols = sum(c in "#*$%&|<>{}\\~^=@_+" for c in text)
     share = lambda test: sum(map(test, units)) / max(1, len(units))
     function = sum(w.encode() in classifier.FUNCTION_WORDS for w in words) / max(1, n)
     bare, mixed = share(lambda u: not re.search(r"[0-9A-Za-z\x80-\U0010ffff]", u)), share(lambda u: re.search(r"[#*$%&|<>{}\\~^=@_+]", u) is not None)
     noise = say(symbols > 0.03 * size, symbols < 0.005 * size) + say(function < 0.05, function > 0.15) + say(bare > 0.05, bare < 0.01) + say(mixed > 0.1, mixed < 0.02)
-    lettered = [u for u in units if re.search("[A-Za-z]", u)]
-    loud = sum(not re.search("[a-z]", u) for u in lettered) / max(1, len(lettered))
+    loud = sum(bool(re.search("[A-Z]", u)) and not re.search("[a-z]", u) for u in units) / max(1, n)
     small, capitals = len(re.findall("[a-z]", text)), len(re.findall("[A-Z]", text))
     marks, runs = text.count("!"), text.count("!!")
     shouting = say(capitals > 0.4 * max(1, small), capitals < 0.1 * max(1, small)) + say(loud > 0.3, loud < 0.05) + say(marks > 0.1 * max(1, n), marks <= 0.02 * n) + say(runs > 0.02 * n, runs == 0)
@@ -119,30 +121,36 @@ def test_query_is_the_brute_force(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").collect()
     some = [r for r in labels if zlib.crc32(str(r.doc_id).encode()) % 2 == 0]
     assert len(some) < 0.95 * classifier.LABELLED_DOCS and len(texts) < 0.95 * classifier.TRAIN_DOCS  # all are in the samples
-    plain = classifier.Reader(classifier.QUESTIONS, classifier.Lexicon.empty())
-    sets = {r.doc_id: set(plain(texts[r.doc_id])[0].tolist()) for r in some}
-    toxic = {r.doc_id for r in some if r.toxic}
 
-    def odds(without=None):
-        """Feature -> log odds from all labelled texts but one, written out."""
-        yes = Counter(f for i in toxic for f in sets[i])
-        no = Counter(f for i in sets if i not in toxic and i != without for f in sets[i])
-        n = len(sets) - len(toxic) - (without is not None)
-        value = {f: math.log((c + 0.3) / (len(toxic) + 1)) - math.log((no[f] + 0.3) / (n + 1)) for f, c in yes.items() if c >= classifier.LEXICON_TEXTS}
-        return {f: x for f, x in value.items() if x >= classifier.LEXICON_ODDS}
-
-    def sums(features, value):
-        kinds = [sum(value.get(f, 0) for f in features if f % 3 == k) for k in range(3)]
-        return [x / math.sqrt(len(features) + 20) for x in (*kinds, sum(kinds))]
-
-    lexicon, whole = classifier.lexicon_of([np.array(sorted(sets[r.doc_id]), np.int32) for r in some], np.array([r.doc_id in toxic for r in some])), odds()
-    assert dict(zip(lexicon.features.tolist(), np.round(lexicon.odds, 9))) == {f: round(x, 9) for f, x in whole.items()} and len(whole) > 3
-    assert np.allclose(lexicon.bounds, np.quantile([sums(sets[i], odds(i)) for i in sets if i not in toxic], classifier.QUANTILES, axis=0))
-    evidence = lambda f: [(z > high) - (z <= low) for z, low, high in zip(sums(f, whole), *lexicon.bounds.tolist())]
+    def parts(text):
+        """(kind, piece) of every word and of its first four and seven bytes, if it has more."""
+        words = {w.encode() for w in words_of(text.decode())}
+        return {(0, w) for w in words} | {(k, w[:n]) for k, n in ((1, 4), (2, 7)) for w in words if len(w) > n}
+
+    sets = {i: parts(t) for i, t in texts.items()}
+    known = [r.doc_id for r in some]
+    toxic = {r.doc_id for r in some if r.toxic}
+    yes, no = (Counter(f for i in known for f in sets[i] if (i in toxic) == side) for side in (True, False))
+
+    def odds(f, less=0):
+        """Log odds of a piece from all labelled texts, or all but one that has it and isn't toxic."""
+        x = math.log((yes[f] + 0.3) / (len(toxic) + 1)) - math.log((no[f] - less + 0.3) / (len(known) - len(toxic) - less + 1))
+        return x if yes[f] >= classifier.LEXICON_TEXTS and x >= classifier.LEXICON_ODDS else 0.0
+
+    def sums(found, less=0):
+        kinds = [math.fsum(odds(f, less) for f in found if f[0] == k) for k in range(3)]
+        return [x / math.sqrt(len(found) + 20) for x in (*kinds, math.fsum(odds(f, less) for f in found))]
+
+    bounds = np.quantile([sums(sets[i], 1) for i in known if i not in toxic], classifier.QUANTILES, axis=0)
+    lexicon = classifier.lexicon_of([classifier.pieces({p for k, p in sets[i] if not k}) for i in known], np.array([i in toxic for i in known]))
+    assert {(k, p): x for k, d in enumerate(lexicon.odds) for p, x in d.items()} == {f: odds(f) for f in yes if odds(f)} and len(lexicon.odds[0]) > 3
+    assert np.allclose(lexicon.bounds, bounds)
+    evidence = lambda f: [(z > high) - (z <= low) for z, low, high in zip(sums(f), *lexicon.bounds)]
+    part = classifier.DIMENSIONS // 3
     found = {}
     for i, t in texts.items():
-        f = plain(t)[0].tolist()
-        found[i] = (plain(t)[0], [p if q != "toxic" else p[:-4] + "".join("-0+"[v + 1] for v in evidence(f)) for q, p in zip(classifier.QUESTIONS, votes_of(t.decode()))])
+        votes = [p if q != "toxic" else p[:-4] + "".join("-0+"[v + 1] for v in evidence(sets[i])) for q, p in zip(classifier.QUESTIONS, votes_of(t.decode()))]
+        found[i] = (np.array(sorted({zlib.crc32(p) % part * 3 + k for k, p in sets[i]}), np.int32), votes)
     got = {r.doc_id: r for r in classifier.op2_quality_classifier(spark, sf_dir).collect()}
     for k, q in enumerate(classifier.QUESTIONS):
         labelled = tuple([found[r.doc_id][1][k] for r in some if bool(r.toxic) == side] for side in (True, False)) if q == "toxic" else ([], [])
