@@ -11,6 +11,9 @@ Conventions that hold for every operator here, unless its docstring says otherwi
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -53,7 +56,27 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
 
         root = tempfile.mkdtemp(prefix="tamis-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/tamis-{label}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/tamis-{label}-{uuid.uuid4().hex}"
+    if (handed_out := _handed_out.get()) is not None:
+        handed_out.append(path)
+    return path
+
+
+_handed_out: ContextVar[list[str] | None] = ContextVar("handed_out", default=None)
+
+
+@contextmanager
+def scratch_deleted() -> Iterator[None]:
+    """Deletes, at the end, every folder that `scratch_dir` has named inside: for work whose result is stored elsewhere."""
+    token = _handed_out.set([])
+    try:
+        yield
+    finally:
+        paths = _handed_out.get()
+        _handed_out.reset(token)
+    for path in paths:
+        with suppress(FileNotFoundError):  # nothing was written there, or it is gone already
+            deleted(path)
 
 
 #: Has Spark delete an execution's shuffle files at its end rather than when the driver happens to collect garbage.

@@ -104,8 +104,9 @@ def features(docs: DataFrame) -> DataFrame:
 def rule_sample(docs: DataFrame, rows: int) -> DataFrame:
     """About `rows` texts (no more), by a hash over all rows, stored so that no timing reads the documents again."""
     one_in = max(1, docs.count() // rows)
-    picked = docs.select("text").filter(F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(one_in)) == 0)
-    return written(picked.limit(rows), "rule-sample")
+    hashed = docs.select("text", F.xxhash64("text", F.monotonically_increasing_id()).alias("_h"))
+    picked = hashed.filter(F.pmod("_h", F.lit(one_in)) == 0)
+    return written(picked.orderBy("_h").limit(rows).drop("_h"), "rule-sample")  # if there are more, those of the least hashes
 
 
 def rule_order(texts: DataFrame, rules: dict[str, Column], timed_chars: int = TIMED_CHARS) -> list[str]:
@@ -144,10 +145,17 @@ def cascade(featured: DataFrame, order: list[str], rules: dict[str, Column]) ->
     return judged.withColumn("kept", F.col("rejected_by").isNull())
 
 
+#: What judge_quality adds; columns of the documents by these names are replaced, all others are kept.
+ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_units", "n_repeat_words", "base_failed", "rejected_by", "kept")
+
+
 def judge_quality(docs: DataFrame, rules: dict[str, Column] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """`docs` with the features, base_failed, rejected_by and kept."""
+    """`docs`, its text made non-null, with the features, base_failed, rejected_by and kept."""
     rules = default_rules() if rules is None else rules
-    return cascade(features(docs), rule_order(rule_sample(docs, sample_rows), rules), rules)
+    others = [c for c in docs.columns if c not in (*ADDED, "text")]
+    rows = docs.select("text", *(F.col(f"`{c}`").alias(f"_own_{i}") for i, c in enumerate(others)))
+    judged = cascade(features(rows), rule_order(rule_sample(docs, sample_rows), rules), rules)
+    return judged.select(*(F.col(f"_own_{i}").alias(c) for i, c in enumerate(others)), "text", *ADDED)
 
 
 def passing(docs: DataFrame, rules: dict[str, Column] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

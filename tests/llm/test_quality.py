@@ -50,6 +50,22 @@ def test_odd_rows(spark):
     assert quality.judge_quality(docs.limit(0)).collect() == []
 
 
+def test_other_columns_stay(spark):
+    names = ["_words", "_lines", "_hashes", "_windows", "_sorted", "_places", "_own_0", "_h", "a.b"]
+    docs = spark.createDataFrame([(*r, *range(9)) for r in ODD], ["doc_id", "text", *names])
+    rows = quality.judge_quality(docs.withColumnRenamed("a.b", "n_units").withColumnsRenamed({"_h": "a b"})).collect()
+    assert all([r[c] for c in (*names[:7], "a b")] == list(range(8)) and r.n_units >= r.n_words for r in rows) and len(rows) == len(ODD)
+
+
+def test_sample_is_of_all_partitions(spark):
+    docs = spark.range(0, 4000, 1, 8).selectExpr("cast(id as string) as text", "1 as _h")
+    for size in (500, 1999, 4000, 9000):
+        got = [int(r.text) for r in quality.rule_sample(docs, size).collect()]
+        assert 0.85 * min(size, 4000) <= len(got) <= size and len(got) == len(set(got))
+        counts = [sum(i // 500 == k for i in got) for k in range(8)]
+        assert min(counts) > 0.5 * max(counts), counts
+
+
 def test_order_never_changes_what_is_kept(spark, sf_dir):
     rules = quality.default_rules()
     featured = quality.features(documents(spark, sf_dir)).cache()
