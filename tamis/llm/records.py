@@ -42,6 +42,8 @@ END_ID = 1
 INDEX = np.dtype([("offset", "<u8"), ("length", "<u8"), ("doc_id", "<i8"), ("n_ids", "<u8")])
 MANIFEST = "file int, name string, n_rows bigint, n_ids bigint, n_bytes bigint"
 _HEAD = struct.Struct("<qQ")
+#: Record files that a task of a shuffled read holds open.
+OPEN_FILES = 64
 
 
 def masked(data: bytes) -> int:
@@ -144,6 +146,47 @@ def read_records(spark: SparkSession, path: str, manifest: DataFrame, with_ids:
     return spread.mapInArrow(run, ", ".join(fields))
 
 
+def read_shuffled(spark: SparkSession, path: str, manifest: DataFrame, seed: int, epoch: int = 0) -> DataFrame:
+    """All records in an order drawn by seed and epoch: doc_id, ids and draw, in ascending draw from partition to partition.
+
+    Only places from the index files are shuffled, 32 bytes a record; a task then seeks to its records in whatever files
+    they are, with at most OPEN_FILES of them open. The draw is a hash of seed, epoch, file and offset, so an order can be
+    had again, and another epoch gives another one.
+    """
+
+    most = OPEN_FILES
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = file_system(path)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                with files.open_input_stream(f"{root}/{name}.idx") as source:
+                    index = np.frombuffer(source.read(), INDEX)
+                columns = [pa.array([name] * len(index), pa.string()), *(pa.array(index[c].astype(np.int64)) for c in ("offset", "length"))]
+                yield pa.RecordBatch.from_arrays(columns, ["name", "frame_offset", "length"])
+
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = file_system(path)
+        opened: dict = {}
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            for name, at, length, draw in zip(*(c.to_pylist() for c in batch.columns)):
+                if name not in opened:
+                    if len(opened) >= most:
+                        opened.pop(next(iter(opened))).close()
+                    opened[name] = files.open_input_file(f"{root}/{name}.rec")
+                doc_id, ids = unframe(opened[name].read_at(length + 16, at))
+                for column, value in zip(out, (doc_id, np.frombuffer(ids, "<i4"), draw)):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.list_(pa.int32()), pa.int64()))], ["doc_id", "ids", "draw"])
+        for source in opened.values():
+            source.close()
+
+    found = manifest.filter("n_rows > 0").select("name").mapInArrow(places, "name string, frame_offset bigint, length bigint")
+    drawn = found.withColumn("draw", F.xxhash64(F.lit(seed), F.lit(epoch), "name", "frame_offset"))
+    return drawn.repartitionByRange("draw").sortWithinPartitions("draw", "name", "frame_offset").mapInArrow(frames, "doc_id bigint, ids array<int>, draw bigint")
+
+
 def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "records")
     manifest = write_records(documents(spark, sf_dir), path)

@@ -39,6 +39,22 @@ def test_odd_rows_round_trip(spark):
     assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == [None, 2, 2, 2, 3, 7, 7, 9]
 
 
+def test_shuffled_reads(spark, monkeypatch):
+    """Every record once, in an order of its own for each seed and epoch, the same again for the same ones."""
+    monkeypatch.setattr(records, "OPEN_FILES", 2)
+    rows = [(i if i % 9 else None, f"text {i} " * (i % 5)) for i in range(200)] + [(7, "twice"), (7, "twice")]
+    path = scratch_dir(spark, "t")
+    manifest = records.write_records(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), path)
+    plain = [(r.doc_id, tuple(r.ids)) for r in records.read_records(spark, path, manifest, with_ids=True).collect()]
+    read = lambda seed, epoch=0: [(r.doc_id, tuple(r.ids)) for r in records.read_shuffled(spark, path, manifest, seed, epoch).collect()]
+    first = read(1)
+    assert sorted(first, key=str) == sorted(plain, key=str) and first == read(1)
+    orders = [first, read(2), read(1, 1), plain]
+    assert all(a != b for i, a in enumerate(orders) for b in orders[:i])
+    near = sum(abs(first.index(a) - first.index(b)) == 1 for a, b in zip(plain, plain[1:]))
+    assert near < 30  # neighbours in the files are seldom neighbours here
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     path = scratch_dir(spark, "t")
