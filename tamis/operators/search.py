@@ -218,7 +218,8 @@ def within_radius(classes: DataFrame, most: int, bits: int, cell_rows: int = CEL
     keyed = keyed.withColumn("part", F.col("bits").bitwiseAND(F.col("mask"))).drop("mask").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
     sizes = keyed.groupBy("key", "part").agg(F.count("*").alias("rows")).filter("rows > 1")
     salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    met = keyed.join(salted, ["key", "part", "salt"]).withColumn("blocks", F.ceil(F.col("rows") / cell_rows).cast("int"))
+    # No broadcast: Spark's estimate of the cells leaves out that they are given once per salt.
+    met = keyed.join(salted.hint("merge"), ["key", "part", "salt"]).withColumn("blocks", F.ceil(F.col("rows") / cell_rows).cast("int"))
     own = F.pmod(F.xxhash64("id", "bits"), F.col("blocks")).cast("int")
     met = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return met.select("key", "part", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "n", "bits"), masks, keys

@@ -103,6 +103,16 @@ def test_links_with_a_hot_band(spark, most, cell_rows):
         assert len(pairs) == len({(p.id1, p.id2) for p in pairs}) == sum(x[1] for x in got.values()) // 2
 
 
+def test_salted_cells_are_not_broadcast(spark):
+    """Spark takes the lookup of cells for as small as it is before it is given once per salt."""
+    rng = np.random.default_rng(11)
+    df = spark.createDataFrame(list(enumerate(map(int, rng.integers(0, 2**24, 3000)))), "id long, bits long")
+    for found in (search.hamming_links(df, 3, 24), search.hamming_pairs(df, 3, 24)):
+        assert found.collect()
+        joins = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "salt#" in x and "Join" in x]
+        assert joins and not any("Broadcast" in x for x in joins)
+
+
 def test_keys_find_every_pair():
     """Whatever bits differ, one key at least is left whole, and its parts have the bits that n asks for."""
     rng = np.random.default_rng(9)
