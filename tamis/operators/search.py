@@ -184,6 +184,8 @@ def _maxima(rows: pa.Table, vector: str, prompts: pa.Table, group: str, kept: li
 
 #: Rows of a cell that are compared with each other at once, combinations of parts at most, and parts of a split cell's lookup.
 CELL_ROWS, MOST_KEYS, SALTS = 4096, 2000, 32
+#: Cost of comparing two hashes, against that of moving one of them to a cell.
+COMPARE_COST = 1 / 500
 
 
 def signed(mask: int) -> int:
@@ -195,15 +197,21 @@ def search_keys(n: int, most: int, bits: int) -> tuple[list[int], list[tuple[int
 
     Cut into most + c parts, such hashes differ in `most` parts at most and agree on c whole ones. c is the least for
     which a key has log2(n) bits, so that n evenly spread hashes seldom meet by chance, as long as there are no more than
-    MOST_KEYS keys.
+    MOST_KEYS keys. Where more than 2^(bits/2) hashes fill the space, chance can't be kept out and each key moves all of
+    them once more: c is then the one of least cost, moves and comparisons together, and keys stay few at any n.
     """
-    best = 1
-    for c in range(1, bits - most + 1):
-        if comb(most + c, c) > MOST_KEYS:
-            break
-        best = c
-        if c * (bits // (most + c)) >= log2(max(2, n)):
-            break
+    best, need = 1, log2(max(2, n))
+    if 2 * need > bits:
+        most_parts = [c for c in range(1, bits - most + 1) if comb(most + c, c) <= MOST_KEYS]
+        cost = {c: comb(most + c, c) * (1 + COMPARE_COST * n / 2 ** (1 + bits * c // (most + c))) for c in most_parts}
+        best = min(cost, key=cost.get, default=1)
+    else:
+        for c in range(1, bits - most + 1):
+            if comb(most + c, c) > MOST_KEYS:
+                break
+            best = c
+            if c * (bits // (most + c)) >= need:
+                break
     parts = most + best
     edges = [bits * i // parts for i in range(parts + 1)]
     return [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])], list(combinations(range(parts), best))

@@ -1,5 +1,7 @@
 """Vector and hash search against plain numpy."""
 
+from itertools import combinations
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -125,6 +127,16 @@ def test_keys_find_every_pair():
     assert min(sum(search.search_keys(10**9, 3, 64)[0][p].bit_count() for p in key) for key in search.search_keys(10**9, 3, 64)[1]) >= 30
 
 
+def test_keys_stay_few_where_hashes_are_dense():
+    """More keys can't keep hashes apart that fill their space; each would move all of them once more."""
+    for n in (5000, 10**5, 6 * 10**5, 6 * 10**6):
+        masks, keys = search.search_keys(n, 3, 24)
+        assert len(keys) <= 20
+        for at in combinations(range(24), 3):
+            x = sum(1 << b for b in at)
+            assert any(all(not x & masks[p] for p in key) for key in keys)
+
+
 def test_empty_hashes(spark):
     none = spark.createDataFrame([], "id long, bits long")
     assert search.hamming_links(none, 3).collect() == [] and search.hamming_pairs(none, 3).collect() == []
