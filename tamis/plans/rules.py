@@ -37,9 +37,11 @@ SELECT video_id, frame_idx, x0 AS x, y0 AS y, w0 AS w, h0 AS h, x1 AS cx, y1 AS
 def box_scaling(spark, sf_dir):
     """Boxes from frames of a quarter of the size, in the frame and in a 224 x 224 crop; those that are nearly all of the
     frame are left out."""
-    rows = frames(spark, sf_dir).withColumns({"ow": 320 * (1 + F.col("frame_idx") % 5), "oh": 240 * (1 + F.col("frame_idx") % 3)})
-    part = lambda score, side, share: F.floor(score * F.col(side) * share)
-    found = boxes.content_box(part(F.col("score"), "ow", 0.3), part(F.col("score2"), "oh", 0.2), part(F.col("score2"), "ow", 0.3), F.floor(F.col("oh") * 0.26), F.lit(0.25), F.col("ow"), F.col("oh"))
+    # A side's two factors one after the other, as the SQL has them: their product first rounds otherwise.
+    across, down = (320, 1 + F.col("frame_idx") % 5), (240, 1 + F.col("frame_idx") % 3)
+    rows = frames(spark, sf_dir).withColumns({name: side[0] * side[1] for name, side in (("ow", across), ("oh", down))})
+    part = lambda score, side, share: F.floor(F.col(score) * side[0] * side[1] * share)
+    found = boxes.content_box(part("score", across, 0.3), part("score2", down, 0.2), part("score2", across, 0.3), F.floor(F.col("oh") * 0.26), F.lit(0.25), F.col("ow"), F.col("oh"))
     rows = rows.withColumn("b", found).filter("b IS NOT NULL")
     side = F.lit(224).cast("long")
     crop = boxes.scaled(*(F.col(f"b.{c}") for c in "xywh"), 224 / F.col("ow").cast("double"), 224 / F.col("oh").cast("double"), side, side)
