@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a block, and similarities that a task holds at a time.
-BLOCK_ROWS, CELLS = 16_384, 1 << 22
+BLOCK_ROWS, CELLS = 16_384, 1 << 19
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:

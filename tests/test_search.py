@@ -1,5 +1,6 @@
 """Vector and hash search against plain numpy."""
 
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
@@ -60,6 +61,20 @@ def test_widths_must_agree(spark):
         search.nearest(bad, bad, 1).collect()
 
 
+def test_memory_of_two_blocks():
+    """Two whole blocks are compared in little more memory than they take themselves."""
+    rng = np.random.default_rng(12)
+    a, b = rng.normal(size=(1000, 16)), rng.normal(size=(search.BLOCK_ROWS, 16))
+    ids = np.arange(len(b))
+    tracemalloc.start()
+    try:
+        found = list(search.k_best(a, b, ids, 5, np.full(len(a), -1)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 48 << 20 and sum(len(x[0]) for x in found) == 5 * len(a)
+
+
 @pytest.mark.parametrize("most", [4096, 20])
 def test_many_prompts(spark, monkeypatch, most):
     """One matrix in every task, or blocks of prompts: the same maxima."""
