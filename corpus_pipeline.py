@@ -20,8 +20,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each connected group of near-duplicates (5-word shingles with a Jaccard similarity of 0.8 or more) the row with
-    the least doc_id stays; a null doc_id comes last, and of rows that tie in doc_id one stays. Null and empty texts are
-    one group."""
+    the least doc_id stays: SimHash brings near texts together, MinHash those beyond its bits, whole sets decide. A null
+    doc_id comes last, and of rows that tie in doc_id one stays. Null and empty texts are one group."""
     return neardup.one_of_each(docs)
 
 

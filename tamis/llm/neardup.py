@@ -1,12 +1,14 @@
 """Near-duplicates by the Jaccard similarity of 5-word shingles, for the pipeline's stage.
 
 Two rows are linked if their sets of 5-word shingles have a Jaccard similarity of 0.8 or more; of each connected group
-one row stays. Candidates come from MinHash: 24 bands of 4 minima each, so a pair at 0.8 exactly meets in no band with a
-probability of (1 - 0.8^4)^24, about 3 in a million, and more alike pairs with less. Every candidate pair is verified
-on the whole sets before it is linked; nothing else of a cell is compared by sketch.
-
-Texts with the same words are one node from the start. Nodes that share a band are a cell; of cells with the same
-nodes one stays. A crowded cell is cut to blocks by number and bytes of its sets, and each pair of blocks is a cell of
+one row stays. Candidates come from two sources. The SimHash operator, on the same shingles, groups fingerprints within
+its four bits of one another, and loses no such pair. Pairs at 0.8 differ in about ten bits, out of its reach; MinHash
+brings these: 24 bands of 4 minima each, so a pair at 0.8 exactly meets in no band with a probability of
+(1 - 0.8^4)^24, about 3 in a million, and more alike pairs with less. Every candidate pair is verified on the whole sets
+before it is linked, for four bits can be few changes or many in a long text.
+
+Texts with the same words are one node from the start. Nodes of one SimHash component are a cell, and nodes that share a
+band; of cells with the same nodes one stays. A crowded cell is cut to blocks by number and bytes of its sets, and each pair of blocks is a cell of
 its own, so no task holds more than two blocks. A cell returns a star for each linked group, not its pairs.
 
 Cases: case is ignored for A-Z; null and empty texts are one node; a text of fewer words than a shingle is one
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from .common import LOWER_BYTES, U64, gram_hashes, mix, text_bytes, written
-from .simhash import components, stars
+from .simhash import components, near_duplicates, stars
 
 SHINGLE_WORDS, SEED = 5, 42
 #: Linked at a similarity of LEAST_SHARED[0] / LEAST_SHARED[1] or more.
@@ -144,7 +146,9 @@ def one_of_each(docs: DataFrame, block: int = BLOCK, block_bytes: int = BLOCK_BY
     """
     placed = written(docs.select(F.struct("*").alias("_row"), F.monotonically_increasing_id().alias("_place")), "neardup-rows")
     placed = placed.select("_row.doc_id", "_row.text", "_row", "_place")
-    found = written(signatures(placed), "neardup")
+    groups = near_duplicates(placed, SHINGLE_WORDS, also=("_place",)).select("_place", F.array(F.xxhash64(F.lit("fp"), "centre")).alias("group"))
+    cells = F.when(F.col("size") > 0, F.concat("cells", "group")).otherwise(F.col("cells"))
+    found = written(signatures(placed).join(groups, "_place").withColumn("cells", cells).drop("group"), "neardup")
     probes = found.select("node", "size", F.explode("cells").alias("cell")).distinct()
     cells = probes.groupBy("cell").agg(
         F.count("*").alias("n"), F.sum("size").alias("size"), F.bit_xor("node").alias("a"), F.bit_xor(F.xxhash64("node")).alias("b")

@@ -1,7 +1,9 @@
 import re
 
+import numpy as np
+
 import corpus_pipeline
-from tamis.llm import neardup
+from tamis.llm import neardup, simhash
 from tamis.llm.common import documents
 
 
@@ -53,6 +55,22 @@ def test_pairs_of_many_bits_go(spark):
     assert stays(dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, "")) == want
 
 
+def test_simhash_alone_finds_what_is_within_its_bits(spark, monkeypatch):
+    """Without MinHash the operator's fingerprints still bring together texts of few other shingles; sets decide."""
+    rows, near = [], 0
+    for k in range(30):
+        words = [f"w{k}x{i}" for i in range(1500)]
+        texts = [" ".join(words), edited(words, {700}), edited(words, {300, 1100})]
+        a, b, c = (simhash.fingerprint(t.encode(), 5) & (1 << 64) - 1 for t in texts)
+        near += [(a ^ b).bit_count() <= 4, (a ^ c).bit_count() <= 4, (b ^ c).bit_count() <= 4].count(True) > 1
+        rows += [(3 * k + i, t) for i, t in enumerate(texts)]
+    rows += [(1000 + i, t) for i, t in enumerate(("a b", "c d", "", None))]  # short texts: far apart, or one group
+    monkeypatch.setattr(neardup, "bands", lambda found: np.empty(0, np.int64))
+    got = stays(neardup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert near > 20 and {x for _, x in got} >= {x for _, x in brute(rows)}
+    assert len(got) <= 30 + 3 + 2 * (30 - near)
+
+
 def test_documents_table(spark, sf_dir):
     docs = documents(spark, sf_dir)
     got = neardup.one_of_each(docs)
