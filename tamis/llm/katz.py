@@ -11,14 +11,19 @@ one never-seen word, which gets what the discounts leave. Where counts are too f
 discounts take their place; where every count after h is beyond discounting, one more count is set aside for the
 unseen. Every word is a type of its own and every n-gram is counted, whatever the input's size.
 
-The tables, all written to the shared folder by order and hashed by n-gram: probabilities (w1 .. wn, p) and backoff
-weights (w1 .. wn-1, log_backoff). Counts of the highest order are added up in each task before they travel; lower
-orders are their marginal sums. A word is a number: its place among the frequent words (at least FREQUENT_SHARE of all
-tokens, so there are at most 1 / FREQUENT_SHARE, known to every task), else a 64-bit hash, which only codes it.
+A word is a number: its place among the frequent words (at least FREQUENT_SHARE of all tokens, so there are at most
+1 / FREQUENT_SHARE, known to every task), else a 64-bit hash, which only codes it.
 
-Scoring recurses by joins: all n-grams of the texts meet the table of the highest order; those not found take up their
-history's weight and meet the next lower order without their first word. An n-gram in very many texts is one row per
-text on one side of such a join and one row on the other, which adaptive execution splits.
+N-grams are dealt to buckets by the word before their last. A bucket then has every history that ends with its words, all
+that follows these, and so counts, discounts, weights and sums of each order from 2 on, but for P1 of what follows: the
+frequent words' are known, and the others' add up in the buckets of those words, which tell each word that they followed.
+A word with more than a bucket's share of the tokens has several buckets by the word before it; its pairs are counted
+apart and given to all of them. The table written to the shared folder has the counts of the highest order by bucket,
+added up in each task before they travel; lower orders are their marginal sums, and `probabilities` unfolds it.
+
+Training and scoring go through the buckets in up to PASSES passes over the coded texts, so that what is shuffled at once
+is that part of all n-grams. In a pass the n-grams of the texts meet their bucket's table, piece by piece: only the table
+is held. Sums per text go back; words that aren't frequent and are asked of order 1 meet the table of words at the end.
 
 Cases: a null or empty text is one end; without training texts every token is a never-seen word; repeated rows are
 counted and scored each for itself; a null doc_id counts as the empty string when texts are dealt to training; very
@@ -30,19 +35,23 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import LOWER_BYTES, deleted, documents, scratch_dir, stored, text_bytes
+from .common import LOWER_BYTES, U64, deleted, documents, mix, scratch_dir, stored, text_bytes
 
 ORDER, FREQUENT_SHARE = 3, 1 / 500_000
 DISCOUNTED = 5  # counts up to this one are discounted
 BATCH_TOKENS = 2_000_000
-#: Tokens that are not words, before the frequent words' own numbers. NONE fills up the key of what is no n-gram.
+PASSES = 8
+#: Tokens that are not words, before the frequent words' own numbers. Those of words that aren't frequent are below NONE.
 NONE, BEGIN, END, FIRST_WORD = -1, 0, 1, 2
 
 
@@ -97,21 +106,6 @@ class Vocabulary:
         return np.array([*(get(w) or word_key(w) for w in words), END], np.int64)
 
 
-def grams(tokens: np.ndarray, order: int) -> list[np.ndarray]:
-    """The columns w1 .. wn of the n-grams that end at each token."""
-    padded = np.r_[np.full(order - 1, BEGIN), tokens]
-    return [padded[k : k + len(tokens)] for k in range(order)]
-
-
-def counted(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows of the columns, in order, and how often each occurs."""
-    order = np.lexsort(columns[::-1])
-    columns = [c[order] for c in columns]
-    new = np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns])] if len(order) else np.empty(0, bool)
-    at = np.flatnonzero(new)
-    return [c[at] for c in columns], np.diff(np.r_[at, len(order)])
-
-
 def word_counts(docs: DataFrame, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
     """(token, c): counts of words and, as the empty word, of ends; each task adds up its own before they travel."""
 
@@ -138,30 +132,197 @@ def word_counts(docs: DataFrame, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
     return docs.select(text_bytes()).mapInArrow(run, "token binary, c bigint").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-def gram_counts(docs: DataFrame, vocabulary, order: int, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
-    """(w1 .. wn, c) of all n-grams; each task adds up its own before they travel."""
-    fields = names(order)
+def spread(columns: list[np.ndarray], seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the rows of the columns."""
+    h = np.full(len(columns[0]), seed, U64)
+    for c in columns:
+        h = mix(h * U64(0x9E3779B97F4A7C15) + c.view(U64))
+    return h
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        size = 0
 
-        def added() -> pa.RecordBatch:
-            columns, c = counted([np.concatenate(x) for x in zip(*held)])
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (*columns, c)], [*fields, "c"])
+def packed(numbers: np.ndarray) -> bytes:
+    """Words' numbers as 32 bits each, those of words that aren't frequent as 64 bits after these."""
+    rare = numbers < NONE
+    return np.where(rare, NONE - 1, numbers).astype(np.int32).tobytes() + numbers[rare].tobytes()
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    numbers = np.frombuffer(data, np.int32, n).astype(np.int64)
+    numbers[numbers < NONE] = np.frombuffer(data, np.int64, -1, 4 * n)
+    return numbers
+
+
+class Index:
+    """Distinct rows of the columns. The hash by which they are sorted has another seed if two of them share it, and
+    what is looked up is compared, so that hashes decide nothing."""
+
+    def __init__(self, columns: list[np.ndarray]):
+        self.seed = 0
+        while True:
+            key = spread(columns, self.seed)
+            self.order = np.argsort(key)
+            key, rows = key[self.order], [c[self.order] for c in columns]
+            same = key[1:] == key[:-1]
+            if not np.logical_or.reduce([c[1:] != c[:-1] for c in rows])[same].any():
+                break
+            self.seed += 1
+        self.starts = np.flatnonzero(np.r_[True, ~same]) if len(key) else np.empty(0, np.int64)
+        self.key, self.columns = key[self.starts], [c[self.starts] for c in rows]
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(x[self.order], self.starts) if len(x) else x
+
+    def members(self) -> np.ndarray:
+        """Per row given, which of the distinct ones it is."""
+        at = np.empty(len(self.order), np.int64)
+        at[self.order] = np.repeat(np.arange(len(self.starts)), np.diff(np.r_[self.starts, len(self.order)]))
+        return at
+
+    def find(self, columns: list[np.ndarray]) -> np.ndarray:
+        """Places of the rows, -1 where there is none."""
+        if not len(self.key):
+            return np.full(len(columns[0]), -1)
+        key = spread(columns, self.seed)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(np.logical_and.reduce([self.key[at] == key, *(a[at] == b for a, b in zip(self.columns, columns))]), at, -1)
+
+
+@dataclass
+class Layout:
+    """Where n-grams are dealt: to the bucket of the word before their last, w. If w has more than a bucket's share of
+    the tokens, it has several buckets, among which the word before w decides."""
+
+    fields: int  # words of an n-gram that travel: 3 at least, so that there is a word before w
+    buckets: int
+    passes: int
+    splits: np.ndarray  # by number of a frequent word, 1 for most
+
+    def parts(self, w: np.ndarray) -> np.ndarray:
+        return np.where(w > NONE, self.splits[np.maximum(w, 0)], 1)
+
+    def place(self, w: np.ndarray, part: np.ndarray) -> np.ndarray:
+        return (spread([w, part]) % U64(self.buckets)).astype(np.int64)
+
+    def bucket(self, columns: list[np.ndarray]) -> np.ndarray:
+        parts = self.parts(columns[-2])
+        part, several = np.zeros(len(parts), np.int64), parts > 1
+        part[several] = (spread([columns[-3][several]], 1) % parts[several].astype(U64)).astype(np.int64)
+        return self.place(columns[-2], part)
+
+
+def layout(order: int, vocabulary: Vocabulary, tokens: int, bucket_tokens: int | None = None) -> Layout:
+    size = bucket_tokens or min(max(tokens // 512, 1 << 17), 1 << 20)
+    buckets = -(-max(tokens, 1) // size)
+    count = vocabulary.count.copy()
+    count[BEGIN] = count[END]  # a text has one of each; BEGIN stands before its first word
+    return Layout(max(order, 3), buckets, max(1, min(PASSES, buckets // 4)), np.maximum(1, -(-count // size)))
+
+
+#: Kinds of pieces, in the order in which a bucket's are read: n-grams and counts; words and what P1 of those words after
+#: them that aren't frequent adds up to; pairs of a word with several buckets and counts; n-grams of texts and these.
+GRAMS, AFTER, PAIRS, ASKED = range(4)
+
+
+def piece_fields(fields: int) -> str:
+    """n rows of a bucket: their words and one more figure."""
+    return "bucket int, kind int, chunk bigint, n int, " + ", ".join(f"{w} binary" for w in names(fields)) + ", x binary"
+
+
+def pieces(fields: int, bucket: np.ndarray, kind: int, columns: list[np.ndarray], x: np.ndarray, chunk: int = 0) -> list[tuple]:
+    """The rows, in their order, as a piece per bucket."""
+    narrow = bucket.astype(np.uint16) if len(bucket) and bucket.max() < 1 << 16 else bucket
+    order = np.argsort(narrow, kind="stable")
+    bucket, columns, x = bucket[order], [c[order] for c in columns], x[order]
+    at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else []
+    out = []
+    for a, b in zip(at, [*at[1:], len(bucket)]):
+        words = [packed(c[a:b]) for c in columns]
+        out.append((int(bucket[a]), kind, chunk, int(b - a), *[b""] * (fields - len(words)), *words, x[a:b].tobytes()))
+    return out
+
+
+def as_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def arrow(fields: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "array<bigint>": pa.list_(pa.int64())}
+    return pa.schema([(name, kinds[kind]) for name, kind in map(str.split, fields.split(", "))])
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns))
+
+
+def joined(found: list[tuple], columns: int, x_type: type) -> tuple[list[np.ndarray], np.ndarray]:
+    """The last words and the figures of pieces."""
+    if not found:
+        return [np.empty(0, np.int64)] * columns, np.empty(0, x_type)
+    return [np.concatenate([unpacked(p[c - 1 - columns], p[3]) for p in found]) for c in range(columns)], np.concatenate([np.frombuffer(p[-1], x_type) for p in found])
+
+
+def coded(docs: DataFrame, vocabulary, tokens: int, types: int, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
+    """Texts as numbers: per some texts a row with its number (chunk), their tokens and what is known of each (about)."""
+    kind = docs.schema["doc_id"].dataType
+    about = f"array<struct<doc_id:{kind.simpleString()},n_tokens:bigint,n_known:bigint,base_score:double>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = vocabulary.value
+        base = np.log10((known.count + 0.5) / (tokens + 0.5 * (types + 1)))
+        unknown = np.log10(0.5 / (tokens + 0.5 * (types + 1)))
+        chunk = TaskContext.get().partitionId() << 33
+        held, doc_ids, facts, size = [], [], [], 0
+
+        def added(key: pa.DataType) -> pa.RecordBatch:
+            of = [pa.array(doc_ids, key), *map(pa.array, map(np.array, zip(*facts)))]
+            struct = pa.StructArray.from_arrays(of, ["doc_id", "n_tokens", "n_known", "base_score"])
+            about = pa.ListArray.from_arrays(pa.array([0, len(struct)], pa.int32()), struct)
+            sizes = np.array([f[0] for f in facts], np.int32).tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([sizes]), pa.array([packed(np.concatenate(held))]), about], ["chunk", "sizes", "tokens", "about"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.append(grams(vocabulary.value.tokens(text), order))
-                size += len(held[-1][0])
+            key = batch.column(0).type
+            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+                found = known.tokens(text)
+                often = found[found > NONE]
+                facts.append((len(found), int((known.count[often] > 0).sum()), float(base[often].sum() + unknown * (len(found) - len(often)))))
+                doc_ids.append(doc_id)
+                held.append(found)
+                size += len(found)
                 if size >= batch_tokens:
-                    yield added()
-                    held, size = [], 0
+                    yield added(key)
+                    held, doc_ids, facts, size, chunk = [], [], [], 0, chunk + 1
         if held:
-            yield added()
+            yield added(key)
+
+    return docs.select("doc_id", text_bytes()).mapInArrow(run, f"chunk bigint, sizes binary, tokens binary, about {about}")
+
 
-    found = docs.select(text_bytes()).mapInArrow(run, ", ".join(f"{w} bigint" for w in [*fields, "c"]))
-    return found.groupBy(*fields).agg(F.sum("c").alias("c"))
+def grams(sizes: bytes, tokens: bytes, fields: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The columns w1 .. wn of the n-grams that end at each token of some texts, and which of the texts."""
+    sizes = np.frombuffer(sizes, np.int32)
+    columns = [unpacked(tokens, int(sizes.sum()))]
+    first = np.r_[0, np.cumsum(sizes)[:-1]]
+    for _ in range(fields - 1):
+        before = np.empty_like(columns[0])
+        before[1:] = columns[0][:-1]
+        before[first] = BEGIN
+        columns.insert(0, before)
+    return columns, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+
+
+def of_order(k: int, index: Index, c: np.ndarray, pairs: tuple[list[np.ndarray], np.ndarray], plan: Layout) -> tuple[Index, np.ndarray]:
+    """A bucket's n-grams of an order and their counts, from its longest ones; those of words with several buckets
+    that are of order 2 are given."""
+    if k == plan.fields:
+        return index, c
+    columns = index.columns[-k:]
+    if k == 2:
+        here = plan.parts(columns[0]) == 1
+        columns, c = [np.r_[a[here], b] for a, b in zip(columns, pairs[0])], np.r_[c[here], pairs[1]]
+    found = Index(columns)
+    return found, found.sums(c)
 
 
 @dataclass
@@ -169,15 +330,17 @@ class Model:
     order: int
     vocabulary: Vocabulary
     words: DataFrame  # w1, c, p
-    probabilities: dict[int, DataFrame]  # n -> w1 .. wn, p
-    backoff: dict[int, DataFrame]  # n -> w1 .. wn-1, log_backoff
+    grams: DataFrame  # pieces of n-grams with counts, and what else their buckets need, by pass
+    discounts: dict[int, list[float]]  # by order
+    layout: Layout
+    p: np.ndarray  # P1 by number of a frequent word
     never: float  # P1 of a never-seen word
     tokens: int
     types: int  # distinct training tokens
     path: str
 
 
-def train(docs: DataFrame, order: int = ORDER, frequent_share: float = FREQUENT_SHARE) -> Model:
+def train(docs: DataFrame, order: int = ORDER, frequent_share: float = FREQUENT_SHARE, bucket_tokens: int | None = None) -> Model:
     """Counts all texts of `docs` and writes the model's tables to the shared folder."""
     if order < 2:
         raise ValueError("the order must be 2 at least")
@@ -196,118 +359,259 @@ def train(docs: DataFrame, order: int = ORDER, frequent_share: float = FREQUENT_
     seen = counts.agg(F.coalesce(F.sum(discounted(F.col("c"), d1)), F.lit(0.0))).first()[0]
     scale = n if seen < n * (1 - 1e-12) else n + 1
     never = (scale - seen) / scale
-    coded = spark.createDataFrame([(i, int(c)) for i, c in enumerate(count) if c], "w1 long, c long")
-    words = counts.filter(~is_frequent & ~is_end).select(key_of_word("token").alias("w1"), "c").unionByName(coded)
+    words = spark.createDataFrame([(i, int(c)) for i, c in enumerate(count) if c], "w1 long, c long")
+    words = counts.filter(~is_frequent & ~is_end).select(key_of_word("token").alias("w1"), "c").unionByName(words)
     words = stored(words.withColumn("p", discounted(F.col("c"), d1) / F.lit(float(scale))), f"{path}/probabilities/order=1")
     deleted(f"{path}/word-counts")
 
+    plan = layout(order, vocabulary, n, bucket_tokens)
     shared = spark.sparkContext.broadcast(vocabulary)
-    by_order = {order: stored(gram_counts(docs, shared, order), f"{path}/counts/order={order}")}
-    for k in range(order - 1, 1, -1):  # the n-grams that end at each token, without their first words
-        lower = by_order[k + 1].groupBy(*(F.col(f"w{i + 1}").alias(f"w{i}") for i in range(1, k + 1))).agg(F.sum("c").alias("c"))
-        by_order[k] = stored(lower, f"{path}/counts/order={k}")
-    probabilities, backoff = {1: words.drop("c")}, {}
-    for k in range(2, order + 1):
-        history, suffix = names(k - 1), [f"w{i}" for i in range(2, k + 1)]
-        valued = by_order[k].withColumn("dc", discounted(F.col("c"), discounts(count_of_counts(by_order[k]))))
-        lower = probabilities[k - 1].select(*(F.col(f"w{i - 1}").alias(f"w{i}") for i in range(2, k + 1)), "p")
-        after = valued.join(lower, suffix).groupBy(*history)
-        sums = after.agg(F.sum("c").alias("c"), F.sum("dc").alias("dc"), F.sum("p").alias("p"))
-        whole = F.when(F.col("dc") < F.col("c") * (1 - 1e-12), F.col("c")).otherwise(F.col("c") + 1)
-        weights = sums.select(*history, whole.alias("whole"), F.log10((1 - F.col("dc") / whole) / (1 - F.col("p"))).alias("log_backoff"))
-        backoff[k] = stored(weights, f"{path}/backoff/order={k}")
-        p = valued.join(backoff[k], history).select(*names(k), (F.col("dc") / F.col("whole")).alias("p"))
-        probabilities[k] = stored(p, f"{path}/probabilities/order={k}")
-        deleted(f"{path}/counts/order={k}")
-    return Model(order, vocabulary, words, probabilities, backoff, never, n, total.v, path)
-
-
-def asked(docs: DataFrame, model: Model) -> DataFrame:
-    """Per text and n-gram of it: w1 .. wn, row, times; per word that isn't frequent the same with NONE after w1; and
-    per text one row with what is known of it already (`about`), its number in place of words.
-
-    The rows of one text have its number, which holds for the one run that this plan is part of.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(model.vocabulary)
-    n, v, order = model.tokens, model.types, model.order
-    kind = docs.schema["doc_id"].dataType
-    about = f"struct<doc_id:{kind.simpleString()},n_tokens:bigint,n_known:bigint,base_score:double>"
+    texts = stored(coded(docs, shared, n, total.v), f"{path}/texts", "zstd").select("chunk", "sizes", "tokens")
+    fields = piece_fields(plan.fields)
+    kept = f"{fields}, part int, counts array<bigint>"
+    for r in range(plan.passes):
+        found = texts.mapInArrow(partial(counted_pieces, plan=plan, r=r), fields).repartition("bucket").sortWithinPartitions("bucket")
+        merged = found.mapInArrow(partial(merged_pieces, plan=plan, order=order, d1=d1, scale=scale), kept)
+        stored(merged, f"{path}/grams/pass={r}", "zstd", ["part"])
+    deleted(f"{path}/texts")
+    tables = spark.read.schema(f"{kept}, pass int").parquet(f"{path}/grams")
+    seen = tables.filter(f"kind = {GRAMS}").select(*(F.sum(F.col("counts")[i]) for i in range((order - 1) * (DISCOUNTED + 1)))).first()
+    of_counts = np.array([x or 0 for x in seen]).reshape(order - 1, DISCOUNTED + 1)
+    by_order = {k: discounts({c + 1: int(x) for c, x in enumerate(of_counts[k - 2])}) for k in range(2, order + 1)}
+    p = np.where(count > 0, discounted_counts(count, d1) / scale, never)
+    return Model(order, vocabulary, words, tables, by_order, plan, p, never, n, total.v, path)
+
+
+def discounted_counts(c: np.ndarray, d: list[float]) -> np.ndarray:
+    return np.array([*d, 1.0])[np.minimum(c, len(d))] * c
+
+
+def counted_pieces(batches: Iterator[pa.RecordBatch], plan: Layout, r: int) -> Iterator[pa.RecordBatch]:
+    """The n-grams of some texts, those of a pass, each once with its count."""
+    schema = arrow(piece_fields(plan.fields))
+    for _, sizes, tokens in rows_of(batches):
+        columns, _ = grams(sizes, tokens, plan.fields)
+        bucket = plan.bucket(columns)
+        index = Index([c[bucket % plan.passes == r] for c in columns])
+        out = pieces(plan.fields, plan.bucket(index.columns), GRAMS, index.columns, index.sums(np.ones(len(index.order), np.int64)))
+        # Pairs of a word with several buckets are counted in the first of these.
+        first = plan.place(columns[-2], np.zeros(len(columns[0]), np.int64))
+        pairs = Index([c[(first % plan.passes == r) & (plan.parts(columns[-2]) > 1)] for c in columns[-2:]])
+        if len(pairs.key):
+            first = plan.place(pairs.columns[0], np.zeros(len(pairs.key), np.int64))
+            out += pieces(plan.fields, first, PAIRS, pairs.columns, pairs.sums(np.ones(len(pairs.order), np.int64)))
+        if out:
+            yield as_batch(out, schema)
+
+
+def merged_pieces(batches: Iterator[pa.RecordBatch], plan: Layout, order: int, d1: list[float], scale: int) -> Iterator[pa.RecordBatch]:
+    """Each bucket's counts added up and counted themselves; what goes to the buckets of other words from these."""
+    schema = arrow(f"{piece_fields(plan.fields)}, part int, counts array<bigint>")
+    after: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def sent() -> list[tuple]:
+        words = Index([np.concatenate([a for a, _ in after])])
+        p, w = words.sums(np.concatenate([b for _, b in after])), words.columns[0]
+        return to_all(AFTER, [w], p)
+
+    def to_all(kind: int, columns: list[np.ndarray], x: np.ndarray) -> list[tuple]:
+        """Pieces for every bucket that the first column's words have."""
+        parts = plan.parts(columns[0])
+        row = np.repeat(np.arange(len(parts)), parts)
+        part = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+        once = Index([plan.place(columns[0][row], part), row])  # two parts may share a bucket
+        bucket, row = once.columns
+        return [(*p, p[0] % plan.passes, None) for p in pieces(plan.fields, bucket, kind, [c[row] for c in columns], x[row])]
+
+    for bucket, found in groupby(rows_of(batches), key=lambda p: p[0]):
+        found = list(found)
+        columns, c = joined([p for p in found if p[1] == GRAMS], plan.fields, np.int64)
+        index = Index(columns)
+        c = index.sums(c)
+        two, twice = joined([p for p in found if p[1] == PAIRS], 2, np.int64)
+        pairs = Index(two)
+        twice = pairs.sums(twice)
+        of_counts = [np.bincount(n[n <= DISCOUNTED + 1], minlength=DISCOUNTED + 2)[1:] for n in (of_order(k, index, c, (pairs.columns, twice), plan)[1] for k in range(2, order + 1))]
+        by_word = np.argsort(index.columns[-2], kind="stable")  # compresses better
+        out = pieces(plan.fields, np.full(len(c), bucket), GRAMS, [x[by_word] for x in index.columns], c[by_word])
+        # A bucket may hold nothing but pairs.
+        out = out or [(bucket, GRAMS, 0, 0, *[b""] * plan.fields, b"")]
+        out = [(*p, bucket % plan.passes, np.concatenate(of_counts).tolist()) for p in out]
+        if len(twice):
+            out += to_all(PAIRS, pairs.columns, twice)
+        # P1 of a word that isn't frequent, for each word that it follows.
+        rare = index.columns[-2] < NONE
+        before = Index([x[rare] for x in index.columns[-3:-1]])
+        word = Index([before.columns[1]])
+        p = discounted_counts(word.sums(before.sums(c[rare])), d1) / scale
+        after.append((before.columns[0], p[word.members()]))
+        size += len(before.key)
+        if size >= BATCH_TOKENS:
+            out, after, size = out + sent(), [], 0
+        yield as_batch(out, schema)
+    if size:
+        yield as_batch(sent(), schema)
+
+
+class Bucket:
+    """Probabilities and backoff weights of a bucket's n-grams by order."""
+
+    def __init__(self, found: list[tuple], order: int, plan: Layout, by_order: dict[int, list[float]], p1: np.ndarray):
+        self.grams: dict[int, Index] = {}
+        self.p: dict[int, np.ndarray] = {}
+        self.histories: dict[int, Index] = {}
+        self.backoff: dict[int, np.ndarray] = {}
+        columns, c = joined([p for p in found if p[1] == GRAMS], plan.fields, np.int64)
+        longest = Index(columns)
+        c = longest.sums(c)
+        pairs = joined([p for p in found if p[1] == PAIRS], 2, np.int64)
+        (w,), p = joined([p for p in found if p[1] == AFTER], 1, np.float64)
+        after = Index([w])
+        p = after.sums(p)
+        for k in range(2, order + 1):
+            index, n = of_order(k, longest, c, pairs, plan)
+            history = Index(index.columns[:-1])
+            dc = discounted_counts(n, by_order[k])
+            total, shares = history.sums(n), history.sums(dc)
+            if k == 2:
+                last, self.count = index.columns[-1], total
+                lower = history.sums(np.where(last > NONE, p1[np.maximum(last, 0)], 0.0))
+                at = after.find(history.columns)
+                if len(p):
+                    lower = lower + np.where(at < 0, 0.0, p[at])
+            else:
+                lower = history.sums(self.p[k - 1][self.grams[k - 1].find(index.columns[1:])])
+            whole = np.where(shares < total * (1 - 1e-12), total, total + 1)
+            self.grams[k], self.histories[k] = index, history
+            self.p[k] = dc / whole[history.members()]
+            self.backoff[k] = np.log10((1 - shares / whole) / (1 - lower))
+
+
+def probabilities(model: Model, k: int) -> DataFrame:
+    """w1 .. wk, p and, from k = 2 on, log_backoff of w1 .. wk-1, of all n-grams of an order."""
+    if k == 1:
+        return model.words.select("w1", "p")
+    plan, order, by_order = model.layout, model.order, model.discounts
+    p1 = model.words.sparkSession.sparkContext.broadcast(model.p)
+    named = [*names(k), "p", "log_backoff"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shared.value
-        base = np.log10((vocabulary.count + 0.5) / (n + 0.5 * (v + 1)))
-        unknown = np.log10(0.5 / (n + 0.5 * (v + 1)))
-
-        def rows(held: list, known: list, doc_ids: list, key: pa.DataType) -> pa.RecordBatch:
-            columns, times = counted([np.concatenate(x) for x in zip(*held)])
-            at, n_tokens, n_known, score = map(np.array, zip(*known))
-            fill = [np.full(len(at), NONE)] * (order - 1)
-            facts = pa.StructArray.from_arrays([pa.array(doc_ids, key), pa.array(n_tokens), pa.array(n_known), pa.array(score)], ["doc_id", "n_tokens", "n_known", "base_score"])
-            facts = pa.concat_arrays([pa.nulls(len(times), facts.type), facts])
-            numbers = [np.r_[a, b] for a, b in zip((*columns, times), (at, *fill, at, np.zeros(len(at), np.int64)))]
-            return pa.RecordBatch.from_arrays([*map(pa.array, numbers), facts], [*names(order), "row", "times", "about"])
-
-        for batch in batches:
-            held, known, doc_ids, size = [], [], [], 0
-            for doc_id, text, row in zip(*(c.to_pylist() for c in batch.columns)):
-                tokens = vocabulary.tokens(text)
-                rare = tokens[tokens < NONE]
-                often = tokens[tokens > NONE]
-                known.append((row, len(tokens), int((vocabulary.count[often] > 0).sum()), float(base[often].sum() + unknown * len(rare))))
-                doc_ids.append(doc_id)
-                held.append([*grams(tokens, order), np.full(len(tokens), row)])
-                held.append([rare, *[np.full(len(rare), NONE)] * (order - 1), np.full(len(rare), row)])
-                size += len(tokens)
-                if size >= BATCH_TOKENS:
-                    yield rows(held, known, doc_ids, batch.column(0).type)
-                    held, known, doc_ids, size = [], [], [], 0
-            if held:
-                yield rows(held, known, doc_ids, batch.column(0).type)
-
-    numbered = docs.select("doc_id", text_bytes(), F.monotonically_increasing_id().alias("row"))
-    return numbered.mapInArrow(run, ", ".join(f"{w} bigint" for w in [*names(order), "row", "times"]) + f", about {about}")
+        for bucket, found in groupby(rows_of(batches), key=lambda p: p[0]):
+            of = Bucket(list(found), order, plan, by_order, p1.value)
+            index = of.grams[k]
+            # Pairs of a word with several buckets are in all of them, and told by the first.
+            first = np.zeros(len(index.key), np.int64)
+            here = (plan.parts(index.columns[0]) == 1) | (plan.place(index.columns[0], first) == bucket) if k == 2 else first == 0
+            columns = [*index.columns, of.p[k], of.backoff[k][of.histories[k].members()]]
+            yield pa.RecordBatch.from_arrays([pa.array(c[here]) for c in columns], named)
+
+    kept = model.grams.select(*(f.split()[0] for f in piece_fields(plan.fields).split(", "))).repartition("bucket").sortWithinPartitions("bucket")
+    return kept.mapInArrow(run, ", ".join(f"{w} bigint" for w in names(k)) + ", p double, log_backoff double")
+
+
+def answers(batches: Iterator[pa.RecordBatch], order: int, plan: Layout, by_order: dict[int, list[float]], p1) -> Iterator[pa.RecordBatch]:
+    """Per piece of n-grams asked: what they add to the texts' scores, and words whose P1 is to be added yet."""
+    schema = arrow(ANSWER)
+    for _, found in groupby(rows_of(batches), key=lambda p: p[0]):
+        table: list[tuple] = []
+        bucket = None
+        for piece in found:
+            if piece[1] != ASKED:
+                table.append(piece)
+                continue
+            if bucket is None:
+                bucket = Bucket(table, order, plan, by_order, p1.value)
+            columns, text = joined([piece], plan.fields, np.int32)
+            value, left = np.zeros(len(text)), np.arange(len(text))
+            for k in range(order, 1, -1):
+                asked = [c[left] for c in columns[-k:]]
+                at = bucket.grams[k].find(asked)
+                hit = at >= 0
+                value[left[hit]] += np.log10(bucket.p[k][at[hit]])
+                left, asked = left[~hit], [c[~hit] for c in asked[:-1]]
+                at = bucket.histories[k].find(asked)
+                hit = at >= 0
+                value[left[hit]] += bucket.backoff[k][at[hit]]
+            often = columns[-1][left] > NONE
+            value[left[often]] += np.log10(p1.value[columns[-1][left[often]]])
+            left = left[~often]
+            # The word before the last one: every word is that once.
+            rare = np.flatnonzero(columns[-2] < NONE)
+            at = bucket.histories[2].find([columns[-2][rare]])
+            rare, at = rare[at >= 0], at[at >= 0]
+            known, gain = np.zeros(len(text), np.int64), np.zeros(len(text))
+            known[rare], gain[rare] = 1, np.log10((bucket.count[at] + 0.5) / 0.5)
+            starts = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
+            sums = [np.add.reduceat(x, starts).tobytes() for x in (value, known, gain)]
+            yield as_batch([(piece[2], text[starts].tobytes(), *sums, text[left].tobytes(), columns[-1][left].tobytes())], schema)
+
+
+#: Texts of a chunk, what they get, and words with their texts.
+ANSWER = "chunk bigint, text binary, value binary, known binary, gain binary, of binary, word binary"
+SUM = "chunk bigint, at int, value double, known bigint, gain double, words array<bigint>"
+
+
+def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per text the sum of its answers."""
+    schema = arrow(SUM)
+    for chunk, found in groupby(rows_of(batches), key=lambda a: a[0]):
+        columns = list(zip(*found))[1:]
+        text, value, known, gain, of, word = (np.frombuffer(b"".join(c), t) for c, t in zip(columns, (np.int32, float, np.int64, float, np.int32, np.int64)))
+        at, members = np.unique(text, return_inverse=True)
+        value, known, gain = (np.bincount(members, weights=x, minlength=len(at)) for x in (value, known, gain))
+        order = np.argsort(of, kind="stable")
+        ends = np.r_[0, np.searchsorted(of[order], at, "right")].astype(np.int32)
+        words = pa.ListArray.from_arrays(pa.array(ends), pa.array(word[order]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), chunk)), pa.array(at), pa.array(value), pa.array(known.astype(np.int64)), pa.array(gain), words], schema=schema)
+
+
+def asked_pieces(batches: Iterator[pa.RecordBatch], plan: Layout, r: int) -> Iterator[pa.RecordBatch]:
+    """All n-grams of texts that are a pass's, with their text."""
+    schema = arrow(piece_fields(plan.fields))
+    for chunk, sizes, tokens in rows_of(batches):
+        columns, text = grams(sizes, tokens, plan.fields)
+        bucket = plan.bucket(columns)
+        here = np.flatnonzero(bucket % plan.passes == r)
+        if len(here):
+            yield as_batch(pieces(plan.fields, bucket[here], ASKED, [c[here] for c in columns], text[here], chunk), schema)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Per row: doc_id, n_tokens, n_known, base_score, score (log10 probability of the text)."""
-    path = scratch_dir(docs.sparkSession, "katz-scores")
-    pending, parts = asked(docs, model).withColumn("value", F.lit(0.0)), []
-    for k in range(model.order, 0, -1):
-        words = names(k)
-        met = pending.join(model.probabilities[k], words, "left")
-        found = F.col("p").isNotNull()
-        value = F.col("value") + F.when(found, F.col("times") * F.log10("p")).otherwise(0.0 if k > 1 else F.col("times") * F.lit(float(np.log10(model.never))))
-        sums = [F.sum(value).alias("value"), F.sum("times").alias("times")] + [F.max("about").alias("about")] * (k == model.order)
-        if k == 1:
-            parts.append(met.groupBy("row").agg(*sums).select("row", "value"))
-            break
-        # What is found adds up to a row per text, the rest goes on.
-        table = stored(met.groupBy("row", *(F.when(~found, F.col(w)).alias(w) for w in words)).agg(*sums), f"{path}/order={k}")
-        if k == model.order:
-            about = table.filter("about IS NOT NULL").select("row", "about.*")
-            rare = table.filter(f"w2 = {NONE} AND about IS NULL").select("w1", "row", "times").join(model.words, "w1")
-            n, half = F.sum("times").alias("known"), F.sum(F.col("times") * F.log10((F.col("c") + 0.5) / 0.5)).alias("gain")
-            rare = rare.groupBy("row").agg(n, half)
-            table = table.filter(f"w2 IS NULL OR w2 <> {NONE}")
-        parts.append(table.filter("w1 IS NULL").select("row", "value"))
-        left = table.filter("w1 IS NOT NULL").join(model.backoff[k].drop("whole"), names(k - 1), "left")
-        value = (F.col("value") + F.col("times") * F.coalesce("log_backoff", F.lit(0.0))).alias("value")
-        pending = left.select(*(F.col(f"w{i}").alias(f"w{i - 1}") for i in range(2, k + 1)), "row", "times", value)
-    values = parts[0]
-    for part in parts[1:]:
-        values = values.unionByName(part)
-    values = values.groupBy("row").agg(F.sum("value").alias("score"))
-    return about.join(values, "row").join(rare, "row", "left").select(
+    spark, plan = docs.sparkSession, model.layout
+    path = scratch_dir(spark, "katz-scores")
+    shared, p1 = spark.sparkContext.broadcast(model.vocabulary), spark.sparkContext.broadcast(model.p)
+    texts = stored(coded(docs, shared, model.tokens, model.types), f"{path}/texts", "zstd")
+    fields = piece_fields(plan.fields)
+    named = [f.split()[0] for f in fields.split(", ")]
+    for r in range(plan.passes):
+        asked = texts.select("chunk", "sizes", "tokens").mapInArrow(partial(asked_pieces, plan=plan, r=r), fields)
+        met = asked.unionByName(model.grams.filter(f"part = {r}").select(*named)).repartition("bucket").sortWithinPartitions("bucket", "kind")
+        found = met.mapInArrow(partial(answers, order=model.order, plan=plan, by_order=model.discounts, p1=p1), ANSWER)
+        stored(found.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(summed, SUM), f"{path}/sums/pass={r}")
+    sums = spark.read.schema(SUM).parquet(f"{path}/sums")
+    # Words that aren't frequent and followed no word of theirs in training: P1 from the table of words.
+    words = sums.select("chunk", "at", F.explode("words").alias("w1")).join(model.words, "w1", "left")
+    words = words.select("chunk", "at", F.log10(F.coalesce("p", F.lit(model.never))).alias("value"), F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("gain"))
+    sums = sums.select(words.columns).unionByName(words).groupBy("chunk", "at").agg(*(F.sum(x).alias(x) for x in ("value", "known", "gain")))
+    about = texts.select("chunk", F.posexplode("about").alias("at", "about")).select("chunk", "at", "about.*")
+    found = about.join(sums, ["chunk", "at"]).select(
         "doc_id",
         "n_tokens",
-        (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        (F.col("base_score") + F.coalesce("gain", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("n_known") + F.col("known")).alias("n_known"),
+        (F.col("base_score") + F.col("gain")).alias("base_score"),
+        F.col("value").alias("score"),
     )
+    found = stored(found, f"{path}/scores")
+    deleted(f"{path}/texts")
+    deleted(f"{path}/sums")
+    return found
 
 
 def op5_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = train(docs.filter(~held_out()))
     found = score(docs, model)
+    deleted(model.path)
     return found.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

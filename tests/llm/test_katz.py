@@ -1,8 +1,10 @@
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tamis.llm import katz
@@ -93,6 +95,53 @@ def test_order_three_on_more_texts(spark):
     assert sum(r.score for r in unseen) > sum(r.base_score for r in unseen)
 
 
+@pytest.mark.parametrize("order, frequent, size", [(3, 1 / 3000, 2000), (2, 1 / 300, 1000), (4, 1 / 300, 1500)])
+def test_words_with_several_buckets(spark, sf_dir, order, frequent, size):
+    docs = documents(spark, sf_dir)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    plain = Plain([t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1], order)
+    model = katz.train(docs.filter(~katz.held_out()), order, frequent, size)
+    assert model.layout.passes > 1 and model.layout.splits.max() > 1 and model.layout.splits.min() == 1
+    check(plain, rows, katz.score(docs, model).collect())
+    for k in range(2, order + 1):
+        table = katz.probabilities(model, k).collect()
+        assert len(table) == len({tuple(r)[:k] for r in table}) == sum(map(len, (f for h, f in plain.share.items() if len(h) == k - 1)))
+        want = sorted((p, math.log10(plain.back[h])) for h, f in plain.share.items() if len(h) == k - 1 for p in f.values())
+        assert all(math.isclose(a, b, rel_tol=1e-6, abs_tol=1e-9) for x, y in zip(sorted((r.p, r.log_backoff) for r in table), want) for a, b in zip(x, y))
+    assert katz.probabilities(model, 1).count() == len(plain.c)
+
+
+def test_tables_are_small(spark):
+    """What training and scoring leave in the shared folder, in bytes a token."""
+
+    def size():
+        return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(spark.conf.get("spark.checkpoint.dir")) for f in files)
+
+    docs, before = documents(spark, "/root/testdata/sf0.01"), size()
+    model = katz.train(docs.filter(~katz.held_out()))
+    n = sum(r.n_tokens for r in katz.score(docs, model).collect())
+    print("bytes a token", (size() - before) / n)
+    assert size() - before < 12 * n
+
+
+def test_index():
+    """Rows that share a hash are told apart, and what isn't there isn't found."""
+    a = np.array([5, 1, 5, 2, 1], np.int64)
+    index = katz.Index([a, a * 2])
+    assert sorted(zip(index.columns[0].tolist(), index.sums(np.ones(5)).tolist())) == [(1, 2.0), (2, 1.0), (5, 2.0)]
+    assert (index.columns[0][index.members()] == a).all() and index.find([np.array([7, 5]), np.array([14, 11])]).tolist() == [-1, -1]
+    numbers = np.array([katz.word_key(b"x"), 0, 499_999, katz.word_key(b"y")])
+    assert (katz.unpacked(katz.packed(numbers), 4) == numbers).all() and len(katz.unpacked(katz.packed(numbers[:0]), 0)) == 0
+
+
+def test_index_with_shared_hashes(monkeypatch):
+    real = katz.spread
+    monkeypatch.setattr(katz, "spread", lambda columns, seed=0: real(columns, seed) % np.uint64(2 if seed < 3 else 1 << 60))
+    a = np.arange(40) % 7
+    index = katz.Index([a, a + 1])
+    assert index.seed == 3 and len(index.key) == 7 and (index.find([a, a]) == -1).all() and (index.find([a, a + 1]) >= 0).all()
+
+
 def test_query(spark, sf_dir):
     rows = katz.op5_katz_scoring(spark, sf_dir).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 1) for r in rows)
