@@ -50,7 +50,8 @@ from .common import LOWER_BYTES, U64, deleted, documents, mix, scratch_dir, stor
 ORDER, FREQUENT_SHARE = 3, 1 / 500_000
 DISCOUNTED = 5  # counts up to this one are discounted
 BATCH_TOKENS = 2_000_000
-PASSES = 8
+ASKED_AT_ONCE = 100_000
+PASSES = 6
 #: Tokens that are not words, before the frequent words' own numbers. Those of words that aren't frequent are below NONE.
 NONE, BEGIN, END, FIRST_WORD = -1, 0, 1, 2
 
@@ -214,7 +215,7 @@ def layout(order: int, vocabulary: Vocabulary, tokens: int, bucket_tokens: int |
     size = bucket_tokens or min(max(tokens // 512, 1 << 17), 1 << 20)
     buckets = -(-max(tokens, 1) // size)
     count = vocabulary.count.copy()
-    count[BEGIN] = count[END]  # a text has one of each; BEGIN stands before its first word
+    count[[BEGIN, END]] = count[END], 0  # a text has one of each; BEGIN is before others, END never
     return Layout(max(order, 3), buckets, max(1, min(PASSES, buckets // 4)), np.maximum(1, -(-count // size)))
 
 
@@ -262,8 +263,9 @@ def joined(found: list[tuple], columns: int, x_type: type) -> tuple[list[np.ndar
     return [np.concatenate([unpacked(p[c - 1 - columns], p[3]) for p in found]) for c in range(columns)], np.concatenate([np.frombuffer(p[-1], x_type) for p in found])
 
 
-def coded(docs: DataFrame, vocabulary, tokens: int, types: int, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
-    """Texts as numbers: per some texts a row with its number (chunk), their tokens and what is known of each (about)."""
+def coded(docs: DataFrame, trains: Column, vocabulary, plan: Layout, tokens: int, types: int, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
+    """Texts as numbers: per some texts, which all train or don't, a row with its number (chunk), their tokens, the pass
+    that each token's n-gram is for, and what is known of each text (about)."""
     kind = docs.schema["doc_id"].dataType
     about = f"array<struct<doc_id:{kind.simpleString()},n_tokens:bigint,n_known:bigint,base_score:double>>"
 
@@ -272,44 +274,50 @@ def coded(docs: DataFrame, vocabulary, tokens: int, types: int, batch_tokens: in
         base = np.log10((known.count + 0.5) / (tokens + 0.5 * (types + 1)))
         unknown = np.log10(0.5 / (tokens + 0.5 * (types + 1)))
         chunk = TaskContext.get().partitionId() << 33
-        held, doc_ids, facts, size = [], [], [], 0
+        held: dict[bool, list] = {True: [], False: []}
+        size = {True: 0, False: 0}
 
-        def added(key: pa.DataType) -> pa.RecordBatch:
-            of = [pa.array(doc_ids, key), *map(pa.array, map(np.array, zip(*facts)))]
-            struct = pa.StructArray.from_arrays(of, ["doc_id", "n_tokens", "n_known", "base_score"])
+        def added(training: bool, key: pa.DataType) -> pa.RecordBatch:
+            nonlocal chunk
+            doc_ids, found, *facts = zip(*held[training])
+            struct = pa.StructArray.from_arrays([pa.array(doc_ids, key), *map(pa.array, map(np.array, facts))], ["doc_id", "n_tokens", "n_known", "base_score"])
             about = pa.ListArray.from_arrays(pa.array([0, len(struct)], pa.int32()), struct)
-            sizes = np.array([f[0] for f in facts], np.int32).tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([sizes]), pa.array([packed(np.concatenate(held))]), about], ["chunk", "sizes", "tokens", "about"])
-
+            sizes, numbers = np.array(facts[0], np.int32), np.concatenate(found)
+            columns, _ = grams(sizes, numbers, plan.fields, np.arange(len(numbers)))
+            passes = (plan.bucket(columns) % plan.passes).astype(np.uint8).tobytes()
+            chunk, held[training], size[training] = chunk + 1, [], 0
+            columns = [pa.array([chunk]), pa.array([training]), pa.array([sizes.tobytes()]), pa.array([packed(numbers)]), pa.array([passes]), about]
+            return pa.RecordBatch.from_arrays(columns, ["chunk", "trains", "sizes", "tokens", "passes", "about"])
+
+        key = None
         for batch in batches:
             key = batch.column(0).type
-            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc_id, text, training in zip(*(c.to_pylist() for c in batch.columns)):
                 found = known.tokens(text)
                 often = found[found > NONE]
-                facts.append((len(found), int((known.count[often] > 0).sum()), float(base[often].sum() + unknown * (len(found) - len(often)))))
-                doc_ids.append(doc_id)
-                held.append(found)
-                size += len(found)
-                if size >= batch_tokens:
-                    yield added(key)
-                    held, doc_ids, facts, size, chunk = [], [], [], 0, chunk + 1
-        if held:
-            yield added(key)
+                n_known, score = int((known.count[often] > 0).sum()), float(base[often].sum() + unknown * (len(found) - len(often)))
+                held[training].append((doc_id, found, len(found), n_known, score))
+                size[training] += len(found)
+                if size[training] >= batch_tokens:
+                    yield added(training, key)
+        for training in held:
+            if held[training]:
+                yield added(training, key)
+
+    return docs.select("doc_id", text_bytes(), trains.alias("trains")).mapInArrow(run, f"chunk bigint, trains boolean, sizes binary, tokens binary, passes binary, about {about}")
+
 
-    return docs.select("doc_id", text_bytes()).mapInArrow(run, f"chunk bigint, sizes binary, tokens binary, about {about}")
+def grams(sizes: np.ndarray, tokens: np.ndarray, fields: int, at: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The columns w1 .. wn of the n-grams that end at the given tokens of some texts, and which of the texts."""
+    ends = np.cumsum(sizes)
+    text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[at]
+    place = at - (ends - sizes)[text]
+    return [np.where(place >= k, tokens[np.maximum(at - k, 0)], BEGIN) for k in range(fields - 1, 0, -1)] + [tokens[at]], text
 
 
-def grams(sizes: bytes, tokens: bytes, fields: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """The columns w1 .. wn of the n-grams that end at each token of some texts, and which of the texts."""
-    sizes = np.frombuffer(sizes, np.int32)
-    columns = [unpacked(tokens, int(sizes.sum()))]
-    first = np.r_[0, np.cumsum(sizes)[:-1]]
-    for _ in range(fields - 1):
-        before = np.empty_like(columns[0])
-        before[1:] = columns[0][:-1]
-        before[first] = BEGIN
-        columns.insert(0, before)
-    return columns, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+def read(sizes: bytes, tokens: bytes, passes: bytes, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of some texts, their tokens, and the places of those whose n-grams are for a pass."""
+    return np.frombuffer(sizes, np.int32), unpacked(tokens, len(passes)), np.flatnonzero(np.frombuffer(passes, np.uint8) == r)
 
 
 def of_order(k: int, index: Index, c: np.ndarray, pairs: tuple[list[np.ndarray], np.ndarray], plan: Layout) -> tuple[Index, np.ndarray]:
@@ -338,15 +346,21 @@ class Model:
     tokens: int
     types: int  # distinct training tokens
     path: str
+    texts: DataFrame | None  # as numbers, if they were kept
 
 
-def train(docs: DataFrame, order: int = ORDER, frequent_share: float = FREQUENT_SHARE, bucket_tokens: int | None = None) -> Model:
-    """Counts all texts of `docs` and writes the model's tables to the shared folder."""
+def train(
+    docs: DataFrame, order: int = ORDER, frequent_share: float = FREQUENT_SHARE, bucket_tokens: int | None = None, trains: Column | None = None
+) -> Model:
+    """Counts all texts of `docs` and writes the model's tables to the shared folder.
+
+    With a condition `trains`, only texts that meet it are counted, and all are kept as numbers for `score`.
+    """
     if order < 2:
         raise ValueError("the order must be 2 at least")
     spark: SparkSession = docs.sparkSession
     path = scratch_dir(spark, "katz")
-    counts = stored(word_counts(docs), f"{path}/word-counts")
+    counts = stored(word_counts(docs if trains is None else docs.filter(trains)), f"{path}/word-counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, d1 = total.n, discounts(count_of_counts(counts))
     is_frequent, is_end = F.col("c") >= n * frequent_share, F.octet_length("token") == 0
@@ -366,20 +380,22 @@ def train(docs: DataFrame, order: int = ORDER, frequent_share: float = FREQUENT_
 
     plan = layout(order, vocabulary, n, bucket_tokens)
     shared = spark.sparkContext.broadcast(vocabulary)
-    texts = stored(coded(docs, shared, n, total.v), f"{path}/texts", "zstd").select("chunk", "sizes", "tokens")
+    texts = stored(coded(docs, F.lit(True) if trains is None else trains, shared, plan, n, total.v), f"{path}/texts", "zstd")
+    counting = texts.filter("trains").select("chunk", "sizes", "tokens", "passes")
     fields = piece_fields(plan.fields)
     kept = f"{fields}, part int, counts array<bigint>"
     for r in range(plan.passes):
-        found = texts.mapInArrow(partial(counted_pieces, plan=plan, r=r), fields).repartition("bucket").sortWithinPartitions("bucket")
+        found = counting.mapInArrow(partial(counted_pieces, plan=plan, r=r), fields).repartition("bucket").sortWithinPartitions("bucket")
         merged = found.mapInArrow(partial(merged_pieces, plan=plan, order=order, d1=d1, scale=scale), kept)
         stored(merged, f"{path}/grams/pass={r}", "zstd", ["part"])
-    deleted(f"{path}/texts")
+    if trains is None:
+        deleted(f"{path}/texts")
     tables = spark.read.schema(f"{kept}, pass int").parquet(f"{path}/grams")
     seen = tables.filter(f"kind = {GRAMS}").select(*(F.sum(F.col("counts")[i]) for i in range((order - 1) * (DISCOUNTED + 1)))).first()
     of_counts = np.array([x or 0 for x in seen]).reshape(order - 1, DISCOUNTED + 1)
     by_order = {k: discounts({c + 1: int(x) for c, x in enumerate(of_counts[k - 2])}) for k in range(2, order + 1)}
     p = np.where(count > 0, discounted_counts(count, d1) / scale, never)
-    return Model(order, vocabulary, words, tables, by_order, plan, p, never, n, total.v, path)
+    return Model(order, vocabulary, words, tables, by_order, plan, p, never, n, total.v, path, None if trains is None else texts)
 
 
 def discounted_counts(c: np.ndarray, d: list[float]) -> np.ndarray:
@@ -389,17 +405,20 @@ def discounted_counts(c: np.ndarray, d: list[float]) -> np.ndarray:
 def counted_pieces(batches: Iterator[pa.RecordBatch], plan: Layout, r: int) -> Iterator[pa.RecordBatch]:
     """The n-grams of some texts, those of a pass, each once with its count."""
     schema = arrow(piece_fields(plan.fields))
-    for _, sizes, tokens in rows_of(batches):
-        columns, _ = grams(sizes, tokens, plan.fields)
-        bucket = plan.bucket(columns)
-        index = Index([c[bucket % plan.passes == r] for c in columns])
+    first = plan.place(np.arange(len(plan.splits)), np.zeros(len(plan.splits), np.int64))
+    paired = (plan.splits > 1) & (first % plan.passes == r)  # their pairs are counted in the first of their buckets
+    above = np.flatnonzero(paired).max(initial=-1)
+    for _, *texts in rows_of(batches):
+        sizes, tokens, at = read(*texts, r)
+        index = Index(grams(sizes, tokens, plan.fields, at)[0])
         out = pieces(plan.fields, plan.bucket(index.columns), GRAMS, index.columns, index.sums(np.ones(len(index.order), np.int64)))
-        # Pairs of a word with several buckets are counted in the first of these.
-        first = plan.place(columns[-2], np.zeros(len(columns[0]), np.int64))
-        pairs = Index([c[(first % plan.passes == r) & (plan.parts(columns[-2]) > 1)] for c in columns[-2:]])
-        if len(pairs.key):
-            first = plan.place(pairs.columns[0], np.zeros(len(pairs.key), np.int64))
-            out += pieces(plan.fields, first, PAIRS, pairs.columns, pairs.sums(np.ones(len(pairs.order), np.int64)))
+        at = np.flatnonzero((tokens > NONE) & (tokens <= above))
+        at = at[paired[tokens[at]]] + 1
+        if paired[BEGIN]:
+            at = np.r_[at, np.cumsum(sizes) - sizes]
+        if len(at):
+            pairs = Index(grams(sizes, tokens, 2, at)[0])
+            out += pieces(plan.fields, first[pairs.columns[0]], PAIRS, pairs.columns, pairs.sums(np.ones(len(pairs.order), np.int64)))
         if out:
             yield as_batch(out, schema)
 
@@ -460,6 +479,7 @@ class Bucket:
     def __init__(self, found: list[tuple], order: int, plan: Layout, by_order: dict[int, list[float]], p1: np.ndarray):
         self.grams: dict[int, Index] = {}
         self.p: dict[int, np.ndarray] = {}
+        self.log_p: dict[int, np.ndarray] = {}
         self.histories: dict[int, Index] = {}
         self.backoff: dict[int, np.ndarray] = {}
         columns, c = joined([p for p in found if p[1] == GRAMS], plan.fields, np.int64)
@@ -485,6 +505,7 @@ class Bucket:
             whole = np.where(shares < total * (1 - 1e-12), total, total + 1)
             self.grams[k], self.histories[k] = index, history
             self.p[k] = dc / whole[history.members()]
+            self.log_p[k] = np.log10(self.p[k])
             self.backoff[k] = np.log10((1 - shares / whole) / (1 - lower))
 
 
@@ -513,38 +534,54 @@ def probabilities(model: Model, k: int) -> DataFrame:
 def answers(batches: Iterator[pa.RecordBatch], order: int, plan: Layout, by_order: dict[int, list[float]], p1) -> Iterator[pa.RecordBatch]:
     """Per piece of n-grams asked: what they add to the texts' scores, and words whose P1 is to be added yet."""
     schema = arrow(ANSWER)
+
+    def answered(bucket: Bucket, asked: list[tuple]) -> pa.RecordBatch:
+        columns, text = joined(asked, plan.fields, np.int32)
+        value, left = np.zeros(len(text)), np.arange(len(text))
+        for k in range(order, 1, -1):
+            words = [c[left] for c in columns[-k:]]
+            at = bucket.grams[k].find(words)
+            hit = at >= 0
+            value[left[hit]] += bucket.log_p[k][at[hit]]
+            left, words = left[~hit], [c[~hit] for c in words[:-1]]
+            at = bucket.histories[k].find(words)
+            hit = at >= 0
+            value[left[hit]] += bucket.backoff[k][at[hit]]
+        often = columns[-1][left] > NONE
+        value[left[often]] += np.log10(p1.value[columns[-1][left[often]]])
+        left = left[~often]
+        # The word before the last one: every word is that once.
+        rare = np.flatnonzero(columns[-2] < NONE)
+        at = bucket.histories[2].find([columns[-2][rare]])
+        rare, at = rare[at >= 0], at[at >= 0]
+        known, gain = np.zeros(len(text), np.int64), np.zeros(len(text))
+        known[rare], gain[rare] = 1, np.log10((bucket.count[at] + 0.5) / 0.5)
+        # A sum per text of a piece.
+        ends = np.cumsum([p[3] for p in asked])
+        new = np.r_[True, text[1:] != text[:-1]]
+        new[ends[:-1]] = True
+        starts = np.flatnonzero(new)
+        sums = [text[starts], *(np.add.reduceat(x, starts) for x in (value, known, gain))]
+        cuts, rest = np.r_[0, np.searchsorted(starts, ends)], np.r_[0, np.searchsorted(left, ends)]
+        of, word = text[left], columns[-1][left]
+        parts = zip(asked, cuts, cuts[1:], rest, rest[1:])
+        return as_batch([(p[2], *(x[a:b].tobytes() for x in sums), of[c:d].tobytes(), word[c:d].tobytes()) for p, a, b, c, d in parts], schema)
+
     for _, found in groupby(rows_of(batches), key=lambda p: p[0]):
-        table: list[tuple] = []
+        table, asked, size = [], [], 0
         bucket = None
         for piece in found:
             if piece[1] != ASKED:
                 table.append(piece)
                 continue
-            if bucket is None:
-                bucket = Bucket(table, order, plan, by_order, p1.value)
-            columns, text = joined([piece], plan.fields, np.int32)
-            value, left = np.zeros(len(text)), np.arange(len(text))
-            for k in range(order, 1, -1):
-                asked = [c[left] for c in columns[-k:]]
-                at = bucket.grams[k].find(asked)
-                hit = at >= 0
-                value[left[hit]] += np.log10(bucket.p[k][at[hit]])
-                left, asked = left[~hit], [c[~hit] for c in asked[:-1]]
-                at = bucket.histories[k].find(asked)
-                hit = at >= 0
-                value[left[hit]] += bucket.backoff[k][at[hit]]
-            often = columns[-1][left] > NONE
-            value[left[often]] += np.log10(p1.value[columns[-1][left[often]]])
-            left = left[~often]
-            # The word before the last one: every word is that once.
-            rare = np.flatnonzero(columns[-2] < NONE)
-            at = bucket.histories[2].find([columns[-2][rare]])
-            rare, at = rare[at >= 0], at[at >= 0]
-            known, gain = np.zeros(len(text), np.int64), np.zeros(len(text))
-            known[rare], gain[rare] = 1, np.log10((bucket.count[at] + 0.5) / 0.5)
-            starts = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
-            sums = [np.add.reduceat(x, starts).tobytes() for x in (value, known, gain)]
-            yield as_batch([(piece[2], text[starts].tobytes(), *sums, text[left].tobytes(), columns[-1][left].tobytes())], schema)
+            bucket = bucket or Bucket(table, order, plan, by_order, p1.value)
+            asked.append(piece)
+            size += piece[3]
+            if size >= ASKED_AT_ONCE:
+                yield answered(bucket, asked)
+                asked, size = [], 0
+        if asked:
+            yield answered(bucket, asked)
 
 
 #: Texts of a chunk, what they get, and words with their texts.
@@ -569,24 +606,26 @@ def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def asked_pieces(batches: Iterator[pa.RecordBatch], plan: Layout, r: int) -> Iterator[pa.RecordBatch]:
     """All n-grams of texts that are a pass's, with their text."""
     schema = arrow(piece_fields(plan.fields))
-    for chunk, sizes, tokens in rows_of(batches):
-        columns, text = grams(sizes, tokens, plan.fields)
-        bucket = plan.bucket(columns)
-        here = np.flatnonzero(bucket % plan.passes == r)
-        if len(here):
-            yield as_batch(pieces(plan.fields, bucket[here], ASKED, [c[here] for c in columns], text[here], chunk), schema)
+    for chunk, *texts in rows_of(batches):
+        sizes, tokens, at = read(*texts, r)
+        if len(at):
+            columns, text = grams(sizes, tokens, plan.fields, at)
+            yield as_batch(pieces(plan.fields, plan.bucket(columns), ASKED, columns, text, chunk), schema)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Per row: doc_id, n_tokens, n_known, base_score, score (log10 probability of the text)."""
-    spark, plan = docs.sparkSession, model.layout
+def score(docs: DataFrame | None, model: Model) -> DataFrame:
+    """Per row: doc_id, n_tokens, n_known, base_score, score (log10 probability of the text). Without docs, those of the
+    texts that were kept in training."""
+    spark, plan = model.words.sparkSession, model.layout
     path = scratch_dir(spark, "katz-scores")
     shared, p1 = spark.sparkContext.broadcast(model.vocabulary), spark.sparkContext.broadcast(model.p)
-    texts = stored(coded(docs, shared, model.tokens, model.types), f"{path}/texts", "zstd")
+    texts = model.texts
+    if docs is not None:
+        texts = stored(coded(docs, F.lit(False), shared, plan, model.tokens, model.types), f"{path}/texts", "zstd")
     fields = piece_fields(plan.fields)
     named = [f.split()[0] for f in fields.split(", ")]
     for r in range(plan.passes):
-        asked = texts.select("chunk", "sizes", "tokens").mapInArrow(partial(asked_pieces, plan=plan, r=r), fields)
+        asked = texts.select("chunk", "sizes", "tokens", "passes").mapInArrow(partial(asked_pieces, plan=plan, r=r), fields)
         met = asked.unionByName(model.grams.filter(f"part = {r}").select(*named)).repartition("bucket").sortWithinPartitions("bucket", "kind")
         found = met.mapInArrow(partial(answers, order=model.order, plan=plan, by_order=model.discounts, p1=p1), ANSWER)
         stored(found.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(summed, SUM), f"{path}/sums/pass={r}")
@@ -604,14 +643,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         F.col("value").alias("score"),
     )
     found = stored(found, f"{path}/scores")
-    deleted(f"{path}/texts")
+    if docs is not None:
+        deleted(f"{path}/texts")
     deleted(f"{path}/sums")
     return found
 
 
 def op5_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    model = train(docs.filter(~held_out()))
-    found = score(docs, model)
+    model = train(docs, trains=~held_out())
+    found = score(None, model)
     deleted(model.path)
     return found.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
