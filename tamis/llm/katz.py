@@ -12,7 +12,8 @@ discounts take their place; where every count after h is beyond discounting, one
 unseen. Every word is a type of its own and every n-gram is counted, whatever the input's size.
 
 A word is a number: its place among the frequent words (at least FREQUENT_SHARE of all tokens, so there are at most
-1 / FREQUENT_SHARE, known to every task), else a 64-bit hash, which only codes it.
+1 / FREQUENT_SHARE, known to every task), else a 63-bit hash of its bytes, its key. Words are cut and hashed some MB of
+texts at a time, as arrays; counts are kept by key.
 
 N-grams are dealt to buckets by the word before their last. A bucket then has every history that ends with its words, all
 that follows these, and so counts, discounts, weights and sums of each order from 2 on, but for P1 of what follows: the
@@ -32,7 +33,6 @@ long texts are scored whole; extra columns of any name are ignored; an empty tab
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -40,6 +40,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +53,8 @@ DISCOUNTED = 5  # counts up to this one are discounted
 BATCH_TOKENS = 2_000_000
 ASKED_AT_ONCE = 100_000
 PASSES = 6
+COUNTED_TOGETHER = 2  # passes whose n-grams are counted at once: counts take less room than questions
+SLICE_BYTES = 1 << 20
 #: Tokens that are not words, before the frequent words' own numbers. Those of words that aren't frequent are below NONE.
 NONE, BEGIN, END, FIRST_WORD = -1, 0, 1, 2
 
@@ -60,13 +63,55 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 1
 
 
-def word_key(word: bytes) -> int:
-    """Number of a word that is not frequent: below NONE. As `key_of_word` in Spark."""
-    return -2 - (xxh64_intdigest(word, 42) >> 1)
+def slices(texts: list[bytes]) -> Iterator[list[int]]:
+    """Places of consecutive texts of some SLICE_BYTES, or of one longer text."""
+    found, size = [], 0
+    for i, text in enumerate(texts):
+        found.append(i)
+        size += len(text)
+        if size >= SLICE_BYTES:
+            yield found
+            found, size = [], 0
+    if found:
+        yield found
+
+
+BLANKS = bytes(b in b" \t\n\x0b\x0c\r" for b in range(256))
+#: Longer words are hashed one by one.
+LONG = 64
+FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+
+
+def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the texts' lower-cased words in their order, and how many words each text has.
+
+    The key of a word that is not frequent is its number, below NONE: its bytes go eight at a time through a hash that
+    begins with their number.
+    """
+    data = b" ".join([b"", *texts, b""]).translate(LOWER_BYTES)
+    blank = np.frombuffer(data.translate(BLANKS), np.bool_)
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    lanes = np.frombuffer(data + bytes(16 - len(data) % 8), "<u8")
+    h, left = mix(sizes.astype(U64)), np.arange(len(starts))
+    for k in range(0, LONG, 8):
+        at, n = starts[left] + k, np.minimum(sizes[left] - k, 8)
+        lane, off = at >> 3, (at & 7).astype(U64) << U64(3)
+        # The next lane's bytes, shifted in two steps: by 64 at once is not defined.
+        x = (lanes[lane] >> off) | (lanes[lane + 1] << (U64(63) - off) << U64(1))
+        found = mix(h[left] * U64(0x9E3779B97F4A7C15) + (x & FIRST_BYTES[n]))
+        h[left] = found
+        left = left[sizes[left] > k + 8]
+        if not len(left):
+            break
+    for i in left:
+        h[i] = xxh64_intdigest(data[starts[i] : starts[i] + sizes[i]], 42)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return -2 - (h >> U64(1)).astype(np.int64), np.diff(np.searchsorted(starts, ends), prepend=0)
 
 
-def key_of_word(word: str) -> Column:
-    return -2 - F.shiftrightunsigned(F.xxhash64(word), 1)
+def word_key(word: bytes) -> int:
+    return int(word_keys([word])[0][0])
 
 
 def discounts(n: dict[int, int], k: int = DISCOUNTED) -> list[float]:
@@ -86,51 +131,45 @@ def discounted(count: Column, d: list[float]) -> Column:
     return F.element_at(F.array(*map(F.lit, [*d[1:], 1.0])), F.least(count, F.lit(len(d))).cast("int")) * count
 
 
-def count_of_counts(table: DataFrame) -> dict[int, int]:
-    return {r.c: r.n for r in table.filter(F.col("c") <= DISCOUNTED + 1).groupBy("c").agg(F.count("*").alias("n")).collect()}
-
-
 def names(n: int) -> list[str]:
     return [f"w{i}" for i in range(1, n + 1)]
 
 
-@dataclass
-class Vocabulary:
-    """What every task knows: the frequent words' numbers and counts."""
-
-    number: dict[bytes, int]
-    count: np.ndarray  # by number; 0 for BEGIN
-
-    def tokens(self, text: bytes) -> np.ndarray:
-        words = text.translate(LOWER_BYTES).split()
-        get = self.number.get
-        return np.array([*(get(w) or word_key(w) for w in words), END], np.int64)
+WORD_BUCKETS = 1024  # a power of two
 
 
 def word_counts(docs: DataFrame, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
-    """(token, c): counts of words and, as the empty word, of ends; each task adds up its own before they travel."""
+    """(w1, c): counts of words by key and of ends; each task adds up its own before they travel, in pieces by bucket."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        size = 0
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
 
         def added() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary(), size=len(counts)), pa.array(counts.values(), pa.int64(), size=len(counts))], ["token", "c"])
+            w, c = np.unique(np.concatenate(held), return_counts=True)  # ascending, so buckets are consecutive rows
+            bucket = np.where(w < NONE, (NONE - w) >> (63 - (WORD_BUCKETS - 1).bit_length()), 0)
+            at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            rows = [(int(bucket[i]), w[i:j].tobytes(), c[i:j].tobytes()) for i, j in zip(at, [*at[1:], len(w)])]
+            return as_batch(rows, arrow("bucket int, w binary, c binary"))
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words = text.translate(LOWER_BYTES).split()
-                counts.update(words)
-                counts[b""] += 1
-                size += len(words) + 1
+            texts = batch.column(0).to_pylist()
+            for some in slices(texts):
+                held += [word_keys([texts[i] for i in some])[0], np.full(len(some), END)]
+                size += sum(map(len, held[-2:]))
                 if size >= batch_tokens:
                     yield added()
-                    counts.clear()
-                    size = 0
-        if counts:
+                    held, size = [], 0
+        if held:
             yield added()
 
-    return docs.select(text_bytes()).mapInArrow(run, "token binary, c bigint").groupBy("token").agg(F.sum("c").alias("c"))
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, found in groupby(rows_of(batches), key=lambda p: p[0]):
+            _, w, c = (b"".join(x) if isinstance(x[0], bytes) else x for x in zip(*found))
+            words = Index([np.frombuffer(w, np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(words.columns[0]), pa.array(words.sums(np.frombuffer(c, np.int64)))], ["w1", "c"])
+
+    pieces = docs.select(text_bytes()).mapInArrow(counted, "bucket int, w binary, c binary")
+    return pieces.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merged, "w1 bigint, c bigint")
 
 
 def spread(columns: list[np.ndarray], seed: int = 0) -> np.ndarray:
@@ -155,20 +194,28 @@ def unpacked(data: bytes, n: int) -> np.ndarray:
 
 class Index:
     """Distinct rows of the columns. The hash by which they are sorted has another seed if two of them share it, and
-    what is looked up is compared, so that hashes decide nothing."""
+    what is looked up is compared, so that hashes decide nothing. Of up to a million rows the hash's last bits give way
+    to the row's place, so that hash and place are sorted as one number."""
 
     def __init__(self, columns: list[np.ndarray]):
-        self.seed = 0
+        self.seed, n = 0, len(columns[0])
+        self.less = U64(n.bit_length() if n < 1 << 20 else 0)
         while True:
-            key = spread(columns, self.seed)
-            self.order = np.argsort(key)
-            key, rows = key[self.order], [c[self.order] for c in columns]
+            key = spread(columns, self.seed) >> self.less
+            if self.less:
+                key = np.sort(key << self.less | np.arange(n, dtype=U64))
+                self.order, key = (key & ((U64(1) << self.less) - U64(1))).astype(np.int64), key >> self.less
+            else:
+                self.order = np.argsort(key)
+                key = key[self.order]
+            rows = [c[self.order] for c in columns]
             same = key[1:] == key[:-1]
             if not np.logical_or.reduce([c[1:] != c[:-1] for c in rows])[same].any():
                 break
             self.seed += 1
         self.starts = np.flatnonzero(np.r_[True, ~same]) if len(key) else np.empty(0, np.int64)
         self.key, self.columns = key[self.starts], [c[self.starts] for c in rows]
+        self.first = None
 
     def sums(self, x: np.ndarray) -> np.ndarray:
         return np.add.reduceat(x[self.order], self.starts) if len(x) else x
@@ -183,9 +230,42 @@ class Index:
         """Places of the rows, -1 where there is none."""
         if not len(self.key):
             return np.full(len(columns[0]), -1)
-        key = spread(columns, self.seed)
-        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        return np.where(np.logical_and.reduce([self.key[at] == key, *(a[at] == b for a, b in zip(self.columns, columns))]), at, -1)
+        if self.first is None:  # where the keys with the same first bits begin
+            self.bits = U64(64 - len(self.key).bit_length()) - self.less
+            slots = np.bincount((self.key >> self.bits).astype(np.int64), minlength=1 << len(self.key).bit_length())
+            self.first = np.minimum(np.r_[0, np.cumsum(slots)[:-1]], len(self.key) - 1)
+        key = spread(columns, self.seed) >> self.less
+        at = self.first[(key >> self.bits).astype(np.int64)]
+        less = np.flatnonzero(self.key[at] < key)
+        while len(less):
+            at[less] += 1
+            less = less[at[less] < len(self.key)]
+            less = less[self.key[at[less]] < key[less]]
+        at[at == len(self.key)] = 0
+        hit = np.flatnonzero(self.key[at] == key)
+        hit = hit[np.logical_and.reduce([a[at[hit]] == b[hit] for a, b in zip(self.columns, columns)])]
+        found = np.full(len(key), -1)
+        found[hit] = at[hit]
+        return found
+
+
+@dataclass
+class Vocabulary:
+    """What every task knows: the frequent words' numbers and counts."""
+
+    keys: Index  # of the frequent words in the order of their numbers
+    count: np.ndarray  # by number; 0 for BEGIN
+
+    def tokens(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' words and ends as numbers, and how many each text has."""
+        keys, sizes = word_keys(texts)
+        at = self.keys.find([keys])
+        often = np.flatnonzero(at >= 0)
+        keys[often] = FIRST_WORD + self.keys.order[at[often]]
+        tokens, is_word = np.full(len(keys) + len(sizes), END), np.ones(len(keys) + len(sizes), bool)
+        is_word[np.cumsum(sizes + 1) - 1] = False
+        tokens[is_word] = keys
+        return tokens, sizes + 1
 
 
 @dataclass
@@ -277,32 +357,35 @@ def coded(docs: DataFrame, trains: Column, vocabulary, plan: Layout, tokens: int
         held: dict[bool, list] = {True: [], False: []}
         size = {True: 0, False: 0}
 
-        def added(training: bool, key: pa.DataType) -> pa.RecordBatch:
+        def added(training: bool) -> pa.RecordBatch:
             nonlocal chunk
             doc_ids, found, *facts = zip(*held[training])
-            struct = pa.StructArray.from_arrays([pa.array(doc_ids, key), *map(pa.array, map(np.array, facts))], ["doc_id", "n_tokens", "n_known", "base_score"])
+            struct = pa.StructArray.from_arrays([pa.concat_arrays(doc_ids), *map(pa.array, map(np.concatenate, facts))], ["doc_id", "n_tokens", "n_known", "base_score"])
             about = pa.ListArray.from_arrays(pa.array([0, len(struct)], pa.int32()), struct)
-            sizes, numbers = np.array(facts[0], np.int32), np.concatenate(found)
+            sizes, numbers = np.concatenate(facts[0]).astype(np.int32), np.concatenate(found)
             columns, _ = grams(sizes, numbers, plan.fields, np.arange(len(numbers)))
             passes = (plan.bucket(columns) % plan.passes).astype(np.uint8).tobytes()
             chunk, held[training], size[training] = chunk + 1, [], 0
             columns = [pa.array([chunk]), pa.array([training]), pa.array([sizes.tobytes()]), pa.array([packed(numbers)]), pa.array([passes]), about]
             return pa.RecordBatch.from_arrays(columns, ["chunk", "trains", "sizes", "tokens", "passes", "about"])
 
-        key = None
         for batch in batches:
-            key = batch.column(0).type
-            for doc_id, text, training in zip(*(c.to_pylist() for c in batch.columns)):
-                found = known.tokens(text)
-                often = found[found > NONE]
-                n_known, score = int((known.count[often] > 0).sum()), float(base[often].sum() + unknown * (len(found) - len(often)))
-                held[training].append((doc_id, found, len(found), n_known, score))
-                size[training] += len(found)
-                if size[training] >= batch_tokens:
-                    yield added(training, key)
+            for training in held:
+                part = batch.filter(pa.compute.equal(batch.column(2), training))
+                texts = part.column(1).to_pylist()
+                for some in slices(texts):
+                    found, n = known.tokens([texts[i] for i in some])
+                    starts, often = np.cumsum(n) - n, found > NONE
+                    number = np.maximum(found, 0)
+                    n_known = np.add.reduceat((often & (known.count[number] > 0)).astype(np.int64), starts)
+                    score = np.add.reduceat(np.where(often, base[number], unknown), starts)
+                    held[training].append((part.column(0).slice(some[0], len(some)), found, n, n_known, score))
+                    size[training] += len(found)
+                    if size[training] >= batch_tokens:
+                        yield added(training)
         for training in held:
             if held[training]:
-                yield added(training, key)
+                yield added(training)
 
     return docs.select("doc_id", text_bytes(), trains.alias("trains")).mapInArrow(run, f"chunk bigint, trains boolean, sizes binary, tokens binary, passes binary, about {about}")
 
@@ -315,9 +398,10 @@ def grams(sizes: np.ndarray, tokens: np.ndarray, fields: int, at: np.ndarray) ->
     return [np.where(place >= k, tokens[np.maximum(at - k, 0)], BEGIN) for k in range(fields - 1, 0, -1)] + [tokens[at]], text
 
 
-def read(sizes: bytes, tokens: bytes, passes: bytes, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sizes of some texts, their tokens, and the places of those whose n-grams are for a pass."""
-    return np.frombuffer(sizes, np.int32), unpacked(tokens, len(passes)), np.flatnonzero(np.frombuffer(passes, np.uint8) == r)
+def read(sizes: bytes, tokens: bytes, passes: bytes, which: range) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of some texts, their tokens, and the places of those whose n-grams are for some passes."""
+    r = np.frombuffer(passes, np.uint8)
+    return np.frombuffer(sizes, np.int32), unpacked(tokens, len(passes)), np.flatnonzero((r >= which.start) & (r < which.stop))
 
 
 def of_order(k: int, index: Index, c: np.ndarray, pairs: tuple[list[np.ndarray], np.ndarray], plan: Layout) -> tuple[Index, np.ndarray]:
@@ -360,34 +444,34 @@ def train(
         raise ValueError("the order must be 2 at least")
     spark: SparkSession = docs.sparkSession
     path = scratch_dir(spark, "katz")
-    counts = stored(word_counts(docs if trains is None else docs.filter(trains)), f"{path}/word-counts")
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    n, d1 = total.n, discounts(count_of_counts(counts))
-    is_frequent, is_end = F.col("c") >= n * frequent_share, F.octet_length("token") == 0
-    frequent = sorted((-r.c, bytes(r.token)) for r in counts.filter(is_frequent & ~is_end).collect())  # at most 1 / frequent_share
-    ends = counts.filter(is_end).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    count = np.array([0, ends, *(-c for c, _ in frequent)], np.int64)
-    vocabulary = Vocabulary({w: FIRST_WORD + i for i, (_, w) in enumerate(frequent)}, count)
+    counts = stored(word_counts(docs if trains is None else docs.filter(trains)), f"{path}/word-counts", "zstd", dictionary=False)
+    of_count = [F.coalesce(F.sum((F.col("c") == r).cast("long")), F.lit(0)).alias(f"n{r}") for r in range(1, DISCOUNTED + 2)]
+    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.expr(f"if(w1 = {END}, c, 0)")), F.lit(0)).alias("ends"), *of_count).first()
+    n, singles = total.n, {r: total[f"n{r}"] for r in range(1, DISCOUNTED + 2)}
+    d1 = discounts(singles)
+    is_frequent, is_end = F.col("c") >= n * frequent_share, F.col("w1") == END
+    frequent = sorted((-r.c, r.w1) for r in counts.filter(is_frequent & ~is_end).collect())  # at most 1 / frequent_share
+    count = np.array([0, total.ends, *(-c for c, _ in frequent)], np.int64)
+    vocabulary = Vocabulary(Index([np.array([w for _, w in frequent], np.int64)]), count)
 
     # Unigrams: the mass that discounts leave is a never-seen word's; one more count if they leave none.
-    seen = counts.agg(F.coalesce(F.sum(discounted(F.col("c"), d1)), F.lit(0.0))).first()[0]
+    seen = n - sum((1 - d1[r]) * r * singles[r] for r in range(1, DISCOUNTED + 1))
     scale = n if seen < n * (1 - 1e-12) else n + 1
     never = (scale - seen) / scale
     words = spark.createDataFrame([(i, int(c)) for i, c in enumerate(count) if c], "w1 long, c long")
-    words = counts.filter(~is_frequent & ~is_end).select(key_of_word("token").alias("w1"), "c").unionByName(words)
-    words = stored(words.withColumn("p", discounted(F.col("c"), d1) / F.lit(float(scale))), f"{path}/probabilities/order=1")
-    deleted(f"{path}/word-counts")
+    words = counts.filter(~is_frequent & ~is_end).unionByName(words)
+    words = words.withColumn("p", discounted(F.col("c"), d1) / F.lit(float(scale)))
 
     plan = layout(order, vocabulary, n, bucket_tokens)
     shared = spark.sparkContext.broadcast(vocabulary)
-    texts = stored(coded(docs, F.lit(True) if trains is None else trains, shared, plan, n, total.v), f"{path}/texts", "zstd")
+    texts = stored(coded(docs, F.lit(True) if trains is None else trains, shared, plan, n, total.v), f"{path}/texts", "zstd", dictionary=False)
     counting = texts.filter("trains").select("chunk", "sizes", "tokens", "passes")
     fields = piece_fields(plan.fields)
     kept = f"{fields}, part int, counts array<bigint>"
-    for r in range(plan.passes):
-        found = counting.mapInArrow(partial(counted_pieces, plan=plan, r=r), fields).repartition("bucket").sortWithinPartitions("bucket")
+    for r in range(0, plan.passes, COUNTED_TOGETHER):
+        found = counting.mapInArrow(partial(counted_pieces, plan=plan, which=range(r, r + COUNTED_TOGETHER)), fields).repartition("bucket").sortWithinPartitions("bucket")
         merged = found.mapInArrow(partial(merged_pieces, plan=plan, order=order, d1=d1, scale=scale), kept)
-        stored(merged, f"{path}/grams/pass={r}", "zstd", ["part"])
+        stored(merged, f"{path}/grams/pass={r}", "zstd", ["part"], dictionary=False)
     if trains is None:
         deleted(f"{path}/texts")
     tables = spark.read.schema(f"{kept}, pass int").parquet(f"{path}/grams")
@@ -402,14 +486,14 @@ def discounted_counts(c: np.ndarray, d: list[float]) -> np.ndarray:
     return np.array([*d, 1.0])[np.minimum(c, len(d))] * c
 
 
-def counted_pieces(batches: Iterator[pa.RecordBatch], plan: Layout, r: int) -> Iterator[pa.RecordBatch]:
-    """The n-grams of some texts, those of a pass, each once with its count."""
+def counted_pieces(batches: Iterator[pa.RecordBatch], plan: Layout, which: range) -> Iterator[pa.RecordBatch]:
+    """The n-grams of some texts, those of some passes, each once with its count."""
     schema = arrow(piece_fields(plan.fields))
     first = plan.place(np.arange(len(plan.splits)), np.zeros(len(plan.splits), np.int64))
-    paired = (plan.splits > 1) & (first % plan.passes == r)  # their pairs are counted in the first of their buckets
+    paired = (plan.splits > 1) & np.isin(first % plan.passes, which)  # their pairs are counted in the first of their buckets
     above = np.flatnonzero(paired).max(initial=-1)
     for _, *texts in rows_of(batches):
-        sizes, tokens, at = read(*texts, r)
+        sizes, tokens, at = read(*texts, which)
         index = Index(grams(sizes, tokens, plan.fields, at)[0])
         out = pieces(plan.fields, plan.bucket(index.columns), GRAMS, index.columns, index.sums(np.ones(len(index.order), np.int64)))
         at = np.flatnonzero((tokens > NONE) & (tokens <= above))
@@ -554,18 +638,15 @@ def answers(batches: Iterator[pa.RecordBatch], order: int, plan: Layout, by_orde
         rare = np.flatnonzero(columns[-2] < NONE)
         at = bucket.histories[2].find([columns[-2][rare]])
         rare, at = rare[at >= 0], at[at >= 0]
-        known, gain = np.zeros(len(text), np.int64), np.zeros(len(text))
-        known[rare], gain[rare] = 1, np.log10((bucket.count[at] + 0.5) / 0.5)
+        gain = np.log10((bucket.count[at] + 0.5) / 0.5)
         # A sum per text of a piece.
         ends = np.cumsum([p[3] for p in asked])
         new = np.r_[True, text[1:] != text[:-1]]
         new[ends[:-1]] = True
         starts = np.flatnonzero(new)
-        sums = [text[starts], *(np.add.reduceat(x, starts) for x in (value, known, gain))]
-        cuts, rest = np.r_[0, np.searchsorted(starts, ends)], np.r_[0, np.searchsorted(left, ends)]
-        of, word = text[left], columns[-1][left]
-        parts = zip(asked, cuts, cuts[1:], rest, rest[1:])
-        return as_batch([(p[2], *(x[a:b].tobytes() for x in sums), of[c:d].tobytes(), word[c:d].tobytes()) for p, a, b, c, d in parts], schema)
+        kinds = [(starts, text[starts], np.add.reduceat(value, starts)), (rare, text[rare], gain), (left, text[left], columns[-1][left])]
+        cuts = [np.r_[0, np.searchsorted(at, ends)] for at, _, _ in kinds]
+        return as_batch([(p[2], *(x[c[i] : c[i + 1]].tobytes() for c, (_, *both) in zip(cuts, kinds) for x in both)) for i, p in enumerate(asked)], schema)
 
     for _, found in groupby(rows_of(batches), key=lambda p: p[0]):
         table, asked, size = [], [], 0
@@ -584,7 +665,8 @@ def answers(batches: Iterator[pa.RecordBatch], order: int, plan: Layout, by_orde
             yield answered(bucket, asked)
 
 
-#: Texts of a chunk, what they get, and words with their texts.
+#: Texts of a chunk and what they get; texts of known words that aren't frequent and what these add to the base; texts
+#: and words.
 ANSWER = "chunk bigint, text binary, value binary, known binary, gain binary, of binary, word binary"
 SUM = "chunk bigint, at int, value double, known bigint, gain double, words array<bigint>"
 
@@ -594,9 +676,10 @@ def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = arrow(SUM)
     for chunk, found in groupby(rows_of(batches), key=lambda a: a[0]):
         columns = list(zip(*found))[1:]
-        text, value, known, gain, of, word = (np.frombuffer(b"".join(c), t) for c, t in zip(columns, (np.int32, float, np.int64, float, np.int32, np.int64)))
+        text, value, known, gain, of, word = (np.frombuffer(b"".join(c), t) for c, t in zip(columns, (np.int32, float, np.int32, float, np.int32, np.int64)))
         at, members = np.unique(text, return_inverse=True)
-        value, known, gain = (np.bincount(members, weights=x, minlength=len(at)) for x in (value, known, gain))
+        value, known = np.bincount(members, weights=value, minlength=len(at)), np.searchsorted(at, known)
+        gain, known = np.bincount(known, weights=gain, minlength=len(at)), np.bincount(known, minlength=len(at))
         order = np.argsort(of, kind="stable")
         ends = np.r_[0, np.searchsorted(of[order], at, "right")].astype(np.int32)
         words = pa.ListArray.from_arrays(pa.array(ends), pa.array(word[order]))
@@ -607,7 +690,7 @@ def asked_pieces(batches: Iterator[pa.RecordBatch], plan: Layout, r: int) -> Ite
     """All n-grams of texts that are a pass's, with their text."""
     schema = arrow(piece_fields(plan.fields))
     for chunk, *texts in rows_of(batches):
-        sizes, tokens, at = read(*texts, r)
+        sizes, tokens, at = read(*texts, range(r, r + 1))
         if len(at):
             columns, text = grams(sizes, tokens, plan.fields, at)
             yield as_batch(pieces(plan.fields, plan.bucket(columns), ASKED, columns, text, chunk), schema)
@@ -621,7 +704,7 @@ def score(docs: DataFrame | None, model: Model) -> DataFrame:
     shared, p1 = spark.sparkContext.broadcast(model.vocabulary), spark.sparkContext.broadcast(model.p)
     texts = model.texts
     if docs is not None:
-        texts = stored(coded(docs, F.lit(False), shared, plan, model.tokens, model.types), f"{path}/texts", "zstd")
+        texts = stored(coded(docs, F.lit(False), shared, plan, model.tokens, model.types), f"{path}/texts", "zstd", dictionary=False)
     fields = piece_fields(plan.fields)
     named = [f.split()[0] for f in fields.split(", ")]
     for r in range(plan.passes):
