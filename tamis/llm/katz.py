@@ -277,6 +277,7 @@ class Layout:
     buckets: int
     passes: int
     splits: np.ndarray  # by number of a frequent word, 1 for most
+    first: np.ndarray | None = None  # and its first bucket, once a task has asked for it
 
     def parts(self, w: np.ndarray) -> np.ndarray:
         return np.where(w > NONE, self.splits[np.maximum(w, 0)], 1)
@@ -285,10 +286,18 @@ class Layout:
         return (spread([w, part]) % U64(self.buckets)).astype(np.int64)
 
     def bucket(self, columns: list[np.ndarray]) -> np.ndarray:
-        parts = self.parts(columns[-2])
-        part, several = np.zeros(len(parts), np.int64), parts > 1
-        part[several] = (spread([columns[-3][several]], 1) % parts[several].astype(U64)).astype(np.int64)
-        return self.place(columns[-2], part)
+        if self.first is None:
+            self.first = self.place(np.arange(len(self.splits)), np.zeros(len(self.splits), np.int64))
+        w = columns[-2]
+        number, rare = np.maximum(w, 0), np.flatnonzero(w < NONE)
+        found = self.first[number]
+        found[rare] = self.place(w[rare], np.zeros(len(rare), np.int64))
+        several = np.flatnonzero((self.splits > 1)[number])
+        several = several[w[several] > NONE]
+        if len(several):
+            part = (spread([columns[-3][several]], 1) % self.splits[w[several]].astype(U64)).astype(np.int64)
+            found[several] = self.place(w[several], part)
+        return found
 
 
 def layout(order: int, vocabulary: Vocabulary, tokens: int, bucket_tokens: int | None = None) -> Layout:
@@ -305,7 +314,7 @@ GRAMS, AFTER, PAIRS, ASKED = range(4)
 
 
 def piece_fields(fields: int) -> str:
-    """n rows of a bucket: their words and one more figure."""
+    """n rows of a bucket: their words and one more figure, whole ones in 8 or 16 bits each where these are enough."""
     return "bucket int, kind int, chunk bigint, n int, " + ", ".join(f"{w} binary" for w in names(fields)) + ", x binary"
 
 
@@ -318,10 +327,18 @@ def pieces(fields: int, bucket: np.ndarray, kind: int, columns: list[np.ndarray]
     out = []
     for a, b in zip(at, [*at[1:], len(bucket)]):
         words = [packed(c[a:b]) for c in columns]
-        out.append((int(bucket[a]), kind, chunk, int(b - a), *[b""] * (fields - len(words)), *words, x[a:b].tobytes()))
+        out.append((int(bucket[a]), kind, chunk, int(b - a), *[b""] * (fields - len(words)), *words, narrowed(x[a:b]).tobytes()))
     return out
 
 
+def narrowed(x: np.ndarray) -> np.ndarray:
+    """Whole numbers, none below 0, in 8 or 16 bits each if these are enough."""
+    if x.dtype == float:
+        return x
+    most = x.max()
+    return x.astype(np.uint8 if most < 1 << 8 else np.uint16) if most < 1 << 16 else x
+
+
 def as_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
@@ -340,7 +357,9 @@ def joined(found: list[tuple], columns: int, x_type: type) -> tuple[list[np.ndar
     """The last words and the figures of pieces."""
     if not found:
         return [np.empty(0, np.int64)] * columns, np.empty(0, x_type)
-    return [np.concatenate([unpacked(p[c - 1 - columns], p[3]) for p in found]) for c in range(columns)], np.concatenate([np.frombuffer(p[-1], x_type) for p in found])
+    kinds = [{1: np.uint8, 2: np.uint16}.get(len(p[-1]) // max(p[3], 1), x_type) for p in found]
+    x = np.concatenate([np.frombuffer(p[-1], kind) for p, kind in zip(found, kinds)]).astype(x_type, copy=False)
+    return [np.concatenate([unpacked(p[c - 1 - columns], p[3]) for p in found]) for c in range(columns)], x
 
 
 def coded(docs: DataFrame, trains: Column, vocabulary, plan: Layout, tokens: int, types: int, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
